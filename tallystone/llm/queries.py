@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import exact_dedup, line_dedup
+from tallystone.llm import exact_dedup, line_dedup, near_dedup
 from tallystone.llm.common import table
 
 
@@ -16,7 +16,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents")).drop("dropped_runs")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_line_dedup)}
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.similar(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_line_dedup, op5_near_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
