@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing
+from tallystone.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, perspectives, pii, secrets
 from tallystone.llm.common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -32,13 +36,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_near_dedup, op6_language_id, op7_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_near_dedup, op6_language_id, op7_packing, op8_perspectives, op9_pii, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -69,4 +81,15 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper <> doc_id) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
         FROM keyed LEFT JOIN shared USING (k) GROUP BY doc_id""",
+    "op8_perspectives": """
+        WITH m AS (SELECT conv_id, coalesce(turn // 256, 0) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        sp AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
+        v AS (SELECT m.*, speaker, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
+                     text || '<|im_end|>' AS body FROM m JOIN sp ON m.conv_id IS NOT DISTINCT FROM sp.conv_id),
+        p AS (SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS begin_at, row_number() OVER w AS nr
+              FROM v WINDOW w AS (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, segment, speaker, count(*) AS n_messages, count(*) FILTER (WHERE role = speaker) AS n_masked,
+               string_agg(head || body || chr(10), '' ORDER BY nr) AS rendered,
+               coalesce(string_agg(begin_at::BIGINT || ':' || (begin_at + length(body))::BIGINT, ',' ORDER BY nr) FILTER (WHERE role = speaker), '') AS mask
+        FROM p GROUP BY conv_id, segment, speaker""",
 }
