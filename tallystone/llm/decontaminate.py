@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm import words
+from tallystone.llm.common import columns_of, unused
 from tallystone.llm.fm_index import FMIndex
 
 WIDTH = 10
@@ -169,14 +170,14 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> l
     return [context.broadcast(Windows([tuple(r) for r in numbered.where(F.col("block") == b).select("item", "text").collect()], width)) for b in range(n_blocks)]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """``docs`` with ``hits``: struct of n_words, removal spans (in words) and items."""
+def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, into: str = "hits") -> DataFrame:
+    """``docs`` with one more column ``into``: struct of n_words, removal spans (in words) and items."""
     blocks = _blocks(benchmark, item_col, item_text_col, width)
     text = F.col(text_col).cast("string")
     if len(blocks) == 1:
-        return docs.withColumn("hits", _finder(blocks[0])(text))
+        return docs.withColumn(into, _finder(blocks[0])(text))
     found = F.array(*[_finder(b)(text) for b in blocks])
-    spans = F.array_sort(F.flatten(F.transform("hits", lambda h: h["spans"])))
+    spans = F.array_sort(F.flatten(F.transform(into, lambda h: h["spans"])))
     start = F.array().cast("array<struct<first:long,end:long>>")
 
     def join(got, s):
@@ -184,7 +185,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         both = F.array(F.struct(top["first"].alias("first"), F.greatest(top["end"], s["end"]).alias("end")))
         return F.when((F.size(got) > 0) & (s["first"] <= F.try_element_at(got, F.lit(-1))["end"]), F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), both)).otherwise(F.concat(got, F.array(s)))
 
-    return docs.withColumn("hits", found).withColumn("hits", F.struct(F.col("hits")[0]["n_words"].alias("n_words"), F.aggregate(spans, start, join).alias("spans"), F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))).alias("items")))
+    return docs.withColumn(into, found).withColumn(into, F.struct(F.col(into)[0]["n_words"].alias("n_words"), F.aggregate(spans, start, join).alias("spans"), F.array_distinct(F.flatten(F.transform(into, lambda h: h["items"]))).alias("items")))
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
@@ -203,5 +204,5 @@ def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a benchmark window, with their columns."""
-    columns = docs.columns
-    return scan(docs, benchmark).where(F.size("hits.spans") == 0).select(*[F.col(f"`{c}`") for c in columns])
+    hits = unused(docs, "hits")
+    return scan(docs, benchmark, into=hits).where(F.size(f"{hits}.spans") == 0).select(*columns_of(docs))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import cut, sha256_hex, whole_text
+from tallystone.llm.common import columns_of, cut, sha256_hex, unused, whole_text
 
 #: Share of all rows from which on a digest is settled on the map side; 1/SUPPORT bounds the broadcast.
 SUPPORT = 0.005
@@ -49,7 +49,7 @@ def _groups(rows: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; one of rows that repeat both id and text."""
-    key = lambda sha: F.concat_ws(":", sha, F.col(id_col).cast("string"))
-    kept = decide(docs, id_col).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("__key"))
-    keyed = docs.withColumn("__key", key(sha256_hex(whole_text())))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    key = unused(docs, "key")
+    kept = decide(docs, id_col).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias(key))
+    keyed = docs.withColumn(key, F.concat_ws(":", sha256_hex(whole_text()), F.col(id_col).cast("string")))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(*columns_of(docs))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallystone.llm.common import columns_of, unused
+
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES = 200, 8, 500
 WIDTHS, FILTERS, SIZE = (2, 3, 4), 8, 128
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
@@ -186,6 +188,5 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
     """The documents that are in some language, with their columns: null and letterless texts go."""
-    columns = docs.columns
-    predict = predictor(learn(docs), docs)
-    return docs.withColumn("__p", predict(F.col("text").cast("string"))).where(F.col("__p.lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in columns])
+    predict, found = predictor(learn(docs), docs), unused(docs, "found")
+    return docs.withColumn(found, predict(F.col("text").cast("string"))).where(F.col(f"{found}.lang_pred") != UNKNOWN).select(*columns_of(docs))

@@ -233,6 +233,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents of ``docs`` that stand for their component, with their columns."""
-    kept = similar(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """The documents of ``docs`` that stand for their component, with their columns; so do rows
+    without id, which nothing can name."""
+    lost = similar(docs, id_col, text_col).groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("k")).where("not k").select(id_col)
+    return docs.join(lost, id_col, "left_anti")

@@ -101,7 +101,8 @@ def link(found: DataFrame, reach: int = REACH) -> DataFrame:
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
     """Per document: doc_id, counts, base_sha256, spans and the number of linked parts."""
-    kept = link(parts(docs, id_col, text_col), reach).where(F.col("rank").isNull() | (F.col("rank") < len(BASE)) | F.col("linked"))
+    # what isn't reported loses its kind but stays a row, so that its document keeps one
+    kept = link(parts(docs, id_col, text_col), reach).withColumn("rank", F.when((F.col("rank") < len(BASE)) | F.col("linked"), F.col("rank")))
     name = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
     span = F.when(F.col("rank").isNotNull(), F.struct("start", "rank", "end", name.alias("kind")))
     per_doc = kept.groupBy("row", "doc_id").agg(
