@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallystone.llm.common import BLANKS, ascii_lower, whole_text
+from tallystone.llm.common import BLANKS, ascii_lower, columns_of, unused, whole_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
 
@@ -77,6 +77,14 @@ def kept_lines(text: Column, dropped: Column) -> Column:
     return F.when(dropped.isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
 
 
+def apply(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """``docs`` with the texts that are left; all other columns, and texts that lose nothing, as they were."""
+    key, runs = unused(docs, "key"), unused(docs, "runs")
+    bitmaps = drop_bitmaps(docs, id_col, min_chars, min_docs).select(F.col("doc_id").alias(key), F.col("dropped").alias(runs))
+    left = F.when(F.col(runs).isNull(), F.col("text")).otherwise(F.array_join(kept_lines(whole_text(), F.col(runs)), "\n"))
+    return docs.join(bitmaps, F.col(id_col) == F.col(key), "left").select(*[left.alias(n) if n == "text" else c for n, c in zip(docs.columns, columns_of(docs), strict=True)])
+
+
 def report(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 and the bitmap."""
     bitmaps = drop_bitmaps(docs, id_col, min_chars, min_docs).withColumnRenamed("doc_id", "__id")

@@ -92,7 +92,7 @@ def shingles(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(key)
     value = np.zeros(max(0, n - width + 1), dtype=U)
     factors = mix(np.arange(1, width + 1, dtype=U) * U(0x632BE59BD9B4E019))
-    for j in range(width):
+    for j in range(width if len(value) else 0):
         value += mix(key[j : n - width + 1 + j] ^ factors[j])
     whole = doc[: len(value)] == doc[width - 1 :] if len(value) else np.zeros(0, bool)
     owner, value = doc[: len(value)][whole], mix(value[whole])
