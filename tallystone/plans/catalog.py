@@ -1,3 +1,242 @@
-"""Queries by name and the SQL that checks them."""
-QUERIES = {}
-ORACLE_SQL = {}
+"""Queries over the supplied tables, one or more for each operator, and the SQL each must equal."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tallystone.functions import ordered
+from tallystone.operators import comparing, golden, judging, layout, metrics, profiles, spatial
+from tallystone.plans import sql
+from tallystone.schemas import CONSTRAINT, NO_VALUE
+
+LINE_METRICS = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
+DAY = 86_400
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _line_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem")
+    listed = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in LINE_METRICS])
+    return rows.select(F.col("l_returnflag").alias("corpus"), F.col("l_orderkey").cast("string").alias("entity"), F.explode(listed).alias("m")).select("corpus", "entity", "m.*")
+
+
+def _seconds(column: str) -> Column:
+    """Seconds since 1970 as the clock in the column shows, whatever the session's time zone."""
+    return F.unix_date(F.to_date(column)) * DAY + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+
+
+def judge_doc_length_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.judge(_t(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("corpus"), F.col("n_chars").cast("double").alias("value")), ["corpus"])
+
+
+def coverage_by_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("corpus")), _t(spark, sf_dir, "labels").select("doc_id", "quality")
+    return judging.coverage(docs.join(labels, "doc_id", "left"), "corpus", "doc_id", F.col("quality").isNotNull())
+
+
+def gap_layers_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judging.layers(_t(spark, sf_dir, "events"), ["event_type"])
+    return found.groupBy("event_type", "layer").agg(F.sum("n").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+
+
+def gap_layers_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = judging.layers(_t(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice")
+    return found.groupBy("l_returnflag", "l_linestatus", "layer").agg(F.sum("n").alias("n"), F.min("value").alias("lowest"), F.max("value").alias("highest"))
+
+
+def derive_rules_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.derive(_line_observations(spark, sf_dir)).drop("layers")
+
+
+def representative_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.representative(judging.layers(_t(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice"), ["o_orderpriority"])
+
+
+def align_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select("user_id", _seconds("ts").cast("long").alias("at"))
+    return profiles.clusters(events, "user_id", "at", 6 * 3600)
+
+
+def cap_range_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _t(spark, sf_dir, "orders").where("o_totalprice > 0").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"), F.min("o_totalprice").alias("least"))
+    return per.where("n >= 2").select("o_custkey", "n", F.bround(F.col("most") / F.col("least"), 6).alias("cap_range"))
+
+
+def margins_like_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    ends = part.groupBy("p_brand").agg(F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most")).where("most > least")
+    width = F.col("most") - F.col("least")
+    return part.join(ends, "p_brand").select("p_partkey", F.bround((F.col("p_retailprice") - F.col("least")) / width, 6).alias("margin_left"), F.bround((F.col("most") - F.col("p_retailprice")) / width, 6).alias("margin_right"))
+
+
+def leading_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _t(spark, sf_dir, "orders").select("o_custkey", F.unix_date(F.to_date("o_orderdate")).cast("long").alias("day"))
+    found = profiles.neighbour_gaps(orders, "o_custkey", "day")
+    return found.select("o_custkey", "n", F.bround("median_gap", 6).alias("median_gap"), F.col("reach").cast("double").alias("reach"), ((F.col("n") < 2) | (F.col("reach") <= 1)).alias("regular"))
+
+
+def position_vs_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("corpus"), F.col("c_acctbal").alias("value"))
+    bands = judging.judge(rows, ["corpus"]).select("corpus", "lo", "hi", "min", "max")
+    return rows.join(bands, "corpus").select("c_custkey", "corpus", judging.position(F.col("value"), F.col("lo"), F.col("hi"), F.col("min"), F.col("max")).alias("position"))
+
+
+def range_join_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bands = spark.createDataFrame([(1, CONSTRAINT, 950.0, 1100.0, 900.0, 1150.0), (2, "mixed", 1200.0, 1300.0, 1150.0, 1400.0), (3, CONSTRAINT, 1090.0, 1250.0, 1000.0, 1300.0), (4, "free", 1500.0, 1600.0, None, None)], "band int, verdict string, lo double, hi double, min double, max double")
+    return spatial.classify(_t(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", CONSTRAINT)
+
+
+def shadow_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return spatial.dominated_removed(rows, "l_orderkey", ["l_quantity", "l_extendedprice"], 0.45)
+
+
+def overlap_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _t(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), "user_id", _seconds("ts").cast("long").alias("lo"), "event_type", "value")
+    spans = events.withColumn("hi", F.col("lo") + 3600)
+    covers = spans.where("value > 50 and event_type = 'purchase'").select("user_id", (F.col("lo") - 43_200).alias("lo"), (F.col("hi") + 43_200).alias("hi"))
+    return spatial.uncovered(spans.where("event_type <> 'purchase'").select("row_id", "user_id", "lo", "hi"), covers, ["user_id"], 86_400.0)
+
+
+def corpus_pairs_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_returnflag", "l_linestatus", (F.col("l_linenumber") % 3).cast("string")).alias("corpus"), (F.col("l_quantity") + 40 * (F.col("l_linenumber") % 3)).alias("value"), F.lit(1).alias("one_metric"))
+    return comparing.separated(ordered.quantiles(rows, ["one_metric", "corpus"], {"lo": 0.025, "hi": 0.975}), "corpus", ["one_metric"], "lo", "hi").drop("one_metric")
+
+
+def bootstrap_median_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparing.median_intervals(_t(spark, sf_dir, "events").select("event_type", "value"), ["event_type"])
+
+
+def compare_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparing.compare(_line_observations(spark, sf_dir), ("l_quantity",))
+
+
+def metric_catalog_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(m,) for m in (*LINE_METRICS, "l_weight")], "metric string")
+    rules = judging.judge(_line_observations(spark, sf_dir), ["metric"]).select("metric", "n", "median", "verdict")
+    return judging.catalog(rules, names, NO_VALUE)
+
+
+def golden_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    new = part.where("p_partkey % 7 <> 0").withColumn("p_retailprice", F.when(F.col("p_partkey") % 5 == 0, F.col("p_retailprice") + 1).otherwise(F.col("p_retailprice")))
+    return golden.diff(part, new, ["p_partkey"], "p_retailprice")
+
+
+def top_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judging.top(_t(spark, sf_dir, "part"), "p_brand", 6)
+
+
+def place_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    blocks = part.select(F.col("p_brand").alias("layout"), F.lit(None).cast("double").alias("grid_lead"), F.col("p_partkey").cast("string").alias("id"), F.lit(0.0).alias("x"), F.pmod("p_partkey", F.lit(100)).cast("double").alias("y"), F.col("p_size").cast("double").alias("cap_height"), F.pmod("p_partkey", F.lit(4)).cast("int").alias("n_lines"))
+    placed = layout.place(blocks, 1.5)
+    return placed.select("layout", "id", "grid", "lead", "ratio", F.size("baselines").cast("long").alias("n_lines"), F.try_element_at("baselines", F.lit(-1)).alias("last"))
+
+
+def polarity_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = _t(spark, sf_dir, "embeddings").select("vec_id", F.explode("embedding").alias("v")).select("vec_id", F.col("v").cast("double").alias("value"))
+    found = profiles.polarity(pixels, ["vec_id"])
+    return found.select("vec_id", *[F.bround(c, 6).alias(c) for c in ("p5", "p50", "p95")], "inverted", F.bround("level", 6).alias("level"))
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_type, at, value): events in each hour from the first to the last one, hours without any as 0."""
+    events = _t(spark, sf_dir, "events").select("event_type", F.floor(_seconds("ts") / 3600).cast("long").alias("at"))
+    counts = events.groupBy("event_type", "at").agg(F.count(F.lit(1)).alias("value"))
+    ends = counts.groupBy("event_type").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    hours = ends.select("event_type", F.explode(F.sequence("a", "b")).alias("at"))
+    return hours.join(counts, ["event_type", "at"], "left").select("event_type", "at", F.coalesce("value", F.lit(0)).cast("double").alias("value"))
+
+
+def ink_profile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.runs(_hourly(spark, sf_dir), ["event_type"], 0.5)
+
+
+def autocorr_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.autocorrelation(_hourly(spark, sf_dir), ["event_type"], 24).select("event_type", F.col("lag").cast("long").alias("lag"), F.bround("r", 6).alias("r"))
+
+
+def step_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.steps(_hourly(spark, sf_dir), ["event_type"], 12).where("step > 0")
+
+
+def flatten_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.flatten(_t(spark, sf_dir, "events"), "event_id", "props")
+
+
+def line_metrics_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _t(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("n")))).alias("t"))
+    lines = F.arrays_zip(F.col("t.turn").alias("turn"), F.col("t.role").alias("role"), F.col("t.n").alias("n"))
+    found = rows.select("conv_id", F.explode(lines).alias("s")).select("conv_id", "s.*").where("role = 'assistant' and n > 0")
+    return found.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("total"), F.min("turn").alias("first"))
+
+
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _t(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host"), "page_id", "url")
+    return judging.last_wins(pages, ["host"], ["page_id"])
+
+
+def orders_as_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Poster records out of orders: each line item is a block."""
+    n = F.col("l_quantity").cast("int")
+    x1, y1 = F.pmod("l_partkey", F.lit(400)).cast("int"), (F.pmod("l_suppkey", F.lit(100)) * 5).cast("int")
+    base = y1 + 10
+    block = F.struct(
+        x1.alias("x1"), y1.alias("y1"), (x1 + 4 * n).alias("x2"), (y1 + 2 * n).alias("y2"), F.col("l_linenumber").cast("int").alias("n"), F.col("l_quantity").alias("xh"),
+        F.when(F.col("l_linenumber") != 5, n + F.col("l_linenumber")).cast("int").alias("lead"), F.array(base, base + 30).alias("bases"), F.array(base - n, F.lit(None).cast("int")).alias("caps"), F.array(base - (n - F.pmod("l_linenumber", F.lit(2))), base).cast("array<int>").alias("xtops"),
+    )
+    orders = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(block).alias("blocks"))
+    turned = F.when(F.col("l_orderkey") % 10 == 0, 2.5).otherwise(0.0)
+    return orders.select(
+        F.concat(F.lit("c"), F.pmod("l_orderkey", F.lit(3))).alias("corpus"), F.col("l_orderkey").cast("string").alias("file"), F.col("l_orderkey").alias("ord"), turned.alias("angle"), F.array(F.lit(1000), F.lit(1200)).alias("size"),
+        metrics.region(F.col("blocks")).alias("region"), F.pmod("l_orderkey", F.lit(4)).cast("int").alias("n_columns"), F.lit(None).cast("struct<ground_share:double,n_colors:int,saturation:double,value:double,gray_share:double>").alias("color"), "blocks",
+    )
+
+
+def observe_orders_as_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = metrics.observe(orders_as_posters(spark, sf_dir))
+    return seen.groupBy("corpus", "metric").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity").alias("n_posters"), F.bround(F.avg("value"), 6).alias("mean"), F.bround(F.min("value"), 6).alias("least"), F.bround(F.max("value"), 6).alias("most"))
+
+
+def derive_orders_as_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posters = orders_as_posters(spark, sf_dir)
+    return judging.derive(metrics.observe(posters), posters.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_entities"))).drop("layers")
+
+
+def box_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    boxes = orders_as_posters(spark, sf_dir).select("ord", F.explode("blocks").alias("b")).select("ord", *[F.col(f"b.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    return spatial.without_shadows(boxes, "ord")
+
+
+def seeded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of large line items that overlap no box of a small one of the same supplier."""
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    x1, y1 = F.pmod("l_partkey", F.lit(400)) * 10, F.pmod("l_orderkey", F.lit(500)) * 10
+    boxes = rows.select("l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("row_id"), "q", x1.alias("x1"), y1.alias("y1"), (x1 + F.col("q")).cast("long").alias("x2"), (y1 + F.col("q")).cast("long").alias("y2"))
+    return spatial.uncovered_boxes(boxes.where("q > 25").drop("q"), boxes.where("q <= 25").drop("q", "row_id"), "l_suppkey")
+
+
+def check_layout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as layout candidates against the rules of all orders."""
+    posters = orders_as_posters(spark, sf_dir)
+    rules = judging.derive(metrics.observe(posters).withColumn("corpus", F.lit("all")))
+    blocks = F.transform("blocks", lambda b: F.struct(b["n"].cast("string").alias("id"), b["x1"].cast("double").alias("x"), (b["x2"] - b["x1"]).cast("double").alias("x_width"), (b["bases"][0] - b["caps"][0]).cast("double").alias("cap_height"), F.transform(b["bases"], lambda v: F.struct(v.cast("double").alias("baseline"))).alias("lines")))
+    layouts = posters.select(F.col("file").alias("layout"), F.lit(1).alias("layer"), F.struct(F.lit(1000.0).alias("w"), F.lit(1200.0).alias("h")).alias("canvas"), blocks.alias("blocks"))
+    return layout.totals(layout.check(layouts, rules))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        judge_doc_length_by_lang, coverage_by_corpus, gap_layers_events, gap_layers_prices, derive_rules_lineitem, representative_layer, align_clusters, cap_range_orders, margins_like_ratio, leading_gaps,
+        position_vs_band, range_join_layers, shadow_antijoin, overlap_antijoin, corpus_pairs_separated, bootstrap_median_ci, compare_corpora, metric_catalog_left_join, golden_diff, top_labels, place_grid,
+        polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
+    )
+}
+
+ORACLE_SQL = sql.ORACLE_SQL
