@@ -32,27 +32,28 @@ def _lines(text: Column) -> Column:
 
 
 def _keys(docs: DataFrame, id_col: str, min_chars: int) -> DataFrame:
-    """(doc_id, keys): for each line of a document the pair of hashes of its key, null for short ones."""
+    """(doc_id, keys): for each line of a document the hash of its key, null for short ones."""
 
-    def hashes(line: Column) -> Column:
+    def hashed(line: Column) -> Column:
         key = F.trim(line, F.lit(BLANKS))
-        return F.when(F.length(key) >= min_chars, F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(7), key).alias("h2")))
+        return F.when(F.length(key) >= min_chars, F.left(F.sha2(key.cast("binary"), 256), F.lit(32)))
 
     text = ascii_lower(whole_text())
-    return docs.select(F.col(id_col).alias("doc_id"), F.transform(_lines(text), hashes).alias("keys"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.transform(_lines(text), hashed).alias("keys"))
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, n_dropped, dropped) of every document that loses lines; dropped is the bitmap as text."""
     keys = _keys(docs, id_col, min_chars)
-    once = keys.select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).where("k is not null")
+    # strings, which array_distinct looks up by hash, until the arrays are exploded; then half the bytes
+    once = keys.select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select("doc_id", F.unhex("k").alias("h"))
     shared = (
-        once.groupBy("k.h1", "k.h2")
+        once.groupBy("h")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
         .where(F.col("n_docs") >= min_docs)
     )
-    every = keys.select("doc_id", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "pos", "k.h1", "k.h2")
-    found = every.join(shared, ["h1", "h2"]).repartitionByRange("h1", "h2", "doc_id", "pos").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    every = keys.select("doc_id", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "pos", F.unhex("k").alias("h"))
+    found = every.join(shared, "h").repartitionByRange("h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos")
     dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "pos").distinct()
 
     by_pos = Window.partitionBy("doc_id").orderBy("pos")
@@ -73,8 +74,9 @@ def kept_lines(text: Column, dropped: Column) -> Column:
     lost = F.flatten(F.transform(runs, lambda r: F.sequence(r[0], r[0] + r[1] - 1)))
     # positions and lost positions are both sorted: array_except is a hash lookup, linear in the lines
     left = F.array_except(F.sequence(F.lit(0), F.size(_lines(text)) - 1), lost)
-    lines = _lines(text)
-    return F.when(dropped.isNull(), lines).otherwise(F.transform(left, lambda i: F.get(lines, i)))
+    # the lines are bound once: an expression inside the inner function would split the text for each of them
+    picked = F.transform(F.array(_lines(text)), lambda lines: F.transform(left, lambda i: F.get(lines, i)))
+    return F.when(dropped.isNull(), _lines(text)).otherwise(F.get(picked, F.lit(0)))
 
 
 def apply(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -78,6 +78,13 @@ def test_line_bitmaps_restore_texts(spark, rows):
     assert len(left) == len(rows)
 
 
+def test_lines_of_a_very_long_text(spark):
+    long = "\n".join(f"{LINE} number {i}" for i in range(60_000))
+    docs = spark.createDataFrame([(i, long if i == 2 else f"{LINE} number 7\n{i}") for i in range(6)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in line_dedup.report(docs).collect()}
+    assert got == {0: (2, 1), 1: (2, 1), 2: (60_000, 1), 3: (2, 1), 4: (2, 1), 5: (2, 0)}
+
+
 def test_lines_null_ids(spark):
     docs = spark.createDataFrame([(None, LINE)] * 3 + [(i, LINE) for i in range(6)], "doc_id long, text string")
     got = line_dedup.report(docs).collect()
