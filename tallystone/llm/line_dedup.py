@@ -3,10 +3,11 @@
 1. Each document gives one 128-bit hash per distinct key (the stripped, ASCII-lower-cased line).
    Hashes are counted with map-side combine, so a line in a third of all documents costs a row per
    map task; of the rare ones nothing more is kept.
-2. The occurrences of shared hashes, and only those, are range-partitioned by (hash, document,
-   position) and sorted the same way. The document is part of the range key, so the occurrences of
-   one hot line are dealt over many tasks. Streaming through them, a line stays if its document is
-   the first one of its hash, which is the largest id.
+2. The occurrences of shared hashes, and only those, are range-partitioned by hash with a secondary
+   sort by document, largest first, and position. Streaming through them, a line stays if its
+   document is the first one of its hash. The ``HOT`` hashes in most documents are split off before:
+   their first documents, known from the count, are broadcast, and their occurrences dealt over
+   ``SPREAD`` parts each. Of all other hashes, none has more than 1/HOT of the counted occurrences.
 3. Each document's dropped positions are returned as a run-length compressed bitmap: pairs
    "first+length" of dropped lines, comma-joined; every other line is kept. No text is in there.
 
@@ -22,9 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallystone.llm.common import BLANKS, ascii_lower, columns_of, unused, whole_text
+from tallystone.llm.common import BLANKS, ascii_lower, columns_of, cut, unused, whole_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: How many hashes are broadcast at most, and over how many parts each of them is dealt.
+HOT, SPREAD = 1000, 256
 
 
 def _lines(text: Column) -> Column:
@@ -47,15 +50,21 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_C
     keys = _keys(docs, id_col, min_chars)
     # strings, which array_distinct looks up by hash, until the arrays are exploded; then half the bytes
     once = keys.select("doc_id", F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select("doc_id", F.unhex("k").alias("h"))
-    shared = (
-        once.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n_docs") >= min_docs)
-    )
-    every = keys.select("doc_id", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "pos", F.unhex("k").alias("h"))
-    found = every.join(shared, "h").repartitionByRange("h", "doc_id", "pos").sortWithinPartitions("h", "doc_id", "pos")
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).select("doc_id", "pos").distinct()
-
+    counted = once.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("keeper"))
+    shared = cut(counted.where(F.col("n_docs") >= min_docs))
+    hot = F.broadcast(shared.orderBy(F.desc("n_docs"), "h").limit(HOT))
+    every = keys.select("doc_id", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "pos", F.unhex("k").alias("h")).join(hot, "h", "left")
+
+    is_hot = F.col("n_docs").isNotNull()
+    # hot occurrences need no partner: a key of another length, which none has, deals them evenly
+    own = F.when(is_hot, F.unhex(F.hex(F.xxhash64("doc_id", "pos")))).otherwise(F.col("h"))
+    found = every.join(shared.select(F.col("h").alias("other")), own == F.col("other"), "left").where(is_hot | F.col("other").isNotNull())
+    part = F.when(is_hot, F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD))).otherwise(F.lit(0))
+    order = [F.desc_nulls_last("doc_id"), F.asc("pos")]
+    ranged = found.withColumn("part", part).repartitionByRange("h", "part").sortWithinPartitions("h", "part", *order)
+    first = F.first("doc_id").over(Window.partitionBy("h", "part").orderBy(*order))
+    placed = ranged.withColumn("first", F.when(is_hot, F.col("keeper")).otherwise(first))
+    dropped = placed.where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "pos").distinct()
     by_pos = Window.partitionBy("doc_id").orderBy("pos")
     runs = (
         dropped.withColumn("run", F.col("pos") - F.row_number().over(by_pos))
