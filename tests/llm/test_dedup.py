@@ -70,6 +70,11 @@ def test_lines(spark, rows):
     assert line_dedup.report(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_beyond_the_hot_ones(spark, rows, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 1)
+    assert result(line_dedup.report(frame(spark, rows)).drop("dropped_runs")) == by_sql("op4_line_dedup", rows)
+
+
 def test_line_bitmaps_restore_texts(spark, rows):
     lost = {r["doc_id"]: r for r in line_dedup.drop_bitmaps(frame(spark, rows)).collect()}
     assert lost[21_000]["n_dropped"] == 3 and lost[21_000]["dropped"] == "0+1,2+1,4+1" and 21_029 not in lost
@@ -117,9 +122,11 @@ def test_near_odd_rows(spark):
     assert near_dedup.drop_near_copies(docs).where("doc_id = 4").count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(components, "HOT", hot)
     rng = random.Random(1)
-    edges = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5000, 5000)]
+    edges = [(i, i + 1) for i in range(300)] + [(1000 + rng.randrange(300), 1000 + rng.randrange(300)) for _ in range(200)] + [(5000, 5000)] + [(7000 + i, 7500) for i in range(400)]
     above = {}
 
     def top(x):
