@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions import ordered
-from tallystone.operators import comparing, golden, judging, layout, metrics, profiles, spatial
+from tallystone.operators import comparing, golden, ink, judging, layout, lines, metrics, profiles, spatial
 from tallystone.plans import sql
 from tallystone.schemas import CONSTRAINT, NO_VALUE
+from tallystone.sources import posters as sources
 
 LINE_METRICS = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
 DAY = 86_400
@@ -230,12 +231,67 @@ def check_layout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.totals(layout.check(layouts, rules))
 
 
+def _customer_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(img, y, x): pictures of 12 by 12 pixels, ink where one of 60 customers' balances falls."""
+    spot = F.pmod(F.round(F.col("c_acctbal") * 100).cast("long"), F.lit(144))
+    return _t(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 60).alias("img"), F.floor(spot / 12).alias("y"), F.pmod(spot, F.lit(12)).alias("x"))
+
+
+def ink_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.components(_customer_ink(spark, sf_dir), ["img"]).drop("component")
+
+
+def ink_components_diagonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.components(_customer_ink(spark, sf_dir), ["img"], diagonal=True).drop("component")
+
+
+def ink_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ink.strata(ink.components(_customer_ink(spark, sf_dir), ["img"]), ["img"], 1.5)
+    return found.groupBy("img", "body").agg(F.count(F.lit(1)).alias("n"), F.count_if("tall").alias("n_tall"))
+
+
+def ink_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.shape(ink.components(_customer_ink(spark, sf_dir), ["img"]), ["img"], F.lit(3))
+
+
+def ink_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ink.closed(_customer_ink(spark, sf_dir), ["img"], F.col("x").between(0, 11) & F.col("y").between(0, 11))
+
+
+def line_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as lines: each type's and day's events by hour."""
+    hourly = _hourly(spark, sf_dir).withColumns({"day": F.floor(F.col("at") / 24), "at": F.pmod("at", F.lit(24))})
+    return lines.baselines(hourly, ["event_type", "day"])
+
+
+def _order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    xs = F.pmod("l_suppkey", F.lit(4)).cast("double")
+    base = (F.col("l_linenumber") * 20 + F.pmod("l_partkey", F.lit(13))).cast("double")
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", (base - 12).alias("top"), base.alias("base"), xs.alias("xs"), (xs + F.col("l_quantity")).alias("xe"), (5.0 + F.pmod("l_suppkey", F.lit(6))).alias("xh"))
+
+
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.blocks(_order_lines(spark, sf_dir), ["l_orderkey"])
+
+
+def align_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = _order_lines(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(F.struct("xs", "xe")).alias("s"))
+    return per.select("l_orderkey", lines.alignment(F.transform("s", lambda r: r["xs"]), F.transform("s", lambda r: r["xe"])).alias("a")).select("l_orderkey", "a.*")
+
+
+def color_levels_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    pixels = part.select(F.col("p_brand").alias("file"), F.pmod("p_partkey", F.lit(256)).cast("int").alias("r"), (F.col("p_size") * 5).cast("int").alias("g"), F.pmod("p_partkey", F.lit(7)).cast("int").alias("b"))
+    return sources.color_levels(pixels)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         judge_doc_length_by_lang, coverage_by_corpus, gap_layers_events, gap_layers_prices, derive_rules_lineitem, representative_layer, align_clusters, cap_range_orders, margins_like_ratio, leading_gaps,
         position_vs_band, range_join_layers, shadow_antijoin, overlap_antijoin, corpus_pairs_separated, bootstrap_median_ci, compare_corpora, metric_catalog_left_join, golden_diff, top_labels, place_grid,
         polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
+        ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
     )
 }
 

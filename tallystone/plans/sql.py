@@ -68,6 +68,22 @@ OBSERVED = f"""{BLOCKS},
             UNION ALL SELECT corpus, entity, 'cap_range', cr FROM po WHERE nb >= 2
             UNION ALL SELECT corpus, entity, 'text_area', ta FROM po WHERE k % 10 <> 0)"""
 
+_INK = """px AS (SELECT DISTINCT img, p // 12 AS y, p % 12 AS x FROM (SELECT c_custkey // 60 AS img, ((round(c_acctbal * 100)::BIGINT % 144) + 144) % 144 AS p FROM customer))"""
+
+
+def components(near: str) -> str:
+    """CTEs px, w and co: the components of the pictures' pixels, by walks from every pixel."""
+    return f"""RECURSIVE {_INK},
+        w AS (SELECT img, x * 100 + y AS k, x, y FROM px UNION SELECT w.img, w.k, q.x, q.y FROM w JOIN px q ON q.img = w.img AND {near}),
+        lb AS (SELECT img, x, y, min(k) AS lab FROM w GROUP BY ALL),
+        co AS (SELECT img, count(*) AS area, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM lb GROUP BY img, lab)"""
+
+
+_SIDES, _CORNERS = "abs(q.x - w.x) + abs(q.y - w.y) = 1", "abs(q.x - w.x) <= 1 AND abs(q.y - w.y) <= 1"
+
+#: Line items as lines of text.
+_ORDER_LINES = """ol AS (SELECT l_orderkey, (l_suppkey % 4)::DOUBLE AS xs, l_suppkey % 4 + l_quantity::DOUBLE AS xe FROM lineitem)"""
+
 ORACLE_SQL = {
     "judge_doc_length_by_lang": judged("(SELECT coalesce(lang, 'none') AS corpus, n_chars::DOUBLE AS value FROM documents)", "corpus"),
     "coverage_by_corpus": """
@@ -154,4 +170,29 @@ ORACLE_SQL = {
         WITH r AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, max(l_quantity) AS q FROM lineitem GROUP BY ALL),
         b AS (SELECT l_suppkey, l_orderkey || '-' || l_linenumber || '-' || l_partkey AS row_id, q, l_partkey % 400 * 10 AS x1, l_orderkey % 500 * 10 AS y1, (l_partkey % 400 * 10 + q)::BIGINT AS x2, (l_orderkey % 500 * 10 + q)::BIGINT AS y2 FROM r)
         SELECT l_suppkey, row_id, x1, y1, x2, y2 FROM b WHERE q > 25 AND NOT EXISTS (SELECT 1 FROM b o WHERE o.q <= 25 AND o.l_suppkey = b.l_suppkey AND o.x1 < b.x2 AND b.x1 < o.x2 AND o.y1 < b.y2 AND b.y1 < o.y2)""",
+    "ink_components": f"WITH {components(_SIDES)} SELECT * FROM co",
+    "ink_components_diagonal": f"WITH {components(_CORNERS)} SELECT * FROM co",
+    "ink_strata": f"""
+        WITH {components(_SIDES)}, b AS (SELECT img, coalesce(median(y2 - y1) FILTER (WHERE y2 - y1 >= 2), 0)::DOUBLE AS body FROM co GROUP BY img)
+        SELECT img, body, count(*) AS n, count(*) FILTER (WHERE body > 0 AND y2 - y1 > 1.5::DOUBLE * body) AS n_tall FROM co JOIN b USING (img) GROUP BY img, body""",
+    "ink_shape": f"""
+        WITH {components(_SIDES)}, k AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY area DESC) AS nr FROM co WHERE area >= 3)
+        SELECT img, sum(area)::BIGINT AS area, count(*) AS n_comp, round_even(max(area) / sum(area)::DOUBLE, 3) AS top1, round_even(sum(area) FILTER (WHERE nr <= 3) / sum(area)::DOUBLE, 3) AS top3,
+               round_even(median(area / ((x2 - x1) * (y2 - y1))::DOUBLE), 3) AS solidity FROM k GROUP BY img""",
+    "ink_closed": f"""
+        WITH {_INK}, o AS (SELECT unnest(range(-1, 2)) AS d), n AS (SELECT a.d AS dx, b.d AS dy FROM o a CROSS JOIN o b),
+        g AS (SELECT DISTINCT img, y + dy AS y, x + dx AS x FROM px CROSS JOIN n WHERE x + dx BETWEEN 0 AND 11 AND y + dy BETWEEN 0 AND 11)
+        SELECT g.img, g.y, g.x FROM g JOIN g o ON o.img = g.img AND abs(o.x - g.x) <= 1 AND abs(o.y - g.y) <= 1 GROUP BY ALL HAVING count(*) = 9""",
+    "line_baselines": f"""
+        WITH {HOURLY}, d AS (SELECT event_type, "at" // 24 AS day, "at" % 24 AS r, value FROM h),
+        m AS (SELECT event_type, day, median(value) FILTER (WHERE value > 0) AS half FROM d GROUP BY ALL),
+        l AS (SELECT d.event_type, d.day, 0.5::DOUBLE * median(value) AS lev FROM d JOIN m USING (event_type, day) WHERE value > 0 AND value >= half GROUP BY ALL)
+        SELECT d.event_type, d.day, max(r) FILTER (WHERE value > 0 AND value >= lev) + 1 AS base FROM d LEFT JOIN l USING (event_type, day) GROUP BY ALL""",
+    "align_axis": f"""
+        WITH {_ORDER_LINES}, s AS (SELECT l_orderkey, count(*) AS n, stddev_pop(xs) AS l, stddev_pop(xe) AS r, stddev_pop((xs + xe) / 2) AS c FROM ol GROUP BY l_orderkey),
+        t AS (SELECT *, CASE WHEN l <= r AND l <= c THEN 'left' WHEN r <= c THEN 'right' ELSE 'center' END AS name, least(l, r, c) AS best FROM s)
+        SELECT l_orderkey, CASE WHEN n >= 2 THEN CASE WHEN best <= 3 THEN name ELSE 'none' END END AS align, round_even(l, 2) AS "left", round_even(r, 2) AS "right", round_even(c, 2) AS center FROM t""",
+    "color_levels_parts": """
+        WITH p AS (SELECT p_brand AS file, greatest(p_partkey % 256, p_size * 5, p_partkey % 7) AS hi, least(p_partkey % 256, p_size * 5, p_partkey % 7) AS lo FROM part)
+        SELECT file, round_even(median(CASE WHEN hi > 0 THEN (hi - lo) / hi::DOUBLE ELSE 0 END), 4) AS saturation, round_even(median(hi / 255::DOUBLE), 4) AS value FROM p GROUP BY file""",
 }

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallystone.operators.judging import last_wins
+from tallystone.functions import ordered
+from tallystone.operators.judging import last_wins, top
 from tallystone.schemas import POSTER
 
 PATTERN = "*.{jpg,jpeg,png,JPG,PNG}"
@@ -42,6 +43,30 @@ def pixels(images: DataFrame) -> DataFrame:
     return each.select("file", F.floor(F.col("p") / F.col("width")).alias("y"), F.pmod("p", "width").alias("x"), gray.alias("gray"))
 
 
+def rgb(images: DataFrame) -> DataFrame:
+    """(file, y, x, r, g, b): a row for each pixel; a gray picture has three equal values."""
+    n, at = F.col("n_channels"), F.col("p") * F.col("n_channels")
+    byte = lambda i: F.conv(F.hex(F.substring("data", (at + i + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    each = images.select("file", "width", "n_channels", "data", F.explode(F.sequence(F.lit(0), F.col("height") * F.col("width") - 1)).alias("p"))
+    shown = [F.when(n == 1, byte(0)).otherwise(byte(i)).alias(c) for c, i in (("r", 2), ("g", 1), ("b", 0))]
+    return each.select("file", F.floor(F.col("p") / F.col("width")).alias("y"), F.pmod("p", "width").alias("x"), *shown)
+
+
+def color_levels(pixels_rgb: DataFrame) -> DataFrame:
+    """(file, saturation, value) of pixels (file, r, g, b): the median distance of the largest from the
+    smallest of the three as a share of the largest, and the median of the largest as a share of 255."""
+    most, least = F.greatest("r", "g", "b"), F.least("r", "g", "b")
+    levels = F.array(F.struct(F.lit("saturation").alias("level"), F.when(most > 0, (most - least) / most).otherwise(0.0).alias("value")), F.struct(F.lit("value").alias("level"), (most / 255).alias("value")))
+    found = ordered.quantiles(pixels_rgb.select("file", F.explode(levels).alias("s")).select("file", "s.*"), ["file", "level"], {"m": 0.5})
+    return found.groupBy("file").agg(*[F.bround(F.max(F.when(F.col("level") == c, F.col("m"))), 4).alias(c) for c in ("saturation", "value")])
+
+
+def color_records(pixels_rgb: DataFrame) -> DataFrame:
+    """(file, color): the five colour metrics of a poster record."""
+    both = colors(pixels_rgb).join(color_levels(pixels_rgb), "file")
+    return both.select("file", F.struct("ground_share", F.col("n_colors").cast("int").alias("n_colors"), "saturation", "value", "gray_share").alias("color"))
+
+
 def colors(pixels_rgb: DataFrame) -> DataFrame:
     """(file, ground_share, n_colors, gray_share) of pixels (file, r, g, b): shares of 64 colour cells."""
     cell = F.floor(F.col("r") / 64) * 16 + F.floor(F.col("g") / 64) * 4 + F.floor(F.col("b") / 64)
@@ -86,13 +111,17 @@ def union_box(boxes: DataFrame, pad: int = 6) -> DataFrame:
 
 def skew(boxes: DataFrame, least: float = 40.0, widest: int = 8) -> DataFrame:
     """(img, angle, spread): median angle of the widest boxes of an image, in degrees, and 0 where it is
-    below 1, above 10 or the angles are spread over more than 2. boxes: (img, quad, conf)."""
+    below 1, above 10 or the angles are spread over more than 2. Angles over 45 from the median are
+    read as a quarter turn away. boxes: (img, quad, conf)."""
     a, b = F.get("quad", F.lit(0)), F.get("quad", F.lit(1))
     wide = boxes.select("img", F.hypot(b["x"] - a["x"], b["y"] - a["y"]).alias("w"), F.degrees(F.atan2(b["y"] - a["y"], b["x"] - a["x"])).alias("angle")).where(F.col("w") >= least)
     row = Window.partitionBy("img").orderBy(F.desc("w"), "angle")
     best = wide.withColumn("place", F.row_number().over(row)).where(F.col("place") <= widest)
     # at most ``widest`` rows of an image are left, so its exact median is small
-    middle = best.groupBy("img").agg(F.median("angle").alias("m"), F.stddev_pop("angle").alias("spread"))
+    usual = best.groupBy("img").agg(F.median("angle").alias("usual"))
+    off = F.col("angle") - F.col("usual")
+    turned = best.join(usual, "img").withColumn("angle", F.col("angle") - F.when(off > 45, 90.0).when(off < -45, -90.0).otherwise(0.0))
+    middle = turned.groupBy("img").agg(F.median("angle").alias("m"), F.stddev_pop("angle").alias("spread"))
     keep = (F.abs("m") >= 1) & (F.abs("m") <= 10) & (F.col("spread") <= 2)
     return middle.select("img", F.when(keep, F.col("m")).otherwise(0.0).alias("angle"), "spread")
 
@@ -101,3 +130,24 @@ def photo_verdict(depth: Column, objects: Column, strong: float = 0.0026, weak:
     """yes: objects and a deep picture; no: none and a flat one; else unknown."""
     seen = F.size(F.filter(objects, lambda o: o["score"] >= 0.9)) > 0
     return F.when(seen & (depth >= strong), "yes").when(~seen & (depth < weak), "no").otherwise("unknown")
+
+
+def unrotated(x: Column, y: Column, angle: Column, before: tuple[Column, Column], after: tuple[Column, Column]) -> Column:
+    """struct(x, y): where a point of a picture turned by ``angle`` degrees is in the picture before;
+    the two sizes are (width, height), and both turn about their middle."""
+    dx, dy, a = x - after[0] / 2, y - after[1] / 2, F.radians(angle)
+    return F.struct((F.cos(a) * dx - F.sin(a) * dy + before[0] / 2).alias("x"), (F.sin(a) * dx + F.cos(a) * dy + before[1] / 2).alias("y"))
+
+
+def tallies(posters: DataFrame) -> DataFrame:
+    """(corpus, n_posters, n_rotated, n_judged, n_yes, n_no, n_unknown): turned posters, and photo
+    verdicts of those that were judged."""
+    verdict = F.when(F.col("photo").isNotNull(), F.coalesce("photo.verdict", F.lit("unknown")))
+    return posters.groupBy("corpus").agg(
+        F.count(F.lit(1)).alias("n_posters"), F.count_if(F.abs(F.coalesce("angle", F.lit(0.0))) >= 1).alias("n_rotated"), F.count_if(F.col("photo").isNotNull()).alias("n_judged"), *[F.count_if(verdict == v).alias(f"n_{v}") for v in ("yes", "no", "unknown")]
+    )
+
+
+def seen_objects(posters: DataFrame, k: int = 6) -> DataFrame:
+    """(rank, label, n): the objects that photos show most often."""
+    return top(posters.select(F.explode("photo.objects").alias("o")).select(F.col("o.label").alias("label")), "label", k)
