@@ -1,41 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components, as the library's graph functions give them."""
 
-from __future__ import annotations
+from tallystone.functions.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tallystone.llm.common import cut
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of ``edges`` (a, b); component is the smallest node reachable.
-
-    Each round is a few shuffles of at most as many edges as there were; rounds go with the
-    logarithm of the longest path. Edges are written to the checkpoint folder after each round."""
-
-    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
-        e = cut(e)
-        return e, tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, mark = written(edges)
-    while True:
-        edges, after = written(_small_star(_large_star(edges)))
-        if after == mark:
-            break
-        mark = after
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+__all__ = ["components"]
