@@ -108,9 +108,10 @@ def spread(values: Column) -> Column:
 
 def alignment(left: Column, right: Column, loose: float = 3.0) -> Column:
     """struct(align, left, right, center) of arrays of line ends: the spread of each axis and the name of
-    the smallest, ``none`` if it is over ``loose``, null with fewer than two lines. Of equal ones left
-    comes before right and right before center."""
-    axes = {"left": spread(left), "right": spread(right), "center": spread(F.zip_with(left, right, lambda a, b: (a + b) / 2))}
+    the smallest, ``none`` if it is over ``loose``, null with fewer than two lines. Of equal ones, to nine
+    places so that no rounding error decides, left comes before right and right before center."""
+    ends = {"left": left, "right": right, "center": F.zip_with(left, right, lambda a, b: (a + b) / 2)}
+    axes = {k: F.bround(spread(v), 9) for k, v in ends.items()}
     least = F.least(*axes.values())
     name = F.coalesce(*[F.when(s == least, k) for k, s in axes.items()])
     return F.struct(F.when(F.size(left) >= 2, F.when(least <= loose, name).otherwise("none")).alias("align"), *[F.bround(s, 2).alias(k) for k, s in axes.items()])

@@ -189,7 +189,7 @@ ORACLE_SQL = {
         l AS (SELECT d.event_type, d.day, 0.5::DOUBLE * median(value) AS lev FROM d JOIN m USING (event_type, day) WHERE value > 0 AND value >= half GROUP BY ALL)
         SELECT d.event_type, d.day, max(r) FILTER (WHERE value > 0 AND value >= lev) + 1 AS base FROM d LEFT JOIN l USING (event_type, day) GROUP BY ALL""",
     "align_axis": f"""
-        WITH {_ORDER_LINES}, s AS (SELECT l_orderkey, count(*) AS n, stddev_pop(xs) AS l, stddev_pop(xe) AS r, stddev_pop((xs + xe) / 2) AS c FROM ol GROUP BY l_orderkey),
+        WITH {_ORDER_LINES}, s AS (SELECT l_orderkey, count(*) AS n, round_even(stddev_pop(xs), 9) AS l, round_even(stddev_pop(xe), 9) AS r, round_even(stddev_pop((xs + xe) / 2), 9) AS c FROM ol GROUP BY l_orderkey),
         t AS (SELECT *, CASE WHEN l <= r AND l <= c THEN 'left' WHEN r <= c THEN 'right' ELSE 'center' END AS name, least(l, r, c) AS best FROM s)
         SELECT l_orderkey, CASE WHEN n >= 2 THEN CASE WHEN best <= 3 THEN name ELSE 'none' END END AS align, round_even(l, 2) AS "left", round_even(r, 2) AS "right", round_even(c, 2) AS center FROM t""",
     "color_levels_parts": """
