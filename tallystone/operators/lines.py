@@ -71,17 +71,23 @@ def block_numbers(lines: Column) -> Column:
     axis is shared within AXIS, or where this line and the next both differ in size from the median of
     the block so far; one odd line alone, or the last one, is no change of size."""
     usual = middle(gaps(F.transform(lines, lambda s: s["base"])))
-    start = F.struct(F.array(F.lit(0)).alias("numbers"), F.slice(F.transform(lines, lambda s: s["xh"].cast("double")), 1, 1).alias("sizes"))
+    start = F.struct(F.array(F.lit(0)).alias("numbers"), F.slice(F.transform(lines, lambda s: s["xh"].cast("double")), 1, 1).alias("sizes"), usual.alias("usual"))
 
     def step(done: Column, i: Column) -> Column:
         a, b, after = F.get(lines, i - 1), F.get(lines, i), F.get(lines, i + 1)
-        size = middle(done["sizes"])
-        other = lambda s: (F.abs(size - s["xh"]) > SIZE_LEAST) & (F.abs(size - s["xh"]) > SIZE_RATIO * F.least(size, s["xh"]))
         axis = (F.abs(a["xs"] - b["xs"]) <= AXIS) | (F.abs(a["xe"] - b["xe"]) <= AXIS) | (F.abs(a["xs"] + a["xe"] - b["xs"] - b["xe"]) <= 2 * AXIS)
-        ends = (b["base"] - a["base"] > GAP_RATIO * usual) | ~axis | (other(b) & F.coalesce(other(after), F.lit(False)))
-        number = F.element_at(done["numbers"], -1) + F.when(ends, 1).otherwise(0)
-        own = F.array(b["xh"].cast("double"))
-        return F.struct(F.concat(done["numbers"], F.array(number)).alias("numbers"), F.when(ends, own).otherwise(F.concat(done["sizes"], own)).alias("sizes"))
+
+        def ends(size: Column) -> Column:
+            other = lambda s: (F.abs(size - s["xh"]) > SIZE_LEAST) & (F.abs(size - s["xh"]) > SIZE_RATIO * F.least(size, s["xh"]))
+            return (b["base"] - a["base"] > GAP_RATIO * done["usual"]) | ~axis | (other(b) & F.coalesce(other(after), F.lit(False)))
+
+        def placed(new: Column) -> Column:
+            number = F.element_at(done["numbers"], -1) + F.when(new, 1).otherwise(0)
+            own = F.array(b["xh"].cast("double"))
+            return F.struct(F.concat(done["numbers"], F.array(number)).alias("numbers"), F.when(new, own).otherwise(F.concat(done["sizes"], own)).alias("sizes"), done["usual"].alias("usual"))
+
+        # medians and the decision are bound once: each use would work them out anew
+        return F.get(F.transform(F.transform(F.array(middle(done["sizes"])), ends), placed), F.lit(0))
 
     n = F.size(lines)
     return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(2)) - 1), start, step, lambda d: d["numbers"])).when(n == 1, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)"))
