@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tallystone.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from tallystone.llm.common import table
 
+#: Similarity of near copies in the stage; op5 keeps its own of 85 %.
+NEAR_PERCENT = 80
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without any letter have no language and go."""
@@ -21,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return near_dedup.drop_near_copies(docs)
+    """One document of each component of texts at a similarity of ``NEAR_PERCENT`` or more stays."""
+    return near_dedup.drop_near_copies(docs, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

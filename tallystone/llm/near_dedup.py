@@ -3,12 +3,13 @@
 1. Each document's distinct word shingles give a signature of 64 components of 16 bits (the lowest
    bits of 64 min-hashes). Equal shingle sets are one class from here on; its smallest id stands
    for it, so copies cost nothing more.
-2. Two sets of similarity s differ in a component with probability 1-s. Signatures at a distance of
-   at most 23 components are the join's matches; at s = 0.85 a true pair is farther apart than that
-   with a probability of about 2e-5.
-3. Pigeonhole: the 64 components are split into 12 chunks. A distance of at most 23 leaves at most
-   one error in some chunk, and the allowed error is enumerated: each chunk is indexed once for each
-   of its components left out. So every pair within the distance shares at least one of 64 keys.
+2. Two sets of similarity s differ in a component with probability 1-s. Signatures within a distance
+   set by ``percent`` are the join's matches: a true pair at that similarity is farther apart with a
+   probability of at most ``MISS``. It is 23 components for 85 %, 29 for 80 %.
+3. Pigeonhole: the 64 components are split into chunks, 12 for a distance of 23, 15 for 29. With c chunks
+   a distance of at most 2c-1 leaves at most one error in some chunk, and the allowed error is
+   enumerated: each chunk is indexed once for each of its components left out. So every pair within
+   the distance shares at least one of 64 keys.
 4. Within a bucket, signatures are compared in blocks and only a spanning forest of the matches goes
    on. The connected components of these forests are the near groups; no link leaves its group.
 5. The texts of near groups, and only those, are read once more. Within a group each document is
@@ -27,6 +28,7 @@ other columns are ignored. Hashes of shingles have 64 bits.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -41,7 +43,9 @@ from tallystone.llm.common import cut
 from tallystone.llm.components import components
 
 WIDTH, PERCENT = 5, 85
-COMPONENTS, CHUNKS, DISTANCE = 64, 12, 23
+COMPONENTS = 64
+#: Greatest probability that a pair at the similarity asked for is beyond the distance.
+MISS = 1e-5
 BLOCK = 2048
 #: Most documents' characters in one block of a near group.
 BLOCK_CHARS = 16_000_000
@@ -83,19 +87,33 @@ def _sketcher(width: int):
     return sketch
 
 
-def _index_keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each signature its 64 keys: a chunk without one of its components, hashed."""
-    chunks = np.array_split(np.arange(COMPONENTS), CHUNKS)
-    for batch in batches:
-        if batch.empty:
-            continue
-        parts = np.stack([np.frombuffer(s, dtype=np.uint16) for s in batch["signature"]]).astype(_U)
-        parts = words.mix((parts << _U(8)) + np.arange(COMPONENTS, dtype=_U))
-        keys = []
-        for chunk in chunks:
-            total = parts[:, chunk].sum(axis=1, dtype=_U)
-            keys += [words.mix(total - parts[:, out] + _U(out)) for out in chunk]
-        yield pd.DataFrame({"key": np.stack(keys, axis=1).reshape(-1).view(np.int64), "id": np.repeat(batch["id"].to_numpy(), COMPONENTS)})
+def reach(percent: int) -> tuple[int, int]:
+    """(chunks, distance): the fewest chunks, with one error each, whose distance of 2 * chunks - 1 a
+    pair at a similarity of ``percent`` exceeds with a probability of at most MISS."""
+    p = 1 - percent / 100
+    for chunks in range(1, COMPONENTS // 2 + 1):
+        if sum(math.comb(COMPONENTS, k) * p**k * (1 - p) ** (COMPONENTS - k) for k in range(2 * chunks, COMPONENTS + 1)) <= MISS:
+            return chunks, 2 * chunks - 1
+    raise ValueError(f"{COMPONENTS} components cannot tell a similarity of {percent} %")
+
+
+def _indexer(n_chunks: int):
+    chunks = np.array_split(np.arange(COMPONENTS), n_chunks)
+
+    def index_keys(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each signature its 64 keys: a chunk without one of its components, hashed."""
+        for batch in batches:
+            if batch.empty:
+                continue
+            parts = np.stack([np.frombuffer(s, dtype=np.uint16) for s in batch["signature"]]).astype(_U)
+            parts = words.mix((parts << _U(8)) + np.arange(COMPONENTS, dtype=_U))
+            keys = []
+            for chunk in chunks:
+                total = parts[:, chunk].sum(axis=1, dtype=_U)
+                keys += [words.mix(total - parts[:, out] + _U(out)) for out in chunk]
+            yield pd.DataFrame({"key": np.stack(keys, axis=1).reshape(-1).view(np.int64), "id": np.repeat(batch["id"].to_numpy(), COMPONENTS)})
+
+    return index_keys
 
 
 def _forest(n: int, near) -> list[tuple[int, int]]:
@@ -133,19 +151,22 @@ def _runs(batches: Iterable[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFra
         yield pd.concat(held) if len(held) > 1 else held[0]
 
 
-def _close_signatures(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of each bucket a spanning forest of the signatures within DISTANCE."""
-    edges: list[tuple[int, int]] = []
-    for run in _runs(batches, ["key", "tile"]):
-        ids, at = np.unique(run["id"].to_numpy(), return_index=True)
-        if len(ids) > 1:
-            rows = run["signature"].to_numpy()[at]
-            table = np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(-1, COMPONENTS)
-            edges += [(ids[i], ids[j]) for i, j in _forest(len(ids), lambda i, o, t=table: (t[o] != t[i]).sum(axis=1) <= DISTANCE)]
-        if len(edges) > 100_000:
-            yield pd.DataFrame(set(edges), columns=["a", "b"], dtype="int64")
-            edges = []
-    yield pd.DataFrame(list(set(edges)), columns=["a", "b"]).astype("int64")
+def _matcher(distance: int):
+    def close_signatures(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each bucket a spanning forest of the signatures within ``distance``."""
+        edges: list[tuple[int, int]] = []
+        for run in _runs(batches, ["key", "tile"]):
+            ids, at = np.unique(run["id"].to_numpy(), return_index=True)
+            if len(ids) > 1:
+                rows = run["signature"].to_numpy()[at]
+                table = np.frombuffer(b"".join(rows), dtype=np.uint16).reshape(-1, COMPONENTS)
+                edges += [(ids[i], ids[j]) for i, j in _forest(len(ids), lambda i, o, t=table: (t[o] != t[i]).sum(axis=1) <= distance)]
+            if len(edges) > 100_000:
+                yield pd.DataFrame(set(edges), columns=["a", "b"], dtype="int64")
+                edges = []
+        yield pd.DataFrame(list(set(edges)), columns=["a", "b"]).astype("int64")
+
+    return close_signatures
 
 
 def _linker(width: int, percent: int):
@@ -193,22 +214,21 @@ def _tiled(members: DataFrame, by: str, blocks) -> DataFrame:
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
-    if percent < PERCENT:
-        raise ValueError(f"the signature distance is set for similarities from {PERCENT} %")
+    chunks, distance = reach(percent)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     sketched = cut(texts.select("id", _sketcher(width)("text").alias("s")).select("id", "s.*"))
     classes = sketched.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"))
     reps = sketched.where("n > 0").join(classes, "same").where("id = rep").select("id", "chars", "signature").dropDuplicates(["id"])
     reps = cut(reps)
 
-    keys = reps.select("id", "signature").mapInPandas(_index_keys, "key long, id long")
+    keys = reps.select("id", "signature").mapInPandas(_indexer(chunks), "key long, id long")
     filled = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = _tiled(keys.join(filled, "key"), "key", F.ceil(F.col("n") / BLOCK)).join(reps.select("id", "signature"), "id")
     near = (
         members.select("key", "tile", "id", "signature")
         .repartition("key", "tile")
         .sortWithinPartitions("key", "tile")
-        .mapInPandas(_close_signatures, "a long, b long")
+        .mapInPandas(_matcher(distance), "a long, b long")
     )
     groups = components(near).withColumnsRenamed({"node": "id", "component": "near"})
 
@@ -232,8 +252,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents of ``docs`` that stand for their component, with their columns; so do rows
     without id, which nothing can name."""
-    lost = similar(docs, id_col, text_col).groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("k")).where("not k").select(id_col)
+    lost = similar(docs, id_col, text_col, percent=percent).groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("k")).where("not k").select(id_col)
     return docs.join(lost, id_col, "left_anti")

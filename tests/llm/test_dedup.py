@@ -113,6 +113,19 @@ def test_near_in_blocks(spark, rows, monkeypatch):
     assert got == want
 
 
+def test_near_at_other_similarities(spark, rows):
+    text = " ".join(f"v{i}" for i in range(104))  # 100 shingles; the other text shares 90 of 110
+    rows = [*rows, (40_000, text), (40_001, " ".join([*text.split()[:94], *[f"u{i}" for i in range(10)]]))]
+    for percent in (80, 60):
+        want = brute.near_components(rows, percent)
+        got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.similar(frame(spark, rows), percent=percent).collect()}
+        assert got == want and got[40_001][1] == 40_000
+    assert brute.near_components(rows)[40_001][1] == 40_001
+    assert near_dedup.reach(85) == (12, 23) and near_dedup.reach(80) == (15, 29)
+    with pytest.raises(ValueError):
+        near_dedup.reach(10)
+
+
 def test_near_odd_rows(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(None, text), (4, text), (4, text), (2, text), (7, None), (None, None), (8, "")], "doc_id long, text string")

@@ -100,6 +100,14 @@ def test_pipeline(spark, tiny):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "decontamination", "packing"]
 
 
+def test_near_stage_takes_pairs_from_80_percent(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = {i for i, w in brute.near_components(rows, 80).items() if w[2]}
+    assert want != {i for i, w in brute.near_components(rows).items() if w[2]}
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, tiny).collect()} == want
+
+
 def test_stages_take_odd_rows(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (None, "the same text", None, "a", 1), (None, "the same text", None, "a", 1)], docs.schema)
