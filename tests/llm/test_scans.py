@@ -77,6 +77,25 @@ def test_accounts_and_context(spark):
     assert got[3]["mean_score"] > got[4]["mean_score"]
 
 
+def test_accounts_before_other_tokens(spark):
+    cases = {
+        "BE68 5390 0754 7034 EUR 100": [(0, 19)],
+        "to AT61 1904 3002 3457 3201 EUR": [(3, 27)],
+        "AT61 1904 3002 3457 3201 2024": [(0, 24)],
+        "BE68539007547034 EUR": [(0, 16)],
+        "BE68 5390 0754 7034 BE68 5390 0754 7034": [(0, 19), (20, 39)],
+        "REF AB12 DE89 3704 0044 0532 0130 00 X": [(9, 36)],
+        "é DE89 3704 0044 0532 0130 00, NL91ABNA0417164300 1 NO93 8601 1117 947": [(2, 29), (31, 49), (52, 70)],
+        "ZZ10 0000 0000 0000 EUR": [],
+        "BE68 5390 0754 7035 EUR": [],
+        "BE68 5390 0754 7034EUR": [],
+        "DE88 3704 0044 0532 0130 00 2024": [],
+    }
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")).collect()}
+    for i, (text, want) in enumerate(cases.items()):
+        assert [tuple(map(int, s.split(":")[1:])) for s in got[i].split(",") if s.startswith("iban")] == want, text
+
+
 def test_contamination(spark, tiny):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
