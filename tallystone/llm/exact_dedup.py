@@ -2,7 +2,8 @@
 
 1. Every row gets the SHA-256 of its whole text; the narrow (id, digest) table is written once.
 2. A Misra-Gries pass (Spark's frequent-item sketch, at most 1/support counters) names the digests
-   that may cover more than ``support`` of all rows. The sketch has false positives but no misses.
+   that may cover more than ``support`` of all rows. The sketch has false positives but no misses; it
+   counts 64-bit hashes of the digests, since it does not know equal binary values again.
 3. The candidates are verified by an exact count with map-side combine. The winners, at most
    1/support rows whatever the corpus, are broadcast and settle their copies on the map side.
 4. All other digests, none of which holds more than ``support`` of the rows, go through an ordinary
@@ -29,8 +30,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None,
     digest = sha256_hex(whole_text() if text is None else text)
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.unhex(digest).alias("digest")).withColumn("row", F.monotonically_increasing_id()))
 
-    heavy = rows.stat.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
-    winners = F.broadcast(_groups(rows.join(F.broadcast(heavy), "digest", "left_semi")))
+    winners = F.broadcast(frequent(rows, support))
     copies = rows.join(winners, "digest", "inner")
     rest = rows.join(winners, "digest", "left_anti")
     tail = rest.join(_groups(rest), "digest", "inner")
@@ -43,6 +43,13 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text: Column | None = None,
     )
 
 
+def frequent(rows: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """The groups of all digests that cover more than ``support`` of the rows, and of few others."""
+    hashed = rows.withColumn("hash", F.xxhash64("digest"))
+    heavy = hashed.stat.freqItems(["hash"], support).select(F.explode("hash_freqItems").alias("hash"))
+    return _groups(hashed.join(F.broadcast(heavy), "hash", "left_semi"))
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("winner"), F.count(F.lit(1)).alias("group_size"))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tallystone.llm import components, exact_dedup, line_dedup, near_dedup, queries
 from tests.llm import brute
@@ -56,6 +58,16 @@ def test_exact(spark, rows):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(kept)
 
 
+def test_exact_finds_frequent_digests(spark):
+    # hot digests are in the middle of each of four partitions, single ones around them
+    at = F.col("id") % 10_000
+    text = F.when(at.between(3_000, 5_999), "a").when(at.between(6_000, 6_199), "b").when(at.between(7_000, 7_099), "c").otherwise(F.col("id").cast("string"))
+    rows = spark.range(0, 40_000, 1, 4).select(F.col("id").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.col("id").alias("row"))
+    got = {bytes(r["digest"]): (r["winner"]["doc_id"], r["group_size"]) for r in exact_dedup.frequent(rows, 0.005).collect()}
+    assert {k: got[hashlib.sha256(k.encode()).digest()] for k in "abc"} == {"a": (35_999, 12_000), "b": (36_199, 800), "c": (37_099, 400)}
+    assert len(got) <= 200
+
+
 def test_exact_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a"), (None, "a"), (1, "b"), (1, "b"), (None, "b"), (2, None), (3, "")], "doc_id long, text string")
     got = [tuple(r)[:4] for r in exact_dedup.decide(docs).collect()]
