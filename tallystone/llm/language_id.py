@@ -160,6 +160,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(np.array(windows), np.array(labels), languages)
 
 
+def _lettered(texts: pa.Array) -> pa.Array:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False)
+
+
 def predictor(network: Network, docs: DataFrame):
     """A column function: text -> struct(lang_pred, score)."""
     shared = docs.sparkSession.sparkContext.broadcast(network)
@@ -167,7 +171,7 @@ def predictor(network: Network, docs: DataFrame):
     @F.arrow_udf("lang_pred string, score double")
     def predict(texts: pa.Array) -> pa.Array:
         languages = shared.value.languages
-        lettered = np.array(pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False))
+        lettered = np.array(_lettered(texts))
         if not languages:
             return pa.StructArray.from_arrays([pa.array([UNKNOWN] * len(texts)), pa.array(np.zeros(len(texts)))], ["lang_pred", "score"])
         found = Scorer(shared.value).texts(pc.fill_null(texts, ""))
@@ -187,6 +191,10 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
 
 
 def drop_unknown(docs: DataFrame) -> DataFrame:
-    """The documents that are in some language, with their columns: null and letterless texts go."""
-    predict, found = predictor(learn(docs), docs), unused(docs, "found")
+    """The documents that are in some language, with their columns: null and letterless texts go, and
+    only those, also where no row is labelled and so no language is known."""
+    network, found = learn(docs), unused(docs, "found")
+    if not network.languages:
+        return docs.where(F.arrow_udf(_lettered, "boolean")(F.col("text").cast("string")))
+    predict = predictor(network, docs)
     return docs.withColumn(found, predict(F.col("text").cast("string"))).where(F.col(f"{found}.lang_pred") != UNKNOWN).select(*columns_of(docs))

@@ -37,6 +37,13 @@ def test_language_id_odd_rows(spark, tiny):
     assert language_id.identify(docs.limit(0)).count() == 0
 
 
+def test_texts_stay_without_any_label(spark):
+    rows = [(1, "the text", None), (2, "12 34 !?", None), (3, None, "en"), (4, "é", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = language_id.drop_unknown(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 4]
+
+
 def padding_of(lengths, ends):
     return sum(next(e for e in ends if n <= e) - n for n in lengths)
 
