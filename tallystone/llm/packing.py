@@ -1,7 +1,7 @@
 """Packing into optimal length buckets.
 
-1. One aggregation gives the histogram of token counts over all documents. It has at most
-   ``MAX_LENGTHS`` rows: beyond that, lengths are rounded up to multiples of a step that keeps it so.
+1. One aggregation gives the histogram of token counts over all documents, each length by itself. Of
+   texts of n bytes together it has fewer than sqrt(n) + 2 rows, since a token takes two bytes with its blank.
 2. A dynamic program over the histogram chooses the bucket capacities that minimise padding; with
    the lower hull of lines it takes a number of steps in proportion to buckets times lengths.
 3. Each document goes to the smallest bucket that holds it. Buckets are dealt by hash into parts of
@@ -23,7 +23,6 @@ from pyspark.sql.window import Window
 from tallystone.llm.common import whole_text
 
 BUCKETS, BUDGET = 16, 16384
-MAX_LENGTHS = 1 << 16
 ROWS_PER_PART = 20_000
 
 
@@ -80,12 +79,7 @@ def optimal_capacities(histogram: list[tuple[int, int]], buckets: int) -> list[i
 def pack(docs: DataFrame, id_col: str = "doc_id", n_tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Per document: doc_id, n_tokens, bucket, capacity, batch, slot, padding."""
     rows = docs.select(F.col(id_col).alias("doc_id"), (tokens() if n_tokens is None else n_tokens).alias("n_tokens"))
-    longest = rows.agg(F.max("n_tokens")).first()[0] if n_tokens is not None else None
-    step = F.lit(1) if longest is None else F.lit(-(-longest // MAX_LENGTHS) or 1)
-    found = rows.groupBy((F.ceil(F.col("n_tokens") / step) * step).cast("long").alias("n")).count()
-    table = found.orderBy("n").limit(MAX_LENGTHS + 1).collect()
-    if len(table) > MAX_LENGTHS:  # more distinct lengths than the bound: once more, rounded up
-        return pack(docs.select(F.col(id_col).alias("doc_id"), tokens().alias("n")), "doc_id", F.col("n"), buckets, budget)
+    table = rows.groupBy(F.col("n_tokens").cast("long").alias("n")).count().orderBy("n").collect()
     capacities = optimal_capacities([(r["n"], r["count"]) for r in table], buckets)
     if not capacities:
         return rows.select("doc_id", "n_tokens", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("capacity", "long"), ("batch", "string"), ("slot", "long"), ("padding", "long"))])

@@ -75,6 +75,15 @@ def test_packing(spark, tiny):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_is_exact_for_many_lengths(spark):
+    lengths = [*range(70_000), 10_000_000]
+    docs = spark.range(0, 70_001, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 70_000, F.col("id")).otherwise(10_000_000).alias("n"))
+    ends = packing.optimal_capacities([(n, 1) for n in lengths], packing.BUCKETS)
+    got = packing.pack(docs, n_tokens=F.col("n")).groupBy("capacity").agg(F.count(F.lit(1)).alias("n"), F.sum("padding").alias("padding")).collect()
+    assert sorted(r["capacity"] for r in got) == ends and sum(r["n"] for r in got) == len(lengths)
+    assert sum(r["padding"] for r in got) == padding_of(lengths, ends)
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "é😀"), (1, None, None, "first"), (2, 0, "system", "alone"), (None, 3, "ann", "x"), (None, 3, "ann", "x")]
     rows += [(3, i, "ab"[i % 2], f"m{i}") for i in range(600)]
