@@ -4,13 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate results, ``spark.checkpoint.dir``. Where none is named a local session gets
+    a temporary one; on a cluster, where each executor would write to a disk of its own, it's an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="tallystone-")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder the cluster names and read on from there. Only where none
-    is named (tests on one machine) a temporary one is used."""
+    """Write ``df`` to the shared folder and read on from there, so that a lost executor costs a re-read and
+    not the whole lineage. It runs when called. The files go with the folder, or as soon as nothing refers to them with
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallystone-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
