@@ -1,34 +1,41 @@
-"""Small helpers the operators share: table access, lineage cuts, text expressions."""
+"""Small helpers the operators share: table access, the package for Python workers, text expressions."""
 
 from __future__ import annotations
 
 import tempfile
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystone.functions.stages import cut
+
+__all__ = ["BLANKS", "ascii_lower", "columns_of", "cut", "joined_spans", "sha256_hex", "ship", "table", "unused", "whole_text"]
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All characters of `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 
+_shipped: set[str] = set()
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data folder. Python workers are told where this package is; on a cluster it is
-    installed or given by --py-files, and the extra path entry does nothing."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    packed = Path(tempfile.mkdtemp(prefix="tallystone-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(packed))
+    _shipped.add(context.applicationId)
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read on from there, so that a lost
-    executor costs a re-read and not the whole lineage. Only where no folder is set (tests on one
-    machine) a temporary one is used."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallystone-"))
-    return df.checkpoint()
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -21,7 +21,7 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents")).drop("dropped_runs")
+    return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,10 +81,13 @@ ORACLE_SQL = {
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM split),
         keyed AS (SELECT *, {_LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS k FROM lines),
-        shared AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5)
-        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper <> doc_id) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
-        FROM keyed LEFT JOIN shared USING (k) GROUP BY doc_id""",
+        shared AS (SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+        told AS (SELECT doc_id, line, pos, coalesce(keeper <> doc_id, false) AS lost FROM keyed LEFT JOIN shared USING (k)),
+        runs AS (SELECT doc_id, min(pos) - 1 AS first, count(*) AS n FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM told WHERE NOT lost) GROUP BY doc_id, run),
+        kept AS (SELECT doc_id, string_agg(first || '+' || n, ',' ORDER BY first) AS kept_runs FROM runs GROUP BY doc_id)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256,
+               coalesce(any_value(kept_runs), '') AS kept_runs
+        FROM told LEFT JOIN kept USING (doc_id) GROUP BY doc_id""",
     "op8_perspectives": """
         WITH m AS (SELECT conv_id, coalesce(turn // 256, 0) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
         sp AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),

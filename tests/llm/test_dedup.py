@@ -9,7 +9,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tallystone.llm import components, exact_dedup, line_dedup, near_dedup, queries
+from tallystone.functions import graph
+from tallystone.llm import exact_dedup, line_dedup, near_dedup, queries
 from tests.llm import brute
 
 LINE = "a line of more than forty characters, shared by some documents"
@@ -78,13 +79,13 @@ def test_exact_odd_rows(spark):
 
 
 def test_lines(spark, rows):
-    assert result(line_dedup.report(frame(spark, rows)).drop("dropped_runs")) == by_sql("op4_line_dedup", rows)
+    assert result(line_dedup.report(frame(spark, rows))) == by_sql("op4_line_dedup", rows)
     assert line_dedup.report(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_lines_beyond_the_hot_ones(spark, rows, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 1)
-    assert result(line_dedup.report(frame(spark, rows)).drop("dropped_runs")) == by_sql("op4_line_dedup", rows)
+    assert result(line_dedup.report(frame(spark, rows))) == by_sql("op4_line_dedup", rows)
 
 
 def test_line_bitmaps_restore_texts(spark, rows):
@@ -102,6 +103,16 @@ def test_lines_of_a_very_long_text(spark):
     assert got == {0: (2, 1), 1: (2, 1), 2: (60_000, 1), 3: (2, 1), 4: (2, 1), 5: (2, 0)}
 
 
+def test_lines_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"{LINE}\nmine"), (1, f"yours\n{LINE}"), *[(i, LINE) for i in range(2, 7)], (8, f"{LINE} b"), *[(9, f"{LINE} b\n{i}") for i in range(6)]], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept_runs"]) for r in line_dedup.report(docs).collect())
+    # the line of 8 and 9 is in two documents only, however many rows they have
+    assert got == [(1, 2, 1, "0+1"), (1, 2, 1, "1+1"), *[(i, 1, 1, "") for i in range(2, 6)], (6, 1, 0, "0+1"), (8, 1, 0, "0+1"), *[(9, 2, 0, "0+2")] * 6]
+    assert sorted(r["text"] for r in line_dedup.apply(docs).where("doc_id = 1").collect()) == ["mine", "yours"]
+    hot = spark.createDataFrame([(1, LINE + str(i)) for i in range(9)] + [(i % 3, LINE) for i in range(900)], "doc_id long, text string")
+    assert hot.count() == line_dedup.report(hot).where("n_dropped = 0").count()
+
+
 def test_lines_null_ids(spark):
     docs = spark.createDataFrame([(None, LINE)] * 3 + [(i, LINE) for i in range(6)], "doc_id long, text string")
     got = line_dedup.report(docs).collect()
@@ -161,5 +172,5 @@ def test_components(spark):
         if a != b:
             x, y = sorted((top(a), top(b)))
             above[y] = x
-    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: top(n) for n in above}
