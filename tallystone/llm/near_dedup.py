@@ -1,8 +1,8 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
-1. Each document's distinct word shingles give a signature of 64 components of 16 bits (the lowest
-   bits of 64 min-hashes). Equal shingle sets are one class from here on; its smallest id stands
-   for it, so copies cost nothing more.
+1. Each row's distinct word shingles give a signature of 64 components of 16 bits (the lowest
+   bits of 64 min-hashes). Equal shingle sets are one class from here on; its first row stands
+   for it, so copies cost nothing more. Rows have numbers, so ids may repeat.
 2. Two sets of similarity s differ in a component with probability 1-s. Signatures within a distance
    set by ``percent`` are the join's matches: a true pair at that similarity is farther apart with a
    probability of at most ``MISS``. It is 23 components for 85 %, 29 for 80 %.
@@ -15,14 +15,15 @@
 5. The texts of near groups, and only those, are read once more. Within a group each document is
    compared on its full shingle set with those not yet reached, and each link found reaches one more:
    all links of the group are decided, and at most one row per document is returned.
-6. Components over links give each document's component.
+6. Components over links give each row's component, named by the smallest id in it.
 
 Buckets or groups of more than ``BLOCK`` documents are dealt as pairs of blocks, each a task of
 its own, so that no group is whole in one task and no pair is left out.
 
 Defined cases: a null or empty text, or one without words, has no shingles and no link; fewer words
-than ``width`` are one shingle; equal ids are one document; an empty table gives an empty result;
-other columns are ignored. Hashes of shingles have 64 bits.
+than ``width`` are one shingle; rows that repeat an id are documents of their own, linked by their texts
+alone; a null id names no component unless all ids in it are null; an empty table gives an empty result;
+other columns are ignored. Hashes of shingles have 64 bits. Jobs run while the result is built.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions.graph import components
 from tallystone.llm import words
-from tallystone.llm.common import cut
+from tallystone.llm.common import cut, ship, unused
 
 WIDTH, PERCENT = 5, 85
 COMPONENTS = 64
@@ -212,48 +213,66 @@ def _tiled(members: DataFrame, by: str, blocks) -> DataFrame:
     return members.withColumn("n_blocks", blocks.cast("long")).withColumn("tile", F.explode(F.when(F.col("n_blocks") > 1, tiles).otherwise(F.array(F.lit(0).cast("long"))))).drop("n_blocks")
 
 
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(row, id, hash, n, group, least) of each row; group is a row number, null for rows without shingles, least
+    the smallest id in it, hash that of the text."""
     chunks, distance = reach(percent)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sketched = cut(texts.select("id", _sketcher(width)("text").alias("s")).select("id", "s.*"))
-    classes = sketched.where("n > 0").groupBy("same").agg(F.min("id").alias("rep"))
-    reps = sketched.where("n > 0").join(classes, "same").where("id = rep").select("id", "chars", "signature").dropDuplicates(["id"])
-    reps = cut(reps)
+    ship(docs.sparkSession)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hash", F.xxhash64("text"))
+    sketched = cut(texts.select(F.monotonically_increasing_id().alias("row"), "id", "hash", _sketcher(width)("text").alias("s")).select("row", "id", "hash", "s.*"))
+    classes = sketched.where("n > 0").groupBy("same").agg(F.min("row").alias("rep"), F.min("id").alias("least"))
+    reps = cut(sketched.join(classes, (sketched["same"] == classes["same"]) & (sketched["row"] == classes["rep"])).select("row", "id", "hash", "chars", "signature"))
 
-    keys = reps.select("id", "signature").mapInPandas(_indexer(chunks), "key long, id long")
+    keys = reps.select(F.col("row").alias("id"), "signature").mapInPandas(_indexer(chunks), "key long, id long")
     filled = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = _tiled(keys.join(filled, "key"), "key", F.ceil(F.col("n") / BLOCK)).join(reps.select("id", "signature"), "id")
+    members = _tiled(keys.join(filled, "key"), "key", F.ceil(F.col("n") / BLOCK)).join(reps.select(F.col("row").alias("id"), "signature"), "id")
     near = (
         members.select("key", "tile", "id", "signature")
         .repartition("key", "tile")
         .sortWithinPartitions("key", "tile")
         .mapInPandas(_matcher(distance), "a long, b long")
     )
-    groups = components(near).withColumnsRenamed({"node": "id", "component": "near"})
+    groups = components(near).withColumnsRenamed({"node": "row", "component": "near"}).join(reps.select("row", "id", "hash", "chars"), "row")
+    groups = cut(groups)
 
-    sizes = groups.join(reps.select("id", "chars"), "id").groupBy("near").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
-    wanted = _tiled(groups.join(sizes, "near"), "near", F.col("blocks")).select("id", "near", "tile")
+    sizes = groups.groupBy("near").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
+    wanted = _tiled(groups.select(F.col("row").alias("id"), "near", F.col("id").alias("own"), "hash").join(sizes, "near"), "near", F.col("blocks"))
+    # a row is found again by its id and its text's hash: rows that repeat both have the same text
+    wanted = wanted.select("id", "near", "tile", "own", F.col("hash").alias("text_hash")).hint("shuffle_hash")
     links = (
         texts.where("text is not null")
-        .join(wanted.hint("shuffle_hash"), "id")
+        .withColumnRenamed("id", "mine")
+        .join(wanted, (F.col("hash") == F.col("text_hash")) & F.col("mine").eqNullSafe(F.col("own")))
         .select("near", "tile", "id", "text")
         .repartition("near", "tile")
         .sortWithinPartitions("near", "tile")
         .mapInPandas(_linker(width, percent), "a long, b long")
     )
-    linked = components(links).withColumnsRenamed({"node": "rep"})
-    settled = classes.join(linked, "rep", "left").select("same", F.coalesce("component", "rep").alias("component"))
-    return sketched.join(settled, "same", "left").select(
+    linked = components(links).withColumnsRenamed({"node": "rep", "component": "group"})
+    settled = classes.join(linked, "rep", "left").withColumn("group", F.coalesce("group", "rep"))
+    named = settled.groupBy("group").agg(F.min("least").alias("least"))
+    known = settled.select("same", "group").join(named, "group")
+    return sketched.select("row", "id", "hash", "n", "same").join(known, "same", "left").drop("same")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), kept."""
+    component = F.when(F.col("group").isNull(), F.col("id")).otherwise(F.col("least"))
+    return _grouped(docs, id_col, text_col, width, percent).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", "id").alias("component_id"),
-        F.coalesce("component", "id").eqNullSafe(F.col("id")).alias("kept"),
+        component.alias("component_id"),
+        component.eqNullSafe(F.col("id")).alias("kept"),
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The documents of ``docs`` that stand for their component, with their columns; so do rows
-    without id, which nothing can name."""
-    lost = similar(docs, id_col, text_col, percent=percent).groupBy(F.col("doc_id").alias(id_col)).agg(F.max("kept").alias("k")).where("not k").select(id_col)
-    return docs.join(lost, id_col, "left_anti")
+    """One row of each component, with its columns: of the rows with the smallest id the first. Rows that repeat
+    both id and text share its fate."""
+    key, mine, gone = (unused(docs, c) for c in ("__key", "__hash", "__lost"))
+    found = _grouped(docs, id_col, text_col, WIDTH, percent)
+    best = found.where("group is not null").groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "row"))["row"].alias("best"))
+    told = found.join(best, "group", "left").groupBy("id", "hash").agg(F.max(F.coalesce(F.col("row") == F.col("best"), F.lit(True))).alias("stays"))
+    lost = told.where("not stays").select(F.col("id").alias(key), F.col("hash").alias(gone))
+    same = (F.col(mine) == F.col(gone)) & F.col(id_col).eqNullSafe(F.col(key))
+    return docs.withColumn(mine, F.xxhash64(F.col(text_col).cast("string"))).join(lost, same, "left_anti").drop(mine)

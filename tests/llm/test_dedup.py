@@ -149,6 +149,26 @@ def test_near_at_other_similarities(spark, rows):
         near_dedup.reach(10)
 
 
+def test_near_links_of_repeated_ids(spark):
+    rng = random.Random(8)
+    texts = [[" ".join(rng.choices([f"w{i}" for i in range(900)], k=80)) for _ in range(2)] for _ in range(20)]
+    # ids 0-19 have two texts each; 100 + i is a copy of one of them, 200 + i a near copy of the other
+    rows = [(i, t) for i, two in enumerate(texts) for t in two] + [(100 + i, a) for i, (a, _) in enumerate(texts)] + [(200 + i, f"{b} more") for i, (_, b) in enumerate(texts)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.similar(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect()}
+    assert got == {k + i: i for k in (100, 200) for i in range(20)}
+    left = near_dedup.drop_near_copies(spark.createDataFrame([*rows, (None, texts[0][0]), (None, "a b c"), (None, "a b c d e f")], "doc_id long, text string"))
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == sorted([*map(str, [*range(20), *range(20)]), "None", "None"])
+
+
+def test_near_recall_on_all_pairs(spark):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    want = brute.near_components(rows)
+    got = {r["doc_id"]: tuple(r)[1:] for r in near_dedup.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found, linked = [sum(x[1] != i for i, x in some.items()) for some in (got, want)]
+    print(f"recall of documents with a smaller partner: {found} of {linked}")
+    assert got == want
+
+
 def test_near_odd_rows(spark):
     text = "one two three four five six seven"
     docs = spark.createDataFrame([(None, text), (4, text), (4, text), (2, text), (7, None), (None, None), (8, "")], "doc_id long, text string")
