@@ -7,8 +7,9 @@
    kind) leaves 1 modulo 97. What fails is dropped and not retried. Of an account number the pattern
    proposes every start with all that may follow; of its parts that end at a blank, the one of the
    country's length is tested or, where the country is not known, the longest that passes is taken.
-3. Words within ``CONTEXT`` code points of a match adjust its score: a word of its own kind adds
-   0.15, a word that speaks of examples or order numbers takes 0.25 away. Scores never drop a span.
+3. Words within ``CONTEXT`` code points before and after a span adjust its score, whatever else matched
+   there: a word of its own kind adds 0.15, a word that speaks of examples or order numbers takes 0.25
+   away. Scores never drop a span.
 
 Repetitions are possessive where nothing that follows could match inside them, so long runs need no
 deep stack. Only matches are shuffled, never texts.
@@ -34,8 +35,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    # the match is the first four characters; group 1 is what may follow, group 2 the text from there on
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))(?=((?s:.{0,80})))",
+    # the match is the first four characters; group 1 is what may follow
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))",
 }
 #: Characters of an account number by country.
 IBAN_LENGTHS = {
@@ -62,29 +63,47 @@ NEARBY = {
 AGAINST = r"(?i)\b(?:example|sample|test|version|order|invoice)\b"
 
 
+#: So many signs a match has at least, what fails at once included.
+SHORTEST = {"email": 5, "ip": 7, "card": 2, "phone": 4, "iban": 4}
+#: Fewer signs than that cannot be confirmed; no context is cut out for them.
+LEAST = {"email": 5, "ip": 7, "card": 14, "phone": 11, "iban": 12}
+
+
 def _cut(kind: str) -> Column:
     """Matches of one kind: array of (rank, number, gap before, match, context)."""
     text, pattern = F.col("text"), PATTERNS[kind]
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    after = F.slice(between, 2, F.size(between))
-    whole = matches
+    zipped = F.arrays_zip(between.alias("gap"), matches.alias("match"))
     if kind == "iban":
-        whole = F.transform(F.arrays_zip(matches.alias("head"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("tail")), lambda x: account(x["head"], x["tail"]))
-        after = F.transform(F.arrays_zip(whole.alias("own"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("rest")), lambda x: F.substring(x["rest"], F.greatest(F.length(x["own"]) - 3, F.lit(1)), F.lit(CONTEXT)))
-    items = F.transform(
-        F.arrays_zip(between.alias("gap"), matches.alias("match"), whole.alias("whole"), after.alias("next")),
-        lambda x, i: F.struct(
-            F.lit(KINDS.index(kind)).alias("rank"),
-            i.alias("number"),
-            F.length(x["gap"]).alias("gap"),
-            F.length(x["match"]).alias("step"),
-            F.when(x["match"].isNotNull(), x["whole"]).alias("match"),
-            F.concat_ws(" ", F.right(x["gap"], F.lit(CONTEXT)), F.left(x["next"], F.lit(CONTEXT))).alias("context"),
-        ),
-    )
+        tails = F.arrays_zip(matches.alias("head"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("tail"))
+        zipped = F.arrays_zip(between.alias("gap"), matches.alias("match"), F.transform(tails, lambda x: account(x["head"], x["tail"])).alias("whole"))
+    reach = CONTEXT // SHORTEST[kind] + 1  # so many matches before or after a span lie within the context at most
+    both = lambda p: F.concat(p["gap"], F.coalesce(p["match"], F.lit("")))
+
+    def items(pairs: Column) -> Column:
+        def item(x: Column, i: Column) -> Column:
+            whole = x["whole"] if kind == "iban" else x["match"]
+            ahead = F.transform(F.slice(pairs, F.greatest(i + 1 - reach, F.lit(1)), F.least(i, F.lit(reach))), lambda p: F.right(both(p), F.lit(CONTEXT)))
+            before = F.right(F.concat(F.array_join(ahead, ""), F.right(x["gap"], F.lit(CONTEXT))), F.lit(CONTEXT))
+            behind = F.transform(F.slice(pairs, i + 2, F.lit(reach + (8 if kind == "iban" else 0))), lambda p: F.concat(F.left(p["gap"], F.lit(CONTEXT + 40)), F.coalesce(p["match"], F.lit(""))))
+            # an account number reaches over what follows its first four signs
+            after = F.substring(F.array_join(behind, ""), F.length(whole) - F.length(x["match"]) + 1, F.lit(CONTEXT))
+            return F.struct(
+                F.lit(KINDS.index(kind)).alias("rank"),
+                i.alias("number"),
+                F.length(x["gap"]).alias("gap"),
+                F.length(x["match"]).alias("step"),
+                F.when(x["match"].isNotNull(), whole).alias("match"),
+                F.when(F.length(whole) >= LEAST[kind], F.concat_ws(" ", before, after)).alias("context"),
+            )
+
+        return F.transform(pairs, item)
+
+    # the pairs are bound once: an expression inside the inner function would cut the text for each of them
+    found = F.get(F.transform(F.array(zipped), items), F.lit(0))
     none = F.array().cast("array<struct<rank:int,number:int,gap:int,step:int,match:string,context:string>>")
-    return F.when(text.rlike(HINTS[kind]), F.filter(items, lambda x: x["match"].isNotNull())).otherwise(none)
+    return F.when(text.rlike(HINTS[kind]), F.filter(found, lambda x: x["match"].isNotNull())).otherwise(none)
 
 
 def _digits(match: Column) -> Column:
@@ -149,12 +168,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, counts, base_sha256, spans, and the mean score of the spans (0 if none)."""
-    span = F.when(F.col("rank").isNotNull(), F.struct("start", "rank", "end", "kind"))
+    """Per row: doc_id, counts, base_sha256, spans, their scores in the same order, and the mean score (0 if none)."""
+    span = F.when(F.col("rank").isNotNull(), F.struct("start", "rank", "end", "kind", "score"))
     per_doc = spans(docs, id_col, text_col).groupBy("row", "doc_id").agg(
         *[F.count_if(F.col("rank") == i).alias(f"n_{k}") for i, k in enumerate(BASE)],
         F.array_sort(F.collect_list(span)).alias("s"),
         F.coalesce(F.round(F.avg(F.when(F.col("rank").isNotNull(), F.col("score"))), 4), F.lit(0.0)).alias("mean_score"),
     )
     base = F.filter("s", lambda s: s["rank"] < len(BASE))
-    return per_doc.select("doc_id", *[f"n_{k}" for k in BASE], sha256_hex(joined_spans(base)).alias("base_sha256"), joined_spans(F.col("s")).alias("spans"), "mean_score")
+    return per_doc.select("doc_id", *[f"n_{k}" for k in BASE], sha256_hex(joined_spans(base)).alias("base_sha256"), joined_spans(F.col("s")).alias("spans"), F.array_join(F.transform("s", lambda s: s["score"].cast("decimal(3,2)").cast("string")), ",").alias("scores"), "mean_score")
