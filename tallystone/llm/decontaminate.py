@@ -9,55 +9,56 @@ than the shortest window are left out, since no window fits in. Over the rest an
 all windows are searched backward through its wavelet tree at once, the occurrences are located by
 the sampled suffix positions, confirmed on the words themselves, and merged into removal spans.
 
-The windows are broadcast: at most ``MAX_WINDOWS`` at a time. A larger benchmark is taken in blocks
-of items, each one pass over the documents, and the spans of all blocks are merged per document.
+The windows are made by Spark, which counts each once, and dealt by hash into blocks of about ``MAX_WINDOWS``.
+A block is broadcast, searched for in one pass over the documents, and freed; driver and tasks never hold more
+than one. A benchmark of one block, the usual case, needs no shuffle. With more blocks the documents are written
+once with numbers, each pass writes the hits of its block, and the spans of all blocks are merged per document.
 
 Defined cases: null texts have no words; items with a null id or without words have no windows;
-items that repeat an id are one item; an empty benchmark hits nothing; other columns are ignored.
+items that repeat an id are one item; ids are of any type and compared as strings; an empty benchmark hits nothing;
+other columns are passed on. Jobs run while the result is built.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.llm import words
-from tallystone.llm.common import columns_of, unused
+from tallystone.llm.common import ascii_lower, columns_of, cut, ship, unused
 from tallystone.llm.fm_index import FMIndex
 
 WIDTH = 10
 SHARD_BYTES = 16_000_000
-MAX_WINDOWS = 2_000_000
-#: Bytes of benchmark text that are taken in one block; a word has two bytes at least, with its border.
-BLOCK_BYTES = 2 * MAX_WINDOWS
+MAX_WINDOWS = 200_000
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 class Windows:
-    """The windows of a block of items, as numbers of words: what the tasks need."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int) -> None:
-        ids = np.array([i for i, _ in items], dtype=np.int64)
-        found: dict[tuple[bytes, ...], set[int]] = {}
-        by_word: dict[bytes, int] = {}
-        for chunk in words.chunks(pa.array([t for _, t in items], pa.large_string()), words.WORD_CHAR):
-            begin = np.concatenate([[0], np.cumsum(chunk.per_text())])
-            spelled = [chunk.data[a:b].tobytes() for a, b in zip(chunk.start, chunk.end, strict=True)]
-            by_word |= dict(zip(spelled, chunk.key.tolist(), strict=True))
-            for d in range(chunk.n_texts):
-                own = spelled[begin[d] : begin[d + 1]]
-                for k in range(max(1, len(own) - width + 1) if own else 0):
-                    found.setdefault(tuple(own[k : k + width]), set()).add(int(ids[chunk.first + d]))
-        self.vocabulary = np.unique(np.array(sorted(by_word.values()), dtype=np.uint64))
-        self.text = list(found)
-        self.length = np.array([len(w) for w in found], dtype=np.int64)
-        self.symbols = np.zeros((len(found), width), dtype=np.int64)
-        for row, window in enumerate(found):
-            self.symbols[row, : len(window)] = np.searchsorted(self.vocabulary, np.array([by_word[w] for w in window], dtype=np.uint64)) + 1
-        self.items = [np.array(sorted(s), dtype=np.int64) for s in found.values()]
+    """A block of windows, as numbers of words: what the tasks need."""
+
+    def __init__(self, table: pa.Table, width: int) -> None:
+        spelled, keys, begin = [], [], [0]
+        for chunk in words.chunks(table["window"].combine_chunks(), words.WORD_CHAR):
+            keys.append(chunk.key)
+            spelled += [chunk.data[a:b].tobytes() for a, b in zip(chunk.start, chunk.end, strict=True)]
+            begin += (begin[-1] + np.cumsum(chunk.per_text())).tolist()
+        key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        self.vocabulary, first, number = np.unique(key, return_index=True, return_inverse=True)
+        self.spelled = [spelled[i] for i in first]
+        self.length = np.diff(begin)
+        self.symbols = np.zeros((len(self.length), width), dtype=np.int64)
+        inside = np.arange(width) < self.length[:, None]
+        self.symbols[inside] = number + 1
+        self.items = table["items"].combine_chunks()
+
+    def items_of(self, some: np.ndarray) -> list[str]:
+        return sorted({i for w in some for i in self.items[int(w)].as_py()})
 
 
 def _shards(texts: pa.Array) -> Iterator[list[words.Words]]:
@@ -112,17 +113,37 @@ def search_shard(chunks: list[words.Words], windows: Windows) -> tuple[np.ndarra
     hit = np.flatnonzero(count > 0)
     rows = np.repeat(low[hit] - np.concatenate([[0], np.cumsum(count[hit])])[:-1], count[hit]) + np.arange(count[hit].sum())
     window, at = np.repeat(hit, count[hit]), index.locate(rows)
-    doc, first, ok = np.zeros(len(at), np.int64), place[at], np.zeros(len(at), bool)
-    for i, (w, p) in enumerate(zip(window, at, strict=True)):  # hashes of words are confirmed on the words
-        c = chunks[owner[p]]
-        j = place[p]
-        ok[i] = all(c.data[c.start[j + k] : c.end[j + k]].tobytes() == x for k, x in enumerate(windows.text[w]))
-        doc[i] = c.first + c.doc[j]
-        first[i] = j - np.searchsorted(c.doc, c.doc[j])
-    doc, window, first = doc[ok], window[ok], first[ok]
+    # each word that an occurrence covers is confirmed by its bytes, once
+    covered = np.unique(at[:, None] + np.arange(windows.symbols.shape[1])[None, :])
+    covered = covered[covered < len(text)]
+    covered = covered[text[covered] > 0]
+    differs = np.zeros(len(text) + 1, dtype=np.int64)
+    for number in np.unique(owner[covered]):
+        c, some = chunks[number], covered[owner[covered] == number]
+        differs[some] = ~_spelled(c, place[some], windows.spelled, text[some] - 1)
+    wrong = np.concatenate([[0], np.cumsum(differs)])
+    ok = wrong[at + windows.length[window]] == wrong[at]
+    at, window = at[ok], window[ok]
+    doc, first = np.zeros(len(at), np.int64), place[at]
+    for number in np.unique(owner[at]):
+        c, own = chunks[number], owner[at] == number
+        local = c.doc[first[own]]
+        doc[own] = c.first + local
+        first[own] -= np.searchsorted(c.doc, local)
     return doc, window, first, first + windows.length[window], n_words
 
 
+def _spelled(c: words.Words, word: np.ndarray, spelled: list[bytes], number: np.ndarray) -> np.ndarray:
+    """Which words of a chunk are spelled as the words of the vocabulary they are taken for."""
+    same, size = np.zeros(len(word), dtype=bool), c.end[word] - c.start[word]
+    for n in np.unique(size):
+        of = np.flatnonzero(size == n)
+        known, at = np.unique(number[of], return_inverse=True)
+        right = np.frombuffer(b"".join(spelled[k] if len(spelled[k]) == n else bytes(n) for k in known), dtype=np.uint8).reshape(-1, n)
+        same[of] = (c.data[c.start[word[of]][:, None] + np.arange(n)] == right[at]).all(axis=1)
+    return same
+
+
 def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Spans that overlap or touch become one."""
     order = np.argsort(first, kind="stable")
@@ -131,16 +152,16 @@ def merged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[opens], end[np.concatenate([opens[1:], [True]])]
 
 
-RESULT = "n_words long, spans array<struct<first long, end long>>, items array<long>"
+RESULT = "n_words long, spans array<struct<first long, end long>>, items array<string>"
 
 
-def _finder(windows):
+def _finder(windows, width: int):
     @F.arrow_udf(RESULT)
     def find(texts: pa.Array) -> pa.Array:
         w: Windows = windows.value
         counts, spans, items = [], [[] for _ in range(len(texts))], [[] for _ in range(len(texts))]
         for shard in _shards(texts):
-            if len(w.text):
+            if len(w.length):
                 doc, window, first, end, n = search_shard(shard, w)
             else:
                 doc, n = np.zeros(0, np.int64), np.concatenate([c.per_text() for c in shard])
@@ -151,54 +172,75 @@ def _finder(windows):
                 begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 for a, b in zip(begin, [*begin[1:], len(doc)], strict=True):
                     spans[doc[a]] = [{"first": int(x), "end": int(y)} for x, y in zip(*merged(first[a:b], end[a:b]), strict=True)]
-                    items[doc[a]] = np.unique(np.concatenate([w.items[i] for i in np.unique(window[a:b])])).tolist()
+                    items[doc[a]] = w.items_of(np.unique(window[a:b]))
         return pa.StructArray.from_arrays(
-            [pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.int64()))],
+            [pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
             ["n_words", "spans", "items"],
         )
 
     return find
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> list:
-    """The benchmark's windows, broadcast block by block; one block unless it exceeds MAX_WINDOWS."""
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(text_col).alias("text"))
-    n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-n_bytes // BLOCK_BYTES))
-    numbered = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(n_blocks)))
-    context = benchmark.sparkSession.sparkContext
-    return [context.broadcast(Windows([tuple(r) for r in numbered.where(F.col("block") == b).select("item", "text").collect()], width)) for b in range(n_blocks)]
+def windows_of(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> DataFrame:
+    """(window, items): each window once, its words parted by blanks, with the ids it occurs in."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct()
+    ws = items.select("item", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(WORD), F.lit(0)).alias("ws")).where(F.size("ws") > 0)
+    at = F.sequence(F.lit(1), F.greatest(F.size("ws") - width + 1, F.lit(1)))
+    each = ws.select("item", F.explode(F.transform(at, lambda i: F.array_join(F.slice("ws", i, width), " "))).alias("window"))
+    return each.groupBy("window").agg(F.collect_set("item").alias("items"))
+
+
+def _merged(spans: Column) -> Column:
+    """An array of spans in order, with those that overlap or touch made one."""
+
+    def join(got: Column, s: Column) -> Column:
+        top = F.try_element_at(got, F.lit(-1))
+        both = F.array(F.struct(top["first"].alias("first"), F.greatest(top["end"], s["end"]).alias("end")))
+        return F.when((F.size(got) > 0) & (s["first"] <= top["end"]), F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), both)).otherwise(F.concat(got, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), F.array().cast("array<struct<first:long,end:long>>"), join)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", width: int = WIDTH, into: str = "hits") -> DataFrame:
     """``docs`` with one more column ``into``: struct of n_words, removal spans (in words) and items."""
-    blocks = _blocks(benchmark, item_col, item_text_col, width)
+    ship(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    found = cut(windows_of(benchmark, item_col, item_text_col, width))
+    n_blocks = max(1, -(-found.count() // MAX_WINDOWS))
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(n_blocks)))
+    block = lambda b: context.broadcast(Windows(dealt.where(F.col("block") == b).select("window", "items").toArrow(), width))
     text = F.col(text_col).cast("string")
-    if len(blocks) == 1:
-        return docs.withColumn(into, _finder(blocks[0])(text))
-    found = F.array(*[_finder(b)(text) for b in blocks])
-    spans = F.array_sort(F.flatten(F.transform(into, lambda h: h["spans"])))
-    start = F.array().cast("array<struct<first:long,end:long>>")
-
-    def join(got, s):
-        top = F.element_at(got, -1)
-        both = F.array(F.struct(top["first"].alias("first"), F.greatest(top["end"], s["end"]).alias("end")))
-        return F.when((F.size(got) > 0) & (s["first"] <= F.try_element_at(got, F.lit(-1))["end"]), F.concat(F.slice(got, 1, F.greatest(F.size(got) - 1, F.lit(0))), both)).otherwise(F.concat(got, F.array(s)))
-
-    return docs.withColumn(into, found).withColumn(into, F.struct(F.col(into)[0]["n_words"].alias("n_words"), F.aggregate(spans, start, join).alias("spans"), F.array_distinct(F.flatten(F.transform(into, lambda h: h["items"]))).alias("items")))
+    if n_blocks == 1:
+        return docs.withColumn(into, _finder(block(0), width)(text))
+
+    row = unused(docs, "__row")
+    numbered = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    passes = []
+    for b in range(n_blocks):
+        held = block(b)
+        hits = numbered.select(row, _finder(held, width)(text).alias("h")).select(row, "h.*")
+        passes.append(cut(hits if b == 0 else hits.where(F.size("spans") > 0)))
+        held.unpersist()
+    every = reduce(DataFrame.unionByName, passes)
+    per = every.groupBy(F.col(row).alias(f"{row}_")).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    per = per.select(f"{row}_", F.struct("n_words", _merged(F.col("spans")).alias("spans"), "items").alias(into))
+    return numbered.join(per, F.col(row) == F.col(f"{row}_")).select(*columns_of(docs), into)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans."""
+    """Per row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the removal spans as
+    ``first:end`` numbers of words, comma-joined."""
     hit = F.aggregate("hits.spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["first"])
-    listed = F.array_join(F.array_sort(F.transform("hits.items", lambda i: i.cast("string"))), ",")
-    return scan(docs.select(F.col(names.get("id_col", "doc_id")).alias("doc_id"), F.col(names.get("text_col", "text")).alias("text")), benchmark).select(
+    listed = F.array_join(F.array_sort("hits.items"), ",")
+    narrow = docs.select(F.col(names.pop("id_col", "doc_id")).alias("doc_id"), F.col(names.pop("text_col", "text")).alias("text"))
+    return scan(narrow, benchmark, **names).select(
         "doc_id",
         F.col("hits.n_words").alias("n_words"),
         hit.alias("n_hit"),
         F.size("hits.items").cast("long").alias("n_items"),
         F.sha2(listed.cast("binary"), 256).alias("items_sha256"),
         (hit > 0).alias("contaminated"),
+        F.array_join(F.transform("hits.spans", lambda s: F.concat_ws(":", s["first"].cast("string"), s["end"].cast("string"))), ",").alias("spans"),
     )
 
 
