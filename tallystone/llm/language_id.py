@@ -9,6 +9,8 @@ of its windows' probabilities, weighted by their bytes.
 
 For speed, neighbouring bytes are looked up as pairs: the filters are stored as sums over pairs.
 
+The sample grows with the number of languages and with nothing else.
+
 Defined cases: null texts and texts without any letter are ``und`` with score 0, and so is everything
 if no row is labelled; rows without label are never learnt from; other columns are passed on or ignored.
 """
@@ -24,9 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallystone.llm.common import columns_of, unused
+from tallystone.llm.common import columns_of, ship, unused
 
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC, MAX_LANGUAGES = 200, 8, 500
+DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 200, 8
 WIDTHS, FILTERS, SIZE = (2, 3, 4), 8, 128
 EPOCHS, BATCH, RATE, SEED = 8, 64, 0.01, 7
 UNKNOWN = "und"
@@ -139,9 +141,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network:
-    """Train on a bounded sample of the labelled rows that are not held out."""
+    """Train on a bounded sample of the labelled rows that are not held out, of every language they name."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return Network([], [], *[np.zeros(0)] * 3)
@@ -166,6 +168,7 @@ def _lettered(texts: pa.Array) -> pa.Array:
 
 def predictor(network: Network, docs: DataFrame):
     """A column function: text -> struct(lang_pred, score)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     @F.arrow_udf("lang_pred string, score double")
@@ -190,11 +193,15 @@ def identify(docs: DataFrame, network: Network | None = None, id_col: str = "doc
     return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), predict(F.col(text_col).cast("string")).alias("p")).select("doc_id", "held_out", "p.*")
 
 
-def drop_unknown(docs: DataFrame) -> DataFrame:
-    """The documents that are in some language, with their columns: null and letterless texts go, and
-    only those, also where no row is labelled and so no language is known."""
+def drop_unknown(docs: DataFrame, floor: float = 0.0, named: bool = False) -> DataFrame:
+    """The documents that are in some language, with their columns: null and letterless texts go, and texts of
+    which no language gets a score of ``floor`` or more. With ``named``, rows without ``lang`` get the language that was
+    found. Where no row is labelled no language is known, and every text with a letter stays as it is."""
     network, found = learn(docs), unused(docs, "found")
     if not network.languages:
+        ship(docs.sparkSession)
         return docs.where(F.arrow_udf(_lettered, "boolean")(F.col("text").cast("string")))
     predict = predictor(network, docs)
-    return docs.withColumn(found, predict(F.col("text").cast("string"))).where(F.col(f"{found}.lang_pred") != UNKNOWN).select(*columns_of(docs))
+    told = F.col(f"{found}.lang_pred")
+    left = docs.withColumn(found, predict(F.col("text").cast("string"))).where((told != UNKNOWN) & (F.col(f"{found}.score") >= floor))
+    return left.select(*[F.coalesce(c, told).alias(n) if named and n == "lang" else c for n, c in zip(docs.columns, columns_of(docs), strict=True)])

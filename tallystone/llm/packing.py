@@ -89,7 +89,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", n_tokens: Column | None = None
     of = lambda values: F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), F.col("bucket") + 1)
     per_batch = [max(1, budget // max(c, 1)) for c in capacities]
     parts = [-(-n // max(ROWS_PER_PART, 100 * b)) or 1 for n, b in zip(held, per_batch, strict=True)]
-    placed = rows.withColumn("bucket", bucket).withColumns({"capacity": of(capacities), "per_batch": of(per_batch), "part": F.pmod(F.xxhash64("doc_id"), of(parts))})
+    # null ids are dealt by their place in the input, which is the same whenever a task runs again
+    dealt = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.monotonically_increasing_id().cast("string")))
+    placed = rows.withColumn("dealt", dealt).withColumn("bucket", bucket).withColumns({"capacity": of(capacities), "per_batch": of(per_batch), "part": F.pmod("dealt", of(parts))})
     place = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("n_tokens", "doc_id")).cast("long") - 1
     return placed.withColumn("place", place).select(
         "doc_id",
