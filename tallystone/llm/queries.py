@@ -68,10 +68,12 @@ ORACLE_SQL = {
         d AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
         p AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM w) WHERE len(ws) >= n),
         h AS (SELECT doc_id, k, w.n, item_id FROM (SELECT doc_id, n, k, array_to_string(ws[k : k + n - 1], ' ') AS key FROM p) g JOIN w ON w.key = g.key AND w.n = g.n),
-        hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM h) GROUP BY doc_id),
+        x AS (SELECT DISTINCT doc_id, unnest(range(k, k + n)) - 1 AS x FROM h),
+        sp AS (SELECT doc_id, min(x) AS a, max(x) + 1 AS b FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS run FROM x) GROUP BY doc_id, run),
+        hit AS (SELECT doc_id, sum(b - a)::BIGINT AS n_hit, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM sp GROUP BY doc_id),
         it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS s FROM h) GROUP BY doc_id)
         SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+               sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
         FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -89,14 +91,34 @@ ORACLE_SQL = {
                coalesce(any_value(kept_runs), '') AS kept_runs
         FROM told LEFT JOIN kept USING (doc_id) GROUP BY doc_id""",
     "op8_perspectives": """
-        WITH m AS (SELECT conv_id, coalesce(turn // 256, 0) AS segment, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+        WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
         sp AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),
-        v AS (SELECT m.*, speaker, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant' ELSE 'user name=' || role END || chr(10) AS head,
-                     text || '<|im_end|>' AS body FROM m JOIN sp ON m.conv_id IS NOT DISTINCT FROM sp.conv_id),
+        v AS (SELECT m.*, speaker, '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = speaker THEN 'assistant'
+                         ELSE 'user name=' || regexp_replace(replace(role, '<|im_', '<\\|im_'), '[\r\n]', ' ', 'g') END || chr(10) AS head,
+                     replace(text, '<|im_', '<\\|im_') || '<|im_end|>' AS body FROM m JOIN sp ON m.conv_id IS NOT DISTINCT FROM sp.conv_id),
         p AS (SELECT *, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS begin_at, row_number() OVER w AS nr
-              FROM v WINDOW w AS (PARTITION BY conv_id, segment, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
-        SELECT conv_id, segment, speaker, count(*) AS n_messages, count(*) FILTER (WHERE role = speaker) AS n_masked,
+              FROM v WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+        SELECT conv_id, 0::BIGINT AS segment, speaker, count(*) AS n_messages, count(*) FILTER (WHERE role = speaker) AS n_masked,
                string_agg(head || body || chr(10), '' ORDER BY nr) AS rendered,
                coalesce(string_agg(begin_at::BIGINT || ':' || (begin_at + length(body))::BIGINT, ',' ORDER BY nr) FILTER (WHERE role = speaker), '') AS mask
-        FROM p GROUP BY conv_id, segment, speaker""",
+        FROM p GROUP BY conv_id, speaker""",
+    # FP-growth by listing every combination of the tokens of each labelled page
+    "op10_url_rules": r"""
+        WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                          coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+        w AS (SELECT u.*, r.name AS rule, r.says FROM u LEFT JOIN (VALUES ('allow', 'com', '/', 'com/'), ('block', 'example.com', '/en/', 'example.com/en/'), ('allow', 'www.example.com', '/en/', 'www.example.com/en/'), ('block', 'net', '/es/', 'net/es/'), ('block', 'net', '/fr/', 'net/fr/')) r(says, h, p, name)
+              ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(r.name) DESC NULLS LAST) = 1),
+        t AS (SELECT w.*, CASE WHEN contains(url, '://') THEN list_sort(list_distinct(
+                  [concat('h', i - 1, ':', list_reverse(string_split(host, '.'))[i]) for i in range(1, len(string_split(host, '.')) + 1)]
+                  || ['p:' || regexp_replace(x, '[0-9]+', '0', 'g') for x in string_split(path, '/') if x <> '']
+                  || ['q:' || string_split(x, '=')[1] for x in string_split(regexp_extract(url, '(?s)\?([^#]*)', 1), '&') if x <> '']
+                  || ['s:' || lower(string_split(url, '://')[1])] || CASE WHEN contains(url, '#') THEN ['f'] ELSE [] END)) ELSE [] END AS toks FROM w),
+        l AS (SELECT doc_id, max(coalesce(toxic = 1 OR quality = 0, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+        b AS (SELECT toks, bad, count(*) OVER () AS n_pages, sum(bad::INT) OVER () AS n_bad FROM t JOIN l ON page_id = doc_id WHERE len(toks) > 0),
+        c AS (SELECT bad, n_pages, n_bad, [toks[i] for i in range(1, len(toks) + 1) if (m >> (i - 1)) & 1 = 1] AS s FROM (SELECT *, unnest(range(1, 1 << len(toks))) AS m FROM b)),
+        f AS (SELECT s, count(*) FILTER (WHERE bad) / count(*)::DOUBLE AS confidence FROM c GROUP BY s
+              HAVING count(*) FILTER (WHERE bad) >= greatest(0.002 * any_value(n_pages), 2) AND count(*) FILTER (WHERE bad) / count(*)::DOUBLE >= 0.6
+                 AND count(*) FILTER (WHERE bad) / count(*)::DOUBLE / (any_value(n_bad) / any_value(n_pages)::DOUBLE) > 1 + 1e-9),
+        g AS (SELECT page_id, max(confidence) AS confidence FROM t JOIN f ON list_has_all(toks, s) GROUP BY page_id)
+        SELECT t.page_id, host, path, rule, coalesce(says, CASE WHEN confidence IS NOT NULL THEN 'block' END, 'allow') AS verdict, confidence FROM t LEFT JOIN g USING (page_id)""",
 }

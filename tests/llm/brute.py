@@ -33,6 +33,51 @@ def secret_spans(text: str | None) -> list[tuple]:
     return found
 
 
+def addresses(text: str) -> list[tuple[int, int]]:
+    return [(m.start(), m.end()) for m in re.finditer(r"""(?=((https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.-]+(:[0-9]+)?[^\s"'<>]*))""", text) for m in [re.compile(r"""[a-z0-9]+://[A-Za-z0-9.-]+(:[0-9]+)?[^\s"'<>]*""").match(text, m.start())]]
+
+
+def weak_parts(text: str) -> list[tuple]:
+    """Weak candidates (start, rank, end, kind) that overlap nothing found before them."""
+    found = [(m.start(), 3, m.end(), "ident") for m in re.finditer(r"""(client|account|user|tenant)[_-]?(id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]+)""", text, re.I | re.A)]
+    found += [(m.start(), 4, m.end(), "endpoint") for m in re.finditer(r"(https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.-]+(:[0-9]+)?", text)]
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        key = m.group()
+        if any(a < m.end() and m.start() < b for a, b in addresses(text)):
+            continue
+        if re.fullmatch(r"[A-Za-z0-9+/_-]{32,64}={0,2}", key) and all(re.search(c, key) for c in ("[0-9]", "[A-Z]", "[a-z]")):
+            found.append((m.start(), 5, m.end(), "bare"))
+    kept, taken = [], secret_spans(text)
+    for p in found:
+        if all(p[2] <= q[0] or q[2] <= p[0] for q in taken):
+            kept.append(p)
+            taken.append(p)
+    return kept
+
+
+def secret_links(text: str | None, reach: int = 400) -> tuple[list[tuple], int, str]:
+    """(reported spans, number of linked parts, links) over all pairs of parts."""
+    text = text or ""
+    parts = sorted(secret_spans(text) + weak_parts(text))
+    role = {"access": 0, "ident": 0, "assign": 1, "hex": 1, "bare": 1, "endpoint": 2}
+    scope = lambda p: len([m for m in re.finditer(r"\n[\x20\t\r]*\n", text) if m.start() < p[0]])
+    spans, links, n = [], [], 0
+    for p in parts:
+        best: dict = {}
+        for q in parts:
+            if role[p[3]] == role[q[3]] or abs(p[0] - q[0]) > reach or not (p[2] <= q[0] or q[2] <= p[0]) or scope(p) != scope(q):
+                continue
+            gap = max(q[0] - p[2], p[0] - q[2])
+            best[role[q[3]]] = min(best.get(role[q[3]], (gap, q)), (gap, q))
+        linked = {0: 1 in best, 1: 0 in best or 2 in best, 2: 0 in best and 1 in best}[role[p[3]]]
+        n += linked
+        if linked or p[1] < 3:
+            spans.append(p)
+        if linked and role[p[3]] == 1:
+            links.append("|".join(f"{x[3]}:{x[0]}:{x[2]}" if x else "" for x in (p, *[best[r][1] if r in best else None for r in (0, 2)])))
+    return spans, n, ",".join(links)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -55,12 +100,43 @@ def pii_spans(text: str | None) -> list[tuple]:
     return found
 
 
+ACCOUNT_LENGTHS = {"DE": 22, "BE": 16, "AT": 20, "NL": 18, "NO": 15}
+
+
+def account_spans(text: str) -> list[tuple]:
+    """Account numbers of the countries above: the one part of a country's length that passes, if any does."""
+    found = []
+    for m in re.finditer(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((\x20?[A-Z0-9]{4}){2,7}(\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9]))", text):
+        whole = m.group() + m.group(1)
+        for end in range(len(whole), 11, -1):
+            plain = whole[:end].replace(" ", "")
+            if whole[end : end + 1] in ("", " ") and len(plain) == ACCOUNT_LENGTHS.get(m.group()[:2]) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1:
+                found.append((m.start(), 4, m.start() + end, "iban"))
+                break
+    return found
+
+
+SCORES = {"email": (0.8, "e-?mail|contact|write|mailto"), "ip": (0.6, "ip|host|server|address|login"), "card": (0.7, "card|visa|mastercard|credit|payment"), "phone": (0.5, "phone|tel|call|mobile|fax"), "iban": (0.8, "iban|account|bank|bic")}
+
+
+def pii_scores(text: str | None) -> tuple[str, str, float]:
+    """(spans, scores, mean score) with the words within 40 code points of each span."""
+    text = text or ""
+    spans, scores = sorted(pii_spans(text) + account_spans(text)), []
+    for a, _, b, kind in spans:
+        sure, words = SCORES[kind]
+        near = text[max(0, a - 40) : a] + " " + text[b : b + 40]
+        told = lambda w: re.search(rf"\b({w})\b", near, re.I) is not None
+        scores.append(round(max(0.0, min(1.0, sure + 0.15 * told(words) - 0.25 * told("example|sample|test|version|order|invoice"))), 2))
+    return joined(spans), ",".join(f"{s:.2f}" for s in scores), round(sum(scores) / len(scores), 4) if scores else 0.0
+
+
 def bench_words(text: str | None) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or ""))
 
 
 def contamination(docs, items, width: int = 10) -> list[tuple]:
-    """docs, items: (id, text) -> (doc_id, n_words, n_hit, n_items, items_sha256, contaminated)"""
+    """docs, items: (id, text) -> (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans)"""
     windows = defaultdict(set)
     for item, text in items:
         ws = bench_words(text)
@@ -75,7 +151,8 @@ def contamination(docs, items, width: int = 10) -> list[tuple]:
                 if got := windows.get(tuple(ws[k : k + n])):
                     hit |= set(range(k, k + n))
                     found |= got
-        out.append((doc, len(ws), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit)))
+        spans = ",".join(f"{a}:{min(b for b in range(a, len(ws) + 1) if b not in hit)}" for a in sorted(hit) if a - 1 not in hit)
+        out.append((doc, len(ws), len(hit), len(found), sha(",".join(sorted(map(str, found)))), bool(hit), spans))
     return out
 
 
