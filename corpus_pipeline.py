@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallystone.functions.stages import shared_folder
 from tallystone.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from tallystone.llm.common import table
 
 #: Similarity of near copies in the stage; op5 keeps its own of 85 %.
 NEAR_PERCENT = 80
+#: A text is in a language if the network gives that one half of its probability or more.
+LANGUAGE_FLOOR = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without any letter have no language and go."""
-    return language_id.drop_unknown(docs)
+    """Texts that are in no language go: those without a letter, and those of which the network is sure
+    of none. Rows without ``lang`` get the language found. A corpus without labels keeps all texts with a letter."""
+    return language_id.drop_unknown(docs, floor=LANGUAGE_FLOOR, named=True)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +54,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallystone-")
-    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
