@@ -152,10 +152,11 @@ def test_pipeline(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
-    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    told = {r["doc_id"]: r for r in language_id.identify(docs).collect()}
+    rows = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "") and told[i]["score"] >= corpus_pipeline.LANGUAGE_FLOOR]
     last = {t: i for i, t in sorted(rows)}
     rows = [(i, t) for i, t in rows if last[t] == i]
-    near = brute.near_components(rows)
+    near = brute.near_components(rows, corpus_pipeline.NEAR_PERCENT)
     rows = [(i, t) for i, t in rows if near[i][2]]
     clean = {i for i, *_, hit in brute.contamination(rows, items) if not hit}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, tiny).collect()} == clean
