@@ -1,9 +1,11 @@
 """Order statistics of groups of any size: ranks, neighbours, running sums, exact quantiles.
 
-A window over one group is one task's work, and exact percentiles hold a group's values in one task.
-Here the distinct values of all groups are range-partitioned together; each partition works on its own
-stretch, and a small table of stretches (one row for each group and partition) carries what comes
-before. So a group that holds most rows is dealt over many tasks like any other.
+Everything works on the distinct values of each group with their counts, ranked once by placed(). While the
+largest group has at most ``GROUP_ROWS`` of them, ranks are a window over each group, and whatever
+follows by the same keys needs no further shuffle. Beyond that a window would be one task's work for a
+whole group; then all groups are range-partitioned together, each partition works on its own stretch, and a small table
+of stretches (one row for each group and partition) carries what comes before. Both ways give the same rows;
+the second one's have a column ``stretch``. No percentile buffer holds a group.
 """
 
 from __future__ import annotations
@@ -14,45 +16,74 @@ from pyspark.sql.window import Window
 
 from tallystone.functions.stages import cut
 
+#: Values of one group that one task may sort.
+GROUP_ROWS = 2_000_000
+
 
 def distinct_values(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """(keys, value, n): how often each non-null value occurs."""
     return rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def placed(values: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds to (keys, value, n): stretch, prev (the next smaller value or null) and before (how many
-    occurrences are smaller)."""
+def placed(values: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, value, n, keep) with prev (the next smaller value or null) and before (how many occurrences are
+    smaller). Values are distinct within each group. A job runs."""
+    values = cut(values.select(*keys, "value", "n", *keep))
+    largest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()[0] or 0
+    if largest <= GROUP_ROWS:
+        own = Window.partitionBy(*keys).orderBy("value")
+        before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return values.withColumns({"prev": F.lag("value").over(own), "before": before})
     dealt = cut(values.repartitionByRange(*keys, "value").withColumn("stretch", F.spark_partition_id()))
     own = Window.partitionBy("stretch", *keys).orderBy("value")
     ends = dealt.groupBy("stretch", *keys).agg(F.max("value").alias("last"), F.sum("n").alias("held"))
     ahead = Window.partitionBy(*keys).orderBy("stretch")
     ends = ends.select("stretch", *keys, F.lag("last").over(ahead).alias("carried"), F.coalesce(F.sum("held").over(ahead.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    local = dealt.withColumns({"prev": F.lag("value").over(own), "inside": F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    return _joined(local, ends, ["stretch", *keys]).select(*keys, "stretch", "value", "n", F.coalesce("prev", "carried").alias("prev"), (F.col("offset") + F.col("inside")).alias("before"))
+    local = dealt.withColumns({"own": F.lag("value").over(own), "inside": F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    return joined(local, ends, ["stretch", *keys]).select(*keys, "stretch", "value", "n", *keep, F.coalesce("own", "carried").alias("prev"), (F.col("offset") + F.col("inside")).alias("before"))
 
 
 def running(rows: DataFrame, keys: list[str], amount: Column, into: str) -> DataFrame:
-    """Adds the running sum of ``amount`` by value to what placed() gave."""
+    """Adds the running sum of ``amount`` by value, the row's own included, to what placed() gave."""
     rows = rows.withColumn(into, amount)
+    if "stretch" not in rows.columns:
+        return rows.withColumn(into, F.sum(into).over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
     ahead = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy("stretch", *keys).agg(F.sum(into).alias("held"))
     sums = sums.select("stretch", *keys, F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("offset"))
     own = Window.partitionBy("stretch", *keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    return _joined(rows.withColumn(into, F.sum(into).over(own)), sums, ["stretch", *keys]).withColumn(into, F.col(into) + F.col("offset")).drop("offset")
+    return joined(rows.withColumn(into, F.sum(into).over(own)), sums, ["stretch", *keys]).withColumn(into, F.col(into) + F.col("offset")).drop("offset")
+
+
+def with_group(rows: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Adds aggregates of each group to its rows, which placed() gave."""
+    if "stretch" not in rows.columns:
+        return rows.withColumns({name: c.over(Window.partitionBy(*keys)) for name, c in aggregates.items()})
+    return joined(rows, rows.groupBy(*keys).agg(*[c.alias(name) for name, c in aggregates.items()]), keys)
 
 
-def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """An equi-join in which null keys are equal; the right side's keys go."""
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which null keys are equal; the right side's keys go. Without keys the right side is one
+    row, which is broadcast."""
+    if not on:
+        return left.crossJoin(F.broadcast(right))
     renamed = right.select(*[F.col(c).alias(f"{c}__r" if c in on else c) for c in right.columns])
-    cond = None
+    cond = F.lit(True)
     for c in on:
-        one = F.col(c).eqNullSafe(F.col(f"{c}__r"))
-        cond = one if cond is None else cond & one
-    return left.join(renamed, cond if cond is not None else F.lit(True), how).drop(*[f"{c}__r" for c in on])
+        cond = cond & F.col(c).eqNullSafe(F.col(f"{c}__r"))
+    return left.join(renamed, cond, how).drop(*[f"{c}__r" for c in on])
+
+
+def at_rank(rank: Column) -> Column:
+    """An aggregate over what placed() gave: the value whose occurrences hold a rank, counted from 0."""
+    return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("n")), F.col("value")))
 
 
-joined = _joined
+def at_share(share: Column, total: Column) -> Column:
+    """An aggregate: the value at a share of the ranks of ``total`` occurrences, between neighbours by the line."""
+    rank = (total - 1) * share
+    low, high = at_rank(F.floor(rank)), at_rank(F.ceil(rank))
+    return low + (high - low) * F.max(rank - F.floor(rank))
 
 
 def quantiles(rows: DataFrame, keys: list[str], shares: dict[str, float], value: str = "value") -> DataFrame:
@@ -62,13 +93,18 @@ def quantiles(rows: DataFrame, keys: list[str], shares: dict[str, float], value:
 
 def quantiles_of(found: DataFrame, keys: list[str], shares: dict[str, float]) -> DataFrame:
     """quantiles() of what placed() gave."""
-    totals = found.groupBy(*keys).agg(F.sum("n").alias("all"))
-    spots = _joined(found, totals, keys)
-    picks, names = [], {}
-    for i, (name, q) in enumerate(shares.items()):
-        rank = (F.col("all") - 1) * F.lit(float(q))
-        for end, at in (("lo", F.floor(rank)), ("hi", F.ceil(rank))):
-            picks.append(F.max(F.when((F.col("before") <= at) & (at < F.col("before") + F.col("n")), F.col("value"))).alias(f"{end}{i}"))
-        picks.append(F.max(rank - F.floor(rank)).alias(f"part{i}"))
-        names[name] = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"part{i}")
-    return spots.groupBy(*keys).agg(*picks).select(*keys, *[c.alias(n) for n, c in names.items()])
+    counted = with_group(found, keys, {"all": F.sum("n")})
+    return counted.groupBy(*keys).agg(*[at_share(F.lit(float(q)), F.col("all")).alias(name) for name, q in shares.items()])
+
+
+def middle_gap(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``middle``, the median difference of neighbouring values, to what placed() gave; null without any."""
+    gap = F.col("value") - F.col("prev")
+    if "stretch" in found.columns:
+        gaps = found.where("prev is not null").select(*keys, gap.alias("value"))
+        return joined(found, quantiles(gaps, keys, {"middle": 0.5}), keys, "left")
+    own = Window.partitionBy(*keys)
+    ranked = found.withColumns({"gap": gap, "at": F.row_number().over(own.orderBy(gap.asc_nulls_last())) - 1, "gaps": F.count(gap).over(own)})
+    rank = (F.col("gaps") - 1) / 2
+    low, high = (F.max(F.when(F.col("at") == end(rank), F.col("gap"))).over(own) for end in (F.floor, F.ceil))
+    return ranked.withColumn("middle", low + (high - low) * (rank - F.floor(rank))).drop("gap", "at", "gaps")

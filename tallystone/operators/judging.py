@@ -8,7 +8,6 @@ from pyspark.sql.window import Window
 
 from tallystone.functions import ordered
 from tallystone.functions.ordered import joined
-from tallystone.functions.stages import cut
 from tallystone.schemas import CONSTRAINT, CV_MAX, FREE, INSUFFICIENT, LAYER_GAP, MIXED, N_MIN
 
 DIGITS = 3
@@ -23,11 +22,19 @@ def judge(rows: DataFrame, keys: list[str], value: str = "value", digits: int =
 
     lo and hi are the 10 % and 90 % quantiles, cv the population deviation over the mean (9.9 where
     the mean is 0). The verdict is decided before cv is rounded."""
-    spread = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("dev")
-    )
-    cv = F.when(F.col("mean") == 0, 9.9).otherwise(F.col("dev") / F.col("mean"))
-    both = joined(spread, ordered.quantiles(rows, keys, {"median": 0.5, "lo": 0.1, "hi": 0.9}, value), keys).withColumn("cv", cv)
+    return _judged(ordered.placed(ordered.distinct_values(rows, keys, value), keys), keys, digits)
+
+
+def _judged(found: DataFrame, keys: list[str], digits: int = DIGITS) -> DataFrame:
+    """judge() of what ordered.placed() gave, from the same ranks."""
+    n, v = F.col("n"), F.col("value").cast("double")
+    with_mean = ordered.with_group(found, keys, {"all": F.sum("n"), "total": F.sum(v * n)}).withColumn("mean", F.col("total") / F.col("all"))
+    off = v - F.col("mean")
+    spread = with_mean.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("value").alias("min"), F.max("value").alias("max"), F.max("mean").alias("mean"), F.sqrt(F.sum(off * off * n) / F.sum("n")).alias("dev"),
+        *[ordered.at_share(F.lit(q), F.col("all")).alias(c) for c, q in (("median", 0.5), ("lo", 0.1), ("hi", 0.9))],
+    )
+    both = spread.withColumn("cv", F.when(F.col("mean") == 0, 9.9).otherwise(F.col("dev") / F.col("mean")))
     rounded = {c: F.bround(F.col(c).cast("double"), digits) for c in ("median", "lo", "hi", "min", "max", "cv")}
     return both.select(*keys, "n", *[rounded[c].alias(c) for c in ("median", "lo", "hi", "min", "max", "cv")], verdict(F.col("n"), F.col("cv")).alias("verdict"))
 
@@ -37,13 +44,15 @@ def layers(rows: DataFrame, keys: list[str], value: str = "value", factor: float
 
     A layer begins where the gap to the next smaller value is over ``factor`` times the median of the
     positive gaps. Groups of fewer than 4 values are one layer."""
-    found = cut(ordered.placed(ordered.distinct_values(rows, keys, value), keys))
-    gaps = found.where("prev is not null").select(*keys, (F.col("value") - F.col("prev")).alias("value"))
-    total = found.groupBy(*keys).agg(F.sum("n").alias("all"))
-    limits = joined(total, ordered.quantiles(gaps, keys, {"middle": 0.5}), keys, "left").select(*keys, F.when(F.col("all") >= 4, factor * F.col("middle")).alias("limit"))
-    opens = F.coalesce((F.col("value") - F.col("prev")) > F.col("limit"), F.lit(False)).cast("long")
-    numbered = ordered.running(joined(found, limits, keys), keys, opens, "layer")
-    return numbered.select(*keys, "value", "n", (F.col("layer") + 1).alias("layer"))
+    return _layered(ordered.placed(ordered.distinct_values(rows, keys, value), keys), keys, factor).select(*keys, "value", "n", "layer")
+
+
+def _layered(found: DataFrame, keys: list[str], factor: float = LAYER_GAP) -> DataFrame:
+    """What ordered.placed() gave, with layers."""
+    limited = ordered.with_group(ordered.middle_gap(found, keys), keys, {"all": F.sum("n")})
+    limit = F.when(F.col("all") >= 4, factor * F.col("middle"))
+    opens = F.coalesce((F.col("value") - F.col("prev")) > limit, F.lit(False)).cast("long")
+    return ordered.running(limited, keys, opens, "layer").withColumn("layer", F.col("layer") + 1).drop("all", "middle")
 
 
 def representative(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -53,14 +62,13 @@ def representative(found: DataFrame, keys: list[str]) -> DataFrame:
     return best.select(*keys, (-F.col("b.back")).alias("layer"), F.col("b.n").alias("n"), F.col("b.lowest").alias("lowest"), F.col("b.highest").alias("highest"))
 
 
-def parts(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Observations with ``part``: their layer if it has N_MIN values or is the only one of a group
-    with that many; 0, the mixed rest, for all others."""
-    found = layers(rows, keys)
-    sizes = found.groupBy(*keys, "layer").agg(F.sum("n").alias("size"))
-    part = sizes.select(*keys, "layer", F.when(F.col("size") >= N_MIN, F.col("layer")).otherwise(F.lit(0)).alias("part"))
-    known = joined(found, part, [*keys, "layer"]).select(*keys, "value", "part")
-    return joined(rows.where("value is not null"), known, [*keys, "value"])
+def _parted(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Layered values with ``part``, their layer if it has N_MIN values and 0, the mixed rest, for all
+    others; ``before`` counts within the part."""
+    sized = ordered.with_group(found, [*keys, "layer"], {"size": F.sum("n"), "first": F.min("before")})
+    sized = sized.withColumn("part", F.when(F.col("size") >= N_MIN, F.col("layer")).otherwise(F.lit(0)))
+    rest = ordered.running(sized, keys, F.when(F.col("part") == 0, F.col("n")).otherwise(F.lit(0)), "rest")
+    return rest.withColumn("before", F.when(F.col("part") == 0, F.col("rest") - F.col("n")).otherwise(F.col("before") - F.col("first"))).drop("size", "first", "rest")
 
 
 def derive(observations: DataFrame, entities: DataFrame | None = None, keys: tuple[str, ...] = ("corpus", "metric")) -> DataFrame:
@@ -73,22 +81,25 @@ def derive(observations: DataFrame, entities: DataFrame | None = None, keys: tup
 
     The representative is the adopted layer with most values, the lower of equals; without one, the
     whole group is judged. The rest of small layers is always mixed and never a rule. A group of fewer
-    than N_MIN values has a single, mixed part beside its own verdict."""
+    than N_MIN values has a single, mixed part beside its own verdict. The values are ranked once; layers, parts and all
+    quantiles come from those ranks. Jobs run while the result is built."""
     keys = list(keys)
-    split = cut(parts(observations, keys))
-    whole = judge(split, keys)
-    judged = judge(split, [*keys, "part"]).withColumn("verdict", F.when(F.col("part") == 0, MIXED).otherwise(F.col("verdict")))
+    found = ordered.placed(ordered.distinct_values(observations, keys), keys)
+    whole = _judged(found, keys)
+    judged = _judged(_parted(_layered(found, keys), keys), [*keys, "part"]).withColumn("verdict", F.when(F.col("part") == 0, MIXED).otherwise(F.col("verdict")))
     entry = F.struct("median", "part", "n", "lo", "hi", "min", "max", "cv", "verdict")
     listed = judged.groupBy(*keys).agg(
         F.array_sort(F.collect_list(entry)).alias("layers"),
         F.max(F.when(F.col("verdict") == CONSTRAINT, F.struct("n", (-F.col("median")).alias("back"), (-F.col("part")).alias("low"), entry.alias("e"))))["e"].alias("best"),
     )
-    coverage = split.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all"), F.count_distinct("entity").alias("n_entities"))
+    # an entity's groups are as many as there are metrics
+    per = observations.groupBy(keys[0], "entity").agg(F.collect_set(F.when(F.col("value").isNotNull(), F.struct(*keys[1:]))).alias("seen"))
+    covered = per.select(keys[0], F.explode("seen").alias("s")).select(keys[0], "s.*").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_entities"))
     if entities is None:
-        entities = observations.groupBy(keys[0]).agg(F.count_distinct("entity").alias("n_entities_all"))
+        entities = per.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n_entities_all"))
     else:
         entities = entities.select(keys[0], F.col("n_entities").alias("n_entities_all"))
-    both = joined(joined(joined(whole, listed, keys), coverage, keys), entities, keys[:1], "left")
+    both = joined(joined(joined(whole.withColumn("n_all", F.col("n")), listed, keys), covered, keys), entities, keys[:1], "left")
     plain = (F.size("layers") == 1) & (F.col("layers")[0]["part"] > 0)
     names = ("n", "median", "lo", "hi", "min", "max", "cv", "verdict")
     pick = [F.when(~plain & F.col("best").isNotNull(), F.col(f"best.{c}")).otherwise(F.col(c)).alias(c) for c in names]

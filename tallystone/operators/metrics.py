@@ -1,16 +1,15 @@
 """The metrics of poster records as observations: one row for each value a poster, block or line gives.
 
-posters has the columns of ``schemas.POSTER``. Each extractor is a projection over nested arrays, so a
-poster is never taken apart where one value is wanted of it; only per-line values are exploded.
+posters has the columns of ``schemas.POSTER``. Each extractor gives array columns over its nested arrays, one for
+each metric, and observe() explodes them all in one projection: posters are read once and never shuffled.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def middle(values: Column) -> Column:
     """The median of an array of numbers without nulls; null for an empty one."""
     ordered, n = F.array_sort(values.cast("array<double>")), F.size(values)
@@ -23,23 +22,18 @@ def heights(block) -> Column:
     return F.transform(F.filter(both, lambda x: x["c"].isNotNull() & x["b"].isNotNull()), lambda x: (x["b"] - x["c"]).cast("double"))
 
 
-def _long(posters: DataFrame, metric: str, values: Column) -> DataFrame:
-    """values: an array column; nulls in it and null arrays give nothing."""
-    return posters.select("corpus", F.col("file").alias("entity"), "ord", F.lit(metric).alias("metric"), F.explode(values.cast("array<double>")).alias("value")).where("value is not null")
-
-
-def leading(posters: DataFrame) -> DataFrame:
+def leading() -> dict[str, Column]:
     """lead_over_cap and gap_px of blocks of at least 3 lines with a leading and a known cap."""
     fit = F.filter("blocks", lambda b: (F.coalesce(b["lead"], F.lit(0)) != 0) & (b["n"] >= 3) & F.exists(b["caps"], lambda c: c.isNotNull()))
-    over = F.transform(fit, lambda b: F.when(middle(heights(b)) != 0, b["lead"] / middle(heights(b))))
-    return _long(posters, "lead_over_cap", over).unionByName(_long(posters, "gap_px", F.transform(fit, lambda b: b["lead"] - middle(heights(b)))))
+    both = F.transform(fit, lambda b: F.struct(b["lead"].alias("lead"), middle(heights(b)).alias("cap")))
+    return {"lead_over_cap": F.transform(both, lambda x: F.when(x["cap"] != 0, x["lead"] / x["cap"])), "gap_px": F.transform(both, lambda x: x["lead"] - x["cap"])}
 
 
-def ascenders(posters: DataFrame) -> DataFrame:
+def ascenders() -> dict[str, Column]:
     """asc_over_xh of each line with a cap, an x-height above 0 and an ascender no lower than that."""
     lines = F.flatten(F.transform("blocks", lambda b: F.arrays_zip(b["bases"].alias("b"), b["caps"].alias("c"), b["xtops"].alias("x"))))
     fit = F.filter(lines, lambda s: s["c"].isNotNull() & (s["b"] - s["x"] > 0) & (s["b"] - s["c"] >= s["b"] - s["x"]))
-    return _long(posters, "asc_over_xh", F.transform(fit, lambda s: (s["b"] - s["c"]) / (s["b"] - s["x"])))
+    return {"asc_over_xh": F.transform(fit, lambda s: (s["b"] - s["c"]) / (s["b"] - s["x"]))}
 
 
 def chained(values: Column, reach: float) -> Column:
@@ -48,10 +42,10 @@ def chained(values: Column, reach: float) -> Column:
     return F.size(F.filter(ordered, lambda x, i: (i == 0) | (x - F.get(ordered, i - 1) > reach)))
 
 
-def alignment(posters: DataFrame, reach: int = 2) -> DataFrame:
+def alignment(reach: int = 2) -> dict[str, Column]:
     """align_ratio of posters with at least 3 blocks: clusters of left edges over blocks."""
     edges = F.transform("blocks", lambda b: b["x1"])
-    return _long(posters, "align_ratio", F.when(F.size("blocks") >= 3, F.array(chained(edges, reach) / F.size("blocks"))))
+    return {"align_ratio": F.when(F.size("blocks") >= 3, F.array(chained(edges, reach) / F.size("blocks")))}
 
 
 def upright() -> Column:
@@ -59,46 +53,50 @@ def upright() -> Column:
     return (F.abs(F.coalesce("angle", F.lit(0.0))) < 1) & (F.coalesce(F.get("size", F.lit(0)), F.lit(0)) > 0) & (F.coalesce(F.get("size", F.lit(1)), F.lit(0)) > 0)
 
 
-def margins(posters: DataFrame) -> DataFrame:
+def margins() -> dict[str, Column]:
     """The four margins of upright posters with a region."""
     w, h = F.get("size", F.lit(0)), F.get("size", F.lit(1))
     x1, y1, x2, y2 = (F.get("region", F.lit(i)) for i in range(4))
-    fit = posters.where(upright() & F.col("region").isNotNull())
+    fit = upright() & F.col("region").isNotNull()
     shares = {"margin_left": x1 / w, "margin_right": (w - x2) / w, "margin_top": y1 / h, "margin_bottom": (h - y2) / h}
-    return reduce(DataFrame.unionByName, [_long(fit, m, F.array(v)) for m, v in shares.items()])
+    return {m: F.when(fit, F.array(v)) for m, v in shares.items()}
 
 
-def counts(posters: DataFrame) -> DataFrame:
+def counts() -> dict[str, Column]:
     """n_columns where it is not 0, n_blocks where there are any."""
-    columns = _long(posters, "n_columns", F.when(F.col("n_columns") != 0, F.array("n_columns")))
-    return columns.unionByName(_long(posters, "n_blocks", F.when(F.size("blocks") > 0, F.array(F.size("blocks")))))
+    return {"n_columns": F.when(F.col("n_columns") != 0, F.array("n_columns")), "n_blocks": F.when(F.size("blocks") > 0, F.array(F.size("blocks")))}
 
 
-def letter_range(posters: DataFrame) -> DataFrame:
+def letter_range() -> dict[str, Column]:
     """cap_range: largest over smallest x-height above 0, of at least two."""
     found = F.filter(F.transform("blocks", lambda b: b["xh"]), lambda x: x > 0)
-    return _long(posters, "cap_range", F.when(F.size(found) >= 2, F.array(F.array_max(found) / F.array_min(found))))
+    return {"cap_range": F.when(F.size(found) >= 2, F.array(F.array_max(found) / F.array_min(found)))}
 
 
-def text_area(posters: DataFrame) -> DataFrame:
+def text_area() -> dict[str, Column]:
     """Summed block areas over the plate of upright posters; 0 without blocks."""
     side = lambda a, b: F.greatest(b - a, F.lit(0)).cast("double")
     area = F.aggregate(F.coalesce("blocks", F.expr("array()")), F.lit(0.0), lambda s, b: s + side(b["x1"], b["x2"]) * side(b["y1"], b["y2"]))
-    return _long(posters.where(upright()), "text_area", F.array(area / (F.get("size", F.lit(0)) * F.get("size", F.lit(1)))))
+    return {"text_area": F.when(upright(), F.array(area / (F.get("size", F.lit(0)) * F.get("size", F.lit(1)))))}
 
 
-def colors(posters: DataFrame) -> DataFrame:
+def colors() -> dict[str, Column]:
     names = ("ground_share", "n_colors", "saturation", "value", "gray_share")
-    return reduce(DataFrame.unionByName, [_long(posters, m, F.when(F.col("color").isNotNull(), F.array(F.col(f"color.{m}")))) for m in names])
+    return {m: F.when(F.col("color").isNotNull(), F.array(F.col(f"color.{m}"))) for m in names}
 
 
-#: More metrics can be added here: a function from posters to observations.
+#: More metrics can be added here: a function that gives an array column over poster records for each of its metrics.
 EXTRACTORS = {"leading": leading, "ascenders": ascenders, "alignment": alignment, "margins": margins, "counts": counts, "letter_range": letter_range, "text_area": text_area, "colors": colors}
 
 
 def observe(posters: DataFrame, extractors=EXTRACTORS) -> DataFrame:
-    """(corpus, entity, ord, metric, value) of all metrics."""
-    return reduce(DataFrame.unionByName, [f(posters) for f in extractors.values()])
+    """(corpus, entity, ord, metric, value) of all metrics; null arrays and nulls in them give nothing."""
+
+    def named(metric: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values.cast("array<double>"), F.expr("cast(array() as array<double>)")), lambda v: F.struct(F.lit(metric).alias("metric"), v.alias("value")))
+
+    found = [named(m, v) for extract in extractors.values() for m, v in extract().items()]
+    return posters.select("corpus", F.col("file").alias("entity"), "ord", F.explode(F.concat(*found)).alias("m")).select("corpus", "entity", "ord", "m.*").where("value is not null")
 
 
 def region(blocks: Column) -> Column:
