@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.functions.stages import cut
+from tallystone.functions.stages import written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -27,14 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is a few shuffles of at most as many edges as there were; rounds go with the
     logarithm of the longest path. Edges are written to the checkpoint folder after each round."""
 
-    def written(e: DataFrame) -> tuple[DataFrame, tuple]:
-        e = cut(e)
+    def marked(e: DataFrame) -> tuple[DataFrame, tuple]:
+        e = written(e)
         return e, tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges, mark = written(edges)
+    edges, mark = marked(edges)
     while True:
-        edges, after = written(_small_star(_large_star(edges)))
+        edges, after = marked(_small_star(_large_star(edges)))
         if after == mark:
             break
         mark = after

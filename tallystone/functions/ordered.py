@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallystone.functions.stages import cut
+from tallystone.functions.stages import written
 
 #: Values of one group that one task may sort.
 GROUP_ROWS = 2_000_000
@@ -28,13 +28,13 @@ def distinct_values(rows: DataFrame, keys: list[str], value: str = "value") -> D
 def placed(values: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """(keys, value, n, keep) with prev (the next smaller value or null) and before (how many occurrences are
     smaller). Values are distinct within each group. A job runs."""
-    values = cut(values.select(*keys, "value", "n", *keep))
+    values = written(values.select(*keys, "value", "n", *keep))
     largest = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()[0] or 0
     if largest <= GROUP_ROWS:
         own = Window.partitionBy(*keys).orderBy("value")
         before = F.coalesce(F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         return values.withColumns({"prev": F.lag("value").over(own), "before": before})
-    dealt = cut(values.repartitionByRange(*keys, "value").withColumn("stretch", F.spark_partition_id()))
+    dealt = written(values.repartitionByRange(*keys, "value").withColumn("stretch", F.spark_partition_id()))
     own = Window.partitionBy("stretch", *keys).orderBy("value")
     ends = dealt.groupBy("stretch", *keys).agg(F.max("value").alias("last"), F.sum("n").alias("held"))
     ahead = Window.partitionBy(*keys).orderBy("stretch")
@@ -81,7 +81,11 @@ def at_rank(rank: Column) -> Column:
 
 def at_share(share: Column, total: Column) -> Column:
     """An aggregate: the value at a share of the ranks of ``total`` occurrences, between neighbours by the line."""
-    rank = (total - 1) * share
+    return at_place((total - 1) * share)
+
+
+def at_place(rank: Column) -> Column:
+    """An aggregate: the value at a rank that may lie between two."""
     low, high = at_rank(F.floor(rank)), at_rank(F.ceil(rank))
     return low + (high - low) * F.max(rank - F.floor(rank))
 

@@ -1,25 +1,24 @@
-"""Corpora side by side: medians with bootstrap intervals, and which corpora are apart."""
+"""Corpora side by side: medians with intervals, which corpora are apart, and cards of all metrics."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import ordered
 from tallystone.functions.ordered import joined
-from tallystone.operators.judging import layers, representative
+from tallystone.functions.stages import written
+from tallystone.operators.judging import catalog, layers, representative
+from tallystone.schemas import BLOCKED, EXCLUDED, METRICS, NO_VALUE
 
-DRAWS, SEED = 4000, 0
+#: Fixed value: half the width of a 95 % interval, in deviations of the normal distribution.
+NORMAL_95 = 1.959964
 #: Metrics that are compared within their largest layer.
 LAYERED = ("lead_over_cap", "gap_px", "asc_over_xh")
 
 
-
-
 def largest_layer(observations: DataFrame, metrics: tuple[str, ...] = LAYERED) -> DataFrame:
     """Observations of ``metrics`` outside the largest layer of their corpus go; all others stay."""
     keys = ["corpus", "metric"]
@@ -29,34 +28,24 @@ def largest_layer(observations: DataFrame, metrics: tuple[str, ...] = LAYERED) -
     return kept.unionByName(observations.where(~F.col("metric").isin(*metrics) & F.col("value").isNotNull()))
 
 
-def median_intervals(rows: DataFrame, keys: list[str], draws: int = DRAWS, seed: int = SEED) -> DataFrame:
+def _intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """median_intervals() without rounding the median."""
+    found = ordered.placed(ordered.distinct_values(rows, keys), keys)
+    counted = ordered.with_group(found, keys, {"all": F.sum("n")})
+    half, last = F.lit(NORMAL_95) * F.sqrt("all") / 2, F.col("all") - 1
+    low, high = F.greatest(last / 2 - half, F.lit(0.0)), F.least(last / 2 + half, last.cast("double"))
+    ends = counted.groupBy(*keys).agg(F.max("all").alias("n"), ordered.at_share(F.lit(0.5), F.col("all")).alias("median"), ordered.at_place(low).alias("ci_lo"), ordered.at_place(high).alias("ci_hi"))
+    return ends.select(*keys, "n", "median", *[F.when(F.col("n") >= 3, F.bround(c, 4)).alias(c) for c in ("ci_lo", "ci_hi")])
+
+
+def median_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n, median, ci_lo, ci_hi): the median and its 95 % interval from the order statistics.
 
-    The interval of a resampled median of n values goes from one rank to another that only n decides:
-    the number of resampled values below rank r is binomial. Those ranks are drawn once for each n, and
-    their values are picked from the ordered values, so no group is resampled in one task. Groups of
-    fewer than 3 values have no interval."""
-    found = ordered.placed(ordered.distinct_values(rows, keys), keys)
-    totals = found.groupBy(*keys).agg(F.sum("n").alias("all"))
-
-    def ranks(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            low, high = [], []
-            for n in b["all"]:
-                # the median of n draws is the middle order statistic of n uniform ranks: a beta variate
-                rng = np.random.default_rng(seed)
-                place = np.floor(rng.beta((n + 1) / 2, (n + 1) / 2, draws) * n)
-                low.append(int(np.quantile(place, 0.025, method="lower")))
-                high.append(int(np.quantile(place, 0.975, method="higher")))
-            yield pd.DataFrame({"all": b["all"], "low": low, "high": high})
-
-    sizes = totals.select("all").distinct().mapInPandas(ranks, "all long, low long, high long")
-    wanted = totals.join(sizes, "all")
-    at = lambda rank: F.max(F.when((F.col("before") <= F.col(rank)) & (F.col(rank) < F.col("before") + F.col("n")), F.col("value")))
-    ends = joined(found, wanted, keys).groupBy(*keys).agg(F.max("all").alias("all"), at("low").alias("ci_lo"), at("high").alias("ci_hi"))
-    both = joined(ends, ordered.quantiles_of(found, keys, {"median": 0.5}), keys)
-    known = F.col("all") >= 3
-    return both.select(*keys, F.col("all").alias("n"), F.bround("median", 4).alias("median"), F.when(known, F.bround("ci_lo", 4)).alias("ci_lo"), F.when(known, F.bround("ci_hi", 4)).alias("ci_hi"))
+    How many of n resampled values are below a rank is binomial, so the resampled median moves between ranks that
+    only n decides: the middle one and 1.96 deviations, each half the root of n, to both sides. The values at these
+    ranks, between neighbours by the line, are what resampling tends to; nothing is drawn, and a group of any size
+    takes the same steps. Groups of fewer than 3 values have no interval."""
+    return _intervals(rows, keys).withColumn("median", F.bround("median", 4))
 
 
 def separated(bands: DataFrame, corpus: str, by: list[str], lo: str, hi: str) -> DataFrame:
@@ -73,19 +62,41 @@ def separated(bands: DataFrame, corpus: str, by: list[str], lo: str, hi: str) ->
 
 def compare(observations: DataFrame, metrics: tuple[str, ...] = LAYERED) -> DataFrame:
     """Per metric with at least two corpora: n_corpora, spread (largest over smallest median, where that
-    is above 0), n_separated and n_pairs."""
-    bands = median_intervals(largest_layer(observations, metrics), ["metric", "corpus"])
+    is above 0), n_separated, n_pairs and the pairs that are apart as ``one/other``, comma-joined."""
+    bands = written(_intervals(largest_layer(observations, metrics), ["metric", "corpus"]))
     per = bands.groupBy("metric").agg(F.count(F.lit(1)).alias("n_corpora"), F.max("median").alias("most"), F.min("median").alias("least")).where("n_corpora >= 2")
-    pairs = separated(bands, "corpus", ["metric"], "ci_lo", "ci_hi").groupBy("metric").agg(F.count_if("apart").alias("n_separated"), F.count(F.lit(1)).alias("n_pairs"))
+    named = F.array_join(F.array_sort(F.collect_list(F.when(F.col("apart"), F.concat_ws("/", "one", "other")))), ",")
+    pairs = separated(bands, "corpus", ["metric"], "ci_lo", "ci_hi").groupBy("metric").agg(F.count_if("apart").alias("n_separated"), F.count(F.lit(1)).alias("n_pairs"), named.alias("separated"))
     spread = F.when(F.col("least") > 0, F.bround(F.col("most") / F.col("least"), 3)).alias("spread")
-    return per.join(pairs, "metric").select("metric", "n_corpora", spread, "n_separated", "n_pairs")
+    return per.join(pairs, "metric").select("metric", "n_corpora", spread, "n_separated", "n_pairs", "separated")
 
 
 def card(rules: DataFrame, metrics: DataFrame, observations: DataFrame | None = None) -> DataFrame:
     """One row for each metric of the catalog, with its rule and, if observations of several corpora
     are given, the comparison."""
-    from tallystone.operators.judging import catalog
-    from tallystone.schemas import NO_VALUE
-
     shown = catalog(rules, metrics, NO_VALUE)
     return shown if observations is None else shown.join(compare(observations), "metric", "left")
+
+
+def style_card(rules: DataFrame, posters: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """One row for each metric of the registry, measured or not, and each that is declared but blocked, of each
+    corpus of ``posters``: label, unit, the rule's numbers and layers, how many entities it came from, how many were
+    excluded as rotated, and the comparison with ``references`` (observations of several corpora, these ones included)."""
+    corpora = posters.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_posters"), F.count_if(F.abs(F.coalesce("angle", F.lit(0.0))) >= 1).alias("n_rotated"))
+    names = [F.struct(*[F.lit(x).alias(c) for c, x in zip(("metric", "label", "unit", "blocked"), (m, label, unit, None), strict=True)]) for m, label, unit in METRICS]
+    names += [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("label"), F.lit(None).cast("string").alias("unit"), F.lit("blocked").alias("blocked")) for m in BLOCKED]
+    names = [F.struct(n["metric"].alias("metric"), n["label"].alias("label"), n["unit"].alias("unit"), n["blocked"].cast("string").alias("blocked")) for n in names]
+    listed = corpora.select("corpus", "n_posters", "n_rotated", F.explode(F.array(*names)).alias("m")).select("corpus", "n_posters", "n_rotated", "m.*")
+    entry = rules.drop("is_rule", "n_entities_all").withColumnRenamed("n_layers", "parts")
+    shown = joined(listed, entry, ["corpus", "metric"], "left")
+    excluded = F.when(F.col("metric").isin(*EXCLUDED) & F.col("verdict").isNotNull(), F.col("n_rotated"))
+    found = shown.select(
+        "corpus", "metric", "label", "unit", F.coalesce("verdict", "blocked", F.lit(NO_VALUE)).alias("verdict"), "n", "median", "lo", "hi", "min", "max", "cv",
+        F.when(F.col("verdict").isNotNull(), F.greatest("parts", F.lit(1))).alias("n_layers"), F.when(F.col("parts") > 1, F.col("layers")).alias("layers"), "n_all", "n_entities", "n_posters", excluded.alias("n_excluded"),
+    )
+    return found if references is None else found.join(compare(references), "metric", "left")
+
+
+def with_references(own: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """The observations of a corpus and of reference corpora under their names."""
+    return reduce(DataFrame.unionByName, [own, *[o.withColumn("corpus", F.lit(name)) for name, o in others.items()]])

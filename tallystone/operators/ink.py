@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tallystone.functions import graph, ordered
 from tallystone.functions.ordered import joined
-from tallystone.functions.stages import cut
+from tallystone.functions.stages import written
 from tallystone.operators.spatial import cells
 
 #: Columns of a picture that runs are looked up by.
@@ -29,7 +29,7 @@ def row_runs(ink: DataFrame, by: list[str]) -> DataFrame:
 def labelled_runs(ink: DataFrame, by: list[str], diagonal: bool = False) -> DataFrame:
     """row_runs() with ``component``: the first run of the component as (by, y, x1). Pixels that share a
     side belong together, with ``diagonal`` those that share a corner too."""
-    runs = cut(row_runs(ink, by)).withColumn("node", F.struct(*by, "y", "x1"))
+    runs = written(row_runs(ink, by)).withColumn("node", F.struct(*by, "y", "x1"))
     reach = int(diagonal)
     upper = runs.withColumn("cell", F.explode(cells(F.col("x1") - reach, F.col("x2") + reach, CELL)))
     lower = runs.select(*[F.col(c).alias(f"l_{c}") for c in (*by, "x1", "x2")], (F.col("y") - 1).alias("l_y"), F.col("node").alias("l_node"))
@@ -59,6 +59,24 @@ def strata(found: DataFrame, by: list[str], ratio: float = 3.0) -> DataFrame:
     return joined(found, body_height(found, by), by).withColumn("tall", (F.col("body") > 0) & (F.col("y2") - F.col("y1") > ratio * F.col("body")))
 
 
+def least_area(width: Column, height: Column) -> Column:
+    """Fewer pixels than that are no shape in a picture of this size."""
+    return F.greatest(F.lit(12.0), 0.0004 * width * height)
+
+
+def classes(ink: DataFrame, by: list[str], color: str, sizes: DataFrame, share: float = 0.002) -> DataFrame:
+    """(by, color, share, area, n_comp, top1, top3, solidity, place): the shape of each colour of pictures (by, y, x, color)
+    of the sizes (by, width, height), largest share first. Colours of less than ``share`` of the picture, and components
+    of fewer pixels than least_area(), are left out."""
+    whole = F.col("width") * F.col("height")
+    counted = joined(ink.groupBy(*by, color).agg(F.count(F.lit(1)).alias("pixels")), sizes, by).where(F.col("pixels") >= share * whole)
+    kept = joined(ink, counted.select(*by, color), [*by, color])
+    parts = joined(components(kept, [*by, color]), sizes, by)
+    formed = joined(shape(parts, [*by, color], least_area(F.col("width"), F.col("height"))), sizes, by)
+    formed = formed.withColumn("share", F.bround(F.col("area") / whole, 4)).drop("width", "height")
+    return formed.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("share"), color)))
+
+
 def shape(found: DataFrame, by: list[str], floor: Column | None = None) -> DataFrame:
     """(by, area, n_comp, top1, top3, solidity) of components of at least ``floor`` pixels: the shares of
     the largest and the three largest, and the median share of its box that a component fills."""

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.functions.stages import cut
 from tallystone.operators.judging import position
 from tallystone.operators.metrics import middle
-from tallystone.operators.spatial import classify
 from tallystone.schemas import CONSTRAINT
 
 #: Lines touch where leading exceeds the letters by less.
 LEAST_GAP = 1.0
+LEADING = "lead_over_cap"
 
 
 def gaps(values: Column) -> Column:
@@ -43,60 +42,156 @@ def place(blocks: DataFrame, ratio: float) -> DataFrame:
     return both.select("layout", "id", "x", "grid", "lead", F.bround(F.col("lead") / height, 3).alias("ratio"), F.when(F.col("lead").isNotNull(), lines).alias("baselines"))
 
 
-def candidates(layouts: DataFrame) -> DataFrame:
-    """(layout, metric, value): what a layout candidate measures, in the metrics of the rules."""
+def layer_list(rules: DataFrame, metric: str = LEADING) -> DataFrame:
+    """(corpus, metric, layer, median, n, lo, hi, min, max, cv, verdict): the layers of a metric, numbered from 1 by their
+    median; an entry that is one layer is that itself."""
+    return rules.where(F.col("metric") == metric).select("corpus", "metric", F.explode(_bands()).alias("b")).select("corpus", "metric", "b.*")
+
+
+def _bands() -> Column:
+    names = ("median", "n", "lo", "hi", "min", "max", "cv", "verdict")
+    whole = F.array(F.struct(F.lit(1).alias("layer"), *[F.col(c) for c in names]))
+    return F.when(F.col("n_layers") > 0, F.transform("layers", lambda p, i: F.struct((i + 1).alias("layer"), *[p[c].alias(c) for c in names]))).otherwise(whole)
+
+
+def rule_sets(rules: DataFrame) -> DataFrame:
+    """(corpus, bands, adopted, others): what layouts of a corpus are held against, a row for each corpus: the layers of
+    the leading, its entry where that is a rule, and the other metrics' entries by name."""
+    own = F.col("metric") == LEADING
+    entry = F.struct(F.lit(0).alias("layer"), *[F.col(c) for c in ("median", "n", "lo", "hi", "min", "max", "cv", "verdict")])
+    return rules.groupBy("corpus").agg(
+        F.first(F.when(own, _bands()), ignorenulls=True).alias("bands"),
+        F.first(F.when(own & F.col("is_rule"), entry), ignorenulls=True).alias("adopted"),
+        F.map_from_entries(F.collect_list(F.when(~own, F.struct("metric", F.struct("lo", "hi", "min", "max", "verdict", "median"))))).alias("others"),
+    )
+
+
+def _held_against(layouts: DataFrame, rules: DataFrame) -> DataFrame:
+    """Layouts with their corpus's rule set and the layer asked for; without a column ``corpus`` the rules must be of one."""
+    if "corpus" not in layouts.columns:
+        names = [r[0] for r in rules.select("corpus").distinct().limit(2).collect()]
+        if len(names) > 1:
+            raise ValueError("rules of several corpora: layouts need a column corpus")
+        layouts = layouts.withColumn("corpus", F.lit(names[0] if names else None).cast("string"))
+    both = layouts.join(rule_sets(rules), "corpus", "left")
+    asked = F.col("layer")
+    chosen = F.when(asked.isNotNull() & (asked >= 1), F.get(F.col("bands"), asked - 1))
+    error = F.when(F.col("others").isNull(), "no_rules").when(asked.isNotNull() & chosen.isNull(), "no_such_layer").when(F.coalesce(F.size("blocks"), F.lit(0)) <= 0, "no_blocks")
+    return both.withColumns({"forced": chosen, "error": error})
+
+
+def place_text(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """Text blocks on one grid by the rule of the leading, or by the layer asked for.
+
+    requests: (layout, layer, grid_lead, blocks; corpus if the rules are of several). Without an adopted rule the lowest layer
+    is taken. One row for each block: layout, corpus, id, x, cap_height, grid, lead, multiple, ratio, baselines, in_band,
+    notes; blocks without a cap height have a note and nothing else. Requests that cannot be placed have one
+    row with ``error``: no_rules, no_such_layer, no_blocks, no_leading, no_cap_height or bad_grid (not above 0)."""
+    both = _held_against(requests, rules).withColumn("band", F.coalesce("forced", "adopted", F.get("bands", F.lit(0))))
+    caps = F.filter(F.transform("blocks", lambda b: b["cap_height"]), lambda c: c > 0)
+    grid = F.coalesce("grid_lead", F.greatest(F.lit(1.0), F.rint(F.array_min(caps) * F.col("band.median"))))
+    both = both.withColumn("grid", grid)
+    both = both.withColumn("error", F.coalesce("error", F.when(F.col("band").isNull(), "no_leading").when(F.col("grid").isNull(), "no_cap_height").when(F.col("grid") <= 0, "bad_grid")))
+    each = both.select("layout", "corpus", "grid", "band", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("blocks"))).alias("b"))
+    height = F.col("b.cap_height")
+    fit = (height > 0) & F.col("error").isNull()
+    each = each.withColumn("multiple", F.when(fit, grid_lines(height, F.col("grid"), F.col("band.median"))))
+    each = each.withColumn("lead", F.col("multiple") * F.col("grid")).withColumn("ratio", F.col("lead") / height)
+    n, first = F.coalesce("b.n_lines", F.lit(1)), F.coalesce("b.y", F.lit(0.0)) + height
+    lines = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.bround(first + i * F.col("lead"), 1))).otherwise(F.expr("array()"))
+    inside = F.col("ratio").between(F.col("band.lo"), F.col("band.hi"))
+    placed = F.col("error").isNull()
+    notes = F.array_compact(F.array(F.when(placed & ~F.coalesce(height > 0, F.lit(False)), "no_cap_height"), F.when(~inside, "outside_band"), F.when(placed & (F.col("band.verdict") != CONSTRAINT), "not_adopted")))
+    return each.select("layout", "corpus", F.col("b.id").alias("id"), F.col("b.x").alias("x"), height.alias("cap_height"), F.when(placed, F.col("grid")).alias("grid"), "lead", "multiple", F.bround("ratio", 2).alias("ratio"), F.when(F.col("lead").isNotNull(), lines).alias("baselines"), inside.alias("in_band"), notes.alias("notes"), "error")
+
+
+def _measured() -> dict[str, Column]:
+    """What a layout candidate measures, in the metrics of the rules; nulls where it can't."""
     some = F.coalesce("blocks", F.expr("array()"))
     caps = F.filter(F.transform(some, lambda b: b["cap_height"]), lambda c: c > 0)
     lines = lambda b: F.filter(F.transform(b["lines"], lambda s: s["baseline"]), lambda v: v.isNotNull())
     top, bottom = (lambda b: F.array_min(lines(b)) - F.coalesce(b["cap_height"], F.lit(0.0))), (lambda b: F.array_max(lines(b)))
     w, h = F.col("canvas.w"), F.col("canvas.h")
-    sized = (w > 0) & (h > 0)
     wide = F.filter(some, lambda b: b["x"].isNotNull() & b["x_width"].isNotNull())
     high = F.filter(some, lambda b: F.size(lines(b)) > 0)
-    full = F.filter(high, lambda b: b["x_width"].isNotNull())
-    area = F.aggregate(full, F.lit(0.0), lambda s, b: s + b["x_width"] * (bottom(b) - top(b)))
-    found = {
+    area = F.aggregate(high, F.lit(0.0), lambda s, b: s + F.coalesce(b["x_width"], F.lit(0.0)) * (bottom(b) - top(b)))
+    return {
         "cap_range": F.when(F.size(caps) >= 2, F.array_max(caps) / F.array_min(caps)),
         "n_blocks": F.when(F.size(some) > 0, F.size(some).cast("double")),
-        "margin_left": F.when(sized, F.array_min(F.transform(F.filter(some, lambda b: b["x"].isNotNull()), lambda b: b["x"])) / w),
-        "margin_right": F.when(sized, (w - F.array_max(F.transform(wide, lambda b: b["x"] + b["x_width"]))) / w),
-        "margin_top": F.when(sized, F.array_min(F.transform(high, top)) / h),
-        "margin_bottom": F.when(sized, (h - F.array_max(F.transform(high, bottom))) / h),
-        "text_area": F.when(sized & (F.size(full) > 0), area / (w * h)),
+        "margin_left": F.when(w > 0, F.array_min(F.transform(F.filter(some, lambda b: b["x"].isNotNull()), lambda b: b["x"])) / w),
+        "margin_right": F.when(w > 0, (w - F.array_max(F.transform(wide, lambda b: b["x"] + b["x_width"]))) / w),
+        "margin_top": F.when(h > 0, F.array_min(F.transform(high, top)) / h),
+        "margin_bottom": F.when(h > 0, (h - F.array_max(F.transform(high, bottom))) / h),
+        "text_area": F.when((w > 0) & (h > 0) & (area != 0), area / (w * h)),
     }
-    listed = F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in found.items()])
-    return layouts.select("layout", F.explode(listed).alias("m")).select("layout", "m.*").where("value is not null")
+
+
+def _listed() -> Column:
+    return F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("double").alias("value")) for m, v in _measured().items()])
+
+
+def candidates(layouts: DataFrame) -> DataFrame:
+    """(layout, metric, value): what a layout candidate measures. Colours of its picture are sources.color_records()."""
+    return layouts.select("layout", F.explode(_listed()).alias("m")).select("layout", "m.*").where("value is not null")
+
+
+def _finding(block: Column | None, rule: Column | str, status: Column | str, value: Column | None, lo=None, hi=None, fix=None, layer=None) -> Column:
+    text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x.cast("string")
+    number = lambda x: (F.lit(None) if x is None else x).cast("double")
+    return F.struct(text(block).alias("block"), text(rule).alias("rule"), text(status).alias("status"), number(value).alias("value"), number(lo).alias("lo"), number(hi).alias("hi"), number(fix).alias("fix"), (F.lit(None) if layer is None else layer).cast("int").alias("layer"))
+
+
+def _of_block(x: Column) -> Column:
+    """The findings about one block with a leading: its ratio, lines that touch, uneven lines."""
+    aim = F.coalesce(F.col("forced"), F.col("adopted"), F.get("bands", F.lit(0)))
+    ratio = (
+        F.when(x["fit"].isNotNull(), _finding(x["block"], LEADING, "accepted", F.bround(x["value"], 2), x["fit"]["lo"], x["fit"]["hi"], None, x["fit"]["layer"]))
+        .when(x["seen"].isNotNull(), _finding(x["block"], LEADING, "held", F.bround(x["value"], 2), x["seen"]["lo"], x["seen"]["hi"], None, x["seen"]["layer"]))
+        .otherwise(_finding(x["block"], LEADING, "violation", F.bround(x["value"], 2), aim["lo"], aim["hi"], F.bround(x["height"] * aim["median"], 1)))
+    )
+    apart, reach = x["lead"] - x["height"], F.array_max(x["gaps"]) - F.array_min(x["gaps"])
+    touching = F.when(apart < LEAST_GAP, _finding(x["block"], "overlap", "violation", F.bround(apart, 1), F.lit(LEAST_GAP)))
+    uneven = F.when((F.size(x["gaps"]) >= 2) & (reach > 1), _finding(x["block"], "regularity", "violation", F.bround(reach, 2), None, F.lit(1.0)))
+    return F.array_compact(F.array(ratio, touching, uneven))
+
+
+def _of_layout(m: Column) -> Column:
+    """The finding about one measured metric: only adopted ones can be violated, others are located."""
+    e = F.try_element_at(F.col("others"), m["metric"])
+    at = position(m["value"], e["lo"], e["hi"], e["min"], e["max"])
+    broken = (e["verdict"] == CONSTRAINT) & (at != "in_band")
+    return _finding(None, m["metric"], F.when(broken, "violation").otherwise(at), F.bround(m["value"], 4), e["lo"], e["hi"], F.when(broken, e["median"]))
 
 
 def check(layouts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(layout, block, rule, status, value, fix): every block's leading against the layers of
-    ``lead_over_cap``, lines that touch or are uneven, and all other metrics against their rules.
-
-    rules is what derive() gives for one corpus. Blocks without two lines or a cap height are left
-    out, and so are the checks of blocks where there is no entry for leading. Only adopted metrics can
-    be violated; others are located: in_band, observed or outside."""
-    rules = cut(rules)
-    entry = rules.where("metric = 'lead_over_cap'")
-    whole = F.array(F.struct(*[F.col(c) for c in ("median", "n", "lo", "hi", "min", "max", "verdict")]))
-    parts = F.when(F.col("n_layers") > 0, F.transform("layers", lambda p: F.struct(*[p[c].alias(c) for c in ("median", "n", "lo", "hi", "min", "max", "verdict")]))).otherwise(whole)
-    bands = entry.select(F.posexplode(parts).alias("band", "p")).select((F.col("band") + 1).alias("band"), "p.*")
-    target = entry.select(F.col("median").alias("aim"))
-
-    b = layouts.select("layout", F.explode("blocks").alias("b")).select("layout", F.col("b.id").alias("block"), F.col("b.cap_height").alias("height"), F.filter(F.transform("b.lines", lambda s: s["baseline"]), lambda v: v.isNotNull()).alias("lines"))
-    b = b.withColumn("gaps", gaps(F.col("lines"))).withColumn("lead", middle(F.col("gaps"))).where((F.col("lead") > 0) & (F.col("height") > 0))
-    b = b.withColumn("value", F.col("lead") / F.col("height")).join(F.broadcast(target))
-    judged = classify(b, bands, "value", CONSTRAINT)
-    ratio = judged.select("layout", "block", F.lit("lead_over_cap").alias("rule"), "status", F.bround("value", 2).alias("value"), F.when(F.col("status") == "violation", F.bround(F.col("height") * F.col("aim"), 1)).alias("fix"))
-    touching = judged.where(F.col("lead") - F.col("height") < LEAST_GAP).select("layout", "block", F.lit("overlap").alias("rule"), F.lit("violation").alias("status"), F.bround(F.col("lead") - F.col("height"), 2).alias("value"), F.lit(None).cast("double").alias("fix"))
-    reach = F.array_max("gaps") - F.array_min("gaps")
-    uneven = judged.where((F.size("lines") >= 3) & (reach > 1)).select("layout", "block", F.lit("regularity").alias("rule"), F.lit("violation").alias("status"), F.bround(reach, 2).alias("value"), F.lit(None).cast("double").alias("fix"))
-    known = rules.select("metric", "lo", "hi", "min", "max", "verdict", "median")
-    located = candidates(layouts).join(known, "metric").withColumn("at", position(F.col("value"), F.col("lo"), F.col("hi"), F.col("min"), F.col("max")))
-    broken = (F.col("verdict") == CONSTRAINT) & (F.col("at") == "outside")
-    others = located.select("layout", F.lit(None).cast("string").alias("block"), F.col("metric").alias("rule"), F.when(broken, "violation").otherwise(F.col("at")).alias("status"), F.bround("value", 2).alias("value"), F.when(broken, F.col("median")).alias("fix"))
-    return ratio.unionByName(touching).unionByName(uneven).unionByName(others)
+    """(layout, corpus, block, rule, status, value, lo, hi, fix, layer): every block's leading against the layers of
+    ``lead_over_cap`` or the one layer asked for, lines that touch or are uneven, and all other metrics against their rules.
+
+    layouts: (layout, layer, canvas, blocks; corpus if the rules are of several). Blocks without two lines or a cap
+    height are left out, and so are the checks of blocks where there is no entry for leading. Only adopted metrics can
+    be violated; others are located: in_band, observed or outside. A right margin that no width gives is a ``note``. Layouts
+    that cannot be checked have one row of status ``error``, with no_rules, no_such_layer or no_blocks as rule; those
+    without any finding have one row with nulls. Layouts are read once and joined with one row for each corpus."""
+    both = _held_against(layouts, rules)
+    both = both.withColumn("cands", F.when(F.col("layer").isNotNull(), F.array("forced")).otherwise(F.col("bands")))
+    b = F.transform("blocks", lambda x: F.struct(x["id"].alias("block"), x["cap_height"].alias("height"), gaps(F.filter(F.transform(x["lines"], lambda s: s["baseline"]), lambda v: v.isNotNull())).alias("gaps")))
+    b = F.filter(F.transform(b, lambda x: F.struct(x["block"].alias("block"), x["height"].alias("height"), x["gaps"].alias("gaps"), middle(x["gaps"]).alias("lead"))), lambda x: (x["lead"] != 0) & (x["height"] > 0))
+
+    def judged(x: Column) -> Column:
+        value = x["lead"] / x["height"]
+        fit = F.get(F.filter("cands", lambda c: (c["verdict"] == CONSTRAINT) & value.between(c["lo"], c["hi"])), F.lit(0))
+        seen = F.get(F.filter("cands", lambda c: (c["verdict"] != CONSTRAINT) & value.between(F.coalesce(c["min"], c["lo"]), F.coalesce(c["max"], c["hi"]))), F.lit(0))
+        return F.struct(x["block"].alias("block"), x["height"].alias("height"), x["gaps"].alias("gaps"), x["lead"].alias("lead"), value.alias("value"), fit.alias("fit"), seen.alias("seen"))
+
+    of_blocks = F.when(F.size("bands") > 0, F.flatten(F.transform(F.transform(b, judged), _of_block)))
+    others = F.transform(F.filter(_listed(), lambda m: m["value"].isNotNull() & F.map_contains_key("others", m["metric"])), _of_layout)
+    no_width = (F.col("canvas.w") > 0) & F.exists("blocks", lambda x: x["x"].isNotNull()) & ~F.exists("blocks", lambda x: x["x"].isNotNull() & x["x_width"].isNotNull())
+    notes = F.when(no_width, F.array(_finding(None, "margin_right", "note", None)))
+    none = F.array().cast("array<struct<block:string,rule:string,status:string,value:double,lo:double,hi:double,fix:double,layer:int>>")
+    found = F.when(F.col("error").isNotNull(), F.array(_finding(None, F.col("error"), "error", None))).otherwise(F.concat(F.coalesce(of_blocks, none), F.coalesce(others, none), F.coalesce(notes, none)))
+    return both.select("layout", "corpus", F.explode_outer(found).alias("f")).select("layout", "corpus", "f.*")
 
 
 def totals(checked: DataFrame) -> DataFrame:
-    """(layout, n_violations, n_held, ok)."""
-    return checked.groupBy("layout").agg(F.count_if(F.col("status") == "violation").alias("n_violations"), F.count_if(F.col("status") == "held").alias("n_held")).withColumn("ok", F.col("n_violations") == 0)
+    """(layout, corpus, n_violations, n_held, ok)."""
+    return checked.groupBy("layout", "corpus").agg(F.count_if(F.col("status") == "violation").alias("n_violations"), F.count_if(F.col("status") == "held").alias("n_held"), (F.count_if(F.col("status").isin("violation", "error")) == 0).alias("ok"))

@@ -93,17 +93,58 @@ def block_numbers(lines: Column) -> Column:
     return F.when(n > 1, F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(2)) - 1), start, step, lambda d: d["numbers"])).when(n == 1, F.array(F.lit(0))).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def numbered(rows: DataFrame, by: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(by, block, base, xs, xe, xh, top, keep): the lines of each column with the number of their block."""
+    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("base", "xs", "xe", "xh", "top", *keep))).alias("lines"))
+    both = listed.withColumn("numbers", block_numbers(F.col("lines")))
+    return both.select(*by, F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("numbers").alias("block"))).alias("z")).select(*by, "z.block", "z.line.*")
+
+
 def blocks(rows: DataFrame, by: list[str]) -> DataFrame:
     """(by, block, n, x1, y1, x2, y2, height, xh): the blocks of the lines (by, top, base, xs, xe, xh) of
     each column, with their box, the median line height and the median x-height to one place."""
-    listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("base", "xs", "xe", "xh", "top"))).alias("lines"))
-    numbered = listed.withColumn("numbers", block_numbers(F.col("lines")))
-    each = numbered.select(*by, F.explode(F.arrays_zip(F.col("lines").alias("line"), F.col("numbers").alias("block"))).alias("z")).select(*by, "z.block", "z.line.*")
-    found = each.groupBy(*by, "block").agg(
+    return numbered(rows, by).groupBy(*by, "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("xs").alias("x1"), F.min("top").alias("y1"), F.max("xe").alias("x2"), F.max("base").alias("y2"),
         middle(F.collect_list((F.col("base") - F.col("top")).cast("double"))).alias("height"), F.bround(middle(F.collect_list(F.col("xh").cast("double"))), 1).alias("xh"),
     )
-    return found
+
+
+#: How low and narrow a fragment is beside its line, and how far away.
+FRAGMENT_HEIGHT, FRAGMENT_WIDTH, FRAGMENT_GAP, FRAGMENT_NEAR = 0.5, 0.40, 0.6, 3.0
+
+
+def absorbed(strips: Column, least: int = 4) -> Column:
+    """Strips of ink, struct(s, e, x0, x1) in order, of which fragments have gone into the line beside them: those that
+    lie within its width, with a pixel to spare, are at most half as high and FRAGMENT_WIDTH as wide, and near. The nearer
+    neighbour takes them, of equals the next one, and grows by their rows, so later strips meet it as it is then. Strips of
+    fewer than ``least`` rows that nothing takes are dropped."""
+    whole = F.transform(strips, lambda t: F.struct(t["s"].cast("long").alias("s"), t["e"].cast("long").alias("e"), t["x0"].cast("long").alias("x0"), t["x1"].cast("long").alias("x1"), F.lit(False).alias("kept")))
+    high = lambda t: t["e"] - t["s"]
+    width = lambda t: t["x1"] - t["x0"]
+
+    def step(done: Column, i: Column) -> Column:
+        own = F.get(done, i)
+
+        def taker(other: Column, gap: Column, order: int, at: Column) -> Column:
+            inside = (own["x0"] >= other["x0"] - 1) & (own["x1"] <= other["x1"] + 1)
+            small = (high(own) <= FRAGMENT_HEIGHT * high(other)) & (width(own) <= FRAGMENT_WIDTH * F.greatest(width(other), F.lit(1)))
+            fits = other.isNotNull() & (high(other) > high(own)) & inside & small & (gap <= F.greatest(F.lit(FRAGMENT_NEAR), FRAGMENT_GAP * high(other)))
+            return F.when(fits, F.struct(gap.alias("gap"), F.lit(order).alias("order"), at.alias("at")))
+
+        after, before = F.get(done, i + 1), F.when(i > 0, F.get(done, i - 1))
+        best = F.array_min(F.array_compact(F.array(taker(after, after["s"] - own["e"], 0, i + 1), taker(before, own["s"] - before["e"], 1, i - 1))))
+
+        def moved(taken: Column) -> Column:
+            grown = lambda t: F.struct(F.least(t["s"], own["s"]).alias("s"), F.greatest(t["e"], own["e"]).alias("e"), t["x0"].alias("x0"), t["x1"].alias("x1"), t["kept"].alias("kept"))
+            settled = lambda t: F.struct(t["s"].alias("s"), t["e"].alias("e"), t["x0"].alias("x0"), t["x1"].alias("x1"), (taken.isNull() & (high(t) >= least)).alias("kept"))
+            return F.transform(done, lambda t, k: F.when(k == taken["at"], grown(t)).when(k == i, settled(t)).otherwise(t))
+
+        # the neighbour is found once: each use would look for it anew
+        return F.get(F.transform(F.array(best), moved), F.lit(0))
+
+    n = F.size(strips)
+    left = F.when(n > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), whole, step)).otherwise(whole)
+    return F.transform(F.filter(left, lambda t: t["kept"]), lambda t: t.dropFields("kept"))
 
 
 def spread(values: Column) -> Column:

@@ -39,11 +39,43 @@ def threshold(profile: DataFrame, by: list[str], share: float = 0.06) -> DataFra
 
 def runs(profile: DataFrame, by: list[str], share: float = 0.06, least: int = 2) -> DataFrame:
     """(by, first, last, total): stretches of consecutive positions with a value above the level, of at
-    least ``least`` positions. profile: (by, at, value) with whole positions."""
+    least ``least`` positions. profile: (by, at, value) with whole positions, each once. Neighbours have equal differences
+    of position and rank, so a series of any length is dealt over many tasks."""
     above = joined(profile, threshold(profile, by, share), by).where(F.col("value") > F.col("level"))
-    row = Window.partitionBy(*by).orderBy("at")
-    grouped = above.withColumn("run", F.col("at") - F.row_number().over(row))
-    return grouped.groupBy(*by, "run").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("value").alias("total")).where(F.col("last") - F.col("first") + 1 >= least).drop("run")
+    ranked = ordered.placed(above.select(*by, F.col("at").alias("value"), F.lit(1).alias("n"), F.col("value").alias("amount")), by, ("amount",))
+    grouped = ranked.withColumn("run", F.col("value") - F.col("before")).groupBy(*by, "run")
+    found = grouped.agg(F.min("value").alias("first"), F.max("value").alias("last"), F.sum("amount").alias("total"))
+    return found.where(F.col("last") - F.col("first") + 1 >= least).drop("run")
+
+
+def columns(profile: DataFrame, by: list[str], gaps: DataFrame | None = None, gap: int = 6, share: float = 0.13, narrow: int = 10) -> DataFrame:
+    """(by, first, end): the columns of text that empty strips part. profile: (by, at, value), the ink of each position
+    from 0 to the last one; gaps: (by, gap), else ``gap`` for all.
+
+    A position is empty if its ink is at most ``share`` of the 90 % quantile of what is above 0. Full positions
+    with fewer than ``gap`` empty ones between them are one column; the first column begins at 0 unless a strip does, the
+    last one ends with the profile; columns of more than ``narrow`` positions stay, cut to their first and last ink."""
+    peak = ordered.quantiles(profile.where("value > 0"), by, {"peak": 0.9})
+    ends = profile.groupBy(*by).agg((F.max("at") + 1).alias("size"))
+    known = joined(joined(profile, peak, by), ends, by)
+    known = known.withColumn("gap", F.lit(gap)) if gaps is None else joined(known, gaps.select(*by, "gap"), by)
+    full = known.where(F.col("value") > share * F.col("peak")).select(*by, F.col("at").alias("value"), F.lit(1).alias("n"), "gap", "size")
+    ranked = ordered.placed(full, by, ("gap", "size"))
+    opens = (F.col("prev").isNull() | (F.col("value") - F.col("prev") - 1 >= F.col("gap"))).cast("long")
+    found = ordered.running(ranked, by, opens, "number").groupBy(*by, "number", "gap", "size").agg(F.min("value").alias("first"), F.max("value").alias("last"))
+    count = found.groupBy(*by).agg(F.max("number").alias("most"))
+    found = joined(found, count, by)
+    begin = F.when((F.col("number") == 1) & (F.col("first") < F.col("gap")), 0).otherwise(F.col("first"))
+    end = F.when(F.col("number") == F.col("most"), F.col("size")).otherwise(F.col("last") + 1)
+    wide = found.select(*by, "number", "first", "last", begin.alias("begin"), end.alias("stop"), "most").where(F.col("stop") - F.col("begin") > narrow)
+    # only before the first column and behind the last one is there ink that is not full: all other ends are full
+    faint = profile.where("value > 0").groupBy(*by).agg(F.min("at").alias("low"), (F.max("at") + 1).alias("high"))
+    cut_ = joined(wide, faint, by)
+    return cut_.select(
+        *by,
+        F.when(F.col("begin") < F.col("first"), F.greatest("begin", "low")).otherwise(F.col("first")).alias("first"),
+        F.when(F.col("number") == F.col("most"), F.least("stop", "high")).otherwise(F.col("last") + 1).alias("end"),
+    )
 
 
 def autocorrelation(profile: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -65,13 +97,34 @@ def first_peak(correlation: DataFrame, by: list[str], least: int, floor: float =
     return peaks.groupBy(*by).agg(F.min(F.struct("lag", "r")).alias("p")).select(*by, "p.lag", "p.r")
 
 
+#: Positions of a series that one task looks at.
+STRETCH = 65_536
+
+
 def steps(profile: DataFrame, by: list[str], reach: int) -> DataFrame:
     """(by, at, step): how far the median of the next ``reach`` positions is from that of the ``reach``
-    before, where both are whole. profile: (by, at, value)."""
-    row = Window.partitionBy(*by).orderBy("at")
+    before, where both are whole. profile: (by, at, value) with whole positions without gaps. Series are looked at in
+    stretches of ``STRETCH`` positions, which share ``reach`` positions with their neighbours."""
+    size = F.lit(max(STRETCH, reach))
+    own, near = F.floor(F.col("at") / size), F.array_distinct(F.array(F.floor((F.col("at") - reach) / size), F.floor(F.col("at") / size), F.floor((F.col("at") + reach) / size)))
+    dealt = profile.select(*by, "at", "value", own.alias("own"), F.explode(near).alias("stretch"))
+    row = Window.partitionBy(*by, "stretch").orderBy("at")
     after, before = row.rowsBetween(0, reach - 1), row.rowsBetween(-reach, -1)
-    found = profile.withColumns({"a": middle(F.collect_list("value").over(after)), "b": middle(F.collect_list("value").over(before)), "na": F.count("value").over(after), "nb": F.count("value").over(before)})
-    return found.where((F.col("na") == reach) & (F.col("nb") == reach)).select(*by, "at", F.abs(F.col("a") - F.col("b")).alias("step"))
+    found = dealt.withColumns({"a": middle(F.collect_list("value").over(after)), "b": middle(F.collect_list("value").over(before)), "na": F.count("value").over(after), "nb": F.count("value").over(before)})
+    whole = (F.col("na") == reach) & (F.col("nb") == reach) & (F.col("own") == F.col("stretch"))
+    return found.where(whole).select(*by, "at", F.abs(F.col("a") - F.col("b")).alias("step"))
+
+
+def bands(profile: DataFrame, by: list[str], step: float = 48.0, least: int = 48) -> DataFrame:
+    """(by, band, first, end): stretches of a series, from 0 to its end, cut where the level steps by ``step`` or more;
+    the largest steps come first and cuts are ``least`` apart. Series of fewer than 2 * ``least`` positions are one."""
+    found = steps(profile, by, least).where(F.col("step") >= step)
+    cuts = found.groupBy(*by).agg(spread_out(F.collect_list(F.struct("step", "at")), least).alias("cuts"))
+    ends = profile.groupBy(*by).agg((F.max("at") + 1).cast("long").alias("size"))
+    edges = joined(ends, cuts, by, "left").withColumn("cuts", F.coalesce("cuts", F.expr("cast(array() as array<bigint>)")))
+    zero = F.array(F.lit(0).cast("long"))
+    pairs = F.arrays_zip(F.concat(zero, "cuts").alias("first"), F.concat("cuts", F.array("size")).alias("end"))
+    return edges.select(*by, F.posexplode(pairs).alias("band", "z")).select(*by, "band", "z.*")
 
 
 def spread_out(candidates: Column, apart: int) -> Column:

@@ -33,6 +33,24 @@ def uncovered_boxes(rows: DataFrame, covers: DataFrame, by: str, width: float =
     return rows.join(met, "row_id", "left_anti")
 
 
+def padded(boxes: DataFrame, pad: int = 4) -> DataFrame:
+    """Boxes (w, h, x1, y1, x2, y2, ...) grown by ``pad`` on all sides, within their picture of w by h."""
+    low = lambda c: F.greatest(F.floor(F.col(c)) - pad, F.lit(0)).cast("int")
+    high = lambda c, most: F.least(F.floor(F.col(c)) + pad, F.col(most)).cast("int")
+    return boxes.withColumns({"x1": low("x1"), "y1": low("y1"), "x2": high("x2", "w"), "y2": high("y2", "h")})
+
+
+def seeds(boxes: DataFrame, pad: int = 4) -> DataFrame:
+    """Padded boxes that are large enough to look for lines in: 8 pixels wide and 6 high."""
+    return padded(boxes, pad).where((F.col("x2") - F.col("x1") >= 8) & (F.col("y2") - F.col("y1") >= 6))
+
+
+def measurable(boxes: DataFrame, pad: int = 3) -> DataFrame:
+    """Padded boxes with ``why``: too_small under 4 pixels either way, else null."""
+    small = (F.col("x2") - F.col("x1") < 4) | (F.col("y2") - F.col("y1") < 4)
+    return padded(boxes, pad).withColumn("why", F.when(small, "too_small"))
+
+
 def without_shadows(boxes: DataFrame, by: str, share: float = 0.45, pad: int = 5) -> DataFrame:
     """Boxes (by, x1, y1, x2, y2, ...) that lie within no larger box of the same poster, padded, of
     which they have at most ``share`` of height and width."""

@@ -63,15 +63,20 @@ def align_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cap_range_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = _t(spark, sf_dir, "orders").where("o_totalprice > 0").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("most"), F.min("o_totalprice").alias("least"))
-    return per.where("n >= 2").select("o_custkey", "n", F.bround(F.col("most") / F.col("least"), 6).alias("cap_range"))
+    """Customers as posters, their orders as blocks: the extractor of letter ranges over prices."""
+    per = _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count_if(F.col("o_totalprice") > 0).alias("n"), F.collect_list(F.struct(F.col("o_totalprice").alias("xh"))).alias("blocks"))
+    found = per.select("o_custkey", "n", F.explode(metrics.letter_range()["cap_range"]).alias("r"))
+    return found.select("o_custkey", "n", F.bround("r", 6).alias("cap_range"))
 
 
 def margins_like_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as posters as wide as their brand's prices: the extractor of margins."""
     part = _t(spark, sf_dir, "part")
     ends = part.groupBy("p_brand").agg(F.min("p_retailprice").alias("least"), F.max("p_retailprice").alias("most")).where("most > least")
-    width = F.col("most") - F.col("least")
-    return part.join(ends, "p_brand").select("p_partkey", F.bround((F.col("p_retailprice") - F.col("least")) / width, 6).alias("margin_left"), F.bround((F.col("most") - F.col("p_retailprice")) / width, 6).alias("margin_right"))
+    at = F.col("p_retailprice") - F.col("least")
+    posters = part.join(ends, "p_brand").select("p_partkey", F.lit(0.0).alias("angle"), F.array(F.col("most") - F.col("least"), F.lit(1.0)).alias("size"), F.array(at, F.lit(0.0), at, F.lit(1.0)).alias("region"))
+    found = metrics.margins()
+    return posters.select("p_partkey", *[F.bround(found[m][0], 6).alias(m) for m in ("margin_left", "margin_right")])
 
 
 def leading_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,13 +227,52 @@ def seeded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.uncovered_boxes(boxes.where("q > 25").drop("q"), boxes.where("q <= 25").drop("q", "row_id"), "l_suppkey")
 
 
-def check_layout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as layout candidates against the rules of all orders."""
+def _all_rules(posters: DataFrame) -> DataFrame:
+    return judging.derive(metrics.observe(posters).withColumn("corpus", F.lit("all")))
+
+
+def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as layout candidates against the rules of all orders; some ask for a layer, some for one there is not."""
     posters = orders_as_posters(spark, sf_dir)
-    rules = judging.derive(metrics.observe(posters).withColumn("corpus", F.lit("all")))
     blocks = F.transform("blocks", lambda b: F.struct(b["n"].cast("string").alias("id"), b["x1"].cast("double").alias("x"), (b["x2"] - b["x1"]).cast("double").alias("x_width"), (b["bases"][0] - b["caps"][0]).cast("double").alias("cap_height"), F.transform(b["bases"], lambda v: F.struct(v.cast("double").alias("baseline"))).alias("lines")))
-    layouts = posters.select(F.col("file").alias("layout"), F.lit(1).alias("layer"), F.struct(F.lit(1000.0).alias("w"), F.lit(1200.0).alias("h")).alias("canvas"), blocks.alias("blocks"))
-    return layout.totals(layout.check(layouts, rules))
+    asked = F.when(F.col("ord") % 3 == 0, 1).when(F.col("ord") % 50 == 1, 99)
+    layouts = posters.select(F.col("file").alias("layout"), asked.alias("layer"), F.struct(F.lit(1000.0).alias("w"), F.lit(1200.0).alias("h")).alias("canvas"), blocks.alias("blocks"))
+    return layout.check(layouts, _all_rules(posters))
+
+
+def check_layout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.totals(_checked(spark, sf_dir))
+
+
+def check_layout_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _checked(spark, sf_dir).groupBy("rule", "status")
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("layout").alias("n_layouts"), F.bround(F.sum("value"), 2).alias("total"), F.bround(F.sum("fix"), 1).alias("fixes"), F.min("layer").alias("low_layer"), F.max("layer").alias("high_layer"))
+
+
+def place_text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as requests to place text, by the rules of all orders."""
+    height = F.when(F.col("l_quantity") > 3, F.col("l_quantity"))
+    block = F.struct(F.col("l_linenumber").cast("string").alias("id"), F.lit(0.0).alias("x"), F.pmod("l_partkey", F.lit(100)).cast("double").alias("y"), height.alias("cap_height"), F.pmod("l_linenumber", F.lit(4)).cast("int").alias("n_lines"))
+    requests = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(block).alias("blocks"))
+    key = F.col("l_orderkey")
+    requests = requests.select(key.cast("string").alias("layout"), F.when(key % 5 == 0, 1).when(key % 5 == 1, 99).alias("layer"), F.when(key % 4 == 0, 12.0).when(key % 40 == 1, 0.0).alias("grid_lead"), "blocks")
+    placed = layout.place_text(requests, _all_rules(orders_as_posters(spark, sf_dir)))
+    return placed.select("layout", "id", "grid", "lead", "multiple", F.bround(F.col("lead") / F.col("cap_height"), 6).alias("ratio"), F.try_element_at("baselines", F.lit(-1)).alias("last"), "in_band", F.array_join("notes", ",").alias("notes"), "error")
+
+
+def layers_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layer_list(judging.derive(_line_observations(spark, sf_dir)), "l_extendedprice")
+
+
+def style_card_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posters = orders_as_posters(spark, sf_dir)
+    found = comparing.style_card(judging.derive(metrics.observe(posters)), posters)
+    return found.select("corpus", "metric", "verdict", "n", "median", "n_layers", "n_all", "n_entities", "n_posters", "n_excluded")
+
+
+def ascender_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = metrics.observe(orders_as_posters(spark, sf_dir), {"ascenders": metrics.ascenders})
+    return seen.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.bround(F.sum("value"), 6).alias("total"))
 
 
 def _customer_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +335,7 @@ QUERIES = {
         judge_doc_length_by_lang, coverage_by_corpus, gap_layers_events, gap_layers_prices, derive_rules_lineitem, representative_layer, align_clusters, cap_range_orders, margins_like_ratio, leading_gaps,
         position_vs_band, range_join_layers, shadow_antijoin, overlap_antijoin, corpus_pairs_separated, bootstrap_median_ci, compare_corpora, metric_catalog_left_join, golden_diff, top_labels, place_grid,
         polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
+        check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
     )
 }

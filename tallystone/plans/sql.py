@@ -23,9 +23,10 @@ def layered(rows: str, keys: str) -> str:
         lay AS (SELECT g.*, (1 + sum(CASE WHEN gap > most THEN 1 ELSE 0 END) OVER (PARTITION BY {", ".join("g." + k.strip() for k in keys.split(","))} ORDER BY value))::BIGINT AS layer FROM g JOIN lim ON {on})"""
 
 
-def derived(rows: str, entities: str) -> str:
+def derived_tables(rows: str, entities: str) -> str:
+    """CTEs o to drv: the judged parts and the derived rules of (corpus, entity, metric, value) rows."""
     k = "corpus, metric"
-    return f"""WITH o AS MATERIALIZED (SELECT * FROM {rows} WHERE value IS NOT NULL), {layered("o", k)},
+    return f"""o AS MATERIALIZED (SELECT * FROM {rows} WHERE value IS NOT NULL), {layered("o", k)},
         sz AS (SELECT {k}, layer, sum(n) AS size FROM lay GROUP BY {k}, layer),
         p AS (SELECT o.*, CASE WHEN size >= 20 THEN layer ELSE 0 END AS part FROM o JOIN lay USING (corpus, metric, value) JOIN sz USING (corpus, metric, layer)),
         j AS ({judged("p", k + ", part")}),
@@ -34,11 +35,25 @@ def derived(rows: str, entities: str) -> str:
         best AS (SELECT * FROM parts WHERE verdict = 'constraint' QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY n DESC, median, part) = 1),
         cov AS (SELECT {k}, count(*) AS n_all, count(DISTINCT entity) AS n_entities FROM p GROUP BY {k}),
         np AS (SELECT {k}, count(*) AS n_parts, max(part) AS top FROM parts GROUP BY {k}),
-        e AS ({entities})
-        SELECT w.corpus, w.metric, {", ".join(f"CASE WHEN NOT (n_parts = 1 AND top > 0) AND b.n IS NOT NULL THEN b.{c} ELSE w.{c} END AS {c}" for c in ("n", "median", "lo", "hi", "min", "max", "cv", "verdict"))},
+        e AS ({entities}),
+        drv AS (SELECT w.corpus, w.metric, {", ".join(f"CASE WHEN NOT (n_parts = 1 AND top > 0) AND b.n IS NOT NULL THEN b.{c} ELSE w.{c} END AS {c}" for c in ("n", "median", "lo", "hi", "min", "max", "cv", "verdict"))},
                n_all, CASE WHEN n_parts = 1 AND top > 0 THEN 0 ELSE n_parts END AS n_layers, n_entities, n_entities_all,
                (CASE WHEN NOT (n_parts = 1 AND top > 0) AND b.n IS NOT NULL THEN b.verdict ELSE w.verdict END) = 'constraint' AS is_rule
-        FROM whole w LEFT JOIN best b USING (corpus, metric) JOIN cov USING (corpus, metric) JOIN np USING (corpus, metric) JOIN e USING (corpus)"""
+        FROM whole w LEFT JOIN best b USING (corpus, metric) JOIN cov USING (corpus, metric) JOIN np USING (corpus, metric) JOIN e USING (corpus)),
+        bands AS (SELECT corpus, metric, row_number() OVER (PARTITION BY {k} ORDER BY p.median, part) AS layer, p.* EXCLUDE (corpus, metric, part) FROM parts p JOIN np USING (corpus, metric) WHERE NOT (n_parts = 1 AND top > 0)
+                  UNION ALL SELECT corpus, metric, 1, d.* EXCLUDE (corpus, metric, n_all, n_layers, n_entities, n_entities_all, is_rule) FROM drv d WHERE n_layers = 0)"""
+
+
+def derived(rows: str, entities: str) -> str:
+    return f"WITH {derived_tables(rows, entities)} SELECT * FROM drv"
+
+
+def intervals(rows: str, keys: str) -> str:
+    """A query (keys, n, median, ci_lo, ci_hi), the median not rounded."""
+    at = lambda h: f"l[floor({h})::INT + 1] + (l[ceil({h})::INT + 1] - l[floor({h})::INT + 1]) * ({h} - floor({h}))"
+    ends = {"ci_lo": "greatest((n - 1) / 2 - 1.959964::DOUBLE * sqrt(n) / 2, 0)", "ci_hi": "least((n - 1) / 2 + 1.959964::DOUBLE * sqrt(n) / 2, n - 1)"}
+    return f"""SELECT {keys}, n, median, {", ".join(f"CASE WHEN n >= 3 THEN round_even({at(h)}, 4) END AS {c}" for c, h in ends.items())}
+        FROM (SELECT {keys}, count(*) AS n, median(value)::DOUBLE AS median, list_sort(list(value::DOUBLE)) AS l FROM {rows} WHERE value IS NOT NULL GROUP BY {keys})"""
 
 
 HOURLY = """h0 AS (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS "at", count(*) AS value FROM events GROUP BY ALL),
@@ -68,6 +83,24 @@ OBSERVED = f"""{BLOCKS},
             UNION ALL SELECT corpus, entity, 'cap_range', cr FROM po WHERE nb >= 2
             UNION ALL SELECT corpus, entity, 'text_area', ta FROM po WHERE k % 10 <> 0)"""
 
+#: CTE fi: what check() finds in orders as layouts against the rules of all orders.
+CHECKED = f"""{OBSERVED}, {derived_tables("(SELECT 'all' AS corpus, * EXCLUDE (corpus) FROM ob)", "SELECT 'all' AS corpus, 0 AS n_entities_all")},
+        bs AS (SELECT * FROM bands WHERE metric = 'lead_over_cap'),
+        mx AS (SELECT max(layer) AS top FROM bs),
+        lo AS (SELECT l_orderkey AS k, l_orderkey::VARCHAR AS layout, CASE WHEN l_orderkey % 3 = 0 THEN 1 WHEN l_orderkey % 50 = 1 THEN 99 END AS asked FROM lineitem GROUP BY l_orderkey),
+        bb AS (SELECT lo.*, row_number() OVER () AS n, bl.q AS h, 30 / bl.q::DOUBLE AS r FROM lo JOIN bl ON bl.l_orderkey = lo.k WHERE bl.q > 0 AND (asked IS NULL OR asked <= (SELECT top FROM mx))),
+        cd AS (SELECT bb.*, bs.layer, bs.verdict = 'constraint' AND r BETWEEN lo AND hi AS fit, bs.verdict <> 'constraint' AND r BETWEEN min AND max AS seen FROM bb JOIN bs ON asked IS NULL OR layer = asked),
+        jd AS (SELECT k, layout, asked, n, h, r, min(CASE WHEN fit THEN layer END) AS f, min(CASE WHEN seen THEN layer END) AS s, count(*) AS c FROM cd GROUP BY ALL),
+        am AS (SELECT *, coalesce((SELECT median FROM bs WHERE layer = asked), (SELECT median FROM drv WHERE metric = 'lead_over_cap' AND is_rule), (SELECT median FROM bs WHERE layer = 1)) AS aim FROM jd),
+        me AS (SELECT l_orderkey AS k, unnest(['cap_range', 'n_blocks', 'margin_left', 'margin_right', 'margin_top', 'margin_bottom', 'text_area']) AS metric,
+                      unnest([CASE WHEN count(*) FILTER (WHERE q > 0) >= 2 THEN max(q) / min(CASE WHEN q > 0 THEN q END)::DOUBLE END, count(*)::DOUBLE, min(x1) / 1000::DOUBLE, (1000 - max(x2)) / 1000::DOUBLE, min(y1 + 10 - q) / 1200::DOUBLE, (1200 - max(y1 + 40)) / 1200::DOUBLE,
+                              CASE WHEN sum((x2 - x1) * (30 + q)) <> 0 THEN sum((x2 - x1) * (30 + q))::DOUBLE / (1000 * 1200) END]) AS v FROM bl GROUP BY l_orderkey),
+        fi AS (SELECT layout, 'all' AS corpus, 'lead_over_cap' AS rule, CASE WHEN f IS NOT NULL THEN 'accepted' WHEN s IS NOT NULL THEN 'held' ELSE 'violation' END AS status, round_even(r, 2) AS value, CASE WHEN f IS NULL AND s IS NULL THEN round_even(h * aim, 1) END AS fix, coalesce(f, s) AS layer FROM am
+            UNION ALL SELECT layout, 'all', 'overlap', 'violation', 30 - h, NULL, NULL FROM am WHERE 30 - h < 1
+            UNION ALL SELECT layout, 'all', metric, CASE WHEN verdict = 'constraint' AND NOT v BETWEEN lo AND hi THEN 'violation' WHEN v BETWEEN lo AND hi THEN 'in_band' WHEN v BETWEEN min AND max THEN 'observed' ELSE 'outside' END, round_even(v, 4),
+                      CASE WHEN verdict = 'constraint' AND NOT v BETWEEN lo AND hi THEN median END, NULL FROM lo l JOIN me USING (k) JOIN drv USING (metric) WHERE v IS NOT NULL AND (asked IS NULL OR asked <= (SELECT top FROM mx))
+            UNION ALL SELECT layout, 'all', 'no_such_layer', 'error', NULL, NULL, NULL FROM lo WHERE asked > (SELECT top FROM mx))"""
+
 _INK = """px AS (SELECT DISTINCT img, p // 12 AS y, p % 12 AS x FROM (SELECT c_custkey // 60 AS img, ((round(c_acctbal * 100)::BIGINT % 144) + 144) % 144 AS p FROM customer))"""
 
 
@@ -163,6 +196,46 @@ ORACLE_SQL = {
     "observe_orders_as_posters": f"""
         WITH {OBSERVED} SELECT corpus, metric, count(*) AS n, count(DISTINCT entity) AS n_posters, round_even(avg(value), 6) AS mean, round_even(min(value), 6) AS least, round_even(max(value), 6) AS most FROM ob GROUP BY ALL""",
     "derive_orders_as_posters": f"WITH {OBSERVED} SELECT * FROM ({derived('ob', 'SELECT corpus, count(*) AS n_entities_all FROM po GROUP BY corpus')})",
+    "layers_lineitem": f"WITH {derived_tables(LINES, 'SELECT l_returnflag AS corpus, count(DISTINCT l_orderkey) AS n_entities_all FROM lineitem GROUP BY 1')} SELECT * FROM bands WHERE metric = 'l_extendedprice'",
+    "bootstrap_median_ci": f"SELECT * REPLACE (round_even(median, 4) AS median) FROM ({intervals('events', 'event_type')})",
+    "compare_corpora": f"""
+        WITH q AS (SELECT * FROM {LINES} WHERE metric = 'l_quantity'), {layered("q", "corpus, metric")},
+        r AS (SELECT corpus, metric, min(value) AS a, max(value) AS b FROM lay GROUP BY corpus, metric, layer QUALIFY row_number() OVER (PARTITION BY corpus, metric ORDER BY sum(n) DESC, layer) = 1),
+        k AS (SELECT q.* FROM q JOIN r USING (corpus, metric) WHERE value BETWEEN a AND b UNION ALL SELECT * FROM {LINES} WHERE metric <> 'l_quantity'),
+        ci AS ({intervals("k", "corpus, metric")}),
+        pr AS (SELECT x.metric, x.corpus AS one, y.corpus AS other, coalesce(x.ci_hi < y.ci_lo OR y.ci_hi < x.ci_lo, false) AS apart FROM ci x JOIN ci y ON x.metric = y.metric AND x.corpus < y.corpus),
+        pp AS (SELECT metric, count(*) FILTER (WHERE apart) AS n_separated, count(*) AS n_pairs, coalesce(string_agg(one || '/' || other, ',' ORDER BY one || '/' || other) FILTER (WHERE apart), '') AS separated FROM pr GROUP BY metric)
+        SELECT metric, count(*) AS n_corpora, CASE WHEN min(median) > 0 THEN round_even(max(median) / min(median), 3) END AS spread, any_value(n_separated) AS n_separated, any_value(n_pairs) AS n_pairs, any_value(separated) AS separated
+        FROM ci JOIN pp USING (metric) GROUP BY metric""",
+    "check_layout_totals": f"""
+        WITH {CHECKED}
+        SELECT layout, corpus, count(*) FILTER (WHERE status = 'violation') AS n_violations, count(*) FILTER (WHERE status = 'held') AS n_held, count(*) FILTER (WHERE status IN ('violation', 'error')) = 0 AS ok FROM fi GROUP BY layout, corpus""",
+    "check_layout_findings": f"""
+        WITH {CHECKED}
+        SELECT rule, status, count(*) AS n, count(DISTINCT layout) AS n_layouts, round_even(sum(value), 2) AS total, round_even(sum(fix), 1) AS fixes, min(layer) AS low_layer, max(layer) AS high_layer FROM fi GROUP BY rule, status""",
+    "place_text_orders": f"""
+        WITH {OBSERVED}, {derived_tables("(SELECT 'all' AS corpus, * EXCLUDE (corpus) FROM ob)", "SELECT 'all' AS corpus, 0 AS n_entities_all")},
+        bs AS (SELECT *, row_number() OVER (ORDER BY layer) AS nr FROM bands WHERE metric = 'lead_over_cap'), ad AS (SELECT * FROM drv WHERE metric = 'lead_over_cap' AND is_rule),
+        rq AS (SELECT l_orderkey, CASE WHEN l_orderkey % 5 = 0 THEN 1 WHEN l_orderkey % 5 = 1 THEN 99 END AS layer, CASE WHEN l_orderkey % 4 = 0 THEN 12.0::DOUBLE WHEN l_orderkey % 40 = 1 THEN 0.0::DOUBLE END AS gl,
+                      min(CASE WHEN l_quantity > 3 THEN l_quantity END) AS least FROM lineitem GROUP BY l_orderkey),
+        bd AS (SELECT rq.*, coalesce(f.median, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT median FROM ad), (SELECT median FROM bs WHERE nr = 1)) END) AS m, coalesce(f.lo, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT lo FROM ad), (SELECT lo FROM bs WHERE nr = 1)) END) AS lo,
+               coalesce(f.hi, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT hi FROM ad), (SELECT hi FROM bs WHERE nr = 1)) END) AS hi, coalesce(f.verdict, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT verdict FROM ad), (SELECT verdict FROM bs WHERE nr = 1)) END) AS v FROM rq LEFT JOIN bs f ON f.nr = rq.layer),
+        gd AS (SELECT *, coalesce(gl, greatest(1.0::DOUBLE, round_even(least * m, 0))) AS grid FROM bd),
+        er AS (SELECT *, CASE WHEN layer IS NOT NULL AND m IS NULL THEN 'no_such_layer' WHEN grid IS NULL THEN 'no_cap_height' WHEN grid <= 0 THEN 'bad_grid' END AS error FROM gd),
+        pl AS (SELECT er.*, l_linenumber AS n, l_linenumber % 4 AS nl, CASE WHEN l_quantity > 3 THEN l_quantity END AS h, (l_partkey % 100)::DOUBLE AS y FROM er JOIN lineitem USING (l_orderkey) WHERE error IS NULL),
+        kk AS (SELECT *, CASE WHEN h > 0 THEN greatest(greatest(1.0::DOUBLE, round_even(h * m / grid, 0)), ceil((h + 1) / grid))::BIGINT END AS multiple FROM pl)
+        SELECT l_orderkey::VARCHAR AS layout, n::VARCHAR AS id, grid, multiple * grid AS lead, multiple, round_even(multiple * grid / h, 6) AS ratio, CASE WHEN nl > 0 THEN round_even(y + h + (nl - 1) * multiple * grid, 1) END AS last,
+               multiple * grid / h BETWEEN lo AND hi AS in_band, concat_ws(',', CASE WHEN h IS NULL THEN 'no_cap_height' END, CASE WHEN NOT (multiple * grid / h BETWEEN lo AND hi) THEN 'outside_band' END, CASE WHEN v <> 'constraint' THEN 'not_adopted' END) AS notes, NULL::VARCHAR AS error FROM kk
+        UNION ALL SELECT l_orderkey::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', error FROM er WHERE error IS NOT NULL""",
+    "style_card_orders": f"""
+        WITH {OBSERVED}, {derived_tables("ob", "SELECT corpus, count(*) AS n_entities_all FROM po GROUP BY corpus")},
+        pc AS (SELECT corpus, count(*) AS n_posters, count(*) FILTER (WHERE k % 10 = 0) AS n_rotated FROM po GROUP BY corpus),
+        mt AS (SELECT unnest(['lead_over_cap', 'gap_px', 'asc_over_xh', 'align_ratio', 'margin_left', 'margin_right', 'margin_top', 'margin_bottom', 'n_columns', 'cap_range', 'text_area', 'n_blocks', 'ground_share', 'n_colors', 'saturation', 'value', 'gray_share', 'cap_ratio', 'descender', 'margin_const']) AS metric)
+        SELECT pc.corpus, mt.metric, coalesce(verdict, CASE WHEN mt.metric IN ('cap_ratio', 'descender', 'margin_const') THEN 'blocked' ELSE 'no_value' END) AS verdict, n, median, CASE WHEN verdict IS NOT NULL THEN greatest(n_layers, 1) END AS n_layers, n_all, n_entities, n_posters,
+               CASE WHEN verdict IS NOT NULL AND mt.metric IN ('margin_left', 'margin_right', 'margin_top', 'margin_bottom', 'text_area') THEN n_rotated END AS n_excluded
+        FROM pc CROSS JOIN mt LEFT JOIN drv ON drv.corpus = pc.corpus AND drv.metric = mt.metric""",
+    "ascender_lines": f"""
+        WITH {OBSERVED} SELECT entity, count(*) AS n, round_even(sum(value), 6) AS total FROM ob WHERE metric = 'asc_over_xh' GROUP BY entity""",
     "box_shadows": f"""
         WITH {BLOCKS} SELECT l_orderkey AS ord, x1, y1, x2, y2 FROM bl a WHERE NOT EXISTS (SELECT 1 FROM bl o WHERE o.l_orderkey = a.l_orderkey AND (o.x2 - o.x1) * (o.y2 - o.y1) > (a.x2 - a.x1) * (a.y2 - a.y1)
             AND a.y2 - a.y1 <= 0.45::DOUBLE * (o.y2 - o.y1) AND a.x2 - a.x1 <= 0.45::DOUBLE * (o.x2 - o.x1) AND a.x1 >= o.x1 - 5 AND a.y1 >= o.y1 - 5 AND a.x2 <= o.x2 + 5 AND a.y2 <= o.y2 + 5)""",

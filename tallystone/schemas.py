@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+LAYER = "struct<median:double,part:bigint,n:bigint,lo:double,hi:double,min:double,max:double,cv:double,verdict:string>"
+RULES = (
+    "corpus string, metric string, n long, median double, lo double, hi double, min double, max double, cv double, verdict string, "
+    f"n_all long, n_layers int, layers array<{LAYER}>, n_entities long, n_entities_all long, is_rule boolean"
+)
 OBSERVATION = "corpus string, entity string, ord long, metric string, value double"
 
 BLOCK = "struct<x1:int,y1:int,x2:int,y2:int,n:int,xh:double,lead:int,bases:array<int>,caps:array<int>,xtops:array<int>>"
@@ -13,7 +18,7 @@ LAYOUT = (
     "layout string, layer int, canvas struct<w:double,h:double>, "
     "blocks array<struct<id:string,x:double,x_width:double,cap_height:double,lines:array<struct<baseline:double>>>>"
 )
-PLACEMENT = "layout string, grid_lead double, blocks array<struct<id:string,x:double,y:double,cap_height:double,n_lines:int>>"
+PLACEMENT = "layout string, layer int, grid_lead double, blocks array<struct<id:string,x:double,y:double,cap_height:double,n_lines:int>>"
 
 # A rule needs so many observations, at most this spread, and layers part at gaps so wide.
 N_MIN = 20
@@ -42,5 +47,7 @@ METRICS = (
 )
 # Metrics that are declared but can't be measured.
 BLOCKED = ("cap_ratio", "descender", "margin_const")
+# Metrics that rotated posters give no value of.
+EXCLUDED = ("margin_left", "margin_right", "margin_top", "margin_bottom", "text_area")
 
 CONSTRAINT, FREE, INSUFFICIENT, MIXED, NO_VALUE = "constraint", "free", "insufficient", "mixed", "no_value"

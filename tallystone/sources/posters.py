@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystone.functions import ordered
 from tallystone.operators.judging import last_wins, top
-from tallystone.schemas import POSTER
+from tallystone.schemas import POSTER, RULES
 
 PATTERN = "*.{jpg,jpeg,png,JPG,PNG}"
 
@@ -80,27 +81,47 @@ def colors(pixels_rgb: DataFrame) -> DataFrame:
     )
 
 
-def read_posters(spark: SparkSession, corpora: dict[str, str]) -> DataFrame:
-    """Poster records of several corpora, each a folder of Parquet or JSON lines; a missing folder gives
-    none. Of records of the same file the last one stays."""
+def _there(spark: SparkSession, path: str) -> bool:
+    """Whether a path has anything to read, as Spark's own readers see it."""
+    try:
+        return not spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
+def _read(spark: SparkSession, corpora: dict[str, str], schema: str) -> DataFrame:
     found = []
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
     for name, path in corpora.items():
-        at = fs.Path(path)
-        if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        if not _there(spark, path):
             continue
-        read = spark.read.schema(POSTER)
+        read = spark.read.schema(schema)
         frame = read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else read.parquet(path)
         found.append(frame.withColumn("corpus", F.lit(name)))
-    if not found:
-        return spark.createDataFrame([], POSTER)
-    return last_wins(reduce(DataFrame.unionByName, found), ["corpus", "file"], ["ord"])
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
+
+
+def read_posters(spark: SparkSession, corpora: dict[str, str]) -> DataFrame:
+    """Poster records of several corpora, each a folder of Parquet or JSON lines; a missing folder gives
+    none. Of records of the same file the last one stays."""
+    return last_wins(_read(spark, corpora, POSTER), ["corpus", "file"], ["ord"])
+
+
+def read_rules(spark: SparkSession, corpora: dict[str, str]) -> DataFrame:
+    """Rules as judging.derive() gave them, of several corpora; a corpus whose folder is missing has none."""
+    return _read(spark, corpora, RULES)
 
 
 def write_posters(posters: DataFrame, path: str) -> None:
     posters.write.mode("overwrite").partitionBy("corpus").parquet(path)
 
 
+def write_rules(rules: DataFrame, path: str) -> None:
+    """Replace the rules in a folder, a corpus each below it."""
+    rules.write.mode("overwrite").partitionBy("corpus").parquet(path)
+
+
 def union_box(boxes: DataFrame, pad: int = 6) -> DataFrame:
     """(img, x1, y1, x2, y2) around all text boxes of an image (img, w, h, quad), padded and clamped."""
     xs, ys = F.transform("quad", lambda p: p["x"]), F.transform("quad", lambda p: p["y"])
@@ -126,12 +147,36 @@ def skew(boxes: DataFrame, least: float = 40.0, widest: int = 8) -> DataFrame:
     return middle.select("img", F.when(keep, F.col("m")).otherwise(0.0).alias("angle"), "spread")
 
 
+#: Objects that only photos show.
+PHOTO_LABELS = ("person", "bicycle", "motorcycle", "car", "bottle", "wine glass", "bus", "truck", "dog", "cat", "horse", "bird", "train", "boat")
+
+
+def sure_objects(objects: Column, least: float = 0.9, labels: tuple[str, ...] = PHOTO_LABELS) -> Column:
+    """Of an array of struct(label, score) those that a detector is sure of and that tell photos from drawings."""
+    return F.filter(objects, lambda o: (o["score"] >= least) & o["label"].isin(*labels))
+
+
 def photo_verdict(depth: Column, objects: Column, strong: float = 0.0026, weak: float = 0.0018) -> Column:
-    """yes: objects and a deep picture; no: none and a flat one; else unknown."""
-    seen = F.size(F.filter(objects, lambda o: o["score"] >= 0.9)) > 0
+    """yes: sure objects and a deep picture; no: none and a flat one; else unknown."""
+    seen = F.size(sure_objects(objects)) > 0
     return F.when(seen & (depth >= strong), "yes").when(~seen & (depth < weak), "no").otherwise("unknown")
 
 
+def gradient(pixels: DataFrame, by: list[str], value: str = "value") -> DataFrame:
+    """(by, gradient): the mean steepness of pictures (by, y, x, value) whose values go from 0 to 1: half the difference
+    of both neighbours along each axis, at the edges the whole difference to the only one; 0 for flat pictures."""
+    ends = pixels.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    reach = F.col("high") - F.col("low")
+    level = ordered.joined(pixels, ends, by).select(*by, "y", "x", F.when(reach > 0, (F.col(value) - F.col("low")) / reach).otherwise(0.0).alias("v"))
+
+    def steep(along: str, across: str) -> Column:
+        row = Window.partitionBy(*by, across).orderBy(along)
+        before, after = F.lag("v").over(row), F.lead("v").over(row)
+        return F.when(before.isNull() & after.isNull(), 0.0).otherwise((F.coalesce(after, F.col("v")) - F.coalesce(before, F.col("v"))) / F.when(before.isNull() | after.isNull(), 1).otherwise(2))
+
+    return level.withColumns({"gx": steep("x", "y"), "gy": steep("y", "x")}).groupBy(*by).agg(F.avg(F.hypot("gx", "gy")).alias("gradient"))
+
+
 def unrotated(x: Column, y: Column, angle: Column, before: tuple[Column, Column], after: tuple[Column, Column]) -> Column:
     """struct(x, y): where a point of a picture turned by ``angle`` degrees is in the picture before;
     the two sizes are (width, height), and both turn about their middle."""
