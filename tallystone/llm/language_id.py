@@ -201,7 +201,8 @@ def drop_unknown(docs: DataFrame, floor: float = 0.0, named: bool = False) -> Da
     if not network.languages:
         ship(docs.sparkSession)
         return docs.where(F.arrow_udf(_lettered, "boolean")(F.col("text").cast("string")))
-    predict = predictor(network, docs)
+    # told not to be repeatable, so that the filter keeps behind it and each text is scored once
+    predict = predictor(network, docs).asNondeterministic()
     told = F.col(f"{found}.lang_pred")
     left = docs.withColumn(found, predict(F.col("text").cast("string"))).where((told != UNKNOWN) & (F.col(f"{found}.score") >= floor))
     return left.select(*[F.coalesce(c, told).alias(n) if named and n == "lang" else c for n, c in zip(docs.columns, columns_of(docs), strict=True)])
