@@ -246,7 +246,7 @@ def check_layout_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check_layout_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _checked(spark, sf_dir).groupBy("rule", "status")
-    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("layout").alias("n_layouts"), F.bround(F.sum("value"), 2).alias("total"), F.bround(F.sum("fix"), 1).alias("fixes"), F.min("layer").alias("low_layer"), F.max("layer").alias("high_layer"))
+    return found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("layout").alias("n_layouts"), F.bround(F.sum("value"), 1).alias("total"), F.bround(F.sum("fix"), 3).alias("fixes"), F.min("layer").alias("low_layer"), F.max("layer").alias("high_layer"))
 
 
 def place_text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,6 +329,82 @@ def color_levels_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.color_levels(pixels)
 
 
+def color_cells_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    pixels = part.select(F.col("p_brand").alias("file"), F.pmod("p_partkey", F.lit(256)).cast("int").alias("r"), (F.col("p_size") * 5).cast("int").alias("g"), F.pmod("p_partkey", F.lit(7)).cast("int").alias("b"))
+    return sources.colors(pixels)
+
+
+def autocorr_first_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waves = profiles.autocorrelation(_hourly(spark, sf_dir), ["event_type"], 24)
+    return profiles.first_peak(waves, ["event_type"], 2, 0.0).select("event_type", F.col("lag").cast("long").alias("lag"), F.bround("r", 6).alias("r"))
+
+
+def text_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days as columns of pixels: stretches of days with orders of some customers, parted by empty weeks."""
+    some = _t(spark, sf_dir, "orders").where("o_custkey % 20 = 0").select("o_orderpriority", F.unix_date(F.to_date("o_orderdate")).cast("long").alias("day"))
+    counts = some.groupBy("o_orderpriority", "day").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    ends = counts.groupBy("o_orderpriority").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    every = ends.select("o_orderpriority", "a", F.explode(F.sequence("a", "b")).alias("day")).join(counts, ["o_orderpriority", "day"], "left")
+    return profiles.columns(every.select("o_orderpriority", (F.col("day") - F.col("a")).alias("at"), F.coalesce("value", F.lit(0.0)).alias("value")), ["o_orderpriority"])
+
+
+def line_marks_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each picture as one line of text."""
+    pixels = _customer_ink(spark, sf_dir).distinct()
+    return lines.marks(profiles.ink_profile(pixels, ["img"], "y", F.lit(True)), ink.components(pixels, ["img"], diagonal=True), ["img"])
+
+
+def dark_edges_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = _customer_ink(spark, sf_dir).distinct()
+    boxes = pixels.select("img").distinct().select("img", *[F.lit(v).alias(c) for c, v in (("x1", 0), ("y1", 0), ("x2", 12), ("y2", 12))])
+    return ink.dark_edges(pixels, boxes, ["img"])
+
+
+def trimmed_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _customer_ink(spark, sf_dir).distinct().groupBy("img", "y").agg(F.count(F.lit(1)).alias("n"))
+    every = counts.select("img").distinct().select("img", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long"))).alias("y")).join(counts, ["img", "y"], "left")
+    return ink.trimmed(every.select("img", F.col("y").alias("at"), (F.coalesce("n", F.lit(0)) / 12).alias("value")), ["img"], 0.4)
+
+
+def skew_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as text boxes that rise with their order's number."""
+    w = F.col("l_quantity") * 4
+    x, y, dy = F.pmod("l_partkey", F.lit(400)).cast("double"), F.pmod("l_suppkey", F.lit(100)).cast("double"), w * (F.pmod("l_orderkey", F.lit(7)) - 3 + F.pmod("l_linenumber", F.lit(2)) * 0.2) / 60
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    quad = F.array(corner(x, y), corner(x + w, y + dy), corner(x + w, y + dy + 9), corner(x, y + 9))
+    found = sources.skew(_t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img"), quad.alias("quad")))
+    return found.select("img", F.bround("angle", 6).alias("angle"))
+
+
+def gradient_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as pictures of four rows."""
+    cells = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "v"), F.size("embedding").alias("n"))
+    pixels = cells.select("vec_id", F.floor(F.col("at") * 4 / F.col("n")).alias("y"), F.pmod("at", F.floor(F.col("n") / 4)).alias("x"), F.col("v").cast("double").alias("value"))
+    return sources.gradient(pixels, ["vec_id"]).select("vec_id", F.bround("gradient", 6).alias("gradient"))
+
+
+def photo_verdicts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("person", "clock", "cat", "kite", "boat")])
+    score = F.when(F.col("user_id") % 3 == 0, 0.8).when(F.col("user_id") % 3 == 1, 0.9).otherwise(0.95)
+    objects = F.when(F.col("event_id") % 2 == 0, F.array(F.struct(names[(F.col("event_id") % 5).cast("int")].alias("label"), score.alias("score")))).otherwise(F.expr("cast(array() as array<struct<label:string,score:double>>)"))
+    judged = _t(spark, sf_dir, "events").select(sources.photo_verdict(F.col("value") / 20_000, objects).alias("verdict"))
+    return judged.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def on_grid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as baselines about 15 pixels apart."""
+    base = (F.col("l_linenumber") * 15 + F.pmod("l_partkey", F.lit(3))).cast("double")
+    per = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(base)).alias("bases"))
+    found = per.select("l_orderkey", lines.on_grid(F.col("bases"), F.lit(15.0)).alias("g"))
+    return found.select("l_orderkey", "g.lead", F.bround("g.residual", 6).alias("residual"), F.array_min("g.fitted").alias("first"), F.array_max("g.fitted").alias("last"))
+
+
+def tallies_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photo = F.when(F.col("ord") % 4 != 0, F.struct(F.lit(0.001).alias("depth_grad"), F.lit(None).cast("array<struct<label:string,score:double>>").alias("objects"), F.when(F.col("ord") % 4 == 1, "yes").when(F.col("ord") % 4 == 2, "no").alias("verdict"), F.lit(None).cast("string").alias("note")))
+    return sources.tallies(orders_as_posters(spark, sf_dir).withColumn("photo", photo))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -337,6 +413,7 @@ QUERIES = {
         polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
         check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
+        color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders,
     )
 }
 

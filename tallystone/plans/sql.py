@@ -212,7 +212,7 @@ ORACLE_SQL = {
         SELECT layout, corpus, count(*) FILTER (WHERE status = 'violation') AS n_violations, count(*) FILTER (WHERE status = 'held') AS n_held, count(*) FILTER (WHERE status IN ('violation', 'error')) = 0 AS ok FROM fi GROUP BY layout, corpus""",
     "check_layout_findings": f"""
         WITH {CHECKED}
-        SELECT rule, status, count(*) AS n, count(DISTINCT layout) AS n_layouts, round_even(sum(value), 2) AS total, round_even(sum(fix), 1) AS fixes, min(layer) AS low_layer, max(layer) AS high_layer FROM fi GROUP BY rule, status""",
+        SELECT rule, status, count(*) AS n, count(DISTINCT layout) AS n_layouts, round_even(sum(value), 1) AS total, round_even(sum(fix), 3) AS fixes, min(layer) AS low_layer, max(layer) AS high_layer FROM fi GROUP BY rule, status""",
     "place_text_orders": f"""
         WITH {OBSERVED}, {derived_tables("(SELECT 'all' AS corpus, * EXCLUDE (corpus) FROM ob)", "SELECT 'all' AS corpus, 0 AS n_entities_all")},
         bs AS (SELECT *, row_number() OVER (ORDER BY layer) AS nr FROM bands WHERE metric = 'lead_over_cap'), ad AS (SELECT * FROM drv WHERE metric = 'lead_over_cap' AND is_rule),
@@ -268,4 +268,63 @@ ORACLE_SQL = {
     "color_levels_parts": """
         WITH p AS (SELECT p_brand AS file, greatest(p_partkey % 256, p_size * 5, p_partkey % 7) AS hi, least(p_partkey % 256, p_size * 5, p_partkey % 7) AS lo FROM part)
         SELECT file, round_even(median(CASE WHEN hi > 0 THEN (hi - lo) / hi::DOUBLE ELSE 0 END), 4) AS saturation, round_even(median(hi / 255::DOUBLE), 4) AS value FROM p GROUP BY file""",
+    "color_cells_parts": """
+        WITH p AS (SELECT p_brand AS file, p_partkey % 256 AS r, p_size * 5 AS g, p_partkey % 7 AS b FROM part),
+        c AS (SELECT file, r // 64 * 16 + g // 64 * 4 + b // 64 AS cell, count(*) AS n, count(*) FILTER (WHERE CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b)::DOUBLE ELSE 0 END < 0.12::DOUBLE) AS gray FROM p GROUP BY ALL),
+        s AS (SELECT *, n / sum(n) OVER (PARTITION BY file) AS share FROM c)
+        SELECT file, round_even(max(share), 4) AS ground_share, count(*) FILTER (WHERE share > 0.02::DOUBLE) AS n_colors, round_even(sum(gray) / sum(n), 4) AS gray_share FROM s GROUP BY file""",
+    "autocorr_first_peak": f"""
+        WITH {HOURLY}, c AS (SELECT event_type, "at", value - avg(value) OVER (PARTITION BY event_type) AS d FROM h),
+        p AS (SELECT a.event_type, b."at" - a."at" AS lag, sum(a.d * b.d) AS s FROM c a JOIN c b ON a.event_type = b.event_type AND b."at" BETWEEN a."at" AND a."at" + 24 GROUP BY ALL),
+        r AS (SELECT p.event_type, p.lag, p.s / z.s AS r FROM p JOIN p z ON z.event_type = p.event_type AND z.lag = 0 WHERE z.s > 0),
+        w AS (SELECT *, lag(r) OVER o AS before, lead(r) OVER o AS after FROM r WINDOW o AS (PARTITION BY event_type ORDER BY lag))
+        SELECT event_type, min(lag) AS lag, round_even(arg_min(r, lag), 6) AS r FROM w WHERE lag >= 2 AND r > before AND r >= after AND r > 0 GROUP BY event_type""",
+    "text_columns_orders": """
+        WITH d AS (SELECT o_orderpriority AS p, floor(epoch(o_orderdate) / 86400)::BIGINT AS day, count(*)::DOUBLE AS value FROM orders WHERE o_custkey % 20 = 0 GROUP BY ALL),
+        e AS (SELECT p, min(day) AS a, max(day) - min(day) + 1 AS size, quantile_cont(value, 0.9) AS peak FROM d GROUP BY p),
+        f AS (SELECT p, day - a AS pos, size, day - a - lag(day - a) OVER (PARTITION BY p ORDER BY day) - 1 AS empty FROM d JOIN e USING (p) WHERE value > 0.13::DOUBLE * peak),
+        g AS (SELECT *, sum(CASE WHEN empty IS NULL OR empty >= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY p ORDER BY pos) AS nr FROM f),
+        k AS (SELECT p, nr, min(pos) AS a, max(pos) AS b FROM g GROUP BY p, nr)
+        SELECT p AS o_orderpriority, a AS first, b + 1 AS "end" FROM k WHERE b + 1 - a > 10""",
+    "line_marks_customers": f"""
+        WITH {components(_CORNERS)}, rw AS (SELECT img, y, count(*) AS v FROM px GROUP BY ALL),
+        t AS (SELECT img, min(y) AS x_top FROM (SELECT *, max(v) OVER (PARTITION BY img) AS most FROM rw) WHERE v >= 0.5::DOUBLE * most GROUP BY img),
+        m AS (SELECT t.img, x_top, min(CASE WHEN y2 > x_top THEN y1 END) AS body, min(CASE WHEN y2 <= x_top THEN y1 END) AS mark_top, count(*) FILTER (WHERE y2 <= x_top) AS n_mark FROM t JOIN co USING (img) GROUP BY ALL)
+        SELECT img, x_top, CASE WHEN x_top - body >= 2 THEN body END AS cap, mark_top, n_mark, CASE WHEN body IS NULL THEN 'none' WHEN x_top - body >= 2 THEN 'ascender' ELSE 'x_only' END AS kind FROM m""",
+    "dark_edges_customers": f"""
+        WITH {_INK}, s AS (SELECT img, unnest(['left', 'right', 'top', 'bottom']) AS side, unnest([count(*) FILTER (WHERE x = 0), count(*) FILTER (WHERE x = 11), count(*) FILTER (WHERE y = 0), count(*) FILTER (WHERE y = 11)]) / 12::DOUBLE AS share FROM px GROUP BY img)
+        SELECT img, side, round_even(share, 3) AS share FROM s WHERE share > 0.35::DOUBLE""",
+    "trimmed_customers": f"""
+        WITH {_INK}, c AS (SELECT img, y, count(*) / 12::DOUBLE AS v FROM px GROUP BY ALL), i AS (SELECT DISTINCT img, unnest(range(12)) AS y FROM px),
+        l AS (SELECT img, list(coalesce(v, 0) ORDER BY y) AS a, list(coalesce(v, 0) ORDER BY y DESC) AS b FROM i LEFT JOIN c USING (img, y) GROUP BY img),
+        d AS (SELECT *, coalesce(list_position([v <= 0.4::DOUBLE for v in a], true) - 1, 12) AS da, coalesce(list_position([v <= 0.4::DOUBLE for v in b], true) - 1, 12) AS db FROM l),
+        f AS (SELECT *, a[da + 1 : da + 3] AS fa, b[db + 1 : db + 3] AS fb FROM d)
+        SELECT img, CASE WHEN da > 0 THEN da + coalesce(list_position([v <= 0 for v in fa], true) - 1, len(fa)) ELSE 0 END AS first, 12 - CASE WHEN db > 0 THEN db + coalesce(list_position([v <= 0 for v in fb], true) - 1, len(fb)) ELSE 0 END AS end FROM f""",
+    "skew_lines": """
+        WITH b AS (SELECT l_orderkey AS img, l_quantity * 4 AS dx, l_quantity * 4 * (l_orderkey % 7 - 3 + l_linenumber % 2 * 0.2::DOUBLE) / 60 AS dy FROM lineitem),
+        a AS (SELECT img, sqrt(dx * dx + dy * dy) AS w, degrees(atan2(dy, dx)) AS angle FROM b WHERE sqrt(dx * dx + dy * dy) >= 40),
+        t AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY img ORDER BY w DESC, angle) <= 8),
+        m AS (SELECT img, median(angle) AS m, stddev_pop(angle) AS s FROM t GROUP BY img)
+        SELECT img, round_even(CASE WHEN abs(m) >= 1 AND abs(m) <= 10 AND s <= 2 THEN m ELSE 0 END, 6) AS angle FROM m""",
+    "gradient_embeddings": """
+        WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) AS n FROM embeddings),
+        p AS (SELECT vec_id, i * 4 // n AS y, i % (n // 4) AS x, coalesce((v - min(v) OVER w) / nullif(max(v) OVER w - min(v) OVER w, 0), 0) AS v FROM v WINDOW w AS (PARTITION BY vec_id)),
+        g AS (SELECT *, coalesce((coalesce(lead(v) OVER r, v) - coalesce(lag(v) OVER r, v)) / nullif((lead(v) OVER r IS NOT NULL)::INT + (lag(v) OVER r IS NOT NULL)::INT, 0), 0) AS gx,
+                     coalesce((coalesce(lead(v) OVER c, v) - coalesce(lag(v) OVER c, v)) / nullif((lead(v) OVER c IS NOT NULL)::INT + (lag(v) OVER c IS NOT NULL)::INT, 0), 0) AS gy
+              FROM p WINDOW r AS (PARTITION BY vec_id, y ORDER BY x), c AS (PARTITION BY vec_id, x ORDER BY y))
+        SELECT vec_id, round_even(avg(sqrt(gx * gx + gy * gy)), 6) AS gradient FROM g GROUP BY vec_id""",
+    "photo_verdicts_events": """
+        WITH e AS (SELECT value / 20000 AS d, event_id % 2 = 0 AND event_id % 5 IN (0, 2, 4) AND user_id % 3 <> 0 AS seen FROM events)
+        SELECT CASE WHEN seen AND d >= 0.0026::DOUBLE THEN 'yes' WHEN NOT seen AND d < 0.0018::DOUBLE THEN 'no' ELSE 'unknown' END AS verdict, count(*) AS n FROM e GROUP BY 1""",
+    "on_grid_orders": """
+        WITH b AS (SELECT l_orderkey, list_sort(list((l_linenumber * 15 + l_partkey % 3)::DOUBLE)) AS l FROM lineitem GROUP BY l_orderkey),
+        r AS (SELECT l_orderkey, l, unnest(l) AS b, l[1] AS f, len(l) AS n, list_median([l[i + 1] - l[i] for i in range(1, len(l))]) AS step FROM b),
+        k AS (SELECT *, n >= 3 AND abs(15 - step) <= 2 AS fit, round_even((b - f) / 15, 0) AS k FROM r),
+        p AS (SELECT *, avg(b - k * 15) OVER (PARTITION BY l_orderkey) AS phase FROM k),
+        g AS (SELECT l_orderkey, b, fit, CASE WHEN fit THEN round_even(phase + k * 15, 0) ELSE b END AS g FROM p)
+        SELECT l_orderkey, CASE WHEN coalesce(bool_or(fit), false) THEN 15.0::DOUBLE END AS lead, round_even(CASE WHEN coalesce(bool_or(fit), false) THEN avg(abs(g - b)) ELSE 0 END, 6) AS residual, min(g) AS first, max(g) AS last FROM g GROUP BY l_orderkey""",
+    "tallies_orders": """
+        WITH p AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
+        SELECT 'c' || (k % 3) AS corpus, count(*) AS n_posters, count(*) FILTER (WHERE k % 10 = 0) AS n_rotated, count(*) FILTER (WHERE k % 4 <> 0) AS n_judged, count(*) FILTER (WHERE k % 4 = 1) AS n_yes, count(*) FILTER (WHERE k % 4 = 2) AS n_no, count(*) FILTER (WHERE k % 4 = 3) AS n_unknown
+        FROM p GROUP BY 1""",
 }
