@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.functions.stages import written
+from tallystone.functions.stages import cut
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. Edges are written to the checkpoint folder after each round."""
 
     def marked(e: DataFrame) -> tuple[DataFrame, tuple]:
-        e = written(e)
+        e = cut(e)
         return e, tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

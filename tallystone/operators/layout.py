@@ -16,7 +16,7 @@ LEADING = "lead_over_cap"
 
 def gaps(values: Column) -> Column:
     """Differences of an array's ordered numbers."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     return F.filter(F.transform(ordered, lambda x, i: x - F.get(ordered, i - 1)), lambda d: d.isNotNull())
 
 

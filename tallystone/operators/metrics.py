@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 def middle(values: Column) -> Column:
     """The median of an array of numbers without nulls; null for an empty one."""
-    ordered, n = F.array_sort(values.cast("array<double>")), F.size(values)
+    ordered, n = F.sort_array(values.cast("array<double>")), F.size(values)
     return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
 
 
@@ -38,7 +38,7 @@ def ascenders() -> dict[str, Column]:
 
 def chained(values: Column, reach: float) -> Column:
     """How many clusters an array's numbers form if neighbours at most ``reach`` apart belong together."""
-    ordered = F.array_sort(values)
+    ordered = F.sort_array(values)
     return F.size(F.filter(ordered, lambda x, i: (i == 0) | (x - F.get(ordered, i - 1) > reach)))
 
 

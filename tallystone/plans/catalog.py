@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions import ordered
+from tallystone.functions.stages import written
 from tallystone.operators import comparing, golden, ink, judging, layout, lines, metrics, profiles, spatial
 from tallystone.plans import sql
 from tallystone.schemas import CONSTRAINT, NO_VALUE
@@ -211,7 +212,7 @@ def observe_orders_as_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derive_orders_as_posters(spark: SparkSession, sf_dir: str) -> DataFrame:
     posters = orders_as_posters(spark, sf_dir)
-    return judging.derive(metrics.observe(posters), posters.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_entities"))).drop("layers")
+    return judging.derive(written(metrics.observe(posters)), posters.groupBy("corpus").agg(F.count(F.lit(1)).alias("n_entities"))).drop("layers")
 
 
 def box_shadows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,12 +229,12 @@ def seeded_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _all_rules(posters: DataFrame) -> DataFrame:
-    return judging.derive(metrics.observe(posters).withColumn("corpus", F.lit("all")))
+    return judging.derive(written(metrics.observe(posters)).withColumn("corpus", F.lit("all")))
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as layout candidates against the rules of all orders; some ask for a layer, some for one there is not."""
-    posters = orders_as_posters(spark, sf_dir)
+    posters = written(orders_as_posters(spark, sf_dir))
     blocks = F.transform("blocks", lambda b: F.struct(b["n"].cast("string").alias("id"), b["x1"].cast("double").alias("x"), (b["x2"] - b["x1"]).cast("double").alias("x_width"), (b["bases"][0] - b["caps"][0]).cast("double").alias("cap_height"), F.transform(b["bases"], lambda v: F.struct(v.cast("double").alias("baseline"))).alias("lines")))
     asked = F.when(F.col("ord") % 3 == 0, 1).when(F.col("ord") % 50 == 1, 99)
     layouts = posters.select(F.col("file").alias("layout"), asked.alias("layer"), F.struct(F.lit(1000.0).alias("w"), F.lit(1200.0).alias("h")).alias("canvas"), blocks.alias("blocks"))
@@ -266,7 +267,7 @@ def layers_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def style_card_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     posters = orders_as_posters(spark, sf_dir)
-    found = comparing.style_card(judging.derive(metrics.observe(posters)), posters)
+    found = comparing.style_card(judging.derive(written(metrics.observe(posters))), posters)
     return found.select("corpus", "metric", "verdict", "n", "median", "n_layers", "n_all", "n_entities", "n_posters", "n_excluded")
 
 
