@@ -92,11 +92,10 @@ def derive(observations: DataFrame, entities: DataFrame | None = None, keys: tup
         F.array_sort(F.collect_list(entry)).alias("layers"),
         F.max(F.when(F.col("verdict") == CONSTRAINT, F.struct("n", (-F.col("median")).alias("back"), (-F.col("part")).alias("low"), entry.alias("e"))))["e"].alias("best"),
     )
-    # an entity's groups are as many as there are metrics
-    per = observations.groupBy(keys[0], "entity").agg(F.collect_set(F.when(F.col("value").isNotNull(), F.struct(*keys[1:]))).alias("seen"))
-    covered = per.select(keys[0], F.explode("seen").alias("s")).select(keys[0], "s.*").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_entities"))
+    seen = observations.groupBy(*keys, "entity").agg(F.max(F.col("value").isNotNull()).alias("has"))
+    covered = seen.where("has").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_entities"))
     if entities is None:
-        entities = per.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n_entities_all"))
+        entities = seen.select(keys[0], "entity").distinct().groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n_entities_all"))
     else:
         entities = entities.select(keys[0], F.col("n_entities").alias("n_entities_all"))
     both = joined(joined(joined(whole.withColumn("n_all", F.col("n")), listed, keys), covered, keys), entities, keys[:1], "left")

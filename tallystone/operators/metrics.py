@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 def middle(values: Column) -> Column:
     """The median of an array of numbers without nulls; null for an empty one."""
-    ordered, n = F.sort_array(values.cast("array<double>")), F.size(values)
-    return F.when(n > 0, (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
+    half = lambda o: F.when(F.size(o) > 0, (F.get(o, F.floor((F.size(o) - 1) / 2).cast("int")) + F.get(o, F.floor(F.size(o) / 2).cast("int"))) / 2)
+    # the sorted array is bound once: each use would sort it anew
+    return F.get(F.transform(F.array(F.sort_array(values.cast("array<double>"))), half), F.lit(0))
 
 
 def heights(block) -> Column:
