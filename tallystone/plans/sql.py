@@ -327,4 +327,14 @@ ORACLE_SQL = {
         WITH p AS (SELECT DISTINCT l_orderkey AS k FROM lineitem)
         SELECT 'c' || (k % 3) AS corpus, count(*) AS n_posters, count(*) FILTER (WHERE k % 10 = 0) AS n_rotated, count(*) FILTER (WHERE k % 4 <> 0) AS n_judged, count(*) FILTER (WHERE k % 4 = 1) AS n_yes, count(*) FILTER (WHERE k % 4 = 2) AS n_no, count(*) FILTER (WHERE k % 4 = 3) AS n_unknown
         FROM p GROUP BY 1""",
+    "text_blocks": """
+        WITH RECURSIVE ol AS (SELECT l_orderkey AS k, (l_linenumber * 20 + l_partkey % 13)::DOUBLE AS base, (l_suppkey % 4)::DOUBLE AS xs, l_suppkey % 4 + l_quantity::DOUBLE AS xe, (5 + l_suppkey % 6)::DOUBLE AS xh FROM lineitem),
+        t AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY base, xs, xe, xh) AS i FROM ol),
+        u AS (SELECT k, median(base - prev) AS usual FROM (SELECT k, base, lag(base) OVER (PARTITION BY k ORDER BY i) AS prev FROM t) GROUP BY k),
+        p AS (SELECT b.*, b.base - a.base > 1.5::DOUBLE * usual OR NOT (abs(a.xs - b.xs) <= 2 OR abs(a.xe - b.xe) <= 2 OR abs(a.xs + a.xe - b.xs - b.xe) <= 4) AS parted, c.xh AS next FROM t b JOIN t a ON a.k = b.k AND a.i = b.i - 1 JOIN u ON u.k = b.k LEFT JOIN t c ON c.k = b.k AND c.i = b.i + 1),
+        s AS (SELECT k, i, 0 AS block, [xh] AS sizes FROM t WHERE i = 1
+              UNION ALL SELECT k, i, block + new::INT, CASE WHEN new THEN [xh] ELSE list_append(sizes, xh) END
+              FROM (SELECT k, i, xh, block, sizes, parted OR (abs(m - xh) > 2 AND abs(m - xh) > 0.25::DOUBLE * least(m, xh) AND coalesce(abs(m - next) > 2 AND abs(m - next) > 0.25::DOUBLE * least(m, next), false)) AS new
+                    FROM (SELECT p.*, s.block, s.sizes, list_median(s.sizes) AS m FROM s JOIN p ON p.k = s.k AND p.i = s.i + 1)))
+        SELECT s.k AS l_orderkey, block, count(*) AS n, min(xs) AS x1, min(base - 12) AS y1, max(xe) AS x2, max(base) AS y2, 12.0::DOUBLE AS height, round_even(median(xh), 1) AS xh FROM s JOIN t ON t.k = s.k AND t.i = s.i GROUP BY s.k, block""",
 }

@@ -7,12 +7,13 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallystone.functions import ordered
 from tallystone.operators import comparing, golden, judging, layout, metrics, profiles, spatial
 from tallystone.plans import catalog
-from tallystone.schemas import CONSTRAINT, FREE, INSUFFICIENT, LAYOUT, METRICS, MIXED, NO_VALUE, POSTER
+from tallystone.schemas import CONSTRAINT, FREE, INSUFFICIENT, LAYOUT, METRICS, MIXED, NO_VALUE, PLACEMENT, POSTER
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -43,7 +44,14 @@ def observations(spark, groups: dict[str, list]):
     return spark.createDataFrame([("c", f"{m}{i}", i, m, v) for m, vs in groups.items() for i, v in enumerate(vs)], "corpus string, entity string, ord long, metric string, value double")
 
 
-def test_quantiles_equal_numpy(spark):
+@pytest.fixture(params=["windows", "stretches"])
+def either_way(request, monkeypatch):
+    """Groups as windows, and as stretches of a range partitioning, as beyond GROUP_ROWS."""
+    if request.param == "stretches":
+        monkeypatch.setattr(ordered, "GROUP_ROWS", 0)
+
+
+def test_quantiles_equal_numpy(spark, either_way):
     rng = random.Random(1)
     groups = {str(k): [round(rng.gauss(0, 9), rng.choice([0, 2, 9])) for _ in range(rng.randint(1, 400))] for k in range(12)}
     rows = observations(spark, groups | {"none": [None]})
@@ -67,7 +75,7 @@ def plain_layers(values, factor=10.0):
     return out
 
 
-def test_layers(spark):
+def test_layers(spark, either_way):
     rng = random.Random(2)
     groups = {"few": [1.0, 2.0, 900.0], "same": [5.0] * 9, "edge": [0.0, 1.0, 2.0, 3.0, 13.0], "over": [0.0, 1.0, 2.0, 3.0, 13.1], "twice": [1.0, 1.0, 2.0, 2.0, 3.0, 50.0, 50.0]}
     groups |= {f"r{k}": [rng.choice([0, 100, 5000]) + rng.randint(0, 20) for _ in range(300)] for k in range(6)}
@@ -80,7 +88,7 @@ def test_layers(spark):
         assert sorted(found[k]) == list(range(1, len(found[k]) + 1))
 
 
-def test_derive(spark):
+def test_derive(spark, either_way):
     groups = {
         "one": [10 + i / 10 for i in range(30)],
         "two": [10 + i / 10 for i in range(25)] + [500 + i / 10 for i in range(22)],
@@ -161,6 +169,54 @@ def test_check(spark):
     assert {r["layout"]: (r["n_violations"], r["ok"]) for r in layout.totals(layout.check(spark.createDataFrame(rows, LAYOUT), rules)).collect()}["good"] == (0, True)
 
 
+def test_check_by_corpora_and_layers(spark):
+    groups = {"lead_over_cap": [1.4 + i / 100 for i in range(25)] + [9 + i / 100 for i in range(22)], "n_blocks": [5.0 + i / 100 for i in range(40)]}
+    rows = observations(spark, groups).unionByName(observations(spark, {"lead_over_cap": [3 + i / 100 for i in range(30)]}).withColumn("corpus", F.lit("d")))
+    rules = judging.derive(rows)
+
+    def lay(name, corpus, layer, lines, width=50.0):
+        block = {"id": "b", "x": 1.0, "x_width": width, "cap_height": 10.0, "lines": [{"baseline": float(v)} for v in lines]}
+        return {"layout": name, "corpus": corpus, "layer": layer, "canvas": {"w": 100.0, "h": 100.0}, "blocks": [block] if lines else []}
+
+    layouts = [lay("c1", "c", None, [0, 15]), lay("d1", "d", None, [0, 15]), lay("low", "c", 1, [0, 15]), lay("high", "c", 2, [0, 15]), lay("none", "c", 3, [0, 15]), lay("zero", "c", 0, [0, 15]), lay("gone", "x", None, [0, 15]), lay("empty", "c", None, []), lay("narrow", "c", None, [0, 15], None)]
+    checked = layout.check(spark.createDataFrame(layouts, f"corpus string, {LAYOUT}"), rules)
+    got = {(r["layout"], r["rule"]): r for r in checked.collect()}
+    ratio = lambda n: (got[n, "lead_over_cap"]["status"], got[n, "lead_over_cap"]["layer"], got[n, "lead_over_cap"]["fix"])
+    assert ratio("c1") == ratio("low") == ("accepted", 1, None)
+    assert ratio("d1") == ("violation", None, 31.4) and ratio("high") == ("violation", None, 91.1)
+    assert {k for k in got if got[k]["status"] == "error"} == {("none", "no_such_layer"), ("zero", "no_such_layer"), ("gone", "no_rules"), ("empty", "no_blocks")}
+    assert got["c1", "n_blocks"]["status"] == "violation" and got["c1", "n_blocks"]["fix"] == 5.195 and ("d1", "n_blocks") not in got
+    assert got["narrow", "margin_right"]["status"] == "note"
+    assert {r["layout"]: r["ok"] for r in layout.totals(checked).collect()} == {"c1": False, "d1": False, "low": False, "high": False, "none": False, "zero": False, "gone": False, "empty": False, "narrow": False}
+    with pytest.raises(ValueError, match="several corpora"):
+        layout.check(spark.createDataFrame(layouts, f"corpus string, {LAYOUT}").drop("corpus"), rules)
+    listed = [(r["layer"], r["n"]) for r in layout.layer_list(rules).where("corpus = 'c'").orderBy("layer").collect()]
+    assert listed == [(1, 25), (2, 22)]
+
+
+def test_place_text(spark):
+    rules = judging.derive(observations(spark, {"lead_over_cap": [1.4 + i / 100 for i in range(25)] + [9 + i / 100 for i in range(5)]}))
+
+    def ask(name, layer, grid, *blocks):
+        return {"layout": name, "layer": layer, "grid_lead": grid, "blocks": [{"id": str(i), "x": 0.0, "y": y, "cap_height": h, "n_lines": n} for i, (y, h, n) in enumerate(blocks)]}
+
+    asked = [ask("plain", None, None, (0.0, 10.0, 2), (None, 25.0, None), (0.0, None, 1)), ask("mixed", 2, None, (0.0, 10.0, 0)), ask("bad", None, 0.0, (0.0, 10.0, 1)), ask("none", 7, None, (0.0, 10.0, 1)), ask("blank", None, None, (0.0, None, 1)), ask("empty", None, None), ask("wide", None, 40.0, (0.0, 10.0, 1))]
+    got = {(r["layout"], r["id"]): r for r in layout.place_text(spark.createDataFrame(asked, PLACEMENT), rules).collect()}
+    one, two, three = (got["plain", i] for i in "012")
+    assert (one["grid"], one["lead"], one["multiple"], one["baselines"], one["in_band"], one["notes"]) == (15.0, 15.0, 1, [10.0, 25.0], True, [])
+    assert (two["lead"], two["baselines"], two["ratio"], two["notes"]) == (45.0, [25.0], 1.8, ["outside_band"]) and three["notes"] == ["no_cap_height"] and three["lead"] is None
+    assert got["mixed", "0"]["notes"] == ["outside_band", "not_adopted"] and got["mixed", "0"]["baselines"] == [] and got["mixed", "0"]["lead"] == 90.0
+    assert {k[0]: got[k]["error"] for k in got if got[k]["error"]} == {"bad": "bad_grid", "none": "no_such_layer", "blank": "no_cap_height", "empty": "no_blocks"}
+    assert got["wide", "0"]["notes"] == ["outside_band"]
+
+
+def test_style_card(spark):
+    rules = judging.derive(metrics.observe(posters(spark)))
+    got = {r["metric"]: r for r in comparing.style_card(rules, posters(spark)).collect()}
+    assert len(got) == 20 and got["cap_ratio"]["verdict"] == "blocked" and got["n_blocks"]["verdict"] == INSUFFICIENT
+    assert (got["text_area"]["n_excluded"], got["n_blocks"]["n_excluded"], got["n_blocks"]["n_entities"], got["n_blocks"]["n_posters"]) == (1, None, 2, 4)
+
+
 def test_compare(spark):
     rng = np.random.default_rng(3)
     rows = [(c, f"{c}{i}", i, "m", float(v)) for c, mean in (("a", 10), ("b", 10.2), ("d", 30)) for i, v in enumerate(rng.normal(mean, 2, 200))] + [("e", "x", 0, "m", 5.0), ("a", "x", 0, "alone", 1.0)]
@@ -192,8 +248,6 @@ def test_profiles(spark):
     found = profiles.steps(jump, ["k"], 8)
     best = found.where("step > 20").groupBy("k").agg({"step": "count"}).collect()
     assert best and {r["at"] for r in found.where("step = 100").collect()} >= {40}
-    from pyspark.sql import functions as F
-
     cuts = found.where("step >= 48").groupBy("k").agg(profiles.spread_out(F.collect_list(F.struct("step", "at")), 8).alias("c")).collect()
     assert cuts[0]["c"][0] in range(36, 41) and len(cuts[0]["c"]) == 2
     pixels = spark.createDataFrame([("dark", float(v)) for v in [250] * 80 + [10] * 20] + [("bright", float(v)) for v in [10] * 80 + [250] * 20], "img string, value double")

@@ -8,7 +8,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from tallystone.functions import ordered  # noqa: F401
-from tallystone.operators import metrics, profiles
+from tallystone.operators import judging, metrics, profiles
 from tallystone.sources import posters as sources
 from tallystone.streaming import ingest
 from tests.core.test_operators import posters
@@ -51,6 +51,14 @@ def test_poster_files(spark, tmp_path):
     assert sources.read_posters(spark, {"gone": str(tmp_path / "gone")}).count() == 0
 
 
+def test_rules_are_read_back(spark, tmp_path):
+    rules = judging.derive(metrics.observe(posters(spark)))
+    sources.write_rules(rules, str(tmp_path / "rules"))
+    got = sources.read_rules(spark, {"c": str(tmp_path / "rules" / "corpus=c"), "gone": str(tmp_path / "gone")})
+    columns = sorted(rules.columns)
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, rules.select(*columns).collect()))
+
+
 def test_boxes(spark):
     quad = lambda x, y, w, dy: [(float(a), float(b)) for a, b in ((x, y), (x + w, y + dy), (x + w, y + dy + 9), (x, y + 9))]
     rows = [("a", 500, 500, quad(0, 10, 100, 5)), ("a", 500, 500, quad(20, 50, 200, 10)), ("a", 500, 500, quad(20, 50, 10, 10)), ("b", 90, 90, quad(3, 3, 85, 0))]
