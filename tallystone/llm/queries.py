@@ -60,7 +60,40 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 _WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: Of each kind of op1, its text and pattern; kind 5 takes runs, kind 6 the empty lines that part scopes.
+_PARTS = {
+    0: ("lo", """(?:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]+"""),
+    1: ("t", "AKIA[A-Z0-9]+"),
+    2: ("t", "[0-9a-f]{24,}"),
+    3: ("lo", """(?:client|account|user|tenant)[_-]?(?:id|name)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9@_.-]+"""),
+    4: ("t", "(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.-]+(?::[0-9]+)?"),
+    5: ("t", "[A-Za-z0-9+/_=-]+"),
+    6: ("t", "\\n[\\x20\\t\\r]*\\n"),
+}
+_CUT = " UNION ALL ".join(f"SELECT doc_id, {k} AS rank, unnest(string_split_regex({c}, '{x}')) AS g, unnest(regexp_extract_all({c}, '{x}')) AS m, generate_subscripts(string_split_regex({c}, '{x}'), 1) AS i FROM tx" for k, (c, x) in _PARTS.items())
+
 ORACLE_SQL = {
+    "op1_secrets": f"""
+        WITH tx AS (SELECT doc_id, coalesce(text, '') AS t, {_LOWER.format("coalesce(text, '')")} AS lo FROM documents),
+        f AS (SELECT doc_id, rank, m, (upto - length(m))::BIGINT AS a, upto::BIGINT AS b FROM (SELECT *, sum(length(g) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS upto FROM ({_CUT})) WHERE m IS NOT NULL),
+        base AS (SELECT * FROM f WHERE (rank = 0 AND length(regexp_extract(m, '["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)$', 1)) >= 6) OR (rank = 1 AND b - a >= 20) OR rank = 2),
+        ext AS (SELECT f.doc_id, a, b + length(regexp_extract(substring(t, b + 1), '^[^\\x20\\t\\r\\n"''<>]*')) AS b FROM f JOIN tx USING (doc_id) WHERE rank = 4),
+        k3 AS (SELECT * FROM base UNION ALL SELECT * FROM f WHERE rank = 3 AND NOT EXISTS (SELECT 1 FROM base o WHERE o.doc_id = f.doc_id AND o.a < f.b AND f.a < o.b)),
+        k4 AS (SELECT * FROM k3 UNION ALL SELECT * FROM f WHERE rank = 4 AND NOT EXISTS (SELECT 1 FROM k3 o WHERE o.doc_id = f.doc_id AND o.a < f.b AND f.a < o.b)),
+        k5 AS (SELECT * FROM f WHERE rank = 5 AND regexp_full_match(m, '[A-Za-z0-9+/_-]{{32,64}}={{0,2}}') AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')
+               AND NOT EXISTS (SELECT 1 FROM ext o WHERE o.doc_id = f.doc_id AND o.a < f.b AND f.a < o.b) AND NOT EXISTS (SELECT 1 FROM k4 o WHERE o.doc_id = f.doc_id AND o.a < f.b AND f.a < o.b)),
+        p0 AS (SELECT doc_id, rank, a, b FROM k4 UNION ALL SELECT doc_id, rank, a, b FROM k5),
+        p AS (SELECT p0.doc_id, p0.rank, p0.a, p0.b, count(e.a) AS scope, ['assign', 'access', 'hex', 'ident', 'endpoint', 'bare'][p0.rank + 1] || ':' || p0.a || ':' || p0.b AS shown, CASE WHEN p0.rank IN (1, 3) THEN 0 WHEN p0.rank = 4 THEN 2 ELSE 1 END AS role
+              FROM p0 LEFT JOIN f e ON e.doc_id = p0.doc_id AND e.rank = 6 AND e.a < p0.a GROUP BY p0.doc_id, p0.rank, p0.a, p0.b),
+        met AS (SELECT x.doc_id, x.rank, x.a, x.b, y.role, y.shown FROM p x JOIN p y ON x.doc_id = y.doc_id AND x.scope = y.scope AND x.role <> y.role AND abs(x.a - y.a) <= 400 AND (x.b <= y.a OR y.b <= x.a)
+                QUALIFY row_number() OVER (PARTITION BY x.doc_id, x.rank, x.a, x.b, y.role ORDER BY greatest(y.a - x.b, x.a - y.b), y.a, y.rank, y.b) = 1),
+        near AS (SELECT doc_id, rank, a, b, max(CASE WHEN role = 0 THEN shown END) AS idn, max(CASE WHEN role = 1 THEN shown END) AS sec, max(CASE WHEN role = 2 THEN shown END) AS edp FROM met GROUP BY ALL),
+        told AS (SELECT p.*, idn, edp, coalesce(CASE role WHEN 0 THEN sec IS NOT NULL WHEN 1 THEN idn IS NOT NULL OR edp IS NOT NULL ELSE idn IS NOT NULL AND sec IS NOT NULL END, false) AS linked FROM p LEFT JOIN near USING (doc_id, rank, a, b)),
+        s AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex, string_agg(shown, ',' ORDER BY a, rank) FILTER (WHERE rank < 3) AS base,
+                     string_agg(shown, ',' ORDER BY a, rank) FILTER (WHERE rank < 3 OR linked) AS spans, count(*) FILTER (WHERE linked) AS n_linked,
+                     string_agg(shown || '|' || coalesce(idn, '') || '|' || coalesce(edp, ''), ',' ORDER BY a, rank) FILTER (WHERE linked AND role = 1) AS links FROM told GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0) AS n_linked, coalesce(links, '') AS links
+        FROM tx LEFT JOIN s USING (doc_id)""",
     "op2_decontaminate": f"""
         WITH i AS (SELECT item_id, {_WORDS.format(_LOWER.format("text"))} AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
         w AS (SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[k : k + least(len(ws), 10) - 1], ' ') AS key
@@ -90,6 +123,16 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '')) AS kept_sha256,
                coalesce(any_value(kept_runs), '') AS kept_runs
         FROM told LEFT JOIN kept USING (doc_id) GROUP BY doc_id""",
+    "op5_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 4], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS k FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)),
+        b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        w AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT w.doc_id, b.y FROM w JOIN b ON b.x = w.r)
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(r), d.doc_id) AS component_id, d.doc_id = coalesce(min(r), d.doc_id) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""",
     "op8_perspectives": """
         WITH m AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
         sp AS (SELECT DISTINCT conv_id, role AS speaker FROM m WHERE role <> 'system'),

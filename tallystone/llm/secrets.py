@@ -43,7 +43,7 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _IDENT = re.compile(r"""(?:client|account|user|tenant)[_-]?(?:id|name)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@_.-]+)""", re.IGNORECASE | re.ASCII)
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(r"(?:https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.-]+(?::[0-9]+)?")
-_ADDRESS_END = re.compile(r"[\s\"'<>]")
+_ADDRESS_END = re.compile(r"[\x20\t\r\n\"'<>]")
 _BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
 
 

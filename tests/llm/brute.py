@@ -34,7 +34,7 @@ def secret_spans(text: str | None) -> list[tuple]:
 
 
 def addresses(text: str) -> list[tuple[int, int]]:
-    return [(m.start(), m.end()) for m in re.finditer(r"""(?=((https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.-]+(:[0-9]+)?[^\s"'<>]*))""", text) for m in [re.compile(r"""[a-z0-9]+://[A-Za-z0-9.-]+(:[0-9]+)?[^\s"'<>]*""").match(text, m.start())]]
+    return [(m.start(), m.end()) for m in re.finditer(r"""(?=((https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.-]+(:[0-9]+)?[^\x20\t\r\n"'<>]*))""", text) for m in [re.compile(r"""[a-z0-9]+://[A-Za-z0-9.-]+(:[0-9]+)?[^\x20\t\r\n"'<>]*""").match(text, m.start())]]
 
 
 def weak_parts(text: str) -> list[tuple]:

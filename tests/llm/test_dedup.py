@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,13 +40,16 @@ def frame(spark, rows):
 
 
 def by_sql(name, rows):
-    import pandas as pd
-
     documents = pd.DataFrame({"doc_id": [r[0] for r in rows], "text": pd.array([r[1] for r in rows], "string")})  # noqa: F841
     got = duckdb.sql(queries.ORACLE_SQL[name])
     return sorted(map(tuple, got.project(", ".join(sorted(got.columns))).fetchall()))
 
 
+def by_sql_rows(name, rows):
+    documents = pd.DataFrame({"doc_id": [r[0] for r in rows], "text": pd.array([r[1] for r in rows], "string")})  # noqa: F841
+    return duckdb.sql(queries.ORACLE_SQL[name]).fetchall()
+
+
 def result(df):
     return sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
 
@@ -167,6 +171,7 @@ def test_near_recall_on_all_pairs(spark):
     found, linked = [sum(x[1] != i for i, x in some.items()) for some in (got, want)]
     print(f"recall of documents with a smaller partner: {found} of {linked}")
     assert got == want
+    assert {r[0]: r[1:] for r in by_sql_rows("op5_near_dedup", rows)} == want
 
 
 def test_near_odd_rows(spark):
