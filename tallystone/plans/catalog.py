@@ -258,7 +258,7 @@ def place_text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("l_orderkey")
     requests = requests.select(key.cast("string").alias("layout"), F.when(key % 5 == 0, 1).when(key % 5 == 1, 99).alias("layer"), F.when(key % 4 == 0, 12.0).when(key % 40 == 1, 0.0).alias("grid_lead"), "blocks")
     placed = layout.place_text(requests, _all_rules(orders_as_posters(spark, sf_dir)))
-    return placed.select("layout", "id", "grid", "lead", "multiple", F.bround(F.col("lead") / F.col("cap_height"), 6).alias("ratio"), F.try_element_at("baselines", F.lit(-1)).alias("last"), "in_band", F.array_join("notes", ",").alias("notes"), "error")
+    return placed.select("layout", "id", "grid", "lead", "multiple", F.bround(F.col("lead") / F.col("cap_height"), 6).alias("ratio"), F.try_element_at("baselines", F.lit(-1)).alias("last"), F.col("in_band").cast("string").alias("in_band"), F.array_join("notes", ",").alias("notes"), "error")
 
 
 def layers_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ ORACLE_SQL = {
         pl AS (SELECT er.*, l_linenumber AS n, l_linenumber % 4 AS nl, CASE WHEN l_quantity > 3 THEN l_quantity END AS h, (l_partkey % 100)::DOUBLE AS y FROM er JOIN lineitem USING (l_orderkey) WHERE error IS NULL),
         kk AS (SELECT *, CASE WHEN h > 0 THEN greatest(greatest(1.0::DOUBLE, round_even(h * m / grid, 0)), ceil((h + 1) / grid))::BIGINT END AS multiple FROM pl)
         SELECT l_orderkey::VARCHAR AS layout, n::VARCHAR AS id, grid, multiple * grid AS lead, multiple, round_even(multiple * grid / h, 6) AS ratio, CASE WHEN nl > 0 THEN round_even(y + h + (nl - 1) * multiple * grid, 1) END AS last,
-               multiple * grid / h BETWEEN lo AND hi AS in_band, concat_ws(',', CASE WHEN h IS NULL THEN 'no_cap_height' END, CASE WHEN NOT (multiple * grid / h BETWEEN lo AND hi) THEN 'outside_band' END, CASE WHEN v <> 'constraint' THEN 'not_adopted' END) AS notes, NULL::VARCHAR AS error FROM kk
+               (multiple * grid / h BETWEEN lo AND hi)::VARCHAR AS in_band, concat_ws(',', CASE WHEN h IS NULL THEN 'no_cap_height' END, CASE WHEN NOT (multiple * grid / h BETWEEN lo AND hi) THEN 'outside_band' END, CASE WHEN v <> 'constraint' THEN 'not_adopted' END) AS notes, NULL::VARCHAR AS error FROM kk
         UNION ALL SELECT l_orderkey::VARCHAR, NULL, NULL, NULL, NULL, NULL, NULL, NULL, '', error FROM er WHERE error IS NOT NULL""",
     "style_card_orders": f"""
         WITH {OBSERVED}, {derived_tables("ob", "SELECT corpus, count(*) AS n_entities_all FROM po GROUP BY corpus")},
