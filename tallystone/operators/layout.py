@@ -89,7 +89,7 @@ def place_text(requests: DataFrame, rules: DataFrame) -> DataFrame:
     row with ``error``: no_rules, no_such_layer, no_blocks, no_leading, no_cap_height or bad_grid (not above 0)."""
     both = _held_against(requests, rules).withColumn("band", F.coalesce("forced", "adopted", F.get("bands", F.lit(0))))
     caps = F.filter(F.transform("blocks", lambda b: b["cap_height"]), lambda c: c > 0)
-    grid = F.coalesce("grid_lead", F.greatest(F.lit(1.0), F.rint(F.array_min(caps) * F.col("band.median"))))
+    grid = F.coalesce("grid_lead", F.when(F.size(caps) > 0, F.greatest(F.lit(1.0), F.rint(F.array_min(caps) * F.col("band.median")))))
     both = both.withColumn("grid", grid)
     both = both.withColumn("error", F.coalesce("error", F.when(F.col("band").isNull(), "no_leading").when(F.col("grid").isNull(), "no_cap_height").when(F.col("grid") <= 0, "bad_grid")))
     each = both.select("layout", "corpus", "grid", "band", "error", F.explode_outer(F.when(F.col("error").isNull(), F.col("blocks"))).alias("b"))

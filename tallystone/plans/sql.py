@@ -220,7 +220,7 @@ ORACLE_SQL = {
                       min(CASE WHEN l_quantity > 3 THEN l_quantity END) AS least FROM lineitem GROUP BY l_orderkey),
         bd AS (SELECT rq.*, coalesce(f.median, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT median FROM ad), (SELECT median FROM bs WHERE nr = 1)) END) AS m, coalesce(f.lo, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT lo FROM ad), (SELECT lo FROM bs WHERE nr = 1)) END) AS lo,
                coalesce(f.hi, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT hi FROM ad), (SELECT hi FROM bs WHERE nr = 1)) END) AS hi, coalesce(f.verdict, CASE WHEN rq.layer IS NULL THEN coalesce((SELECT verdict FROM ad), (SELECT verdict FROM bs WHERE nr = 1)) END) AS v FROM rq LEFT JOIN bs f ON f.nr = rq.layer),
-        gd AS (SELECT *, coalesce(gl, greatest(1.0::DOUBLE, round_even(least * m, 0))) AS grid FROM bd),
+        gd AS (SELECT *, coalesce(gl, CASE WHEN least IS NOT NULL THEN greatest(1.0::DOUBLE, round_even(least * m, 0)) END) AS grid FROM bd),
         er AS (SELECT *, CASE WHEN layer IS NOT NULL AND m IS NULL THEN 'no_such_layer' WHEN grid IS NULL THEN 'no_cap_height' WHEN grid <= 0 THEN 'bad_grid' END AS error FROM gd),
         pl AS (SELECT er.*, l_linenumber AS n, l_linenumber % 4 AS nl, CASE WHEN l_quantity > 3 THEN l_quantity END AS h, (l_partkey % 100)::DOUBLE AS y FROM er JOIN lineitem USING (l_orderkey) WHERE error IS NULL),
         kk AS (SELECT *, CASE WHEN h > 0 THEN greatest(greatest(1.0::DOUBLE, round_even(h * m / grid, 0)), ceil((h + 1) / grid))::BIGINT END AS multiple FROM pl)

@@ -66,7 +66,7 @@ def test_boxes(spark):
     assert {r["img"]: tuple(r)[1:] for r in sources.union_box(boxes).collect()} == {"a": (0, 4, 226, 75), "b": (0, 0, 90, 18)}
     got = {r["img"]: round(r["angle"], 2) for r in sources.skew(boxes).collect()}
     assert got == {"a": 2.86, "b": 0.0}
-    seen = spark.createDataFrame([(0.003, [("x", 0.95)]), (0.001, []), (0.002, [("x", 0.1)])], "d double, o array<struct<label:string,score:double>>")
+    seen = spark.createDataFrame([(0.003, [("person", 0.95)]), (0.001, []), (0.002, [("person", 0.1)])], "d double, o array<struct<label:string,score:double>>")
     assert [r[0] for r in seen.select(sources.photo_verdict(F.col("d"), F.col("o"))).collect()] == ["yes", "no", "unknown"]
 
 
