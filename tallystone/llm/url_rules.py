@@ -17,7 +17,8 @@ as one sign, the names of query fields, and "f" if there is a fragment.
 
 Defined cases: a null url, or one without "://", has empty host and path, no rule and no token, and is
 allowed; each input row gives one row, also where ids repeat or are null; pages that several labels
-name are bad if one of them says so; without labels nothing is mined; other columns are ignored. Jobs run while
+name are bad if one of them says so; without labels, or with fewer labelled
+pages than ``min_pages``, nothing is mined; other columns are ignored. Jobs run while
 the result is built.
 """
 
@@ -85,7 +86,8 @@ def _items(seen: DataFrame, least: int) -> DataFrame:
 
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame | None:
     """(token, items, confidence, support) of the rules that end in BAD, a row for each token of the rarest item;
-    items are arrays of tokens of which a page must have one each. None without labels."""
+    items are arrays of tokens of which a page must have one each. None without labels, or with fewer labelled pages
+    than any rule needs."""
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce((F.col("toxic") == 1) | (F.col("quality") == 0), F.lit(False))).alias("bad"))
     known = pages.select(F.col("page_id").alias("doc_id"), tokens(F.col("url")).alias("t")).join(bad, "doc_id").where(F.size("t") > 0)
     known = cut(known.select(F.monotonically_increasing_id().alias("row"), "t", "bad"))
@@ -93,6 +95,8 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     if not n_pages:
         return None
     least = math.ceil(max(min_support * n_pages, min_pages) - 1e-9)
+    if least > n_pages:
+        return None
     # at most the tokens of a page, times 1/min_support: the others are in too few pages
     items = F.broadcast(cut(_items(known, least)))
     spread = known.select("row", "bad", F.explode("t").alias("token")).join(items, "token", "left")

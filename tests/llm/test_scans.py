@@ -206,6 +206,19 @@ def test_url_rules_are_mined(spark):
     assert url_rules.judge(pages.limit(0), labels).count() == 0
 
 
+def test_url_rules_of_few_labelled_pages(spark):
+    pages = spark.createDataFrame([(1, "http://bad.org/a"), (2, "http://bad.org/b"), (3, "http://bad.org/c")], "page_id long, url string")
+    for known, least, told in ((0, 2, "allow"), (1, 2, "allow"), (1, 1, "allow"), (2, 2, "allow"), (2, 3, "allow"), (2, 100, "allow")):
+        labels = spark.createDataFrame([(i + 1, 0, 1) for i in range(known)], "doc_id long, quality int, toxic int")
+        # where all labelled pages are bad nothing lifts the odds, so nothing is blocked, with few pages or none
+        assert {r["verdict"] for r in url_rules.judge(pages, labels, min_pages=least).collect()} == {told}
+    labels = spark.createDataFrame([(1, 0, 1), (2, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    more = pages.unionByName(spark.createDataFrame([(4, "ftp://good.org/d")], "page_id long, url string"))
+    verdicts = lambda least: {r["page_id"]: r["verdict"] for r in url_rules.judge(more, labels, min_pages=least).collect()}
+    assert verdicts(2)[3] == "block" and verdicts(2)[4] == "allow"
+    assert set(verdicts(4).values()) == {"allow"}
+
+
 def plain_mined(pages, labels, support, confidence, least):
     """page -> best confidence of the rules that fit, over all combinations of tokens."""
     bad: dict = {}
