@@ -10,7 +10,8 @@
 
 A token is a run of characters that are not blank (`[^\\x20\\x09-\\x0D]+`), unless a token column is given.
 
-Defined cases: null and empty texts have no token and go to the first bucket; ties are ordered by id;
+Defined cases: null and empty texts have no token and go to the first bucket; a given count that is null or
+negative is 0; ties are ordered by id;
 repeated rows are packed as often as they occur; an empty table gives an empty result.
 """
 
@@ -78,8 +79,9 @@ def optimal_capacities(histogram: list[tuple[int, int]], buckets: int) -> list[i
 
 def pack(docs: DataFrame, id_col: str = "doc_id", n_tokens: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """Per document: doc_id, n_tokens, bucket, capacity, batch, slot, padding."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), (tokens() if n_tokens is None else n_tokens).alias("n_tokens"))
-    table = rows.groupBy(F.col("n_tokens").cast("long").alias("n")).count().orderBy("n").collect()
+    given = tokens() if n_tokens is None else F.greatest(F.coalesce(n_tokens.cast("long"), F.lit(0)), F.lit(0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), given.alias("n_tokens"))
+    table = rows.groupBy(F.col("n_tokens").alias("n")).count().orderBy("n").collect()
     capacities = optimal_capacities([(r["n"], r["count"]) for r in table], buckets)
     if not capacities:
         return rows.select("doc_id", "n_tokens", *[F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("capacity", "long"), ("batch", "string"), ("slot", "long"), ("padding", "long"))])

@@ -114,6 +114,13 @@ def test_packing_is_exact_for_many_lengths(spark):
     assert sum(r["padding"] for r in got) == padding_of(lengths, ends)
 
 
+def test_packing_of_odd_token_counts(spark):
+    docs = spark.createDataFrame([(1, None), (2, -5), (3, 7), (4, 20_000), (None, None)], "doc_id long, n int")
+    got = {(r["doc_id"], r["n_tokens"]): (r["bucket"], r["capacity"], r["padding"]) for r in packing.pack(docs, n_tokens=F.col("n")).collect()}
+    assert got == {(1, 0): (0, 0, 0), (2, 0): (0, 0, 0), (None, 0): (0, 0, 0), (3, 7): (1, 7, 0), (4, 20_000): (2, 20_000, 0)}
+    assert packing.pack(docs.where("n is null"), n_tokens=F.col("n")).count() == 2
+
+
 def test_perspectives(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "ann", "é😀"), (1, None, None, "first"), (2, 0, "system", "alone"), (None, 3, "ann", "x"), (None, 3, "ann", "x")]
     rows += [(3, i if i < 500 else None, "ab"[i % 2], f"m{i}") for i in range(1300)]
