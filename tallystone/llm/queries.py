@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, perspectives, pii, secrets, url_rules
+from tallystone.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, perspectives, pii, prefix_trie, secrets, url_rules
 from tallystone.llm.common import table
 
 
@@ -48,13 +48,17 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_near_dedup, op6_language_id, op7_packing, op8_perspectives, op9_pii, op10_url_rules, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_near_dedup, op6_language_id, op7_packing, op8_perspectives, op9_pii, op10_url_rules, op11_prefix_trie, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -72,6 +76,17 @@ _PARTS = {
 }
 _CUT = " UNION ALL ".join(f"SELECT doc_id, {k} AS rank, unnest(string_split_regex({c}, '{x}')) AS g, unnest(regexp_extract_all({c}, '{x}')) AS m, generate_subscripts(string_split_regex({c}, '{x}'), 1) AS i FROM tx" for k, (c, x) in _PARTS.items())
 
+
+
+def _crc_row(i: int) -> int:
+    for _ in range(8):
+        i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+    return i
+
+
+#: Unsigned crc32 of a text's UTF-8, byte by byte with the table of the reversed polynomial.
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295], [('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::BIGINT FOR i IN range(octet_length(encode({0})))]), lambda c, b: xor(c >> 8, [" + ", ".join(str(_crc_row(i)) for i in range(256)) + "][xor(c & 255, b) + 1])))"
+
 ORACLE_SQL = {
     "op1_secrets": f"""
         WITH tx AS (SELECT doc_id, coalesce(text, '') AS t, {_LOWER.format("coalesce(text, '')")} AS lo FROM documents),
@@ -145,6 +160,19 @@ ORACLE_SQL = {
                string_agg(head || body || chr(10), '' ORDER BY nr) AS rendered,
                coalesce(string_agg(begin_at::BIGINT || ':' || (begin_at + length(body))::BIGINT, ',' ORDER BY nr) FILTER (WHERE role = speaker), '') AS mask
         FROM p GROUP BY conv_id, speaker""",
+    "op11_prefix_trie": f"""
+        WITH m AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT c, c - c % 20 AS b, {_CRC.format("c::VARCHAR")} % 4 AS h FROM (SELECT DISTINCT c FROM m)),
+        turns AS (SELECT h.c, 0 AS own, p, r, t FROM h JOIN m ON m.c = h.b AND p <= h.h UNION ALL SELECT h.c, 1, p, r, t FROM h JOIN m ON m.c = h.c AND p > h.h),
+        dialogue AS (SELECT h.c, coalesce(list(struct_pack(r := r, t := t) ORDER BY own, p) FILTER (WHERE r IS NOT NULL), []) AS s FROM h LEFT JOIN turns USING (c) GROUP BY h.c),
+        begun AS (SELECT c, len(s) AS whole, unnest(range(0, len(s) + 1)) AS d, s FROM dialogue),
+        node AS (SELECT s[1 : d] AS s, d, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE whole = d) AS ends,
+                        CASE WHEN d > 0 THEN len(regexp_extract_all(any_value(s)[d].t, '[^\\x20\\x09-\\x0D]+')) ELSE 0 END AS words FROM begun GROUP BY s[1 : d], d),
+        kids AS (SELECT s[1 : d - 1] AS s, d - 1 AS d, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL),
+        x AS (SELECT node.*, coalesce(n, 0) AS n_children FROM node LEFT JOIN kids USING (s, d)),
+        below AS (SELECT a.s, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens FROM x a JOIN x b ON b.d >= a.d AND b.s[1 : a.d] = a.s GROUP BY a.s, a.d)
+        SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
+        FROM x JOIN below USING (s, d) LEFT JOIN x up ON x.d > 0 AND up.d = x.d - 1 AND up.s = x.s[1 : x.d - 1]""",
     # FP-growth by listing every combination of the tokens of each labelled page
     "op10_url_rules": r"""
         WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -198,3 +198,36 @@ def url_rule(url: str | None) -> tuple[str, str, str | None, str | None]:
         host, path = lower(m.group(1)), m.group(2)
     fits = [(len(h + p), h + p, v) for v, h, p in URL_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     return (host, path, *(max(fits)[1:] if fits else (None, None)))
+
+
+def rebuilt_dialogues(rows) -> dict[int, list[tuple[str, str]]]:
+    """rows: (conv_id, turn, role, text) -> the turns of each rebuilt conversation"""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [(r, t) for _, _, r, t in sorted(v)] for c, v in own.items()}
+    out = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        out[c] = own.get(c - (abs(c) % 20) * (1 if c > 0 else -1), [])[:h] + turns[h:]
+    return out
+
+
+def trie_nodes(rows) -> list[tuple]:
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256), by recursion"""
+    dialogues = rebuilt_dialogues(rows)
+    members, kids = defaultdict(list), defaultdict(set)
+    for c, turns in dialogues.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+            if d:
+                kids[tuple(turns[: d - 1])].add(tuple(turns[:d]))
+    out, order = {}, sorted(members, key=len, reverse=True)
+    for node in order:
+        below = [out[k] for k in kids[node]]
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", node[-1][1])) if node else 0
+        ends = sha(",".join(str(c) for c in sorted(members[node]) if len(dialogues[c]) == len(node)))
+        up = min(members[node[:-1]]) if node else None
+        out[node] = (min(members[node]), len(node), up, len(members[node]), len(below), sum(b[5] for b in below) or 1, (len(members[node]) - 1) * words + sum(b[6] for b in below), ends)
+    return list(out.values())
