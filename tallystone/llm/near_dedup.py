@@ -12,7 +12,8 @@
    the distance shares at least one of 64 keys.
 4. Within a bucket, signatures are compared in blocks and only a spanning forest of the matches goes
    on. The connected components of these forests are the near groups; no link leaves its group.
-5. The texts of near groups, and only those, are read once more. Within a group each document is
+5. The texts of near groups, and only those, are read once more: a bitmap of fixed size of their hashes leaves out the others before
+   anything is shuffled, and blocks are dealt after that. Within a group each document is
    compared on its full shingle set with those not yet reached, and each link found reaches one more:
    all links of the group are decided, and at most one row per document is returned.
 6. Components over links give each row's component, named by the smallest id in it.
@@ -50,6 +51,8 @@ MISS = 1e-5
 BLOCK = 2048
 #: Most documents' characters in one block of a near group.
 BLOCK_CHARS = 16_000_000
+#: Bits of the bitmap of wanted texts.
+BITS = 1 << 24
 
 _U = np.uint64
 _XOR = words.mix(np.arange(1, COMPONENTS + 1, dtype=_U) * _U(0xD6E8FEB86659FD93))
@@ -213,6 +216,21 @@ def _tiled(members: DataFrame, by: str, blocks) -> DataFrame:
     return members.withColumn("n_blocks", blocks.cast("long")).withColumn("tile", F.explode(F.when(F.col("n_blocks") > 1, tiles).otherwise(F.array(F.lit(0).cast("long"))))).drop("n_blocks")
 
 
+def fetched(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` (id, hash, ...) with their texts. texts: (id, hash, text). Rows are found again by id and the text's
+    hash: rows that repeat both have the same text. A bitmap of the wanted hashes, broadcast, leaves out most other texts
+    before the shuffle."""
+    place = F.pmod(F.col("hash"), F.lit(BITS))
+    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    spot = F.bitmap_bit_position(F.col("p"))
+    # a bitmap's bytes hold eight positions each, the lowest bit first
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    maybe = texts.where("text is not null").withColumn("p", place).join(F.broadcast(bits), F.bitmap_bucket_number("p") == F.col("bucket"))
+    maybe = maybe.where(F.getbit(byte, (spot % 8).cast("int")) == 1)
+    maybe = maybe.select(F.col("id").alias("mine"), F.col("hash").alias("text_hash"), "text")
+    return wanted.join(maybe, (F.col("hash") == F.col("text_hash")) & F.col("mine").eqNullSafe(F.col("id"))).drop("mine", "text_hash")
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """(row, id, hash, n, group, least) of each row; group is a row number, null for rows without shingles, least
     the smallest id in it, hash that of the text."""
@@ -223,7 +241,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     classes = sketched.where("n > 0").groupBy("same").agg(F.min("row").alias("rep"), F.min("id").alias("least"))
     reps = cut(sketched.join(classes, (sketched["same"] == classes["same"]) & (sketched["row"] == classes["rep"])).select("row", "id", "hash", "chars", "signature"))
 
-    keys = reps.select(F.col("row").alias("id"), "signature").mapInPandas(_indexer(chunks), "key long, id long")
+    keys = cut(reps.select(F.col("row").alias("id"), "signature").mapInPandas(_indexer(chunks), "key long, id long"))
     filled = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = _tiled(keys.join(filled, "key"), "key", F.ceil(F.col("n") / BLOCK)).join(reps.select(F.col("row").alias("id"), "signature"), "id")
     near = (
@@ -236,13 +254,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     groups = cut(groups)
 
     sizes = groups.groupBy("near").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("chars") / BLOCK_CHARS)).alias("blocks"))
-    wanted = _tiled(groups.select(F.col("row").alias("id"), "near", F.col("id").alias("own"), "hash").join(sizes, "near"), "near", F.col("blocks"))
-    # a row is found again by its id and its text's hash: rows that repeat both have the same text
-    wanted = wanted.select("id", "near", "tile", "own", F.col("hash").alias("text_hash")).hint("shuffle_hash")
+    placed = _tiled(groups.select(F.col("row").alias("id"), "near").join(sizes, "near"), "near", F.col("blocks"))
+    held = cut(fetched(texts, groups.select("row", "id", "hash")).select("row", "text").dropDuplicates(["row"]))
     links = (
-        texts.where("text is not null")
-        .withColumnRenamed("id", "mine")
-        .join(wanted, (F.col("hash") == F.col("text_hash")) & F.col("mine").eqNullSafe(F.col("own")))
+        placed.join(held.withColumnRenamed("row", "id"), "id")
         .select("near", "tile", "id", "text")
         .repartition("near", "tile")
         .sortWithinPartitions("near", "tile")
