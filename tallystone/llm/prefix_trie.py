@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import ordered
-from tallystone.llm.common import cut
+from tallystone.llm.common import cut, ship
 
 BLOCK, MOST = 20, 4
 _SUMS = ("s0", "s1", "s2", "s3")
@@ -136,6 +136,7 @@ def _ends(ends: DataFrame) -> DataFrame:
 
 def trie(chats: DataFrame) -> DataFrame:
     """Per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
+    ship(chats.sparkSession)
     turns, convs = rebuilt(chats)
     paths = cut(_paths(turns))
     every, smallest = convs.agg(F.count(F.lit(1)), F.min("conv")).first()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, packing, perspectives, pii, prefix_trie, secrets, url_rules
+from tallystone.llm import decontaminate, exact_dedup, language_id, line_dedup, near_dedup, ngram_join, packing, perspectives, pii, prefix_trie, secrets, spelling, url_rules
 from tallystone.llm.common import table
 
 
@@ -52,13 +52,21 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_near_dedup, op6_language_id, op7_packing, op8_perspectives, op9_pii, op10_url_rules, op11_prefix_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_decontaminate, op3_exact_dedup, op4_line_dedup, op5_near_dedup, op6_language_id, op7_packing, op8_perspectives, op9_pii, op10_url_rules, op11_prefix_trie, op12_spelling, op13_ngram_join, pipeline)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -173,6 +181,28 @@ ORACLE_SQL = {
         below AS (SELECT a.s, a.d, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.words)::BIGINT AS saved_tokens FROM x a JOIN x b ON b.d >= a.d AND b.s[1 : a.d] = a.s GROUP BY a.s, a.d)
         SELECT x.conv_id, x.d AS depth, up.conv_id AS parent_conv_id, x.n_convs, x.n_children, n_leaves, saved_tokens, sha256(coalesce(x.ends, '')) AS ends_sha256
         FROM x JOIN below USING (s, d) LEFT JOIN x up ON x.d > 0 AND up.d = x.d - 1 AND up.s = x.s[1 : x.d - 1]""",
+    "op12_spelling": f"""
+        WITH RECURSIVE r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+        c AS (SELECT run, n, {_CRC.format("(id || ':' || run)")} AS h FROM (SELECT id, run, count(*) AS n FROM r WHERE length(run) >= 7 GROUP BY id, run)),
+        w AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, (h % length(run))::INT) || substring(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM c),
+        v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+        del AS (SELECT word, n, i, substring(word, 1, (i - 1)::INT) || substring(word, (i + 1)::INT) AS k FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+        near AS (SELECT d.word, v.word AS other, v.n AS m FROM del d JOIN v ON d.k = v.word UNION SELECT v.word, d.word, d.n FROM del d JOIN v ON d.k = v.word
+                 UNION SELECT a.word, b.word, b.n FROM del a JOIN del b ON a.k = b.k AND a.i = b.i AND a.word <> b.word),
+        best AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM near GROUP BY word),
+        f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * v.n THEN other END AS form, CASE WHEN m >= 10 * v.n THEN m END AS form_n FROM v LEFT JOIN best USING (word)),
+        up AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT up.word, f.form, steps + 1 FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL)
+        SELECT f.word, form, arg_max(root, steps) AS root, n, n_near, form_n FROM f JOIN up USING (word) GROUP BY ALL""",
+    "op13_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        sh AS (SELECT DISTINCT doc_id, array_to_string(ws[k : k + 2], ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS k FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+        e AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 100 * c >= 90 * (i.n + j.n - c)),
+        b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+        w AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT w.doc_id, b.y FROM w JOIN b ON b.x = w.r)
+        SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, coalesce(min(r), d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN w USING (doc_id) GROUP BY d.doc_id""",
     # FP-growth by listing every combination of the tokens of each labelled page
     "op10_url_rules": r"""
         WITH u AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

@@ -161,9 +161,9 @@ def shingles(text: str | None, width: int = 5) -> set[tuple]:
     return {tuple(ws[k : k + width]) for k in range(max(1, len(ws) - width + 1))} if ws else set()
 
 
-def near_components(docs, percent: int = 85) -> dict[int, tuple[int, int, bool]]:
+def near_components(docs, percent: int = 85, width: int = 5) -> dict[int, tuple[int, int, bool]]:
     """doc_id -> (n_shingles, component_id, kept), over all pairs."""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, width) for d, t in docs}
     above = {d: d for d in sets}
 
     def top(d):
@@ -231,3 +231,31 @@ def trie_nodes(rows) -> list[tuple]:
         up = min(members[node[:-1]]) if node else None
         out[node] = (min(members[node]), len(node), up, len(members[node]), len(below), sum(b[5] for b in below) or 1, (len(members[node]) - 1) * words + sum(b[6] for b in below), ends)
     return list(out.values())
+
+
+def spelling(docs) -> list[tuple]:
+    """docs: (id, text) -> (word, form, root, n, n_near, form_n), every word held against every other"""
+    count: dict[str, int] = defaultdict(int)
+    for doc, text in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", text or ""):
+            run = lower(run)
+            h = zlib.crc32(f"{'' if doc is None else doc}:{run}".encode())
+            count[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 31 == 0 else run] += 1
+    count = {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+
+    def one_edit(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+        a, b = sorted((a, b), key=len)
+        return len(b) - len(a) == 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+    near = {w: [o for o in count if abs(len(o) - len(w)) <= 1 and one_edit(w, o)] for w in count}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-count[o], o), default=None)
+        form[w] = best if best is not None and count[best] >= 10 * count[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return [(w, form[w], root(w), n, len(near[w]), count.get(form[w])) for w, n in count.items()]
