@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import ordered
 from tallystone.functions.stages import written
-from tallystone.operators import comparing, golden, ink, judging, layout, lines, metrics, profiles, spatial
+from tallystone.operators import comparing, golden, ink, judging, layout, lines, metrics, palette, profiles, spatial, turning
 from tallystone.plans import sql
 from tallystone.schemas import CONSTRAINT, NO_VALUE
 from tallystone.sources import posters as sources
@@ -406,6 +406,65 @@ def tallies_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.tallies(orders_as_posters(spark, sf_dir).withColumn("photo", photo))
 
 
+def sharpest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each supplier's items as a picture of seven lines of print, which rise or fall with the supplier's number."""
+    x, img = F.pmod("l_partkey", F.lit(160)), F.col("l_suppkey")
+    y = F.col("l_linenumber") * 10 + F.floor(x * (F.pmod(img, F.lit(9)) - 4) / 40) + 20
+    ink_ = _t(spark, sf_dir, "lineitem").select(img.alias("img"), y.alias("y"), x.alias("x"))
+    sizes = ink_.select("img").distinct().select("img", F.lit(160).alias("width"), F.lit(120).alias("height"))
+    return turning.sharpest(ink_, sizes, ["img"], 15.0).select("img", "angle", F.bround("sharpness", 6).alias("sharpness"))
+
+
+def turned_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as gray pictures of four rows, turned by up to a quarter."""
+    cells = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "v"), F.size("embedding").alias("n"))
+    gray = F.pmod(F.floor(F.col("v").cast("double") * 1000), F.lit(256))
+    pixels = cells.select("vec_id", F.floor(F.col("at") * 4 / F.col("n")).alias("y"), F.pmod("at", F.floor(F.col("n") / 4)).alias("x"), gray.alias("gray"))
+    sizes = _t(spark, sf_dir, "embeddings").select("vec_id", F.floor(F.size("embedding") / 4).alias("width"), F.lit(4).alias("height"), (F.pmod("vec_id", F.lit(10)) * 15 - 45).alias("angle"))
+    return turning.turned(pixels, sizes, ["vec_id"]).select("vec_id", "y", "x", F.bround("gray", 4).alias("gray"))
+
+
+def _part_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _t(spark, sf_dir, "part")
+    return part.select(F.col("p_brand").alias("file"), "p_partkey", F.pmod("p_partkey", F.lit(256)).cast("int").alias("r"), (F.col("p_size") * 5).cast("int").alias("g"), F.pmod("p_partkey", F.lit(7)).cast("int").alias("b"))
+
+
+def thumbnail_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's parts as a colour picture 16 pixels wide, made smaller to ten."""
+    ranked = ordered.placed(_part_colors(spark, sf_dir).withColumnRenamed("p_partkey", "value").withColumn("n", F.lit(1).cast("long")), ["file"], ("r", "g", "b"))
+    pixels = ranked.select("file", F.floor(F.col("before") / 16).alias("y"), F.pmod("before", F.lit(16)).alias("x"), "r", "g", "b")
+    sizes = pixels.groupBy("file").agg(F.floor(F.count(F.lit(1)) / 16).alias("height")).where("height > 0").withColumn("width", F.lit(16))
+    whole = ordered.joined(pixels, sizes, ["file"]).where("y < height").drop("height", "width")
+    return palette.thumbnail(whole, sizes, ["file"], 10)
+
+
+def palette_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's eight colours by median cut, and which of them are near enough to be one."""
+    boxed = palette.median_cut(palette.histogram(_part_colors(spark, sf_dir), ["file"]), ["file"], 8)
+    shown = written(palette.palette(boxed, ["file"]))
+    return ordered.joined(shown, palette.merged(shown, ["file"], 80), ["file", "place"]).select("file", "place", "r", "g", "b", "n", "leader")
+
+
+def _line_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Line items as measured text boxes, and as what a reader saw in the turned boxes."""
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")])
+    angle = (F.pmod("l_partkey", F.lit(21)) - 10) * 0.5
+    found = rows.select(F.col("l_orderkey").alias("img"), F.col("l_linenumber").alias("box"), (F.col("l_quantity") * 4).cast("double").alias("w"), angle.alias("angle"))
+    conf = lambda i: F.pmod(F.col("l_suppkey") * (i + 3), F.lit(11)).cast("double")
+    seen = F.array(*[F.struct(F.lit(t).alias("turn"), (angle + t).alias("angle"), conf(i).alias("conf"), F.repeat("l_returnflag", i + 4).alias("text")) for i, t in enumerate((0, 90, -90))])
+    return found, rows.select(F.col("l_orderkey").alias("img"), F.col("l_linenumber").alias("box"), F.explode(seen).alias("s")).select("img", "box", "s.*")
+
+
+def read_angles_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, readings = _line_boxes(spark, sf_dir)
+    return turning.poster_angle(turning.read_angles(found, readings, ["img"]), ["img"])
+
+
+def skew_by_reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, readings = _line_boxes(spark, sf_dir)
+    return turning.skew_by_reading(found, readings, ["img"]).select("img", "angle", F.bround("spread", 6).alias("spread"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -414,7 +473,7 @@ QUERIES = {
         polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
         check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
-        color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders,
+        color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders, sharpest_lines, turned_embeddings, thumbnail_parts, palette_parts, read_angles_lines, skew_by_reading_lines,
     )
 }
 

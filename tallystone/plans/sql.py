@@ -117,6 +117,30 @@ _SIDES, _CORNERS = "abs(q.x - w.x) + abs(q.y - w.y) = 1", "abs(q.x - w.x) <= 1 A
 #: Line items as lines of text.
 _ORDER_LINES = """ol AS (SELECT l_orderkey, (l_suppkey % 4)::DOUBLE AS xs, l_suppkey % 4 + l_quantity::DOUBLE AS xe FROM lineitem)"""
 
+
+def median_cut(rounds: int) -> str:
+    """CTEs b0 to b`rounds`: the box of each colour (file, r, g, b, n, box) of table hist after so many splits."""
+    steps = ["b0 AS (SELECT *, 0 AS box FROM hist)"]
+    for i in range(1, rounds + 1):
+        b = f"b{i - 1}"
+        steps.append(f"""s{i} AS (SELECT file, box, sum(n)::BIGINT AS al, max(r) - min(r) AS dr, max(g) - min(g) AS dg, max(b) - min(b) AS db FROM {b} GROUP BY file, box),
+        c{i} AS (SELECT file, box, al, CASE WHEN dr >= greatest(dg, db) THEN 0 WHEN dg >= db THEN 1 ELSE 2 END AS axis FROM s{i} WHERE greatest(dr, dg, db) > 0 QUALIFY row_number() OVER (PARTITION BY file ORDER BY al DESC, box) = 1),
+        v{i} AS (SELECT x.*, CASE axis WHEN 0 THEN r WHEN 1 THEN g ELSE b END AS v, c.al, c.box IS NOT DISTINCT FROM x.box AS mine FROM {b} x LEFT JOIN c{i} c ON c.file = x.file),
+        u{i} AS (SELECT file, v, al, sum(sum(n)) OVER o AS upto, lead(v) OVER o AS more FROM v{i} WHERE mine GROUP BY file, v, al WINDOW o AS (PARTITION BY file ORDER BY v)),
+        a{i} AS (SELECT file, coalesce(min(v) FILTER (WHERE 2 * upto >= al), max(v)) AS cut FROM u{i} WHERE more IS NOT NULL GROUP BY file),
+        b{i} AS MATERIALIZED (SELECT file, r, g, b, n, CASE WHEN mine AND v > cut THEN {i} ELSE box END AS box FROM v{i} LEFT JOIN a{i} USING (file))""")
+    return ", ".join(steps)
+
+
+def turn(angle: str) -> str:
+    """Cosine and sine of an angle in 65 536ths, and the size of the plate of a picture of w by h."""
+    return f"round_even(cos(radians({angle})) * 65536, 0)::BIGINT AS c, round_even(sin(radians({angle})) * 65536, 0)::BIGINT AS s"
+
+
+#: Line items as measured text boxes, and what was read in them at each of three turns.
+_BOXES = """f AS (SELECT l_orderkey AS img, l_linenumber AS box, l_quantity::DOUBLE * 4 AS w, (l_partkey % 21 - 10) * 0.5::DOUBLE AS angle, l_suppkey FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+        rd AS (SELECT f.*, t.i, t.turn, (l_suppkey * (i + 3) % 11)::DOUBLE * (i + 4) AS score FROM f CROSS JOIN (VALUES (0, 0), (1, 90), (2, -90)) t(i, turn))"""
+
 ORACLE_SQL = {
     "judge_doc_length_by_lang": judged("(SELECT coalesce(lang, 'none') AS corpus, n_chars::DOUBLE AS value FROM documents)", "corpus"),
     "coverage_by_corpus": """
@@ -337,4 +361,50 @@ ORACLE_SQL = {
               FROM (SELECT k, i, xh, block, sizes, parted OR (abs(m - xh) > 2 AND abs(m - xh) > 0.25::DOUBLE * least(m, xh) AND coalesce(abs(m - next) > 2 AND abs(m - next) > 0.25::DOUBLE * least(m, next), false)) AS new
                     FROM (SELECT p.*, s.block, s.sizes, list_median(s.sizes) AS m FROM s JOIN p ON p.k = s.k AND p.i = s.i + 1)))
         SELECT s.k AS l_orderkey, block, count(*) AS n, min(xs) AS x1, min(base - 12) AS y1, max(xe) AS x2, max(base) AS y2, 12.0::DOUBLE AS height, round_even(median(xh), 1) AS xh FROM s JOIN t ON t.k = s.k AND t.i = s.i GROUP BY s.k, block""",
+    "sharpest_lines": f"""
+        WITH i AS (SELECT DISTINCT l_suppkey AS img, l_linenumber * 10 + floor(l_partkey % 160 * (l_suppkey % 9 - 4) / 40::DOUBLE)::BIGINT + 20 AS y, l_partkey % 160 AS x FROM lineitem),
+        k AS (SELECT k, k * 0.5::DOUBLE - 15 AS angle, {turn("k * 0.5::DOUBLE - 15")} FROM (SELECT unnest(range(0, 61)) AS k)),
+        p AS (SELECT *, ceil((abs(s) * 160 + abs(c) * 120) / 65536::DOUBLE)::BIGINT AS h FROM i CROSS JOIN k),
+        r AS (SELECT img, k, angle, h, count(*) AS n FROM p GROUP BY img, k, angle, h, floor((c * (2 * y + 1 - 120) - s * (2 * x + 1 - 160) + h * 65536) / 131072::DOUBLE)),
+        t AS (SELECT img, k, angle, (sum(n * n) * h)::BIGINT AS score, sum(n)::BIGINT AS n FROM r GROUP BY img, k, angle, h)
+        SELECT img, angle, round_even(sqrt(greatest(score::DOUBLE / n / n - 1, 0)), 6) AS sharpness FROM t QUALIFY row_number() OVER (PARTITION BY img ORDER BY score DESC, k) = 1""",
+    "turned_embeddings": f"""
+        WITH px AS (SELECT vec_id, i * 4 // n AS y, i % (n // 4) AS x, ((floor(v * 1000)::BIGINT % 256) + 256) % 256 AS gray FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i, len(embedding) AS n FROM embeddings)),
+        z AS (SELECT vec_id, len(embedding) // 4 AS w, 4 AS h, {turn("vec_id % 10 * 15 - 45")} FROM embeddings),
+        g AS (SELECT *, ceil((abs(c) * w + abs(s) * h) / 65536::DOUBLE)::BIGINT AS nw, ceil((abs(s) * w + abs(c) * h) / 65536::DOUBLE)::BIGINT AS nh FROM z),
+        t AS (SELECT *, unnest(range(0, nh)) AS ty FROM g), t2 AS (SELECT *, unnest(range(0, nw)) AS tx FROM t),
+        q AS (SELECT *, c * (2 * tx + 1 - nw) - s * (2 * ty + 1 - nh) + w * 65536 AS u, s * (2 * tx + 1 - nw) + c * (2 * ty + 1 - nh) + h * 65536 AS v FROM t2),
+        e AS (SELECT *, u >= 0 AND u < w * 131072 AND v >= 0 AND v < h * 131072 AS inside, floor((u - 65536) / 131072::DOUBLE)::BIGINT AS x0, floor((v - 65536) / 131072::DOUBLE)::BIGINT AS y0 FROM q),
+        d AS (SELECT *, u - 65536 - x0 * 131072 AS fx, v - 65536 - y0 * 131072 AS fy FROM e),
+        o AS (SELECT d.vec_id, ty, tx, greatest(0, least(w - 1, x0 + a)) AS x, greatest(0, least(h - 1, y0 + b)) AS y, (CASE a WHEN 0 THEN 131072 - fx ELSE fx END) * (CASE b WHEN 0 THEN 131072 - fy ELSE fy END) AS m
+              FROM d CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) n(a, b) WHERE inside),
+        dr AS (SELECT o.vec_id, ty AS y, tx AS x, sum(m * gray)::DOUBLE / 17179869184 AS gray FROM o JOIN px ON px.vec_id = o.vec_id AND px.x = o.x AND px.y = o.y GROUP BY o.vec_id, ty, tx),
+        fl AS (SELECT vec_id, floor(median(gray)) AS gray FROM px GROUP BY vec_id)
+        SELECT vec_id, y, x, round_even(gray, 4) AS gray FROM dr UNION ALL SELECT vec_id, ty, tx, gray FROM d JOIN fl USING (vec_id) WHERE NOT inside""",
+    "thumbnail_parts": """
+        WITH a AS (SELECT p_brand AS file, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS p, count(*) OVER (PARTITION BY p_brand) // 16 AS h, p_partkey % 256 AS r, p_size * 5 AS g, p_partkey % 7 AS b FROM part),
+        px AS (SELECT *, p // 16 AS y, p % 16 AS x, CASE WHEN greatest(16, h) <= 10 THEN 16 ELSE greatest(1, (2 * 160 + greatest(16, h)) // (2 * greatest(16, h))) END AS nw,
+                      CASE WHEN greatest(16, h) <= 10 THEN h ELSE greatest(1, (2 * h * 10 + greatest(16, h)) // (2 * greatest(16, h))) END AS nh FROM a WHERE p // 16 < h),
+        cy AS (SELECT *, unnest(range(0, nh)) AS j FROM px), cx AS (SELECT *, unnest(range(0, nw)) AS i FROM cy),
+        m AS (SELECT *, greatest(0, least((y + 1) * nh, (j + 1) * h) - greatest(y * nh, j * h)) * greatest(0, least((x + 1) * nw, (i + 1) * 16) - greatest(x * nw, i * 16)) AS m FROM cx),
+        t AS (SELECT file, j, i, max(h) * 16 AS area, sum(m * r)::BIGINT AS r, sum(m * g)::BIGINT AS g, sum(m * b)::BIGINT AS b FROM m WHERE m > 0 GROUP BY file, j, i)
+        SELECT file, j AS y, i AS x, ((2 * r + area) // (2 * area))::INT AS r, ((2 * g + area) // (2 * area))::INT AS g, ((2 * b + area) // (2 * area))::INT AS b FROM t""",
+    "palette_parts": f"""
+        WITH RECURSIVE hist AS (SELECT p_brand AS file, p_partkey % 256 AS r, p_size * 5 AS g, p_partkey % 7 AS b, count(*) AS n FROM part GROUP BY ALL), {median_cut(7)},
+        p AS (SELECT file, box, (2 * sum(r * n) + sum(n))::BIGINT // (2 * sum(n))::BIGINT AS r, (2 * sum(g * n) + sum(n))::BIGINT // (2 * sum(n))::BIGINT AS g, (2 * sum(b * n) + sum(n))::BIGINT // (2 * sum(n))::BIGINT AS b, sum(n)::BIGINT AS n FROM b7 GROUP BY file, box),
+        q AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY file ORDER BY n DESC, box) AS place FROM p),
+        l AS (SELECT file, 1::BIGINT AS place, [{{'p': place, 'r': r, 'g': g, 'b': b}}] AS held FROM q WHERE place = 1
+              UNION ALL SELECT q.file, q.place, CASE WHEN len([h FOR h IN held IF (h.r - q.r) ** 2 + (h.g - q.g) ** 2 + (h.b - q.b) ** 2 < 6400]) > 0 THEN held ELSE list_append(held, {{'p': q.place, 'r': q.r, 'g': q.g, 'b': q.b}}) END
+              FROM l JOIN q ON q.file = l.file AND q.place = l.place + 1)
+        SELECT q.file, q.place::INT AS place, q.r::INT AS r, q.g::INT AS g, q.b::INT AS b, q.n, ([h FOR h IN held IF (h.r - q.r) ** 2 + (h.g - q.g) ** 2 + (h.b - q.b) ** 2 < 6400])[1].p::INT AS leader FROM q JOIN l ON l.file = q.file AND l.place = q.place""",
+    "read_angles_lines": f"""
+        WITH {_BOXES}, w AS (SELECT img, angle + turn AS angle FROM rd QUALIFY row_number() OVER (PARTITION BY img, box ORDER BY score DESC, i) = 1),
+        m AS (SELECT *, median(angle) OVER (PARTITION BY img) AS mid FROM w)
+        SELECT img, median(CASE WHEN angle - mid > 90 THEN angle - 180 WHEN mid - angle > 90 THEN angle + 180 ELSE angle END) AS angle, count(*) AS n FROM m GROUP BY img""",
+    "skew_by_reading_lines": f"""
+        WITH {_BOXES}, b AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY w DESC, box) AS place FROM f QUALIFY place <= 8),
+        m AS (SELECT *, median(angle) OVER (PARTITION BY img) AS mid FROM b),
+        t AS (SELECT img, median(a) AS angle, stddev_pop(a) AS spread FROM (SELECT img, CASE WHEN angle - mid > 45 THEN angle - 90 WHEN mid - angle > 45 THEN angle + 90 ELSE angle END AS a FROM m) GROUP BY img),
+        v AS (SELECT rd.img, rd.i, rd.turn, sum(score) AS score FROM rd JOIN b ON b.img = rd.img AND b.box = rd.box AND b.place <= 2 GROUP BY rd.img, rd.i, rd.turn HAVING sum(score) > 0 QUALIFY row_number() OVER (PARTITION BY rd.img ORDER BY sum(score) DESC, rd.i) = 1)
+        SELECT img, CASE WHEN abs(angle) >= 1 AND abs(angle + coalesce(turn, 0)) <= 10 AND spread <= 2 THEN angle + coalesce(turn, 0) ELSE 0 END AS angle, round_even(spread, 6) AS spread FROM t LEFT JOIN v USING (img)""",
 }
