@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tallystone.functions.stages import written
 
 
 def cells(lo: Column, hi: Column, width: float) -> Column:
@@ -53,21 +56,43 @@ def measurable(boxes: DataFrame, pad: int = 3) -> DataFrame:
 
 def without_shadows(boxes: DataFrame, by: str, share: float = 0.45, pad: int = 5) -> DataFrame:
     """Boxes (by, x1, y1, x2, y2, ...) that lie within no larger box of the same poster, padded, of
-    which they have at most ``share`` of height and width."""
-    b = boxes.select(F.col(by).alias("o_by"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")])
+    which they have at most ``share`` (not over 1) of height and width.
+
+    A hierarchical grid: each box is stored in the at most four cells it touches on the level whose cells are as
+    large as itself, and looked up by its corner on all levels from its own on, so pairs are in proportion to boxes, however many
+    a poster has. A job runs: the boxes are written, and the levels they are on, some forty at most, are listed."""
+    row = "row"
+    while row in boxes.columns:
+        row += "_"
+    boxes = written(boxes.withColumn(row, F.monotonically_increasing_id()))
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    level = F.ceil(F.log2(F.greatest(w, h, F.lit(0)) + 2 * pad + 1)).cast("int")
+    levels = sorted(r[0] for r in boxes.select(level).distinct().collect() if r[0] is not None)
+    cell = lambda v, on: F.floor(v / F.pow(F.lit(2.0), on))
+    stored = boxes.select(F.col(by).alias("o_by"), *[F.col(c).alias(f"o_{c}") for c in ("x1", "y1", "x2", "y2")], level.alias("o_level"))
+    for c in ("x", "y"):
+        stored = stored.withColumn(f"o_c{c}", F.explode(F.sequence(cell(F.col(f"o_{c}1") - pad, F.col("o_level")), cell(F.col(f"o_{c}2") + pad, F.col("o_level")))))
+    looked = boxes.withColumn("level", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v >= level)))
+    looked = looked.withColumns({"cx": cell(F.col("x1"), F.col("level")), "cy": cell(F.col("y1"), F.col("level"))})
     ow, oh = F.col("o_x2") - F.col("o_x1"), F.col("o_y2") - F.col("o_y1")
     inside = (F.col("x1") >= F.col("o_x1") - pad) & (F.col("y1") >= F.col("o_y1") - pad) & (F.col("x2") <= F.col("o_x2") + pad) & (F.col("y2") <= F.col("o_y2") + pad)
-    return boxes.join(b, (F.col(by) == F.col("o_by")) & (ow * oh > w * h) & (h <= share * oh) & (w <= share * ow) & inside, "left_anti")
-
-
-def dominated_removed(rows: DataFrame, by: str, values: list[str], share: float) -> DataFrame:
-    """Rows of a group of which no other row is so much larger in all ``values``."""
-    b = rows.select(F.col(by).alias("o_by"), *[F.col(c).alias(f"o_{c}") for c in values])
-    cond = F.col(by) == F.col("o_by")
-    for c in values:
-        cond = cond & (F.col(c) <= share * F.col(f"o_{c}"))
-    return rows.join(b, cond, "left_anti")
+    same = (F.col(by) == F.col("o_by")) & (F.col("level") == F.col("o_level")) & (F.col("cx") == F.col("o_cx")) & (F.col("cy") == F.col("o_cy"))
+    lost = looked.join(stored, same & (ow * oh > w * h) & (h <= share * oh) & (w <= share * ow) & inside, "left_semi").select(row).distinct()
+    return boxes.join(lost, row, "left_anti").drop(row)
+
+
+def dominated_removed(rows: DataFrame, by: str, values: tuple[str, str] | list[str], share: float) -> DataFrame:
+    """Rows of a group of which no row is so much larger in both ``values``: whose two values are not at most a share of
+    another one's. A sweep from the largest first value down keeps the largest second value met so far, so a group of n
+    rows is sorted once and no two of its rows are compared; the sort spills. Rows with a null stay."""
+    first, second = values
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    points = rows.select(F.col(by).alias("key"), (share * F.col(first)).cast("double").alias("at"), F.lit(0).alias("kind"), (share * F.col(second)).cast("double").alias("reach"), F.when(F.lit(False), row).alias("row"))
+    asked = rows.select(F.col(by).alias("key"), F.col(first).cast("double").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("reach"), row.alias("row"))
+    down = Window.partitionBy("key").orderBy(F.desc_nulls_last("at"), "kind").rowsBetween(Window.unboundedPreceding, 0)
+    met = points.unionByName(asked).withColumn("reach", F.max("reach").over(down)).where("kind = 1")
+    lost = F.col("key").isNotNull() & F.col("at").isNotNull() & (F.col(f"row.{second}").cast("double") <= F.col("reach"))
+    return met.where(~F.coalesce(lost, F.lit(False))).select("row.*")
 
 
 def classify(rows: DataFrame, bands: DataFrame, value: str, adopted: str) -> DataFrame:

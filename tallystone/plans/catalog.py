@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.functions import ordered
+from tallystone.functions.rounding import exact_round
 from tallystone.functions.stages import written
 from tallystone.operators import comparing, golden, ink, judging, layout, lines, metrics, palette, profiles, spatial, turning
 from tallystone.plans import sql
@@ -445,6 +446,12 @@ def palette_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.joined(shown, palette.merged(shown, ["file"], 80), ["file", "place"]).select("file", "place", "r", "g", "b", "n", "leader")
 
 
+def rounded_amounts_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discounts of line items to whole cents, by the exact value of each product."""
+    cents = F.rint(exact_round(F.col("l_extendedprice") * F.col("l_discount"), 2) * 100).cast("long")
+    return _t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum(cents).alias("cents"), F.count(F.lit(1)).alias("n"))
+
+
 def _line_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Line items as measured text boxes, and as what a reader saw in the turned boxes."""
     rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity", "l_returnflag")])
@@ -473,7 +480,7 @@ QUERIES = {
         polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
         check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
-        color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders, sharpest_lines, turned_embeddings, thumbnail_parts, palette_parts, read_angles_lines, skew_by_reading_lines,
+        color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders, sharpest_lines, turned_embeddings, thumbnail_parts, palette_parts, read_angles_lines, skew_by_reading_lines, rounded_amounts_lineitem,
     )
 }
 

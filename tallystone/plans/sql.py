@@ -407,4 +407,9 @@ ORACLE_SQL = {
         t AS (SELECT img, median(a) AS angle, stddev_pop(a) AS spread FROM (SELECT img, CASE WHEN angle - mid > 45 THEN angle - 90 WHEN mid - angle > 45 THEN angle + 90 ELSE angle END AS a FROM m) GROUP BY img),
         v AS (SELECT rd.img, rd.i, rd.turn, sum(score) AS score FROM rd JOIN b ON b.img = rd.img AND b.box = rd.box AND b.place <= 2 GROUP BY rd.img, rd.i, rd.turn HAVING sum(score) > 0 QUALIFY row_number() OVER (PARTITION BY rd.img ORDER BY sum(score) DESC, rd.i) = 1)
         SELECT img, CASE WHEN abs(angle) >= 1 AND abs(angle + coalesce(turn, 0)) <= 10 AND spread <= 2 THEN angle + coalesce(turn, 0) ELSE 0 END AS angle, round_even(spread, 6) AS spread FROM t LEFT JOIN v USING (img)""",
+    "rounded_amounts_lineitem": """
+        WITH x AS (SELECT l_returnflag, l_linestatus, l_extendedprice::DOUBLE * l_discount::DOUBLE AS x FROM lineitem),
+        h AS (SELECT *, 134217729::DOUBLE * x - (134217729::DOUBLE * x - x) AS top, x * 100::DOUBLE AS p FROM x),
+        d AS (SELECT *, p - floor(p) - 0.5::DOUBLE + ((top * 100::DOUBLE - p) + (x - top) * 100::DOUBLE) AS over FROM h)
+        SELECT l_returnflag, l_linestatus, sum(floor(p)::BIGINT + CASE WHEN over > 0 OR (over = 0 AND floor(p)::BIGINT % 2 = 1) THEN 1 ELSE 0 END)::BIGINT AS cents, count(*) AS n FROM d GROUP BY ALL""",
 }

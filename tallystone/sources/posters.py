@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,7 @@ from tallystone.functions import ordered
 from tallystone.operators.judging import last_wins, top
 from tallystone.schemas import POSTER, RULES
 
+MANIFEST = "number long, folder string"
 PATTERN = "*.{jpg,jpeg,png,JPG,PNG}"
 
 
@@ -122,6 +124,28 @@ def write_rules(rules: DataFrame, path: str) -> None:
     rules.write.mode("overwrite").partitionBy("corpus").parquet(path)
 
 
+def replace_rules(rules: DataFrame, path: str) -> None:
+    """Put rules of all corpora in the place of those in a folder, at once: they are written to a folder of their own, and only when
+    that is complete a row of the manifest beside it names it. Readers see the rules before or the new ones, never a part of
+    either; a write that is stopped leaves the old ones. Earlier versions stay until someone clears them. One writer at a time."""
+    spark, folder = rules.sparkSession, f"version-{uuid.uuid4().hex}"
+    number = max((r["number"] for r in _manifest(spark, path).collect()), default=0) + 1
+    rules.write.parquet(f"{path}/{folder}")
+    spark.createDataFrame([(number, folder)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(number, folder): a row for each complete version."""
+    at = f"{path}/manifest"
+    return spark.read.schema(MANIFEST).parquet(at) if _there(spark, at) else spark.createDataFrame([], MANIFEST)
+
+
+def current_rules(spark: SparkSession, path: str) -> DataFrame:
+    """The rules that replace_rules() put there last; none if it never did."""
+    last = _manifest(spark, path).orderBy(F.desc("number")).limit(1).collect()
+    return spark.read.schema(RULES).parquet(f"{path}/{last[0]['folder']}") if last else spark.createDataFrame([], RULES)
+
+
 def union_box(boxes: DataFrame, pad: int = 6) -> DataFrame:
     """(img, x1, y1, x2, y2) around all text boxes of an image (img, w, h, quad), padded and clamped."""
     xs, ys = F.transform("quad", lambda p: p["x"]), F.transform("quad", lambda p: p["y"])

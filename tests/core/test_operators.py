@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import duckdb
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from tallystone.functions import ordered
+from tallystone.functions.rounding import exact_round
 from tallystone.operators import comparing, golden, judging, layout, metrics, profiles, spatial
 from tallystone.plans import catalog
 from tallystone.schemas import CONSTRAINT, FREE, INSUFFICIENT, LAYOUT, METRICS, MIXED, NO_VALUE, PLACEMENT, POSTER
@@ -265,6 +267,59 @@ def test_spatial(spark):
     assert {r["row_id"] for r in spatial.without_shadows(frame(inner), "p").collect()} == {"big", "wide", "out", "other"}
 
 
+def test_shadows_equal_all_pairs(spark):
+    rng = random.Random(14)
+    boxes = [(rng.randrange(3), i, x, y, x + w, y + h) for i in range(500) for x, y, w, h in [(rng.randrange(-50, 600), rng.randrange(-50, 600), rng.choice((0, 3, 20, 150, 400)), rng.choice((0, 5, 30, 120, 333)))]]
+    boxes += [(None, 900, 0, 0, 1, 1), (1, 901, None, 0, 5, 5), (1, 902, 4, 4, 5, 5), (1, 902, 4, 4, 5, 5)]
+
+    def shadow(b, o):
+        w, h, ow, oh = b[4] - b[2], b[5] - b[3], o[4] - o[2], o[5] - o[3]
+        return ow * oh > w * h and h <= 0.45 * oh and w <= 0.45 * ow and b[2] >= o[2] - 5 and b[3] >= o[3] - 5 and b[4] <= o[4] + 5 and b[5] <= o[5] + 5
+
+    known = [b for b in boxes if None not in b]
+    want = sorted(b[1] for b in boxes if None in b or not any(o[0] == b[0] and shadow(b, o) for o in known))
+    frame = spark.createDataFrame(boxes, "p int, row int, x1 int, y1 int, x2 int, y2 int")
+    got = spatial.without_shadows(frame, "p")
+    assert sorted(r["row"] for r in got.collect()) == want and got.columns == frame.columns and len(want) < 480
+    assert spatial.without_shadows(frame.limit(0), "p").count() == 0
+
+
+def test_shadows_and_sweep_of_one_large_key(spark):
+    """Each pair would be 10 ^ 10 of them."""
+    n = 100_000
+    small = spark.range(n).select(F.lit(1).alias("p"), (F.col("id") % 400 * 10).cast("int").alias("x1"), F.floor(F.col("id") / 400).cast("int").alias("k"))
+    small = small.select("p", "x1", (F.col("k") * 10).alias("y1"), (F.col("x1") + 4).alias("x2"), (F.col("k") * 10 + 4).alias("y2"))
+    large = spark.createDataFrame([(1, 0, 0, 2000, 2500)], "p int, x1 int, y1 int, x2 int, y2 int")
+    left = spatial.without_shadows(small.unionByName(large), "p")
+    # the corners from 0 to 2000 are within it, and its padding takes no more of them
+    assert left.count() == n + 1 - 201 * 250
+    rows = spark.range(n).select(F.lit(1).alias("k"), F.col("id").cast("double").alias("a"), (n - F.col("id")).cast("double").alias("b"))
+    assert spatial.dominated_removed(rows, "k", ["a", "b"], 0.45).count() == n
+    alike = rows.withColumn("b", F.col("a"))
+    assert spatial.dominated_removed(alike, "k", ["a", "b"], 0.45).count() == sum(i > 0.45 * (n - 1) for i in range(n))
+
+
+def test_dominated_equals_all_pairs(spark):
+    rng = random.Random(15)
+    rows = [(rng.choice((1, 2, None)), i, rng.choice((None, 0.0, float(rng.randrange(100)))), float(rng.randrange(-5, 100))) for i in range(400)]
+    want = sorted(r[1] for r in rows if None in r or not any(None not in o and o[0] == r[0] and r[2] <= 0.45 * o[2] and r[3] <= 0.45 * o[3] for o in rows))
+    got = spatial.dominated_removed(spark.createDataFrame(rows, "k int, row int, a double, b double"), "k", ["a", "b"], 0.45)
+    assert sorted(r["row"] for r in got.collect()) == want and got.columns == ["k", "row", "a", "b"] and len(want) < 390
+
+
+def test_exact_rounding_is_that_of_the_binary_value(spark):
+    rng = random.Random(16)
+    values = [2.675, -2.675, 0.5, 1.5, 2.5, -0.5, 1e-9, 0.125, 1.005, 1e15, 1e300, float("inf"), None]
+    values += [rng.choice((rng.uniform(-1e3, 1e3), rng.randrange(-(10**7), 10**7) / 1000, round(rng.uniform(0, 99), 2) + 0.005, rng.uniform(0, 1e12))) for _ in range(100_000)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = frame.select("i", *[exact_round(F.col("v"), n).alias(f"r{n}") for n in (0, 1, 2, 4)]).toPandas().sort_values("i")
+    for n in (0, 1, 2, 4):
+        want = [None if v is None else v if math.isinf(v) else round(v, n) for v in values]
+        assert [None if w is None else g for g, w in zip(got[f"r{n}"], want, strict=True)] == want
+    nan = spark.range(1).select(exact_round(F.lit(float("nan")), 2)).first()[0]
+    assert math.isnan(nan)
+
+
 def test_golden(spark):
     rows = spark.createDataFrame([(1, '{"a": 1, "b": {"c": "x", "d": null}}'), (2, None), (3, "{}")], "id int, json string")
     assert sorted((r["path"], r["value"]) for r in golden.flatten(rows, "id", "json").collect()) == [("a", "1"), ("b.c", "x"), ("b.d", None)]

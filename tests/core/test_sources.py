@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallystone.functions import ordered  # noqa: F401
@@ -59,6 +60,26 @@ def test_rules_are_read_back(spark, tmp_path):
     assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, rules.select(*columns).collect()))
 
 
+def test_rules_are_replaced_at_once(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    assert sources.current_rules(spark, path).count() == 0
+    rules = judging.derive(metrics.observe(posters(spark)))
+    shown = lambda frame: sorted(map(str, frame.select(*sorted(rules.columns)).collect()))
+    first, second = rules.where("metric < 'g'"), rules.where("metric >= 'g'")
+    sources.replace_rules(first, path)
+    before = shown(first)
+    assert shown(sources.current_rules(spark, path)) == before and before
+    broken = second.withColumn("metric", F.when(F.length("metric") > 0, F.raise_error(F.lit("stopped"))).otherwise(F.col("metric")))
+    with pytest.raises(Exception, match="stopped"):
+        sources.replace_rules(broken, path)
+    assert shown(sources.current_rules(spark, path)) == before
+    reader = sources.current_rules(spark, path)
+    sources.replace_rules(second, path)
+    assert shown(reader) == before and shown(sources.current_rules(spark, path)) == shown(second) != before
+    sources.replace_rules(rules.limit(0), path)
+    assert sources.current_rules(spark, path).count() == 0
+
+
 def test_boxes(spark):
     quad = lambda x, y, w, dy: [(float(a), float(b)) for a, b in ((x, y), (x + w, y + dy), (x + w, y + dy + 9), (x, y + 9))]
     rows = [("a", 500, 500, quad(0, 10, 100, 5)), ("a", 500, 500, quad(20, 50, 200, 10)), ("a", 500, 500, quad(20, 50, 10, 10)), ("b", 90, 90, quad(3, 3, 85, 0))]
