@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.functions.stages import written
 from tallystone.operators.judging import position
 from tallystone.operators.metrics import middle
 from tallystone.schemas import CONSTRAINT
@@ -67,13 +68,15 @@ def rule_sets(rules: DataFrame) -> DataFrame:
 
 
 def _held_against(layouts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Layouts with their corpus's rule set and the layer asked for; without a column ``corpus`` the rules must be of one."""
+    """Layouts with their corpus's rule set and the layer asked for; without a column ``corpus`` the rules must be of one. The
+    sets, a row for each corpus, are written once: whatever the rules come from is not run again, and their size is known."""
+    sets = written(rule_sets(rules))
     if "corpus" not in layouts.columns:
-        names = [r[0] for r in rules.select("corpus").distinct().limit(2).collect()]
+        names = [r[0] for r in sets.select("corpus").limit(2).collect()]
         if len(names) > 1:
             raise ValueError("rules of several corpora: layouts need a column corpus")
         layouts = layouts.withColumn("corpus", F.lit(names[0] if names else None).cast("string"))
-    both = layouts.join(rule_sets(rules), "corpus", "left")
+    both = layouts.join(sets, "corpus", "left")
     asked = F.col("layer")
     chosen = F.when(asked.isNotNull() & (asked >= 1), F.get(F.col("bands"), asked - 1))
     error = F.when(F.col("others").isNull(), "no_rules").when(asked.isNotNull() & chosen.isNull(), "no_such_layer").when(F.coalesce(F.size("blocks"), F.lit(0)) <= 0, "no_blocks")
