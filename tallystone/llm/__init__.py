@@ -1 +1 @@
-"""Training-data operators: ten Spark jobs over text corpora. Nothing outside this subpackage imports it."""
+"""Training-data operators: thirteen Spark jobs over text corpora. Nothing outside this subpackage imports it."""
