@@ -119,6 +119,10 @@ def bootstrap_median_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparing.median_intervals(_t(spark, sf_dir, "events").select("event_type", "value"), ["event_type"])
 
 
+def resampled_median_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparing.resampled_intervals(_t(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], replicates=1000, seed=7)
+
+
 def compare_corpora(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparing.compare(_line_observations(spark, sf_dir), ("l_quantity",))
 
@@ -476,7 +480,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         judge_doc_length_by_lang, coverage_by_corpus, gap_layers_events, gap_layers_prices, derive_rules_lineitem, representative_layer, align_clusters, cap_range_orders, margins_like_ratio, leading_gaps,
-        position_vs_band, range_join_layers, shadow_antijoin, overlap_antijoin, corpus_pairs_separated, bootstrap_median_ci, compare_corpora, metric_catalog_left_join, golden_diff, top_labels, place_grid,
+        position_vs_band, range_join_layers, shadow_antijoin, overlap_antijoin, corpus_pairs_separated, bootstrap_median_ci, resampled_median_events, compare_corpora, metric_catalog_left_join, golden_diff, top_labels, place_grid,
         polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
         check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,

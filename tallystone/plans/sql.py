@@ -56,6 +56,24 @@ def intervals(rows: str, keys: str) -> str:
         FROM (SELECT {keys}, count(*) AS n, median(value)::DOUBLE AS median, list_sort(list(value::DOUBLE)) AS l FROM {rows} WHERE value IS NOT NULL GROUP BY {keys})"""
 
 
+def resampled(rows: str, key: str, replicates: int, seed: int) -> str:
+    """A query (key, n, median, ci_lo, ci_hi) by weights from the bits of hashes."""
+    ones = " + ".join(f"bit_count(('0x' || substr(x, {8 * w + 1}, 8))::BIGINT >> (32 - greatest(least(n - {32 * w}, 32), 0))::BIGINT)::BIGINT" for w in range(8))
+    at = lambda q: f"l[floor({q}::DOUBLE * (len(l) - 1))::INT + 1] + (l[ceil({q}::DOUBLE * (len(l) - 1))::INT + 1] - l[floor({q}::DOUBLE * (len(l) - 1))::INT + 1]) * ({q}::DOUBLE * (len(l) - 1) - floor({q}::DOUBLE * (len(l) - 1)))"
+    return f"""WITH v AS (SELECT {key}, value::DOUBLE AS value, count(*)::BIGINT AS n FROM {rows} WHERE value IS NOT NULL GROUP BY ALL),
+        b AS (SELECT *, (sum(n) OVER (PARTITION BY {key} ORDER BY value) - n)::BIGINT AS before, (sum(n) OVER (PARTITION BY {key}))::BIGINT AS total FROM v),
+        s AS (SELECT {key}, value, n, CASE WHEN before + n - 1 < (total - 1) / 2 - 4 * sqrt(total) THEN -1 WHEN before > (total - 1) / 2 + 4 * sqrt(total) THEN total ELSE before END AS place FROM b WHERE total >= 3),
+        t AS (SELECT {key}, place, sum(n)::BIGINT AS n, CASE WHEN place < 0 THEN max(value) ELSE min(value) END AS value FROM s GROUP BY {key}, place),
+        h AS (SELECT *, sha256('{seed}:' || replicate || ':' || place || ':' || coalesce({key}::VARCHAR, '')) AS x FROM t CROSS JOIN (SELECT unnest(range(0, {replicates})) AS replicate)),
+        o AS (SELECT {key}, replicate, place, n, value, {ones} AS ones FROM h),
+        w AS (SELECT {key}, replicate, place, value, CASE WHEN n <= 256 THEN 16 * ones ELSE 8 * n + floor(sqrt(n) * (ones - 128))::BIGINT END AS weight FROM o),
+        c AS (SELECT *, sum(weight) OVER (PARTITION BY {key}, replicate ORDER BY place) AS up_to, sum(weight) OVER (PARTITION BY {key}, replicate) AS whole FROM w),
+        m AS (SELECT {key}, replicate, (min(value) FILTER (WHERE 2 * up_to >= whole) + min(value) FILTER (WHERE 2 * up_to > whole)) / 2 AS m FROM c GROUP BY {key}, replicate),
+        l AS (SELECT {key}, list_sort(list(m)) AS l FROM m WHERE m IS NOT NULL GROUP BY {key}),
+        g AS (SELECT {key}, count(*) AS n, round_even(median(value)::DOUBLE, 4) AS median FROM {rows} WHERE value IS NOT NULL GROUP BY {key})
+        SELECT g.*, round_even({at("0.025")}, 4) AS ci_lo, round_even({at("0.975")}, 4) AS ci_hi FROM g LEFT JOIN l ON g.{key} IS NOT DISTINCT FROM l.{key}"""
+
+
 HOURLY = """h0 AS (SELECT event_type, floor(epoch(ts) / 3600)::BIGINT AS "at", count(*) AS value FROM events GROUP BY ALL),
         h1 AS (SELECT event_type, unnest(range(min("at"), max("at") + 1)) AS "at" FROM h0 GROUP BY event_type),
         h AS (SELECT h1.event_type, h1."at", coalesce(value, 0)::DOUBLE AS value FROM h1 LEFT JOIN h0 USING (event_type, "at"))"""
@@ -222,6 +240,7 @@ ORACLE_SQL = {
     "derive_orders_as_posters": f"WITH {OBSERVED} SELECT * FROM ({derived('ob', 'SELECT corpus, count(*) AS n_entities_all FROM po GROUP BY corpus')})",
     "layers_lineitem": f"WITH {derived_tables(LINES, 'SELECT l_returnflag AS corpus, count(DISTINCT l_orderkey) AS n_entities_all FROM lineitem GROUP BY 1')} SELECT * FROM bands WHERE metric = 'l_extendedprice'",
     "bootstrap_median_ci": f"SELECT * REPLACE (round_even(median, 4) AS median) FROM ({intervals('events', 'event_type')})",
+    "resampled_median_events": resampled("events", "event_type", 1000, 7),
     "compare_corpora": f"""
         WITH q AS (SELECT * FROM {LINES} WHERE metric = 'l_quantity'), {layered("q", "corpus, metric")},
         r AS (SELECT corpus, metric, min(value) AS a, max(value) AS b FROM lay GROUP BY corpus, metric, layer QUALIFY row_number() OVER (PARTITION BY corpus, metric ORDER BY sum(n) DESC, layer) = 1),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -237,6 +239,56 @@ def test_compare(spark):
     assert len({m for m, *_ in METRICS}) == 17
 
 
+def plain_resampled(values, key, replicates, seed):
+    """Medians of replicates, each value of which is repeated as the bits of its hash say."""
+    counts = sorted(Counter(values).items())
+    total, before, table = len(values), 0, {}
+    for value, n in counts:
+        middle, reach = (total - 1) / 2, 4 * total**0.5
+        place = -1 if before + n - 1 < middle - reach else total if before > middle + reach else before
+        had = table.get(place, (0, value))
+        table[place] = (had[0] + n, value if place < 0 else had[1])
+        before += n
+    medians = []
+    for r in range(replicates):
+        weights = []
+        for place, (n, value) in sorted(table.items()):
+            bits = bin(int(hashlib.sha256(f"{seed}:{r}:{place}:{key}".encode()).hexdigest(), 16) | 1 << 256)[3:]
+            weights.append((value, 16 * bits[:n].count("1") if n <= 256 else 8 * n + math.floor(n**0.5 * (bits.count("1") - 128))))
+        drawn = [v for v, w in weights for _ in range(w)]
+        if drawn:
+            medians.append(float(np.median(drawn)))
+    return np.quantile(medians, [0.025, 0.975])
+
+
+def test_resampled_medians(spark, either_way):
+    rng = random.Random(8)
+    groups = {"even": [float(rng.randint(0, 40)) for _ in range(60)], "wide": [rng.random() for _ in range(401)], "heavy": [1.0] * 300 + [2.0] * 310 + [5.0] * 9, "three": [1.0, 2.0, 9.0], "two": [1.0, 4.0], "same": [3.0] * 50, None: [float(i) for i in range(30)]}
+    frame = spark.createDataFrame([(k, v) for k, s in groups.items() for v in s] + [("even", None), ("gone", None)], "k string, value double")
+    got = {r["k"]: r for r in comparing.resampled_intervals(frame, ["k"], 60, 3).collect()}
+    assert set(got) == set(groups)
+    for k, s in groups.items():
+        assert (got[k]["n"], got[k]["median"]) == (len(s), pytest.approx(np.median(s), abs=1e-4))
+        if len(s) < 3:
+            assert got[k]["ci_lo"] is None
+        else:
+            assert (got[k]["ci_lo"], got[k]["ci_hi"]) == pytest.approx(plain_resampled(s, k or "", 60, 3), abs=1e-4)
+    assert comparing.resampled_intervals(frame.where("false"), ["k"], 10).count() == 0
+
+
+def test_resampling_agrees_with_the_closed_form(spark):
+    rng = np.random.default_rng(1)
+    frame = spark.createDataFrame([(k, float(v)) for k in range(3) for v in rng.normal(0, 1, 3000)], "k int, value double")
+    drawn, closed = ({r["k"]: r for r in f.collect()} for f in (comparing.resampled_intervals(frame, ["k"], 2000, 1), comparing.median_intervals(frame, ["k"])))
+    for k, r in closed.items():
+        assert (drawn[k]["ci_lo"], drawn[k]["ci_hi"]) == pytest.approx((r["ci_lo"], r["ci_hi"]), abs=0.015)
+    again = {r["k"]: r for r in comparing.resampled_intervals(frame.repartition(7), ["k"], 2000, 1).collect()}
+    assert again == drawn
+    both = [f.select("metric", "n_pairs").collect() for f in (comparing.compare(o) for o in [frame.select(F.col("k").cast("string").alias("corpus"), F.lit("m").alias("metric"), "value")])]
+    apart = comparing.compare(frame.select(F.col("k").cast("string").alias("corpus"), F.lit("m").alias("metric"), (F.col("value") + F.col("k")).alias("value")), replicates=200).first()
+    assert both == [[("m", 3)]] and (apart["n_separated"], apart["separated"]) == (3, "0/1,0/2,1/2")
+
+
 def test_profiles(spark):
     wave = [(1, i, float(10 + 5 * (i % 7 == 0) - (i % 7 == 3))) for i in range(140)]
     profile = spark.createDataFrame(wave, "k int, at long, value double")
