@@ -9,6 +9,8 @@ while a result is built.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from tallystone.operators import ink, lines, profiles, spatial
 from tallystone.operators.layout import gaps
 from tallystone.operators.metrics import middle
 
+#: The steps of a picture and why it may not get through each.
+STEPS = (("trim", "nothing within the border"), ("ink", "no ink"), ("columns", "no column"), ("lines", "no line"), ("blocks", "no block"))
 #: Least strip between columns and its share of the letters' height; rows before and behind a block's lines
 #: that its step is looked for in; greatest step; rows below a baseline that a descender is looked for in.
 COLUMN_GAP, COLUMN_SHARE, ABOVE, BELOW, LEAD_MOST, DEPTH = 6, 0.5, 20, 8, 60, 6
@@ -145,6 +149,12 @@ def _moved(block_lines: Column, left: Column, top: Column) -> Column:
 def blocks_of(pixels: DataFrame, by: list[str], step: float = 48.0, least: int = 48) -> tuple[DataFrame, DataFrame]:
     """(blocks, counts) of pictures: each block with its box and lines in the picture's pixels and without what lies in
     the shadow of a larger one; counts: (by, n_columns), the most of any band."""
+    blocks, counts, _ = _followed(pixels, by, step, least)
+    return blocks, counts
+
+
+def _followed(pixels: DataFrame, by: list[str], step: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """blocks_of() and (by, reached): how many of STEPS each picture got through."""
     plate = written(banded(trim(pixels, by), by, step, least))
     band = [*by, "band"]
     places = plate.groupBy(*band).agg(F.min("left").alias("left"), F.min("top").alias("over"), (F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
@@ -155,13 +165,33 @@ def blocks_of(pixels: DataFrame, by: list[str], step: float = 48.0, least: int =
     found = written(panels(inked, sizes, band))
     panel = [*band, "stratum", "column"]
     plates = joined(found.select(*panel).distinct(), sizes, band)
-    blocks = text_blocks(text_lines(found, plates, panel), _row_profile(found, plates, panel, "y", "height"), panel)
+    seen = written(text_lines(found, plates, panel))
+    blocks = text_blocks(seen, _row_profile(found, plates, panel, "y", "height"), panel)
     placed = joined(blocks, places.select(*band, "left", "over"), band)
     placed = placed.withColumn("lines", _moved(F.col("lines"), F.col("left"), F.col("over")))
     placed = placed.withColumns({**{c: F.col(c) + F.col("left") for c in ("x1", "x2")}, **{c: F.col(c) + F.col("over") for c in ("y1", "y2")}}).drop("left", "over", "block", "stratum", "column")
     key = F.struct(*by)
-    lit = spatial.without_shadows(written(placed).withColumn("picture", key), "picture")
-    return lit.drop("picture", "band"), counts
+    placed = written(placed)
+    through = [t.select(*by).distinct().withColumn("reached", F.lit(i + 1)) for i, t in enumerate((places, inked, found, seen, placed))]
+    reached = reduce(DataFrame.unionByName, through).groupBy(*by).agg(F.max("reached").alias("reached"))
+    lit = spatial.without_shadows(placed.withColumn("picture", key), "picture")
+    return lit.drop("picture", "band"), counts, reached
+
+
+def assemble(pixels: DataFrame, failures: DataFrame, step: float = 48.0, least: int = 48) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of pictures (file, y, x, gray): poster records, and a row (file, step, reason) for each picture that gives
+    none, after those in ``failures`` (as sources.usable() tells them). A picture fails at the step that left nothing of it, or
+    at once if a pixel has no place or value; pictures never stop each other. Every picture is in one of the two."""
+    bare = F.col("y").isNull() | F.col("x").isNull() | F.col("gray").isNull()
+    seen = written(pixels.groupBy("file").agg(F.max(bare).alias("bare")))
+    kept = joined(pixels, seen.where("not bare").select("file"), ["file"])
+    blocks, counts, reached = _followed(kept, ["file"], step, least)
+    names, why = (F.array(*[F.lit(s[i]) for s in STEPS]) for i in (0, 1))
+    told = joined(seen, reached, ["file"], "left").withColumn("at", F.coalesce("reached", F.lit(0)))
+    lost = told.where(F.col("bare") | (F.col("at") < len(STEPS)))
+    lost = lost.select("file", F.when(F.col("bare"), "pixels").otherwise(F.get(names, "at")).alias("step"), F.when(F.col("bare"), "pixels without a place or value").otherwise(F.get(why, "at")).alias("reason"))
+    found = joined(records(blocks, counts, "file"), told.where(F.col("at") == len(STEPS)).select("file"), ["file"])
+    return found, failures.select("file", "step", "reason").unionByName(lost)
 
 
 def seeded(pixels: DataFrame, boxes: DataFrame, blocks: DataFrame, by: list[str]) -> DataFrame:

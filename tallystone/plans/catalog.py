@@ -177,6 +177,13 @@ def step_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.steps(_hourly(spark, sf_dir), ["event_type"], 12).where("step > 0")
 
 
+def picture_failures_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as gray pictures of one row, whose bytes are fewer or more than their size says unless all are ASCII."""
+    docs = _t(spark, sf_dir, "documents")
+    images = docs.select(F.col("doc_id").cast("string").alias("file"), F.lit(1).alias("height"), F.col("n_chars").alias("width"), F.lit(1).alias("n_channels"), F.encode("text", "UTF-8").alias("data"))
+    return sources.usable(images)[1]
+
+
 def flatten_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.flatten(_t(spark, sf_dir, "events"), "event_id", "props")
 
@@ -484,7 +491,7 @@ QUERIES = {
         polarity_threshold, ink_profile_runs, autocorr_peak, step_bands, flatten_json_props, line_metrics_explode, upsert_last_wins, observe_orders_as_posters, derive_orders_as_posters, box_shadows, seeded_boxes, check_layout_totals,
         check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
-        color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders, sharpest_lines, turned_embeddings, thumbnail_parts, palette_parts, read_angles_lines, skew_by_reading_lines, rounded_amounts_lineitem,
+        color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders, sharpest_lines, turned_embeddings, thumbnail_parts, palette_parts, read_angles_lines, skew_by_reading_lines, rounded_amounts_lineitem, picture_failures_documents,
     )
 }
 

@@ -426,6 +426,11 @@ ORACLE_SQL = {
         t AS (SELECT img, median(a) AS angle, stddev_pop(a) AS spread FROM (SELECT img, CASE WHEN angle - mid > 45 THEN angle - 90 WHEN mid - angle > 45 THEN angle + 90 ELSE angle END AS a FROM m) GROUP BY img),
         v AS (SELECT rd.img, rd.i, rd.turn, sum(score) AS score FROM rd JOIN b ON b.img = rd.img AND b.box = rd.box AND b.place <= 2 GROUP BY rd.img, rd.i, rd.turn HAVING sum(score) > 0 QUALIFY row_number() OVER (PARTITION BY rd.img ORDER BY sum(score) DESC, rd.i) = 1)
         SELECT img, CASE WHEN abs(angle) >= 1 AND abs(angle + coalesce(turn, 0)) <= 10 AND spread <= 2 THEN angle + coalesce(turn, 0) ELSE 0 END AS angle, round_even(spread, 6) AS spread FROM t LEFT JOIN v USING (img)""",
+    "picture_failures_documents": """
+        WITH i AS (SELECT doc_id, n_chars, octet_length(encode(text)) AS held, CASE WHEN doc_id IS NOT NULL THEN count(*) OVER (PARTITION BY doc_id) END AS named FROM documents),
+        r AS (SELECT doc_id::VARCHAR AS file, 'read' AS step, CASE WHEN doc_id IS NULL THEN 'no name' WHEN coalesce(n_chars, 0) <= 0 THEN 'no size' WHEN held IS NULL THEN 'no data'
+            WHEN held <> n_chars THEN held || ' bytes where ' || n_chars || ' are needed' WHEN named > 1 THEN 'several pictures have this name' END AS reason FROM i)
+        SELECT * FROM r WHERE reason IS NOT NULL""",
     "rounded_amounts_lineitem": """
         WITH x AS (SELECT l_returnflag, l_linestatus, l_extendedprice::DOUBLE * l_discount::DOUBLE AS x FROM lineitem),
         h AS (SELECT *, 134217729::DOUBLE * x - (134217729::DOUBLE * x - x) AS top, x * 100::DOUBLE AS p FROM x),

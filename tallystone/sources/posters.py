@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallystone.functions import ordered
+from tallystone.functions.stages import written
 from tallystone.operators.judging import last_wins, top
 from tallystone.schemas import POSTER, RULES
 
 MANIFEST = "number long, folder string"
+#: The column that takes lines which are no records.
+BROKEN = "_broken"
 PATTERN = "*.{jpg,jpeg,png,JPG,PNG}"
 
 
@@ -37,6 +40,23 @@ def images(spark: SparkSession, folder: str, limit: int | None = None) -> tuple[
     return named.where(good), named.where(~good).select("file", F.lit("not a readable image").alias("reason"))
 
 
+def usable(images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(images, failures): pictures whose pixels can be told, and a row (file, step, reason) for each that has no
+    name, no size, other than 1, 3 or 4 channels, no data or not as many bytes as its size needs, or a name that others have too."""
+    repeated = images.where("file is not null").groupBy("file").agg(F.count(F.lit(1)).alias("n_named")).where("n_named > 1")
+    need = F.col("height").cast("long") * F.col("width") * F.col("n_channels")
+    reason = (
+        F.when(F.col("file").isNull(), "no name")
+        .when(~F.coalesce((F.col("height") > 0) & (F.col("width") > 0), F.lit(False)), "no size")
+        .when(~F.coalesce(F.col("n_channels").isin(1, 3, 4), F.lit(False)), "channels are not 1, 3 or 4")
+        .when(F.col("data").isNull(), "no data")
+        .when(F.octet_length("data") != need, F.concat(F.octet_length("data"), F.lit(" bytes where "), need, F.lit(" are needed")))
+        .when(F.col("n_named").isNotNull(), "several pictures have this name")
+    )
+    told = ordered.joined(images, repeated, ["file"], "left").withColumn("reason", reason)
+    return told.where("reason is null").select(*images.columns), told.where("reason is not null").select("file", F.lit("read").alias("step"), "reason")
+
+
 def pixels(images: DataFrame) -> DataFrame:
     """(file, y, x, gray): a row for each pixel of images of 1, 3 or 4 channels."""
     n, at = F.col("n_channels"), F.col("p") * F.col("n_channels")
@@ -98,7 +118,7 @@ def _read(spark: SparkSession, corpora: dict[str, str], schema: str) -> DataFram
     for name, path in corpora.items():
         if not _there(spark, path):
             continue
-        read = spark.read.schema(schema)
+        read = spark.read.schema(schema).option("columnNameOfCorruptRecord", BROKEN)
         frame = read.json(path) if path.rstrip("/").endswith((".json", ".jsonl")) else read.parquet(path)
         found.append(frame.withColumn("corpus", F.lit(name)))
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
@@ -110,6 +130,16 @@ def read_posters(spark: SparkSession, corpora: dict[str, str]) -> DataFrame:
     return last_wins(_read(spark, corpora, POSTER), ["corpus", "file"], ["ord"])
 
 
+def checked_posters(spark: SparkSession, corpora: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(posters, failures): read_posters() of the records that can be read, and a row (corpus, file, step, reason) for each
+    line that is no record and each record without a name. The records are written once; the others go on."""
+    found = written(_read(spark, corpora, f"{POSTER}, {BROKEN} string"))
+    reason = F.when(F.col(BROKEN).isNotNull(), "not a record").when(F.col("file").isNull(), "no name")
+    told = found.withColumn("reason", reason)
+    good = told.where("reason is null").drop("reason", BROKEN)
+    return last_wins(good, ["corpus", "file"], ["ord"]), told.where("reason is not null").select("corpus", "file", F.lit("record").alias("step"), "reason")
+
+
 def read_rules(spark: SparkSession, corpora: dict[str, str]) -> DataFrame:
     """Rules as judging.derive() gave them, of several corpora; a corpus whose folder is missing has none."""
     return _read(spark, corpora, RULES)

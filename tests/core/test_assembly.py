@@ -150,6 +150,33 @@ def test_whole_pictures(spark):
     assert [(r["x1"], r["x2"], r["n"], r["lead"], r["seeded"]) for r in got] == [(70, 107, 4, 20.0, True)]
 
 
+def as_image(name, g, channels=1, cut=0):
+    return (name, g.shape[0], g.shape[1], channels, bytearray(np.repeat(g.astype(np.uint8), channels).tobytes())[: g.size * channels - cut])
+
+
+def test_pictures_that_fail_stop_no_others(spark):
+    g = picture()
+    white, black = np.full((20, 20), 250.0), np.full((9, 9), 3.0)
+    rows = [as_image("good", g), as_image("colour", g, 3), as_image("short", g, 1, 7), as_image("white", white), as_image("black", black), as_image("two", white, 2), as_image("twice", white), as_image("twice", g)]
+    rows += [("flat", 0, 7, 1, bytearray()), ("none", 3, 3, 1, None), (None, 1, 1, 1, bytearray(b"a")), ("sizeless", None, 3, 1, bytearray(b"abc"))]
+    images = spark.createDataFrame(rows, "file string, height int, width int, n_channels int, data binary")
+    good, failed = sources.usable(images)
+    assert sorted(r["file"] for r in good.collect()) == ["black", "colour", "good", "white"]
+    holes = spark.createDataFrame([("hole", 0, 0, 5.0), ("hole", 0, 1, None)], "file string, y long, x long, gray double")
+    made, failures = assembly.assemble(sources.pixels(good).select("file", "y", F.col("x").cast("long").alias("x"), "gray").unionByName(holes), failed)
+    records = {r["file"]: r for r in made.collect()}
+    assert set(records) == {"good", "colour"}
+    assert all((r["n_columns"], len(r["blocks"]), r["region"]) == (2, 2, [10.0, 16.0, 107.0, 88.0]) for r in records.values())
+    told = sorted((r["file"] or "", r["step"], r["reason"]) for r in failures.collect())
+    assert [t for t in told if t[1] == "read"] == [
+        ("", "read", "no name"), ("flat", "read", "no size"), ("none", "read", "no data"), ("short", "read", f"{g.size - 7} bytes where {g.size} are needed"), ("sizeless", "read", "no size"),
+        ("twice", "read", "several pictures have this name"), ("twice", "read", "several pictures have this name"), ("two", "read", "channels are not 1, 3 or 4"),
+    ]
+    rest = {t[0]: t[1:] for t in told if t[1] != "read"}
+    assert set(rest) == {"white", "black", "hole"} and rest["hole"] == ("pixels", "pixels without a place or value")
+    assert all(rest[f] in assembly.STEPS for f in ("white", "black"))
+
+
 def test_boxes_that_are_looked_at(spark):
     small = spark.createDataFrame([(50, 50, 10, 10, 11, 30), (50, 50, 48, 48, 60, 60), (3, 50, 0, 0, 9, 9)], "w int, h int, x1 int, y1 int, x2 int, y2 int")
     assert sorted((r["x1"], r["x2"], r["why"] or "") for r in spatial.measurable(small).collect()) == [(0, 3, "too_small"), (7, 14, ""), (45, 50, "")]

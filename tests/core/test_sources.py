@@ -101,3 +101,13 @@ def test_stream(spark, tmp_path):
         n = metrics.observe(posters(spark)).count() * (1 + more)
         assert spark.read.parquet(into).count() == n
     assert ingest.rules(spark, into).where("metric = 'n_blocks'").first()["n"] == 4
+
+
+def test_records_that_fail_stop_no_others(spark, tmp_path):
+    at = tmp_path / "posters.jsonl"
+    at.write_text('{"file": "a", "ord": 1, "angle": 2.0}\n{"file": "b", "ord": \n{"ord": 3}\n{"file": "a", "ord": 4, "angle": 5.0}\n')
+    good, failed = sources.checked_posters(spark, {"mine": str(at), "gone": str(tmp_path / "gone")})
+    assert [(r["corpus"], r["file"], r["angle"]) for r in good.collect()] == [("mine", "a", 5.0)]
+    assert sorted((r["corpus"], r["step"], r["reason"]) for r in failed.collect()) == [("mine", "record", "no name"), ("mine", "record", "not a record")]
+    good, failed = sources.checked_posters(spark, {"gone": str(tmp_path / "gone")})
+    assert good.count() == 0 and failed.count() == 0
