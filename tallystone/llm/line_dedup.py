@@ -8,9 +8,9 @@
    map task; of the rare ones nothing more is kept. The occurrences of the others are written.
 3. The occurrences are range-partitioned by hash with a secondary sort by document, largest first, and
    position. Streaming through them, a line stays if its document is the first one of its hash, or if too few
-   different documents follow. The ``HOT`` hashes in most rows are split off before: their documents
-   are counted with map-side combine, the result is broadcast, and their occurrences are dealt over
-   ``SPREAD`` parts each. Of all other hashes, none has more than 1/HOT of the counted occurrences.
+   different documents follow. A hash in more than ``PART_ROWS`` rows is dealt over as many parts as its rows fill, whatever
+   its rank: its documents are counted with map-side combine, and each part is told how many there are
+   and which one stays. The ``HOT`` hashes in most rows are also broadcast, so that they need no join by hash.
 4. Each document's kept lines are returned as a run-length compressed bitmap: runs "first+length",
    comma-joined. No text is in there.
 
@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 from tallystone.llm.common import BLANKS, ascii_lower, columns_of, cut, unused, whole_text
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: How many hashes are broadcast at most, and over how many parts each of them is dealt.
-HOT, SPREAD = 1000, 256
+#: How many hashes are broadcast at most, and how many rows of one hash go in one part.
+HOT, PART_ROWS = 1000, 100_000
 
 
 def _lines(text: Column) -> Column:
@@ -58,25 +58,28 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", min_chars: int = MIN_C
     # strings, which array_distinct looks up by hash, until the arrays are exploded; then half the bytes
     once = keys.select(F.explode(F.array_distinct("keys")).alias("k")).where("k is not null").select(F.unhex("k").alias("h"))
     shared = cut(once.groupBy("h").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= min_docs))
-    hot = F.broadcast(shared.orderBy(F.desc("n_rows"), "h").limit(HOT))
+    hot = F.broadcast(shared.orderBy(F.desc("n_rows"), "h").limit(HOT).withColumnRenamed("n_rows", "n_hot"))
     every = keys.select("doc_id", "digest", F.posexplode("keys").alias("pos", "k")).where("k is not null").select("doc_id", "digest", "pos", F.unhex("k").alias("h")).join(hot, "h", "left")
 
-    is_hot = F.col("n_rows").isNotNull()
+    is_hot = F.col("n_hot").isNotNull()
     # hot occurrences need no partner: a key of another length, which none has, deals them evenly
     own = F.when(is_hot, F.unhex(F.hex(F.xxhash64("doc_id", "digest", "pos")))).otherwise(F.col("h"))
-    found = every.join(shared.select(F.col("h").alias("other")), own == F.col("other"), "left").where(is_hot | F.col("other").isNotNull())
-    part = F.when(is_hot, F.pmod(F.xxhash64("doc_id", "digest"), F.lit(SPREAD))).otherwise(F.lit(0))
-    found = cut(found.select("doc_id", "digest", "pos", "h", is_hot.alias("is_hot"), part.alias("part")))
+    found = every.join(shared.select(F.col("h").alias("other"), "n_rows"), own == F.col("other"), "left").where(is_hot | F.col("other").isNotNull())
+    n_parts = F.ceil(F.coalesce("n_hot", "n_rows") / PART_ROWS)
+    part = F.pmod(F.xxhash64("doc_id", "digest", "pos"), n_parts)
+    found = cut(found.select("doc_id", "digest", "pos", "h", n_parts.alias("n_parts"), part.alias("part")))
 
     order = [F.desc("doc_id"), F.asc("pos")]
-    own_hash = Window.partitionBy("h", "part")
-    ranged = found.repartitionByRange("h", "part").sortWithinPartitions("h", "part", *order)
+    own_hash = Window.partitionBy("h")
+    ranged = found.where("n_parts = 1").repartitionByRange("h").sortWithinPartitions("h", *order)
     placed = ranged.withColumns({"first": F.first("doc_id").over(own_hash.orderBy(*order)), "rank": F.dense_rank().over(own_hash.orderBy(F.desc("doc_id")))})
-    placed = placed.withColumn("n_docs", F.max("rank").over(own_hash))
-    busy = found.where("is_hot").groupBy("h").agg(F.count_distinct("doc_id").alias("n_hot"), F.max("doc_id").alias("keeper"))
-    placed = placed.join(F.broadcast(busy), "h", "left")
-    first, n_docs = F.when(F.col("is_hot"), F.col("keeper")).otherwise(F.col("first")), F.when(F.col("is_hot"), F.col("n_hot")).otherwise(F.col("n_docs"))
-    dropped = placed.where((F.col("doc_id") != first) & (n_docs >= min_docs)).select("doc_id", "digest", "pos").distinct()
+    placed = placed.withColumn("n_docs", F.max("rank").over(own_hash)).where((F.col("doc_id") != F.col("first")) & (F.col("n_docs") >= min_docs))
+    # of a hash in several parts each part is told what all of them hold
+    dealt = found.where("n_parts > 1")
+    busy = dealt.groupBy("h").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("keeper"), F.max("n_parts").alias("n_parts")).where(F.col("n_docs") >= min_docs)
+    told = busy.select("h", "keeper", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_parts") - 1)).alias("part"))
+    shed = dealt.join(told, ["h", "part"]).where(F.col("doc_id") != F.col("keeper"))
+    dropped = placed.select("doc_id", "digest", "pos").unionByName(shed.select("doc_id", "digest", "pos")).distinct()
     by_pos = Window.partitionBy("doc_id", "digest").orderBy("pos")
     runs = (
         dropped.withColumn("run", F.col("pos") - F.row_number().over(by_pos))

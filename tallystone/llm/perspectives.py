@@ -90,7 +90,10 @@ def rotate(chats: DataFrame, turns: int | None = None) -> DataFrame:
         stretches = stretches.unionByName(heads)
     at = F.sequence(F.lit(0), F.floor((F.size("messages") - 1) / CHUNK).cast("int"))
     chunks = stretches.select("conv_id", "segment", "stretch", "messages", F.explode(at).alias("chunk")).withColumn("messages", F.slice("messages", F.col("chunk") * CHUNK + 1, CHUNK))
-    views = chunks.join(speakers, F.col("conv_id").eqNullSafe(F.col("__conv"))).withColumn("pieces", _pieces(F.col("messages"), F.col("speaker")))
+    # speakers go to each stretch, so a long dialogue's chunks meet them where they are and not in one task
+    places = stretches.select(F.col("conv_id").alias("__c"), F.col("stretch").alias("__s")).distinct()
+    heard = places.join(speakers, F.col("__c").eqNullSafe(F.col("__conv"))).drop("__conv")
+    views = chunks.join(heard, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("stretch") == F.col("__s"))).withColumn("pieces", _pieces(F.col("messages"), F.col("speaker")))
     part = views.select(
         "conv_id", "segment", "speaker", "stretch", "chunk",
         F.size("messages").cast("long").alias("n"),

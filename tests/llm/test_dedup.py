@@ -92,6 +92,22 @@ def test_lines_beyond_the_hot_ones(spark, rows, monkeypatch):
     assert result(line_dedup.report(frame(spark, rows))) == by_sql("op4_line_dedup", rows)
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_lines_in_several_parts(spark, rows, monkeypatch, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 3)
+    assert result(line_dedup.report(frame(spark, rows))) == by_sql("op4_line_dedup", rows)
+
+
+def test_one_line_in_many_rows_of_few_documents(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 100)
+    docs = spark.createDataFrame([(i % 4, f"{LINE}\n{i}") for i in range(2000)] + [(10 + i % 5, f"{LINE} b\n{i}") for i in range(2000)], "doc_id long, text string")
+    lost = {}
+    for r in line_dedup.report(docs).collect():
+        lost[r["doc_id"]] = lost.get(r["doc_id"], 0) + r["n_dropped"]
+    assert lost == {**{i: 0 for i in range(4)}, **{10 + i: 400 for i in range(4)}, 14: 0}
+
+
 def test_line_bitmaps_restore_texts(spark, rows):
     lost = {r["doc_id"]: r for r in line_dedup.drop_bitmaps(frame(spark, rows)).collect()}
     assert lost[21_000]["n_dropped"] == 3 and lost[21_000]["dropped"] == "0+1,2+1,4+1" and 21_029 not in lost

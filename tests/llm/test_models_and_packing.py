@@ -155,6 +155,17 @@ def test_perspectives_in_segments(spark):
     assert r["rendered"][a:b] == "m6<|im_end|>" and (r["n_messages"], r["n_masked"]) == (3, 1)
 
 
+def test_one_dialogue_of_half_of_all_rows(spark):
+    n = 20_000
+    long = spark.range(n).selectExpr("CAST(NULL AS long) AS conv_id", "id AS turn", "IF(id % 2 = 0, 'a', 'b') AS role", "concat('m', id) AS text")
+    rest = spark.range(n).selectExpr("id AS conv_id", "0L AS turn", "'a' AS role", "concat('m', id) AS text")
+    got = {(r["conv_id"], r["speaker"]): r for r in perspectives.rotate(long.unionByName(rest)).collect()}
+    assert len(got) == n + 2 and got[7, "a"]["rendered"] == "<|im_start|>assistant\nm7<|im_end|>\n"
+    whole = got[None, "b"]
+    want = "".join(f"<|im_start|>{'assistant' if i % 2 else 'user name=a'}\nm{i}<|im_end|>\n" for i in range(n))
+    assert whole["rendered"] == want and (whole["n_messages"], whole["n_masked"]) == (n, n // 2)
+
+
 def test_pipeline(spark, tiny):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
