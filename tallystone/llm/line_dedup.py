@@ -30,7 +30,7 @@ from tallystone.llm.common import BLANKS, ascii_lower, columns_of, cut, unused,
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: How many hashes are broadcast at most, and how many rows of one hash go in one part.
-HOT, PART_ROWS = 1000, 100_000
+HOT, PART_ROWS = 1000, 2_000
 
 
 def _lines(text: Column) -> Column:
