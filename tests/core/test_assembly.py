@@ -177,6 +177,14 @@ def test_pictures_that_fail_stop_no_others(spark):
     assert all(rest[f] in assembly.STEPS for f in ("white", "black"))
 
 
+def test_pictures_that_all_fail(spark):
+    images = spark.createDataFrame([("none", 3, 3, 1, None), as_image("white", np.full((5, 5), 250.0))], "file string, height int, width int, n_channels int, data binary")
+    for part, want in ((images, [("none", "read", "no data"), ("white", "ink", "no ink")]), (images.limit(0), [])):
+        good, failed = sources.usable(part)
+        made, failures = assembly.assemble(sources.pixels(good), failed)
+        assert made.count() == 0 and sorted(tuple(r) for r in failures.collect()) == want
+
+
 def test_boxes_that_are_looked_at(spark):
     small = spark.createDataFrame([(50, 50, 10, 10, 11, 30), (50, 50, 48, 48, 60, 60), (3, 50, 0, 0, 9, 9)], "w int, h int, x1 int, y1 int, x2 int, y2 int")
     assert sorted((r["x1"], r["x2"], r["why"] or "") for r in spatial.measurable(small).collect()) == [(0, 3, "too_small"), (7, 14, ""), (45, 50, "")]
