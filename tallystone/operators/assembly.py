@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import ordered
 from tallystone.functions.ordered import joined
+from tallystone.functions.rounding import exact_round
 from tallystone.functions.stages import written
 from tallystone.operators import ink, lines, profiles, spatial
 from tallystone.operators.layout import gaps
@@ -221,8 +222,50 @@ def records(blocks: DataFrame, counts: DataFrame, by: str) -> DataFrame:
     return counts.join(listed, by, "full_outer").select(F.col(by).alias("file"), "n_columns", "region", "blocks")
 
 
-def box_measure(found: DataFrame, by: list[str]) -> DataFrame:
-    """(by, n_lines, bases, gap, align, ...): what is told about the lines of one box."""
-    listed = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("base", "cap", "xh", "xs", "xe"))).alias("t"))
-    ends = lambda c: F.transform("t", lambda x: x[c].cast("double"))
-    return listed.select(*by, F.size("t").cast("long").alias("n_lines"), ends("base").alias("bases"), ends("cap").alias("caps"), middle(gaps(ends("base"))).alias("gap"), F.bround(middle(ends("xh")), 1).alias("xh"), lines.alignment(ends("xs"), ends("xe")).alias("align"))
+def box_measure(found: DataFrame, by: list[str], steps: DataFrame | None = None) -> DataFrame:
+    """What is told about the lines of each box: (by, n_lines, baselines, x_tops, caps, x_heights, xh_median, lead, lead_measured,
+    lead_over_xh, grid_resid, align, align_left, align_right, align_center, x_starts, x_ends, box_ink), arrays in the order of the baselines.
+
+    found: (by, base, top, x_top, cap, xh, xs, xe). steps: (by, lead), the step at which a box's ink repeats; lead is null and
+    grid_resid 0 where it is not known or does not fit the baselines. lead_measured is the median step between them, null with one
+    line; lead_over_xh is null without a step or an x-height, and the align columns with one line. Boxes without lines give no row."""
+    each = ("base", "top", "x_top", "cap", "xh", "xs", "xe")
+    listed = found.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*each))).alias("t"))
+    if steps is None:
+        listed = listed.withColumn("step", F.lit(None).cast("double"))
+    else:
+        listed = joined(listed, steps.select(*by, F.col("lead").cast("double").alias("step")), by, "left")
+    told = lambda c: F.transform("t", lambda x: x[c].cast("double"))
+    each_told = listed.select(*by, "step", *[told(c).alias(c) for c in each])
+    seen = each_told.withColumns({"grid": lines.on_grid(F.col("base"), F.col("step")), "axes": lines.alignment(F.col("xs"), F.col("xe")), "gap": middle(gaps(F.col("base"))), "usual": middle(F.col("xh"))})
+    known, several = F.array_compact("cap"), F.size("base") >= 2
+    return seen.select(
+        *by, F.size("base").cast("long").alias("n_lines"), F.col("base").alias("baselines"), F.col("x_top").alias("x_tops"), F.col("cap").alias("caps"), F.col("xh").alias("x_heights"),
+        exact_round(F.col("usual"), 1).alias("xh_median"), exact_round(F.col("grid.lead"), 2).alias("lead"), exact_round(F.col("gap"), 1).alias("lead_measured"),
+        exact_round(F.when(F.col("usual") != 0, F.col("gap") / F.col("usual")), 3).alias("lead_over_xh"), exact_round(F.col("grid.residual"), 2).alias("grid_resid"),
+        "axes.align", *[F.when(several, F.col(f"axes.{c}")).alias(f"align_{c}") for c in ("left", "right", "center")],
+        F.col("xs").alias("x_starts"), F.col("xe").alias("x_ends"), F.array(F.array_min("xs"), F.array_min("top"), F.array_max("xe"), F.array_max("base")).alias("box_ink"),
+    )
+
+
+def measured_boxes(pixels: DataFrame, boxes: DataFrame, by: list[str], box: str = "box") -> DataFrame:
+    """A row (by, box, why, n_lines, ...) for each named box (by, box, x1, y1, x2, y2) of the pictures (by, y, x, gray), with what box_measure()
+    tells about it, places in the picture's pixels. Boxes are grown by 3 pixels and each is looked at as a picture of its own: its own ground,
+    ink, lines and step. why: ``too_small`` under 4 pixels either way, ``no_lines``, ``no_picture``, else null; the first three have
+    n_lines 0. Boxes may overlap; their pixels are told apart by an equi-join on rows."""
+    sizes = pixels.groupBy(*by).agg((F.max("x") + 1).cast("int").alias("w"), (F.max("y") + 1).cast("int").alias("h"))
+    key = [*by, box]
+    asked = written(spatial.measurable(joined(boxes.select(*key, "x1", "y1", "x2", "y2"), sizes, by, "left")).withColumn("why", F.when(F.col("w").isNull(), "no_picture").otherwise(F.col("why"))))
+    rows = asked.where("why is null").select(*key, "x1", "x2", "y1", F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"))
+    part = joined(pixels.withColumn("y", F.col("y").cast("int")), rows, [*by, "y"]).where("x >= x1 and x < x2")
+    part = part.select(*key, (F.col("y") - F.col("y1")).alias("y"), (F.col("x") - F.col("x1")).alias("x"), "gray")
+    inked = written(ink_of(part, key).where("inked").select(*key, "y", "x"))
+    places = asked.where("why is null").select(*key, "x1", "y1", (F.col("y2") - F.col("y1")).alias("height"))
+    seen = written(text_lines(inked, places.select(*key, "height"), key))
+    one = seen.groupBy(*key).agg(F.array_sort(F.collect_list(F.col("base").cast("double"))).alias("bases")).withColumn("block", F.lit(0))
+    steps = leads(one, _row_profile(inked, places, key, "y", "height"), key).select(*key, "lead")
+    moved = joined(seen, places.select(*key, F.col("x1").alias("left"), F.col("y1").alias("over")), key)
+    moved = moved.withColumns({**{c: F.col(c) + F.col("over") for c in ("base", "top", "x_top", "cap")}, **{c: F.col(c) + F.col("left") for c in ("xs", "xe")}})
+    told = joined(asked.select(*key, "why"), box_measure(moved, key, steps), key, "left")
+    none = F.col("n_lines").isNull()
+    return told.withColumns({"why": F.when(F.col("why").isNull() & none, "no_lines").otherwise(F.col("why")), "n_lines": F.coalesce("n_lines", F.lit(0).cast("long"))})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallystone.functions import ordered
 from tallystone.functions.rounding import exact_round
 from tallystone.functions.stages import written
-from tallystone.operators import comparing, golden, ink, judging, layout, lines, metrics, palette, profiles, spatial, turning
+from tallystone.operators import assembly, comparing, golden, ink, judging, layout, lines, metrics, palette, profiles, spatial, turning
 from tallystone.plans import sql
 from tallystone.schemas import CONSTRAINT, NO_VALUE
 from tallystone.sources import posters as sources
@@ -483,6 +483,66 @@ def skew_by_reading_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turning.skew_by_reading(found, readings, ["img"]).select("img", "angle", F.bround("spread", 6).alias("spread"))
 
 
+def box_measures_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as the lines of their order's text box, whose ink repeats about every 15 rows."""
+    rows = _t(spark, sf_dir, "lineitem")
+    base, xh = F.col("l_linenumber") * 15 + F.pmod("l_partkey", F.lit(3)), 5 + F.pmod("l_suppkey", F.lit(4))
+    x_top = base - xh
+    cap = F.when(F.pmod("l_suppkey", F.lit(3)) > 0, x_top - 3)
+    xs = F.pmod("l_suppkey", F.lit(4)) * F.pmod("l_orderkey", F.lit(5))
+    found = rows.select("l_orderkey", base.alias("base"), F.coalesce(cap, x_top).alias("top"), x_top.alias("x_top"), cap.alias("cap"), xh.alias("xh"), xs.alias("xs"), (xs + F.col("l_quantity")).alias("xe"))
+    steps = rows.select("l_orderkey", (14 + F.pmod("l_orderkey", F.lit(3))).alias("lead")).distinct()
+    told = assembly.box_measure(found, ["l_orderkey"], steps)
+    return told.withColumns({c: F.array_join(F.transform(c, lambda v: v.cast("long").cast("string")), ",", "-") for c in ("baselines", "x_tops", "caps", "x_heights", "x_starts", "x_ends", "box_ink")})
+
+
+def descenders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reaches below the eighth row of each picture."""
+    below = _customer_ink(spark, sf_dir).where("y >= 8")
+    return lines.descenders(ink.components(below, ["img"], diagonal=True).select("img", "y1", "y2"), ["img"])
+
+
+def absorbed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as strips of ink, the narrow and low ones being fragments of those beside them."""
+    rows = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).cast("long").alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")])
+    s = F.col("l_linenumber").cast("long") * 11 + F.pmod("l_partkey", F.lit(3))
+    x0 = F.pmod("l_partkey", F.lit(6))
+    strip = F.struct(s.alias("s"), (s + 2 + F.pmod("l_suppkey", F.lit(8))).alias("e"), x0.alias("x0"), (x0 + F.col("l_quantity")).alias("x1"))
+    listed = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(strip)).alias("strips"))
+    return listed.select("l_orderkey", F.explode(lines.absorbed(F.col("strips"))).alias("t")).select("l_orderkey", "t.*")
+
+
+def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as text boxes of their order's picture."""
+    x, y = F.pmod("l_partkey", F.lit(400)) + 0.25, F.pmod("l_suppkey", F.lit(100)) * 2 + 0.5
+    corner = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    wide = F.col("l_quantity").cast("double")
+    quad = F.array(corner(x, y), corner(x + wide, y + 1), corner(x + wide, y + 9), corner(x, y + 8))
+    return _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("img"), F.lit(420).alias("w"), F.lit(200).alias("h"), quad.alias("quad"))
+
+
+def union_boxes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.union_box(_quads(spark, sf_dir))
+
+
+def box_sizes_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many text boxes at the edges of a small picture can be measured, and how many can be seeds."""
+    x1, y1 = F.pmod("l_partkey", F.lit(70)), F.pmod("l_suppkey", F.lit(60))
+    boxes = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.lit(64).alias("w"), F.lit(52).alias("h"), x1.alias("x1"), y1.alias("y1"), (x1 + F.col("l_quantity") / 10).alias("x2"), (y1 + F.col("l_linenumber")).alias("y2"))
+    asked = spatial.measurable(boxes).groupBy("l_returnflag").agg(F.count("why").alias("n_small"), F.count_if(F.col("why").isNull()).alias("n_measured"), F.sum("x2").alias("x2"))
+    return asked.join(spatial.seeds(boxes).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n_seeds")), "l_returnflag")
+
+
+def regression_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs between the snapshots of two measurements of the same posters: some are turned further, some are moved to the right, some are gone."""
+    before = orders_as_posters(spark, sf_dir)
+    k = F.col("ord")
+    after = before.where(k % 11 != 0).withColumn("angle", F.col("angle") + F.when(k % 5 == 0, 1.0).otherwise(0.0))
+    after = after.withColumn("blocks", F.transform("blocks", lambda b: b.withField("x1", b["x1"] + F.when(k % 7 == 0, 1).otherwise(0))))
+    cases = before.where(k % 2 == 0).select("file", F.concat(F.lit("turned by "), F.col("angle").cast("string")).alias("why"))
+    return golden.regression(golden.snapshot(before, cases), golden.snapshot(after, cases), cases).select("name", "why", "n_changed", F.size("changed").alias("n_shown"), F.get("changed", F.lit(0))["path"].alias("first"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -492,6 +552,7 @@ QUERIES = {
         check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
         color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders, sharpest_lines, turned_embeddings, thumbnail_parts, palette_parts, read_angles_lines, skew_by_reading_lines, rounded_amounts_lineitem, picture_failures_documents,
+        box_measures_orders, descenders_customers, absorbed_orders, union_boxes_lines, box_sizes_lines, regression_orders,
     )
 }
 

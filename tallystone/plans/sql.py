@@ -122,9 +122,9 @@ CHECKED = f"""{OBSERVED}, {derived_tables("(SELECT 'all' AS corpus, * EXCLUDE (c
 _INK = """px AS (SELECT DISTINCT img, p // 12 AS y, p % 12 AS x FROM (SELECT c_custkey // 60 AS img, ((round(c_acctbal * 100)::BIGINT % 144) + 144) % 144 AS p FROM customer))"""
 
 
-def components(near: str) -> str:
-    """CTEs px, w and co: the components of the pictures' pixels, by walks from every pixel."""
-    return f"""RECURSIVE {_INK},
+def components(near: str, first: int = 0) -> str:
+    """CTEs px, w and co: the components of the pictures' pixels from row `first` on, by walks from every pixel."""
+    return f"""RECURSIVE {_INK.replace("px AS", "p0 AS")}, px AS (SELECT * FROM p0 WHERE y >= {first}),
         w AS (SELECT img, x * 100 + y AS k, x, y FROM px UNION SELECT w.img, w.k, q.x, q.y FROM w JOIN px q ON q.img = w.img AND {near}),
         lb AS (SELECT img, x, y, min(k) AS lab FROM w GROUP BY ALL),
         co AS (SELECT img, count(*) AS area, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM lb GROUP BY img, lab)"""
@@ -436,4 +436,46 @@ ORACLE_SQL = {
         h AS (SELECT *, 134217729::DOUBLE * x - (134217729::DOUBLE * x - x) AS top, x * 100::DOUBLE AS p FROM x),
         d AS (SELECT *, p - floor(p) - 0.5::DOUBLE + ((top * 100::DOUBLE - p) + (x - top) * 100::DOUBLE) AS over FROM h)
         SELECT l_returnflag, l_linestatus, sum(floor(p)::BIGINT + CASE WHEN over > 0 OR (over = 0 AND floor(p)::BIGINT % 2 = 1) THEN 1 ELSE 0 END)::BIGINT AS cents, count(*) AS n FROM d GROUP BY ALL""",
+    "box_measures_orders": """
+        WITH b AS (SELECT l_orderkey, l_linenumber * 15 + l_partkey % 3 AS base, 5 + l_suppkey % 4 AS xh, l_suppkey % 3 > 0 AS tall, l_suppkey % 4 * (l_orderkey % 5) AS xs, l_quantity::BIGINT AS q FROM lineitem),
+        t AS (SELECT *, base - xh AS x_top, CASE WHEN tall THEN base - xh - 3 END AS cap, xs + q AS xe FROM b),
+        l AS (SELECT *, coalesce(cap, x_top) AS top, row_number() OVER w AS i, base - lag(base) OVER w AS gap FROM t WINDOW w AS (PARTITION BY l_orderkey ORDER BY base, coalesce(cap, x_top), x_top, cap NULLS FIRST, xh, xs, xe)),
+        m AS (SELECT l_orderkey, count(*) AS n, min(base) AS f, median(gap) AS gap, median(xh) AS xh, 14 + l_orderkey % 3 AS step FROM l GROUP BY l_orderkey),
+        k AS (SELECT l_orderkey, base, step, n >= 3 AND abs(step - m.gap) <= 2 AS fit, round_even((base - f) / step::DOUBLE, 0) AS k FROM l JOIN m USING (l_orderkey)),
+        p AS (SELECT *, sum(base - k * step) OVER (PARTITION BY l_orderkey) / count(*) OVER (PARTITION BY l_orderkey) AS phase FROM k),
+        g AS (SELECT l_orderkey, CASE WHEN bool_or(fit) THEN sum(abs(round_even(phase + k * step, 0) - base)) / count(*) ELSE 0 END AS residual, coalesce(bool_or(fit), false) AS fit FROM p GROUP BY l_orderkey),
+        s AS (SELECT l_orderkey, round_even(stddev_pop(xs), 9) AS a, round_even(stddev_pop(xe), 9) AS b, round_even(stddev_pop((xs + xe) / 2::DOUBLE), 9) AS c FROM l GROUP BY l_orderkey),
+        j AS (SELECT l_orderkey, string_agg(base::VARCHAR, ',' ORDER BY i) AS baselines, string_agg(x_top::VARCHAR, ',' ORDER BY i) AS x_tops, string_agg(coalesce(cap::VARCHAR, '-'), ',' ORDER BY i) AS caps, string_agg(xh::VARCHAR, ',' ORDER BY i) AS x_heights,
+                     string_agg(xs::VARCHAR, ',' ORDER BY i) AS x_starts, string_agg(xe::VARCHAR, ',' ORDER BY i) AS x_ends, concat_ws(',', min(xs), min(top), max(xe), max(base)) AS box_ink FROM l GROUP BY l_orderkey)
+        SELECT j.*, n AS n_lines, round_even(m.xh, 1) AS xh_median, CASE WHEN fit THEN step::DOUBLE END AS lead, round_even(gap, 1) AS lead_measured, round_even(gap / m.xh, 3) AS lead_over_xh, round_even(residual, 2) AS grid_resid,
+               CASE WHEN n >= 2 THEN CASE WHEN least(a, b, c) > 3 THEN 'none' WHEN a <= least(b, c) THEN 'left' WHEN b <= c THEN 'right' ELSE 'center' END END AS align,
+               CASE WHEN n >= 2 THEN round_even(a, 2) END AS align_left, CASE WHEN n >= 2 THEN round_even(b, 2) END AS align_right, CASE WHEN n >= 2 THEN round_even(c, 2) END AS align_center
+        FROM j JOIN m USING (l_orderkey) JOIN g USING (l_orderkey) JOIN s USING (l_orderkey)""",
+    "descenders_customers": f"WITH {components(_CORNERS, 8)} SELECT img, max(CASE WHEN y2 - y1 >= 2 THEN y2 END) AS desc FROM co GROUP BY img",
+    "absorbed_orders": """
+        WITH RECURSIVE r AS (SELECT l_orderkey, l_linenumber, min(l_partkey) AS p, min(l_suppkey) AS u, min(l_quantity)::BIGINT AS q FROM lineitem GROUP BY ALL),
+        t AS (SELECT l_orderkey, l_linenumber * 11 + p % 3 AS s, l_linenumber * 11 + p % 3 + 2 + u % 8 AS e, p % 6 AS x0, p % 6 + q AS x1 FROM r),
+        f AS (SELECT l_orderkey, 0 AS i, list({'s': s::BIGINT, 'e': e::BIGINT, 'x0': x0::BIGINT, 'x1': x1::BIGINT, 'kept': false} ORDER BY s, e, x0, x1) AS l FROM t GROUP BY l_orderkey
+              UNION ALL SELECT l_orderkey, i, list_transform(l, lambda v, k: CASE WHEN k = taker THEN {'s': least(v.s, own.s), 'e': greatest(v.e, own.e), 'x0': v.x0, 'x1': v.x1, 'kept': v.kept}
+                    WHEN k = i THEN {'s': v.s, 'e': v.e, 'x0': v.x0, 'x1': v.x1, 'kept': taker = 0 AND v.e - v.s >= 4} ELSE v END)
+              FROM (SELECT l_orderkey, i, l, own, CASE WHEN na AND NOT (nb AND gb < ga) THEN i + 1 WHEN nb THEN i - 1 ELSE 0 END AS taker
+                FROM (SELECT *, a.s - own.e AS ga, own.s - b.e AS gb,
+                        coalesce(a.e - a.s > own.e - own.s AND own.x0 >= a.x0 - 1 AND own.x1 <= a.x1 + 1 AND own.e - own.s <= 0.5::DOUBLE * (a.e - a.s) AND own.x1 - own.x0 <= 0.4::DOUBLE * greatest(a.x1 - a.x0, 1) AND a.s - own.e <= greatest(3, 0.6::DOUBLE * (a.e - a.s)), false) AS na,
+                        coalesce(b.e - b.s > own.e - own.s AND own.x0 >= b.x0 - 1 AND own.x1 <= b.x1 + 1 AND own.e - own.s <= 0.5::DOUBLE * (b.e - b.s) AND own.x1 - own.x0 <= 0.4::DOUBLE * greatest(b.x1 - b.x0, 1) AND own.s - b.e <= greatest(3, 0.6::DOUBLE * (b.e - b.s)), false) AS nb
+                      FROM (SELECT l_orderkey, i + 1 AS i, l, l[i + 1] AS own, l[i + 2] AS a, CASE WHEN i > 0 THEN l[i] END AS b FROM f WHERE i < len(l))))),
+        o AS (SELECT l_orderkey, unnest(l) AS v FROM f WHERE i = len(l))
+        SELECT l_orderkey, v.s AS s, v.e AS e, v.x0 AS x0, v.x1 AS x1 FROM o WHERE v.kept""",
+    "union_boxes_lines": """
+        WITH q AS (SELECT l_orderkey AS img, l_partkey % 400 + 0.25::DOUBLE AS x, l_suppkey % 100 * 2 + 0.5::DOUBLE AS y, l_quantity::DOUBLE AS w FROM lineitem)
+        SELECT img, greatest(0, trunc(min(x) - 6)::INT) AS x1, greatest(0, trunc(min(y) - 6)::INT) AS y1, least(420, trunc(max(x + w) + 6)::INT) AS x2, least(200, trunc(max(y) + 9 + 6)::INT) AS y2 FROM q GROUP BY img""",
+    "box_sizes_lines": """
+        WITH b AS (SELECT l_returnflag, l_partkey % 70 AS x1, l_suppkey % 60 AS y1, l_partkey % 70 + l_quantity::DOUBLE / 10 AS x2, l_suppkey % 60 + l_linenumber AS y2 FROM lineitem),
+        p AS (SELECT l_returnflag, least(64, floor(x2) + 3) AS x2, least(64, floor(x2) + 3) - greatest(0, x1 - 3) AS w, least(52, y2 + 3) - greatest(0, y1 - 3) AS h, least(64, floor(x2) + 4) - greatest(0, x1 - 4) AS sw, least(52, y2 + 4) - greatest(0, y1 - 4) AS sh FROM b)
+        SELECT l_returnflag, count(*) FILTER (WHERE w < 4 OR h < 4) AS n_small, count(*) FILTER (WHERE w >= 4 AND h >= 4) AS n_measured, sum(x2)::BIGINT AS x2, count(*) FILTER (WHERE sw >= 8 AND sh >= 6) AS n_seeds FROM p GROUP BY l_returnflag""",
+    "regression_orders": """
+        WITH p AS (SELECT l_orderkey AS k, count(*) AS nb FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY l_orderkey),
+        d AS (SELECT *, CASE WHEN k % 11 = 0 THEN 2 + 7 * nb - missing ELSE (k % 5 = 0)::INT + CASE WHEN k % 7 = 0 THEN nb ELSE 0 END END AS n
+              FROM p JOIN (SELECT l_orderkey AS k, count(*) FILTER (WHERE l_linenumber = 5) AS missing FROM lineitem GROUP BY l_orderkey) USING (k))
+        SELECT k::VARCHAR AS name, 'turned by ' || CASE WHEN k % 10 = 0 THEN '2.5' ELSE '0.0' END AS why, n AS n_changed, least(n, 10)::INT AS n_shown,
+               CASE WHEN k % 11 = 0 OR k % 5 = 0 THEN 'angle' ELSE 'blocks[0].box[0]' END AS first FROM d WHERE n > 0""",
 }

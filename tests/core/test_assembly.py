@@ -242,3 +242,32 @@ def test_regression(spark, tmp_path):
     assert [(x["name"], x["why"], x["n_changed"], [c["path"] for c in x["changed"]]) for x in r] == [("a", "five blocks", 5, ["blocks[0].box[1]", "blocks[1].box[1]"])]
     record = json.loads(kept.where("name = 'a'").first()["record"])
     assert record["n_blocks"] == 5 and [b["box"][0] for b in record["blocks"]] == [0, 2, 9, 12, 30]
+
+
+def test_measured_boxes(spark):
+    """Drawn boxes whose measures are known, dark and bright, and boxes that cannot be measured."""
+    g = picture()
+    odd = np.full((60, 90), 250.0)
+    for y, x, w in ((10, 12, 40), (31, 30, 22), (52, 20, 60)):
+        odd[y : y + 6, x : x + w] = 10
+    frame = pixels(spark, {"plain": g, "inverse": 255 - g, "odd": odd})
+    asked = [(f, "left", 11, 17, 46, 90) for f in ("plain", "inverse")] + [("plain", "right", 70, 14, 107, 92), ("plain", "top", 10, 14, 47, 31)]
+    asked += [("odd", "all", 0, 5, 90, 60), ("plain", "speck", -9, 3, 0, 50), ("plain", "blank", 50, 5, 66, 100), ("other", "lost", 0, 0, 9, 9)]
+    boxes = spark.createDataFrame(asked, "file string, box string, x1 int, y1 int, x2 int, y2 int")
+    got = {(r["file"], r["box"]): r.asDict() for r in assembly.measured_boxes(frame, boxes, ["file"]).collect()}
+    assert set(got) == {(a[0], a[1]) for a in asked}
+    assert {k: (r["why"], r["n_lines"]) for k, r in got.items() if r["why"]} == {("plain", "speck"): ("too_small", 0), ("plain", "blank"): ("no_lines", 0), ("other", "lost"): ("no_picture", 0)}
+    for f in ("plain", "inverse"):
+        r = got[f, "left"]
+        assert (r["n_lines"], r["baselines"], r["x_tops"], r["caps"]) == (4, [28, 48, 68, 88], [20, 40, 60, 80], [16, 36, 56, 76])
+        assert (r["x_heights"], r["xh_median"], r["lead"], r["lead_measured"], r["lead_over_xh"], r["grid_resid"]) == ([8.0] * 4, 8.0, 20.0, 20.0, 2.5, 0.0)
+        assert (r["align"], r["align_left"], r["align_right"], r["align_center"]) == ("left", 0.0, 0.0, 0.0)
+        assert (r["x_starts"], r["x_ends"], r["box_ink"]) == ([10.0] * 4, [47.0] * 4, [10, 16, 47, 88])
+    assert got["plain", "right"]["x_starts"] == [70.0] * 4
+    one = got["plain", "top"]
+    assert (one["n_lines"], one["baselines"], one["lead"], one["lead_measured"], one["lead_over_xh"], one["align"], one["align_left"], one["grid_resid"]) == (1, [28.0], None, None, None, None, None, 0.0)
+    three = got["odd", "all"]
+    starts, ends = [12.0, 30.0, 20.0], [52.0, 52.0, 80.0]
+    spreads = {"left": np.std(starts), "right": np.std(ends), "center": np.std([(a + b) / 2 for a, b in zip(starts, ends)])}
+    assert (three["baselines"], three["x_starts"], three["x_ends"], three["align"], three["lead_measured"], three["lead_over_xh"]) == ([16, 37, 58], starts, ends, "none", 21.0, 3.5)
+    assert {k: three[f"align_{k}"] for k in spreads} == {k: round(float(v), 2) for k, v in spreads.items()}

@@ -26,8 +26,13 @@ def plain(v):
     return "null" if v is None else repr(v) if isinstance(v, bool) else repr(float(v)) if isinstance(v, (int, float)) else str(v)
 
 
+#: Queries that give no rows on the smallest tables are compared on larger ones.
+LARGER = {"text_columns_orders": "/root/testdata/sf0.01"}
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, tiny, name):
+    tiny = LARGER.get(name, tiny)
     got = catalog.QUERIES[name](spark, tiny)
     con = duckdb.connect()
     for t in TABLES:
@@ -36,6 +41,7 @@ def test_queries_equal_their_sql(spark, tiny, name):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     quoted = ", ".join(f'"{c}"' for c in columns)
+    assert name not in LARGER or got.count() > 0
     assert sorted([plain(v) for v in r] for r in got.select(*columns).collect()) == sorted([plain(v) for v in r] for r in want.project(quoted).fetchall())
 
 
