@@ -177,6 +177,13 @@ def step_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.steps(_hourly(spark, sf_dir), ["event_type"], 12).where("step > 0")
 
 
+def bands_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of hours of much the same level, at least half a day long."""
+    hours = _hourly(spark, sf_dir)
+    first = hours.groupBy("event_type").agg(F.min("at").alias("a"))
+    return profiles.bands(hours.join(first, "event_type").select("event_type", (F.col("at") - F.col("a")).alias("at"), "value"), ["event_type"], 1.0, 12)
+
+
 def picture_failures_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as gray pictures of one row, whose bytes are fewer or more than their size says unless all are ASCII."""
     docs = _t(spark, sf_dir, "documents")
@@ -552,7 +559,7 @@ QUERIES = {
         check_layout_findings, place_text_orders, layers_lineitem, style_card_orders, ascender_lines,
         ink_components, ink_components_diagonal, ink_strata, ink_shape, ink_closed, line_baselines, text_blocks, align_axis, color_levels_parts,
         color_cells_parts, autocorr_first_peak, text_columns_orders, line_marks_customers, dark_edges_customers, trimmed_customers, skew_lines, gradient_embeddings, photo_verdicts_events, on_grid_orders, tallies_orders, sharpest_lines, turned_embeddings, thumbnail_parts, palette_parts, read_angles_lines, skew_by_reading_lines, rounded_amounts_lineitem, picture_failures_documents,
-        box_measures_orders, descenders_customers, absorbed_orders, union_boxes_lines, box_sizes_lines, regression_orders,
+        box_measures_orders, descenders_customers, absorbed_orders, union_boxes_lines, box_sizes_lines, regression_orders, bands_hours,
     )
 }
 

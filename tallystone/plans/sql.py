@@ -478,4 +478,12 @@ ORACLE_SQL = {
               FROM p JOIN (SELECT l_orderkey AS k, count(*) FILTER (WHERE l_linenumber = 5) AS missing FROM lineitem GROUP BY l_orderkey) USING (k))
         SELECT k::VARCHAR AS name, 'turned by ' || CASE WHEN k % 10 = 0 THEN '2.5' ELSE '0.0' END AS why, n AS n_changed, least(n, 10)::INT AS n_shown,
                CASE WHEN k % 11 = 0 OR k % 5 = 0 THEN 'angle' ELSE 'blocks[0].box[0]' END AS first FROM d WHERE n > 0""",
+    "bands_hours": f"""
+        WITH {HOURLY}, o AS (SELECT event_type, "at" - min("at") OVER (PARTITION BY event_type) AS i, value FROM h),
+        m AS (SELECT event_type, i, median(value) OVER a AS a, count(*) OVER a AS na, median(value) OVER b AS b, count(*) OVER b AS nb FROM o
+            WINDOW a AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING), b AS (PARTITION BY event_type ORDER BY i ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)),
+        c AS (SELECT event_type, list([i] ORDER BY abs(a - b) DESC, i) AS l FROM m WHERE na = 12 AND nb = 12 AND abs(a - b) >= 1 GROUP BY event_type),
+        r AS (SELECT event_type, list_sort(list_reduce(l, lambda d, p: CASE WHEN len(list_filter(d, lambda q: abs(q - p[1]) < 12)) > 0 THEN d ELSE list_concat(d, p) END)) AS cuts FROM c),
+        e AS (SELECT event_type, list_concat([0::BIGINT], coalesce(cuts, []), [max(i) + 1]) AS edges FROM o LEFT JOIN r USING (event_type) GROUP BY event_type, cuts)
+        SELECT event_type, (k - 1)::INT AS band, edges[k] AS first, edges[k + 1] AS "end" FROM (SELECT *, unnest(range(1, len(edges))) AS k FROM e)""",
 }
