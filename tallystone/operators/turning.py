@@ -7,8 +7,11 @@ for angles above 0, onto a plate that holds all of it; `sources.unrotated` leads
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from tallystone.functions import ordered
@@ -20,6 +23,8 @@ _ONE = 1 << _BITS
 #: Pixels around a box that belong to its crop, least width of a box, least side of a crop, and the share of
 #: the median that ink is darker than.
 PAD, LEAST_WIDTH, LEAST_SIDE, DARK = 6, 40.0, 8, 0.72
+#: Most pixels of a picture that one task projects at once, rows of a band of a larger one, and projections worked out at a time.
+PICTURE, BAND, _PROJECTED = 1 << 20, 64, 1 << 20
 #: Pixels of a cell that boxes and pixels are looked up by.
 CELL = 64
 
@@ -35,10 +40,60 @@ def plate(width: Column, height: Column, cosine: Column, sine: Column) -> tuple[
     return up(F.abs(cosine) * width + F.abs(sine) * height), up(F.abs(sine) * width + F.abs(cosine) * height)
 
 
+def _tried(spark: SparkSession, reach: float, step: float) -> list[tuple[int, int, int]]:
+    """(k, cosine, sine) of all angles from -reach to reach, worked out once by Spark and not for each pixel."""
+    k = F.col("id")
+    rows = spark.range(0, round(2 * reach / step) + 1, 1, 1).select(k, *[v.alias(n) for v, n in zip(_turn(k * step - reach), "cs", strict=True)])
+    return sorted((r["id"], r["c"], r["s"]) for r in rows.collect())
+
+
+def _best(tried: list[tuple[int, int, int]], by: list[str], coarse: int):
+    """Of the pixels (by, y, x, width, height) of one picture: (by, k, score, n) of its best angle."""
+    last, cosines, sines = len(tried) - 1, np.array([c for _, c, _ in tried]), np.array([s for _, _, s in tried])
+
+    def best(table: pa.Table) -> pa.Table:
+        y, x, (w, h) = table["y"].to_numpy(), table["x"].to_numpy(), (table[c][0].as_py() for c in ("width", "height"))
+        down, along = 2 * y + 1 - h, 2 * x + 1 - w
+
+        def scores(ks: np.ndarray) -> np.ndarray:
+            found = []
+            for some in np.array_split(ks, -(-len(ks) * len(y) // _PROJECTED)):
+                c, s = cosines[some], sines[some]
+                high = (np.abs(s) * w + np.abs(c) * h + (_ONE - 1)) >> _BITS
+                row = (c[:, None] * down - s[:, None] * along + (high * _ONE)[:, None]) >> (_BITS + 1)
+                row -= row.min()
+                span = int(row.max()) + 1
+                row += np.arange(len(some))[:, None] * span
+                if span <= 4 * len(y) + 1024:
+                    n = np.bincount(row.ravel(), minlength=span * len(some)).reshape(len(some), span)
+                    squares = (n * n).sum(axis=1)
+                else:
+                    at, n = np.unique(row.ravel(), return_counts=True)
+                    squares = np.add.reduceat(n * n, np.searchsorted(at // span, np.arange(len(some))))
+                found.append(squares * high)
+            return np.concatenate(found)
+
+        # the first of equal scores, as argmax takes it
+        ks = np.arange(0, last + 1, coarse)
+        score = scores(ks)
+        if coarse > 1:
+            near = int(ks[score.argmax()])
+            ks = np.arange(max(0, near - coarse + 1), min(last, near + coarse - 1) + 1)
+            score = scores(ks)
+        top = int(score.argmax())
+        told = table.select(by).slice(0, 1)
+        for name, value in (("k", int(ks[top])), ("score", int(score[top])), ("n", len(y))):
+            told = told.append_column(name, pa.array([value], pa.int64()))
+        return told
+
+    return best
+
+
 def _scores(ink: DataFrame, sizes: DataFrame, by: list[str], angles: Column) -> DataFrame:
     """(by, k, score, n): for each of an array of struct(k, c, s) the squares of the ink in each row of the turned picture, times
-    its rows; the larger, the more the ink is in few of them."""
-    spread = joined(ink.select(*by, "y", "x").distinct(), sizes, by).withColumn("a", F.explode(angles))
+    its rows; the larger, the more the ink is in few of them. Pixels are dealt by bands of rows, within which they are summed."""
+    dealt = ink.select(*by, "y", "x", F.floor(F.col("y") / BAND).alias("__band")).repartition(*by, "__band").distinct().drop("__band")
+    spread = joined(dealt, sizes, by).withColumn("a", F.explode(angles))
     c, s = F.col("a.c"), F.col("a.s")
     high = plate(F.col("width"), F.col("height"), c, s)[1]
     row = F.shiftright(c * (2 * F.col("y") + 1 - F.col("height")) - s * (2 * F.col("x") + 1 - F.col("width")) + high * _ONE, _BITS + 1)
@@ -46,27 +101,40 @@ def _scores(ink: DataFrame, sizes: DataFrame, by: list[str], angles: Column) ->
     return rows.groupBy(*by, "k", "high").agg((F.sum(F.col("n") * F.col("n")) * F.col("high")).alias("score"), F.sum("n").alias("n")).drop("high")
 
 
+def _sharpest_large(ink: DataFrame, sizes: DataFrame, by: list[str], tried: list[tuple[int, int, int]], coarse: int) -> DataFrame:
+    """(by, k, score, n) of the best angle of pictures that no task holds."""
+    listed = lambda some: F.array(*[F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip("kcs", t, strict=True)]) for t in some])
+    # the first of equal scores: the largest of the negative numbers
+    top = F.max(F.struct("score", (-F.col("k")).alias("k"), "n")).alias("top")
+    found = _scores(ink, sizes, by, listed(tried[::coarse])).groupBy(*by).agg(top)
+    if coarse > 1:
+        near, last = found.select(*by, (-F.col("top.k")).alias("near")), len(tried) - 1
+        first, to = F.greatest(F.lit(0), F.col("near") - coarse + 1), F.least(F.lit(last), F.col("near") + coarse - 1)
+        around = F.slice(listed(tried), (first + 1).cast("int"), (to - first + 1).cast("int"))
+        found = _scores(ink, joined(sizes, near, by), by, around).groupBy(*by).agg(top)
+    return found.select(*by, (-F.col("top.k")).alias("k"), F.col("top.score").alias("score"), F.col("top.n").alias("n"))
+
+
 def sharpest(ink: DataFrame, sizes: DataFrame, by: list[str], reach: float = 90.0, step: float = 0.5, coarse: int = 1) -> DataFrame:
     """(by, angle, sharpness): the angle from -reach to reach at which the ink of pictures (by, y, x) of the sizes (by, width,
     height) varies most from row to row, the first of equal ones, and there the deviation of the rows' ink as a share of its mean.
 
-    Each pixel is projected for each angle, and rows are summed where the pixels are before anything is shuffled. With
-    ``coarse`` above 1 only each so many-th angle is tried, and then those around the best, so a peak narrower than that can
+    Pictures of at most ``PICTURE`` pixels are each projected where their pixels are, so that only pixels are shuffled; larger ones
+    are dealt by bands of rows, and the rows' sums are shuffled. The sizes are written once to tell whether there are any.
+    With ``coarse`` above 1 only each so many-th angle is tried, and then those around the best, so a peak narrower than that can
     be missed; the angles are as many as for 1 in the result, but far fewer are tried. Pictures without ink have no row."""
-    sizes = sizes.select(*by, F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height"))
-    last = round(2 * reach / step)
-    angle = lambda k: k * step - reach
-    tried = lambda a, b, every: F.transform(F.sequence(a, b, every), lambda k: F.struct(k.alias("k"), *[v.alias(n) for v, n in zip(_turn(angle(k)), "cs", strict=True)]))
-    lit = lambda v: F.lit(v).cast("long")
-    # the first of equal scores: the largest of the negative numbers
-    top = F.max(F.struct("score", (-F.col("k")).alias("k"), "n")).alias("top")
-    found = _scores(ink, sizes, by, tried(lit(0), lit(last), lit(coarse))).groupBy(*by).agg(top)
-    if coarse > 1:
-        near = found.select(*by, (-F.col("top.k")).alias("near"))
-        around = tried(F.greatest(lit(0), F.col("near") - coarse + 1), F.least(lit(last), F.col("near") + coarse - 1), lit(1))
-        found = _scores(ink, joined(sizes, near, by), by, around).groupBy(*by).agg(top)
-    score = F.sqrt(F.greatest(F.col("top.score") / F.col("top.n") / F.col("top.n") - 1, F.lit(0.0)))
-    return found.select(*by, angle(-F.col("top.k")).cast("double").alias("angle"), score.alias("sharpness"))
+    sizes = written(sizes.select(*by, F.col("width").cast("long").alias("width"), F.col("height").cast("long").alias("height")))
+    ink = ink.where("y is not null and x is not null").select(*by, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    tried = _tried(ink.sparkSession, reach, step)
+    fits = F.coalesce((F.col("width") > 0) & (F.col("height") > 0) & (F.col("width") <= PICTURE / F.col("height")), F.lit(False))
+    large = sizes.where(~fits)
+    held = joined(ink.distinct(), sizes.where(fits), by)
+    schema = StructType([*[held.schema[c] for c in by], *[StructField(c, LongType()) for c in ("k", "score", "n")]])
+    found = held.groupBy(*by).applyInArrow(_best(tried, by, coarse), schema)
+    if not large.isEmpty():
+        found = found.unionByName(_sharpest_large(joined(ink, large.select(*by), by), large, by, tried, coarse))
+    score = F.sqrt(F.greatest(F.col("score") / F.col("n") / F.col("n") - 1, F.lit(0.0)))
+    return found.select(*by, (F.col("k") * step - reach).cast("double").alias("angle"), score.alias("sharpness"))
 
 
 def crops(pixels: DataFrame, boxes: DataFrame, by: list[str], pad: int = PAD) -> tuple[DataFrame, DataFrame]:

@@ -55,6 +55,24 @@ def test_sharpest_equals_a_plain_loop(spark):
     assert turning.sharpest(ink.limit(0), sizes, ["img"]).count() == 0
 
 
+def test_sharpest_shuffles_pixels_and_not_their_projections(spark, monkeypatch):
+    p, w, h = slanted(4.5), 120, 70
+    ink = spark.createDataFrame([(i, y, x) for i in (0, None) for y, x in p] * 2, "img int, y int, x int")
+    sizes = spark.createDataFrame([(0, w, h), (None, w, h)], "img int, width int, height int")
+    for coarse in (1, 4):
+        found = turning.sharpest(ink, sizes, ["img"], 20.0, coarse=coarse)
+        # a row for each pixel and angle was exploded before any row of a picture was summed
+        assert "explode" not in found._jdf.queryExecution().toString().lower()
+        got = {tuple(r) for r in found.collect()}
+        assert {(r[0], r[1]) for r in got} == {(i, plain_sharpest(p, w, h, 20.0)[0]) for i in (0, None)}
+        with monkeypatch.context() as m:
+            m.setattr(turning, "PICTURE", 0)
+            assert {tuple(r) for r in turning.sharpest(ink, sizes, ["img"], 20.0, coarse=coarse).collect()} == got
+        with monkeypatch.context() as m:
+            m.setattr(turning, "_PROJECTED", 3000)
+            assert {tuple(r) for r in turning.sharpest(ink, sizes, ["img"], 20.0, coarse=coarse).collect()} == got
+
+
 def test_angles_of_boxes(spark):
     rows = [(1, y, x, 20.0 if (y - 40, x - 30) in print_ else 230.0) for print_ in (slanted(5),) for y in range(160) for x in range(200)]
     pixels = spark.createDataFrame(rows, GRAY)
