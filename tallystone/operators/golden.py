@@ -68,9 +68,13 @@ def blessed(spark: SparkSession, path: str) -> DataFrame:
 def regression(old: DataFrame, new: DataFrame, cases: DataFrame, shown: int = SHOWN) -> DataFrame:
     """(name, why, n_changed, changed): each record that differs, how many of its leaves do, the first of them by path as
     (path, before, after), and what the case is there for. Both are (name, record)."""
-    a, b = flatten(old, "name", "record"), flatten(new, "name", "record")
+    both = reduce(DataFrame.unionByName, [rows.select("name", "record", F.lit(side).alias("side")) for side, rows in enumerate((old, new))])
+    own = Window.partitionBy("name")
+    alike = (F.count_if(F.col("side") == 0).over(own) == 1) & (F.count_if(F.col("side") == 1).over(own) == 1) & F.min("record").over(own).eqNullSafe(F.max("record").over(own)) & F.count("record").over(own).isin(0, 2)
+    # records of one text have no leaves that differ; a record is written at most once for both snapshots
+    leaves = flatten(both.where("name is not null").withColumn("alike", alike).where("not alike").select(F.struct("name", "side").alias("of"), "record"), "of", "record")
+    a, b = (leaves.where(F.col("of.side") == side).select("of.name", "path", "value") for side in (0, 1))
     differs = diff(a, b, ["name", "path"])
-    ranked = differs.withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("path")))
-    counted = differs.groupBy("name").agg(F.count(F.lit(1)).alias("n_changed"))
-    first = ranked.where(F.col("place") <= shown).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("path", "before", "after"))).alias("changed"))
-    return counted.join(first, "name").join(cases.select(F.col("file").alias("name"), "why"), "name", "left").select("name", "why", "n_changed", "changed")
+    ranked = differs.withColumns({"place": F.row_number().over(own.orderBy("path")), "n_changed": F.count(F.lit(1)).over(own)}).where(F.col("place") <= shown)
+    first = ranked.groupBy("name").agg(F.max("n_changed").alias("n_changed"), F.array_sort(F.collect_list(F.struct("path", "before", "after"))).alias("changed"))
+    return first.join(cases.select(F.col("file").alias("name"), "why"), "name", "left").select("name", "why", "n_changed", "changed")
