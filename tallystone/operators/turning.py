@@ -179,20 +179,24 @@ def read_angles(found: DataFrame, readings: DataFrame, by: list[str]) -> DataFra
     largest of conf times length of text. Boxes that were not read at any of the four are left out."""
     key = [*by, "box"]
     whole = lambda a: a - 360 * F.rint(a / 360)
-    turns = F.array(*[F.struct(F.lit(i).alias("turn"), whole(F.col("angle") + t).alias("angle")) for i, t in enumerate((0, 90, -90, 180))])
-    tried = found.select(*key, "w", F.col("angle").alias("coarse"), F.explode(turns).alias("t")).select(*key, "w", "coarse", "t.turn", "t.angle")
-    score = F.col("conf") * F.length("text")
-    seen = readings.where("text is not null and conf is not null").groupBy(*key, "angle").agg(F.max(F.struct(score.alias("score"), "text")).alias("read"))
-    best = joined(tried, seen, [*key, "angle"]).groupBy(*key).agg(F.max(F.struct("read.score", (-F.col("turn")).alias("turn"), "read.text", "angle", "coarse", "w")).alias("b"))
+    # boxes meet their readings once; each reading then names the first of the four turns that it is of
+    seen = readings.where("text is not null and conf is not null").select(*key, F.col("angle").alias("at"), (F.col("conf") * F.length("text")).alias("score"), "text")
+    both = joined(seen, found.select(*key, "w", F.col("angle").alias("coarse")), key)
+    turn = F.coalesce(*[F.when(F.col("at").eqNullSafe(whole(F.col("coarse") + t)), i) for i, t in enumerate((0, 90, -90, 180))])
+    turned = F.element_at(F.array(*[whole(F.col("coarse") + t) for t in (0, 90, -90, 180)]), F.col("turn") + 1)
+    both = both.withColumn("turn", turn).where("turn is not null").withColumn("angle", turned)
+    best = both.groupBy(*key).agg(F.max(F.struct("score", (-F.col("turn")).alias("turn"), "text", "angle", "coarse", "w")).alias("b"))
     return best.select(*key, "b.w", "b.angle", "b.coarse", F.bround("b.score", 2).alias("score"), "b.text")
 
 
 def poster_angle(read: DataFrame, by: list[str]) -> DataFrame:
     """(by, angle, n): the median of the boxes' angles, each half a turn away where it is nearer to the median then."""
-    middle = ordered.quantiles(read, by, {"middle": 0.5}, "angle")
-    moved = joined(read, middle, by).withColumn("angle", _nearest(F.col("angle"), F.col("middle"), 90.0))
-    counted = moved.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return joined(ordered.quantiles(moved, by, {"angle": 0.5}, "angle"), counted, by)
+    # all on the distinct angles, so whatever the readings come from runs once
+    found = ordered.placed(ordered.distinct_values(read, by, "angle"), by)
+    middle = ordered.quantiles_of(found, by, {"middle": 0.5})
+    moved = joined(found, middle, by).select(*by, _nearest(F.col("value"), F.col("middle"), 90.0).alias("value"), "n")
+    again = ordered.with_group(ordered.placed(moved.groupBy(*by, "value").agg(F.sum("n").alias("n")), by), by, {"all": F.sum("n")})
+    return again.groupBy(*by).agg(ordered.at_share(F.lit(0.5), F.col("all")).alias("angle"), F.max("all").alias("n"))
 
 
 def skew_by_reading(found: DataFrame, readings: DataFrame, by: list[str], widest: int = 8, looked: int = 2) -> DataFrame:
@@ -206,11 +210,15 @@ def skew_by_reading(found: DataFrame, readings: DataFrame, by: list[str], widest
     moved = joined(best, best.groupBy(*by).agg(F.median("angle").alias("middle")), by).withColumn("angle", _nearest(F.col("angle"), F.col("middle"), 45.0))
     middle = moved.groupBy(*by).agg(F.median("angle").alias("angle"), F.stddev_pop("angle").alias("spread"))
     heads = best.where(F.col("place") <= looked).select(*by, "box")
-    read = readings.where("turn in (0, 90, -90)").groupBy(*by, "box", "turn").agg(F.max(F.col("conf") * F.length("text")).alias("score"))
-    sums = joined(read, heads, [*by, "box"]).groupBy(*by, "turn").agg(F.sum(F.coalesce("score", F.lit(0.0))).alias("score"))
-    order = F.when(F.col("turn") == 0, 0).when(F.col("turn") == 90, -1).otherwise(-2)
+    # a box is one row with its three turns
+    turns = {0: 0, 90: -1, -90: -2}
+    score = F.col("conf") * F.length("text")
+    own = {t: F.when(F.col("turn") == t, score) for t in turns}
+    read = readings.where("turn in (0, 90, -90)").groupBy(*by, "box").agg(*[F.max(c).alias(f"s{i}") for i, c in enumerate(own.values())])
+    sums = joined(read, heads, [*by, "box"]).groupBy(*by).agg(*[F.sum(F.coalesce(f"s{i}", F.lit(0.0))).alias(f"s{i}") for i in range(len(turns))])
     # a turn that nobody read has the score 0, so the median itself wins where nothing was read
-    won = sums.where("score > 0").groupBy(*by).agg(F.max(F.struct("score", order.alias("order"), "turn"))["turn"].alias("turn"))
+    listed = [F.when(F.col(f"s{i}") > 0, F.struct(F.col(f"s{i}").alias("score"), F.lit(o).alias("order"), F.lit(t).alias("turn"))) for i, (t, o) in enumerate(turns.items())]
+    won = sums.select(*by, F.greatest(*listed)["turn"].alias("turn"))
     told = joined(middle, won, by, "left")
     turned = F.col("angle") + F.when(F.abs("angle") < 1, 0).otherwise(F.coalesce("turn", F.lit(0)))
     keep = (F.abs("angle") >= 1) & (F.abs(turned) <= 10) & (F.col("spread") <= 2)
