@@ -19,15 +19,16 @@ def middle(values: Column) -> Column:
 
 def heights(block) -> Column:
     """Of a block's lines with a known cap: baseline minus cap."""
-    both = F.arrays_zip(block["bases"].alias("b"), block["caps"].alias("c"))
-    return F.transform(F.filter(both, lambda x: x["c"].isNotNull() & x["b"].isNotNull()), lambda x: (x["b"] - x["c"]).cast("double"))
+    return F.filter(F.zip_with(block["bases"], block["caps"], lambda b, c: (b - c).cast("double")), lambda d: d.isNotNull())
 
 
 def leading() -> dict[str, Column]:
     """lead_over_cap and gap_px of blocks of at least 3 lines with a leading and a known cap."""
     fit = F.filter("blocks", lambda b: (F.coalesce(b["lead"], F.lit(0)) != 0) & (b["n"] >= 3) & F.exists(b["caps"], lambda c: c.isNotNull()))
     both = F.transform(fit, lambda b: F.struct(b["lead"].alias("lead"), middle(heights(b)).alias("cap")))
-    return {"lead_over_cap": F.transform(both, lambda x: F.when(x["cap"] != 0, x["lead"] / x["cap"])), "gap_px": F.transform(both, lambda x: x["lead"] - x["cap"])}
+    # one array gives both metrics, so it is worked out once
+    both = F.transform(both, lambda x: F.struct(F.when(x["cap"] != 0, x["lead"] / x["cap"]).alias("ratio"), (x["lead"] - x["cap"]).alias("gap")))
+    return {"lead_over_cap": both["ratio"], "gap_px": both["gap"]}
 
 
 def ascenders() -> dict[str, Column]:
@@ -39,13 +40,14 @@ def ascenders() -> dict[str, Column]:
 
 def chained(values: Column, reach: float) -> Column:
     """How many clusters an array's numbers form if neighbours at most ``reach`` apart belong together."""
-    ordered = F.sort_array(values)
-    return F.size(F.filter(ordered, lambda x, i: (i == 0) | (x - F.get(ordered, i - 1) > reach)))
+    apart = lambda o: F.size(F.filter(o, lambda x, i: (i == 0) | (x - F.get(o, i - 1) > reach)))
+    # bound once, as in middle()
+    return F.get(F.transform(F.array(F.sort_array(values)), apart), F.lit(0))
 
 
 def alignment(reach: int = 2) -> dict[str, Column]:
     """align_ratio of posters with at least 3 blocks: clusters of left edges over blocks."""
-    edges = F.transform("blocks", lambda b: b["x1"])
+    edges = F.col("blocks")["x1"]
     return {"align_ratio": F.when(F.size("blocks") >= 3, F.array(chained(edges, reach) / F.size("blocks")))}
 
 
@@ -70,7 +72,7 @@ def counts() -> dict[str, Column]:
 
 def letter_range() -> dict[str, Column]:
     """cap_range: largest over smallest x-height above 0, of at least two."""
-    found = F.filter(F.transform("blocks", lambda b: b["xh"]), lambda x: x > 0)
+    found = F.filter(F.col("blocks")["xh"], lambda x: x > 0)
     return {"cap_range": F.when(F.size(found) >= 2, F.array(F.array_max(found) / F.array_min(found)))}
 
 
@@ -92,15 +94,15 @@ EXTRACTORS = {"leading": leading, "ascenders": ascenders, "alignment": alignment
 
 def observe(posters: DataFrame, extractors=EXTRACTORS) -> DataFrame:
     """(corpus, entity, ord, metric, value) of all metrics; null arrays and nulls in them give nothing."""
-
-    def named(metric: str, values: Column) -> Column:
-        return F.transform(F.coalesce(values.cast("array<double>"), F.expr("cast(array() as array<double>)")), lambda v: F.struct(F.lit(metric).alias("metric"), v.alias("value")))
-
-    found = [named(m, v) for extract in extractors.values() for m, v in extract().items()]
-    return posters.select("corpus", F.col("file").alias("entity"), "ord", F.explode(F.concat(*found)).alias("m")).select("corpus", "entity", "ord", "m.*").where("value is not null")
+    found = [F.struct(F.lit(m).alias("metric"), v.cast("array<double>").alias("values")) for extract in extractors.values() for m, v in extract().items()]
+    # arrays first, then their values: both are plain columns, which Spark compiles; functions within functions of arrays are not.
+    # explode_outer, since for explode() Spark adds a filter in which it works the arrays out again; empty ones give a null, which goes
+    listed = posters.select("corpus", F.col("file").alias("entity"), "ord", F.array(*found).alias("listed"))
+    each = listed.select("corpus", "entity", "ord", F.explode_outer("listed").alias("m")).select("corpus", "entity", "ord", "m.metric", "m.values")
+    return each.select("corpus", "entity", "ord", "metric", F.explode_outer("values").alias("value")).where("value is not null")
 
 
 def region(blocks: Column) -> Column:
     """[x1, y1, x2, y2] around all blocks of a poster, null without blocks."""
-    edge = lambda f, c: f(F.transform(blocks, lambda b: b[c])).cast("double")
+    edge = lambda f, c: f(blocks[c]).cast("double")
     return F.when(F.size(blocks) > 0, F.array(edge(F.array_min, "x1"), edge(F.array_min, "y1"), edge(F.array_max, "x2"), edge(F.array_max, "y2")))
