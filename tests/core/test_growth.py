@@ -91,3 +91,15 @@ def test_observations_and_findings_are_worked_out_once_as_columns(spark):
     # an array of findings within an array would be worked out by functions of arrays, and again by a filter on its size
     assert "flatten(" not in optimized(found) and "size(CASE" not in optimized(found)
     assert {tuple(r) for r in found.select("layout", "block", "rule", "status", "value").collect()} == {("none", None, None, None, None), ("some", "b", layout.LEADING, "accepted", 1.5)}
+
+
+def test_a_blocks_row_does_not_carry_the_rules(spark):
+    block = ("x", 1.0, 5.0, 10.0, [(10.0,), (26.0,), (42.0,)])
+    layouts = spark.createDataFrame([("one", None, (100.0, 120.0), [block] * 3), ("none", None, (100.0, 120.0), None)], LAYOUT)
+    rules = spark.createDataFrame([("c", "lead_over_cap", 30, 1.6, 1.5, 1.7, 1.4, 1.8, 0.1, "constraint", 30, 0, [], 30, 30, True)], RULES)
+    checked = layout.check(layouts, rules)
+    lines = checked._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    made = [below for line, below in zip(lines, lines[1:], strict=False) if "Generate posexplode" in line]
+    # the layers, adopted entry and seven others were columns of each block's row
+    assert made and not any(re.search(r"\b(bands|adopted|forced|cands|of_\w+)#", line) for line in made)
+    assert {(r["layout"], r["rule"], r["status"]) for r in checked.collect()} == {("one", "lead_over_cap", "accepted"), ("none", "no_blocks", "error")}
