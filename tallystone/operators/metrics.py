@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Most metrics of a poster that a bit stands for.
+BITS = 62
+
 
 def middle(values: Column) -> Column:
     """The median of an array of numbers without nulls; null for an empty one."""
@@ -92,16 +95,39 @@ def colors() -> dict[str, Column]:
 EXTRACTORS = {"leading": leading, "ascenders": ascenders, "alignment": alignment, "margins": margins, "counts": counts, "letter_range": letter_range, "text_area": text_area, "colors": colors}
 
 
-def observe(posters: DataFrame, extractors=EXTRACTORS) -> DataFrame:
-    """(corpus, entity, ord, metric, value) of all metrics; null arrays and nulls in them give nothing."""
-    found = [F.struct(F.lit(m).alias("metric"), v.cast("array<double>").alias("values")) for extract in extractors.values() for m, v in extract().items()]
+def measured(posters: DataFrame, extractors=EXTRACTORS) -> DataFrame:
+    """(corpus, entity, ord, bits, one array of values for each metric): a row for each poster, and a bit for each metric that
+    it has a value of, null if they are more than BITS. Where values are used more than once, this is what to write: a poster's
+    observations are some twenty rows, each with its name."""
+    found = {m: v.cast("array<double>") for extract in extractors.values() for m, v in extract().items()}
+    each = posters.select("corpus", F.col("file").alias("entity"), "ord", *[v.alias(m) for m, v in found.items()])
+    bits = F.lit(None if len(found) > BITS else 0).cast("long")
+    for i, m in enumerate(list(found)[:BITS]):
+        # array_max passes over nulls, and is null where there is nothing else
+        bits = bits.bitwiseOR(F.when(F.array_max(m).isNotNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")))
+    return each.select("corpus", "entity", "ord", bits.alias("bits"), *found)
+
+
+def unpivoted(table: DataFrame) -> DataFrame:
+    """(corpus, entity, ord, metric, value) of what measured() gave; null arrays and nulls in them give nothing."""
+    found = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("values")) for m in names(table)]
     # arrays first, then their values: both are plain columns, which Spark compiles; functions within functions of arrays are not.
     # explode_outer, since for explode() Spark adds a filter in which it works the arrays out again; empty ones give a null, which goes
-    listed = posters.select("corpus", F.col("file").alias("entity"), "ord", F.array(*found).alias("listed"))
+    listed = table.select("corpus", "entity", "ord", F.array(*found).alias("listed"))
     each = listed.select("corpus", "entity", "ord", F.explode_outer("listed").alias("m")).select("corpus", "entity", "ord", "m.metric", "m.values")
     return each.select("corpus", "entity", "ord", "metric", F.explode_outer("values").alias("value")).where("value is not null")
 
 
+def names(table: DataFrame) -> list[str]:
+    """The metrics of what measured() gave."""
+    return table.columns[4:]
+
+
+def observe(posters: DataFrame, extractors=EXTRACTORS) -> DataFrame:
+    """(corpus, entity, ord, metric, value) of all metrics; null arrays and nulls in them give nothing."""
+    return unpivoted(measured(posters, extractors))
+
+
 def region(blocks: Column) -> Column:
     """[x1, y1, x2, y2] around all blocks of a poster, null without blocks."""
     edge = lambda f, c: f(blocks[c]).cast("double")

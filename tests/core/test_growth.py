@@ -93,6 +93,18 @@ def test_observations_and_findings_are_worked_out_once_as_columns(spark):
     assert {tuple(r) for r in found.select("layout", "block", "rule", "status", "value").collect()} == {("none", None, None, None, None), ("some", "b", layout.LEADING, "accepted", 1.5)}
 
 
+def test_rules_of_records_come_from_a_row_for_each(spark):
+    block = (0, 0, 10, 10, 3, 5.0, 14, [10, 24], [3, None], [5, 19])
+    rows = [(c, f"{c}{i}", i, 2.5 if i % 4 == 0 else 0.0, [100, 120], [1.0, 2.0, 90.0, 100.0], i % 3, None, [block] * (i % 4), None) for c in ("a", "b") for i in range(30)]
+    posters = spark.createDataFrame([*rows, rows[5], ("c", "bare", 0, 2.5, None, None, 0, None, None, None)], POSTER)
+    table = metrics.measured(posters)
+    # the observations were written, some twenty rows for each poster, and entities counted from them
+    assert table.count() == posters.count() and [r["bits"] for r in table.where("corpus = 'c'").collect()] == [0]
+    found = judging.derive_measured(table)
+    assert "explode" not in plan(table.select("corpus", "entity", "bits")).lower()
+    assert sorted(map(str, found.collect())) == sorted(map(str, judging.derive(metrics.observe(posters)).collect()))
+
+
 def test_a_blocks_row_does_not_carry_the_rules(spark):
     block = ("x", 1.0, 5.0, 10.0, [(10.0,), (26.0,), (42.0,)])
     layouts = spark.createDataFrame([("one", None, (100.0, 120.0), [block] * 3), ("none", None, (100.0, 120.0), None)], LAYOUT)
