@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from tallystone.functions import graph
 from tallystone.operators import golden, judging, layout, metrics, turning
 from tallystone.schemas import LAYOUT, POSTER, RULES
 
@@ -115,3 +116,10 @@ def test_a_blocks_row_does_not_carry_the_rules(spark):
     # the layers, adopted entry and seven others were columns of each block's row
     assert made and not any(re.search(r"\b(bands|adopted|forced|cands|of_\w+)#", line) for line in made)
     assert {(r["layout"], r["rule"], r["status"]) for r in checked.collect()} == {("one", "lead_over_cap", "accepted"), ("none", "no_blocks", "error")}
+
+
+def test_a_large_star_shuffles_twice(spark):
+    edges = spark.createDataFrame([(3, 1), (4, 1), (4, 3), (5, 4), (9, 7)], "a long, b long")
+    # equal edges were left out twice in a round, once after each star
+    assert graph._large_star(edges)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
+    assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (3, 1), (4, 1), (5, 1), (7, 7), (9, 7)}
