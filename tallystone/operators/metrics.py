@@ -15,7 +15,7 @@ BITS = 62
 
 def middle(values: Column) -> Column:
     """The median of an array of numbers without nulls; null for an empty one."""
-    half = lambda o: F.when(F.size(o) > 0, (F.get(o, F.floor((F.size(o) - 1) / 2).cast("int")) + F.get(o, F.floor(F.size(o) / 2).cast("int"))) / 2)
+    half = lambda o: F.when(F.size(o) > 0, (F.get(o, F.shiftright(F.size(o) - 1, 1)) + F.get(o, F.shiftright(F.size(o), 1))) / 2)
     # the sorted array is bound once: each use would sort it anew
     return F.get(F.transform(F.array(F.sort_array(values.cast("array<double>"))), half), F.lit(0))
 
@@ -27,7 +27,7 @@ def heights(block) -> Column:
 
 def leading() -> dict[str, Column]:
     """lead_over_cap and gap_px of blocks of at least 3 lines with a leading and a known cap."""
-    fit = F.filter("blocks", lambda b: (F.coalesce(b["lead"], F.lit(0)) != 0) & (b["n"] >= 3) & F.exists(b["caps"], lambda c: c.isNotNull()))
+    fit = F.filter("blocks", lambda b: (F.coalesce(b["lead"], F.lit(0)) != 0) & (b["n"] >= 3) & F.array_max(b["caps"]).isNotNull())
     both = F.transform(fit, lambda b: F.struct(b["lead"].alias("lead"), middle(heights(b)).alias("cap")))
     # one array gives both metrics, so it is worked out once
     both = F.transform(both, lambda x: F.struct(F.when(x["cap"] != 0, x["lead"] / x["cap"]).alias("ratio"), (x["lead"] - x["cap"]).alias("gap")))
@@ -36,9 +36,11 @@ def leading() -> dict[str, Column]:
 
 def ascenders() -> dict[str, Column]:
     """asc_over_xh of each line with a cap, an x-height above 0 and an ascender no lower than that."""
-    lines = F.flatten(F.transform("blocks", lambda b: F.arrays_zip(b["bases"].alias("b"), b["caps"].alias("c"), b["xtops"].alias("x"))))
-    fit = F.filter(lines, lambda s: s["c"].isNotNull() & (s["b"] - s["x"] > 0) & (s["b"] - s["c"] >= s["b"] - s["x"]))
-    return {"asc_over_xh": F.transform(fit, lambda s: (s["b"] - s["c"]) / (s["b"] - s["x"]))}
+    over = lambda top: lambda b: F.zip_with(b["bases"], b[top], lambda base, t: base - t)
+    # numbers of lines instead of a record for each: functions of arrays are not compiled, and each step in them costs
+    share = lambda c, x: F.when((x > 0) & (c >= x), c / x)
+    found = F.transform("blocks", lambda b: F.zip_with(over("caps")(b), over("xtops")(b), share))
+    return {"asc_over_xh": F.filter(F.flatten(found), lambda v: v.isNotNull())}
 
 
 def chained(values: Column, reach: float) -> Column:
@@ -128,7 +130,6 @@ def observe(posters: DataFrame, extractors=EXTRACTORS) -> DataFrame:
     return unpivoted(measured(posters, extractors))
 
 
-def region(blocks: Column) -> Column:
-    """[x1, y1, x2, y2] around all blocks of a poster, null without blocks."""
-    edge = lambda f, c: f(blocks[c]).cast("double")
-    return F.when(F.size(blocks) > 0, F.array(edge(F.array_min, "x1"), edge(F.array_min, "y1"), edge(F.array_max, "x2"), edge(F.array_max, "y2")))
+def region(block: Column) -> Column:
+    """An aggregate over blocks that are rows still: [x1, y1, x2, y2] around all of a poster."""
+    return F.array(*[edge(block[c]).cast("double") for edge, c in ((F.min, "x1"), (F.min, "y1"), (F.max, "x2"), (F.max, "y2"))])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallystone.functions import graph
 from tallystone.operators import golden, judging, layout, metrics, turning
+from tallystone.plans import catalog
 from tallystone.schemas import LAYOUT, POSTER, RULES
 
 LINE = "img int, box int, w double, angle double"
@@ -123,3 +124,33 @@ def test_a_large_star_shuffles_twice(spark):
     # equal edges were left out twice in a round, once after each star
     assert graph._large_star(edges)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 2
     assert {tuple(r) for r in graph.components(edges).collect()} == {(1, 1), (3, 1), (4, 1), (5, 1), (7, 7), (9, 7)}
+
+
+def test_items_are_dealt_before_they_are_blocks(spark, tiny):
+    posters = catalog.orders_as_posters(spark, tiny)
+    # a function of an array of items, or an expression within the aggregate, would not be compiled
+    assert "transform(" not in optimized(posters) and re.search(r"collect_list\(b#\d+", optimized(posters))
+    for frame in (posters, catalog.place_text_orders(spark, tiny)):
+        made = frame._jdf.queryExecution().executedPlan().toString()
+        below = [part.split("Exchange")[0] for part in made.split("Exchange hashpartitioning(l_orderkey")[1:]]
+        # lists were gathered before the shuffle too
+        assert below and not any("collect_list" in part for part in below)
+    one = {r["ord"]: r for r in posters.collect()}
+    rows = spark.read.parquet(f"{tiny}/lineitem.parquet").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.min(F.pmod("l_partkey", F.lit(400))).alias("x1"), F.max(F.pmod("l_suppkey", F.lit(100)) * 5 + 2 * F.col("l_quantity").cast("int")).alias("y2"))
+    assert {k: (len(r["blocks"]), r["region"][0], r["region"][3]) for k, r in one.items()} == {r["l_orderkey"]: (r["n"], r["x1"], r["y2"]) for r in rows.collect()}
+
+
+def test_ascenders_are_numbers_of_lines(spark):
+    block = lambda bases, caps, xtops: (0, 0, 1, 1, 1, 1.0, None, bases, caps, xtops)
+    blocks = {
+        "plain": [block([10, 20, 30], [2, None, 28], [6, 16, 26]), block([10], [5], [5])],
+        "uneven": [block([10, 20], [2], [6, 16, 1]), block([], [1], [2]), block([10], [8], [10])],
+        "unknown": [block([10], [2], [6]), block([10], None, [6])],
+        "bare": [None],
+        "none": None,
+    }
+    posters = spark.createDataFrame([("c", name, 0, 0.0, None, None, 0, None, b, None) for name, b in blocks.items()], POSTER)
+    found = posters.select("file", metrics.ascenders()["asc_over_xh"].alias("v"), metrics.leading()["gap_px"].alias("gaps"))
+    # a record for each line
+    assert "arrays_zip(" not in optimized(found)
+    assert {r["file"]: r["v"] for r in found.collect()} == {"plain": [2.0, 1.0], "uneven": [2.0], "unknown": None, "bare": None, "none": None}
