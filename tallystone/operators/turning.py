@@ -199,16 +199,33 @@ def poster_angle(read: DataFrame, by: list[str]) -> DataFrame:
     return again.groupBy(*by).agg(ordered.at_share(F.lit(0.5), F.col("all")).alias("angle"), F.max("all").alias("n"))
 
 
+def _middle(values: str) -> Column:
+    """The median of a sorted array; null without values."""
+    at = lambda i: F.get(values, F.floor(i / 2).cast("int"))
+    return (at(F.size(values) - 1) + at(F.size(values))) / 2
+
+
+def _deviation(values: str, middle: str) -> Column:
+    """The population deviation of an array, which is summed in its order about a value in the middle of it; null without values."""
+    n = F.size(values)
+    total = lambda f: F.aggregate(values, F.lit(0.0), lambda t, v: t + f(v - F.col(middle)))
+    first, squares = total(lambda d: d), total(lambda d: d * d)
+    return F.when(n > 0, F.sqrt(F.greatest(n * squares - first * first, F.lit(0.0))) / n)
+
+
 def skew_by_reading(found: DataFrame, readings: DataFrame, by: list[str], widest: int = 8, looked: int = 2) -> DataFrame:
     """(by, angle, spread): the angle to turn pictures by. The median of the widest boxes' angles (by, box, w, angle), those over 45
     from it a quarter turn nearer, or a quarter turn from that, whichever was read best: by the sum over the ``looked`` widest boxes of
     the best conf times length of text, the first of equal ones. 0 if it is under 1 or over 10, or the angles are
-    spread over more than 2. readings: (by, box, turn, conf, text) with turn 0, 90 or -90 from the median."""
+    spread over more than 2. readings: (by, box, turn, conf, text) with turn 0, 90 or -90 from the median.
+    The spread is their population deviation, worked out from the sorted angles, so that a border of exactly 2 doesn't
+    depend on the order of rows; on angles that are multiples of a half or another power of two it is exact."""
     place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("w"), "box"))
     best = found.withColumn("place", place).where(F.col("place") <= widest)
     # at most ``widest`` rows of a picture are left
-    moved = joined(best, best.groupBy(*by).agg(F.median("angle").alias("middle")), by).withColumn("angle", _nearest(F.col("angle"), F.col("middle"), 45.0))
-    middle = moved.groupBy(*by).agg(F.median("angle").alias("angle"), F.stddev_pop("angle").alias("spread"))
+    held = best.groupBy(*by).agg(F.array_sort(F.collect_list("angle")).alias("angles")).withColumn("angle", _middle("angles"))
+    moved = held.withColumn("angles", F.array_sort(F.transform("angles", lambda a: _nearest(a, F.col("angle"), 45.0)))).withColumn("angle", _middle("angles"))
+    middle = moved.select(*by, "angle", _deviation("angles", "angle").alias("spread"))
     heads = best.where(F.col("place") <= looked).select(*by, "box")
     # a box is one row with its three turns
     turns = {0: 0, 90: -1, -90: -2}

@@ -420,10 +420,11 @@ ORACLE_SQL = {
         WITH {_BOXES}, w AS (SELECT img, angle + turn AS angle FROM rd QUALIFY row_number() OVER (PARTITION BY img, box ORDER BY score DESC, i) = 1),
         m AS (SELECT *, median(angle) OVER (PARTITION BY img) AS mid FROM w)
         SELECT img, median(CASE WHEN angle - mid > 90 THEN angle - 180 WHEN mid - angle > 90 THEN angle + 180 ELSE angle END) AS angle, count(*) AS n FROM m GROUP BY img""",
+    # the angles are halves, whose sums are exact: stddev_pop left it to the order of rows whether a spread of 2 is over 2
     "skew_by_reading_lines": f"""
         WITH {_BOXES}, b AS (SELECT *, row_number() OVER (PARTITION BY img ORDER BY w DESC, box) AS place FROM f QUALIFY place <= 8),
         m AS (SELECT *, median(angle) OVER (PARTITION BY img) AS mid FROM b),
-        t AS (SELECT img, median(a) AS angle, stddev_pop(a) AS spread FROM (SELECT img, CASE WHEN angle - mid > 45 THEN angle - 90 WHEN mid - angle > 45 THEN angle + 90 ELSE angle END AS a FROM m) GROUP BY img),
+        t AS (SELECT img, median(a) AS angle, sqrt(count(a) * sum(a * a) - sum(a) * sum(a)) / count(a) AS spread FROM (SELECT img, CASE WHEN angle - mid > 45 THEN angle - 90 WHEN mid - angle > 45 THEN angle + 90 ELSE angle END AS a FROM m) GROUP BY img),
         v AS (SELECT rd.img, rd.i, rd.turn, sum(score) AS score FROM rd JOIN b ON b.img = rd.img AND b.box = rd.box AND b.place <= 2 GROUP BY rd.img, rd.i, rd.turn HAVING sum(score) > 0 QUALIFY row_number() OVER (PARTITION BY rd.img ORDER BY sum(score) DESC, rd.i) = 1)
         SELECT img, CASE WHEN abs(angle) >= 1 AND abs(angle + coalesce(turn, 0)) <= 10 AND spread <= 2 THEN angle + coalesce(turn, 0) ELSE 0 END AS angle, round_even(spread, 6) AS spread FROM t LEFT JOIN v USING (img)""",
     "picture_failures_documents": """

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallystone.operators import palette, turning
+from tallystone.plans import catalog, sql
 from tallystone.sources import posters as sources
 
 GRAY = "img int, y int, x int, gray double"
@@ -147,6 +150,27 @@ def test_skew_by_reading(spark):
     assert got == {1: 3.0, 2: 0.0, 3: 0.0, 4: 5.0, 5: 0.0, 6: 0.0}
 
 
+def test_spread_of_exactly_two_is_not_over_two(spark):
+    angles = dict(enumerate([*itertools.permutations((4.0, 2.5, 4.5, 8.5, 5.5)), (2.0, 6.0), (2.0, 6.5), (None, None), (92.0, 2.0, 6.0, 6.0, None)]))
+    rows = [(i, b, 100.0 - b, a) for i, held in angles.items() for b, a in enumerate(held)]
+    found = spark.createDataFrame(rows, "img int, box int, w double, angle double")
+    readings = spark.createDataFrame([], "img int, box int, turn int, conf double, text string")
+    got = {r["img"]: (r["angle"], r["spread"]) for r in turning.skew_by_reading(found, readings, ["img"]).collect()}
+    # in some orders running sums gave a spread of 2.0000000000000004
+    assert [got[i] for i in angles] == [*[(4.5, 2.0)] * 120, (4.0, 2.0), (0.0, 2.25), (0.0, None), (4.0, 2.0)]
+
+
+def test_skew_query_and_its_sql_agree_at_a_spread_of_two(spark, tmp_path):
+    # part keys whose angles are 3, 5, 3.5, -1 and 2, boxes from wide to narrow, in each of 120 orders
+    rows = [(o, n, p, 11, 50.0 - n, "A") for o, held in enumerate(itertools.permutations((16, 20, 17, 8, 14))) for n, p in enumerate(held)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = con.execute(sql.ORACLE_SQL["skew_by_reading_lines"] + " ORDER BY img").fetchall()
+    assert [tuple(r) for r in catalog.skew_by_reading_lines(spark, str(tmp_path)).orderBy("img").collect()] == want
+    assert {r[1:] for r in want} == {(3.0, 2.0)}
+
+
 def plain_thumbnail(cells, most):
     cells = np.array(cells, dtype=object)
     h, w = cells.shape[:2]
