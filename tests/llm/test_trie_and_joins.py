@@ -152,6 +152,31 @@ def test_ngram_join_in_blocks(spark, tiny, monkeypatch):
     assert joined(spark, rows, width=4, percent=80, orders=2) == want
 
 
+def test_ngram_join_deals_hot_shingles(spark, tiny, monkeypatch):
+    rows = near_texts(spark, tiny)[200:]
+    monkeypatch.setattr(ngram_join, "HOT", 20)
+    seen, edges = [], ngram_join._edges
+    monkeypatch.setattr(ngram_join, "_edges", lambda index, percent: seen.append(index.groupBy(F.col("spread") != 0, "token", "spread").count().collect()) or edges(index, percent))
+    want = {d: x[:2] for d, x in brute.near_components(rows, 90, 3).items()}
+    assert joined(spark, rows) == want
+    # without it a shingle of the 90 near copies would have a task of its own
+    assert {len([r for r in seen[0] if r[0] is hot]) > 0 for hot in (True, False)} == {True}
+    assert max(r["count"] for r in seen[0]) < 40
+
+
+def test_ngram_index_is_shuffled_once(spark, monkeypatch):
+    # ten pairs that share all shingles, and a thousand sets that share one with others and need two; each was read by two tasks
+    rows = [(100 * p + t, 2 * p + side, 40, 0) for p in range(10) for side in (0, 1) for t in range(4)]
+    rows += [(10_000 + 4 * i + t if t else 5 + i % 50, 1000 + i, 40, 0) for i in range(1000) for t in range(4)]
+    index = spark.createDataFrame([*rows, *rows], "token long, node long, n long, spread long")
+    plans, kept = [], ngram_join.written
+    monkeypatch.setattr(ngram_join, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    edges = {(r["a"], r["b"]) for r in ngram_join._edges(index, 90).collect()}
+    assert edges == {(2 * p + 1, 2 * p) for p in range(10)}
+    # it was written, and shuffled twice by shingle and three times more
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning(") == 2
+
+
 def test_ngram_join_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (2, "x y z"), (None, "x y z"), (None, "p q r"), (None, None), (3, "")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
